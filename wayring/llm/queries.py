@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayring.llm import token_count, toxicity
+from wayring.llm import fingerprint, language_id, media, mixing, packing, sharding, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +34,41 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_records(_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = _table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
+    trained = language_id.train(docs.where(_fold(5) != 0), model)
+    return language_id.predict(docs, trained, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -23,17 +23,20 @@ from wayring.llm._words import LOWER, NOT_ALNUM, mix, prefix_hash, slices, span_
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``sample_rows`` bounds the labelled rows used in training (the smallest id hashes are taken)."""
+    """``sample_rows`` bounds the labelled rows used in training (the smallest id hashes are taken).
 
-    bits: int = 20
+    Buckets that fewer than ``least_docs`` sampled texts of a shard share are not learned."""
+
+    bits: int = 22
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 1.0
     l2: float = 0.1
-    shards: int = 8
+    shards: int = 4
+    least_docs: int = 3
     rounds: int = 4
     passes: int = 2
-    sample_rows: int = 32_000
+    sample_rows: int = 24_000
     skips: tuple[int, ...] = (2, 3)
 
 
@@ -95,48 +98,56 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
         .orderBy("__h", "__id")
         .limit(params.sample_rows)
     )
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id").select((F.pmod("__h", F.lit(params.shards))).cast("int").alias("shard"), "__h", "__id", "__y", "__t")
-    size = (1 << params.bits) + 1
-    state: tuple[np.ndarray, np.ndarray] | None = None
-
-    def shard_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, buf, offs in slices(batch, 4):
-                doc, key = feature_buckets(buf, offs, params)
-                both = np.unique(doc << 32 | key)
-                cut = np.searchsorted(both >> 32, np.arange(len(offs)))
-                flat = (both & 0xFFFFFFFF).astype(np.int32)
-                blobs = [flat[cut[k] : cut[k + 1]].tobytes() for k in range(len(offs) - 1)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(blobs, pa.binary())], names=["shard", "h", "id", "y", "x"])
-
-    features = written(sample.mapInArrow(shard_features, "shard int, h long, id long, y double, x binary").repartition(params.shards, "shard"), "ftrl-sample")
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id").select(F.pmod("__h", F.lit(params.shards)).cast("int").alias("shard"), "__h", "__id", "__y", "__t")
+
+    def shard_features(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows: list[np.ndarray] = []
+        for _, buf, offs in slices(pa.RecordBatch.from_arrays([pa.array(pdf["__t"], pa.string())], names=["t"]), 0):
+            doc, key = feature_buckets(buf, offs, params)
+            both = np.unique(doc << 32 | key)
+            cut = np.searchsorted(both >> 32, np.arange(len(offs)))
+            flat = (both & 0xFFFFFFFF).astype(np.int32)
+            rows += [flat[cut[k] : cut[k + 1]] for k in range(len(offs) - 1)]
+        held = np.zeros(1 << params.bits, np.int32)
+        for x in rows:
+            held[x] += 1
+        return pd.DataFrame({"shard": pdf["shard"], "h": pdf["__h"], "id": pdf["__id"], "y": pdf["__y"], "x": [x[held[x] >= params.least_docs].tobytes() for x in rows]})
+
+    features = written(sample.groupBy("shard").applyInPandas(shard_features, "shard int, h long, id long, y double, x binary"), "ftrl-sample")
+    bias = 1 << params.bits
+    state = (np.array([bias], np.int32), np.zeros(1), np.zeros(1))
     for _ in range(params.rounds):
         sent = spark.sparkContext.broadcast(state)
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["h", "id"])
             rows = [np.frombuffer(x, np.int32) for x in pdf["x"]]
-            z, n = (np.zeros(size), np.zeros(size)) if sent.value is None else tuple(a.copy() for a in sent.value)
+            old, old_z, old_n = sent.value
+            used = np.unique(np.concatenate([*rows, old]))
+            z, n = np.zeros(len(used)), np.zeros(len(used))
+            z[np.searchsorted(used, old)], n[np.searchsorted(used, old)] = old_z, old_n
+            local = [np.searchsorted(used, x) for x in rows]
             for _ in range(params.passes):
-                ftrl_pass(rows, pdf["y"].to_numpy(), z, n, params)
-            seen = np.flatnonzero(n)
-            return pd.DataFrame({"rows": [len(pdf)], "k": [seen.astype(np.int32).tobytes()], "z": [z[seen].astype(np.float32).tobytes()], "n": [n[seen].astype(np.float32).tobytes()]})
+                ftrl_pass(local, pdf["y"].to_numpy(), z, n, params)
+            seen = n > 0
+            return pd.DataFrame({"rows": [len(pdf)], "k": [used[seen].astype(np.int32).tobytes()], "z": [z[seen].astype(np.float32).tobytes()], "n": [n[seen].astype(np.float32).tobytes()]})
 
+        # one row for each shard; its arrays hold the buckets that least_docs of its sampled rows share
         parts = features.groupBy("shard").applyInPandas(fit, "rows long, k binary, z binary, n binary").collect()
-        total = sum(r.rows for r in parts)
-        z, n = np.zeros(size), np.zeros(size)
-        for r in parts:
-            k = np.frombuffer(r.k, np.int32)
-            z[k] += np.frombuffer(r.z, np.float32) * (r.rows / total)
-            n[k] += np.frombuffer(r.n, np.float32) * (r.rows / total)
-        state = (z.astype(np.float32).astype(float), n.astype(np.float32).astype(float))
         sent.unpersist()
+        if not parts:
+            break
+        total = sum(r.rows for r in parts)
+        share = np.concatenate([np.full(len(r.k) // 4, r.rows / total) for r in parts])
+        keys, inverse = np.unique(np.concatenate([np.frombuffer(r.k, np.int32) for r in parts]), return_inverse=True)
+        z, n = (np.bincount(inverse, weights=np.concatenate([np.frombuffer(r[c], np.float32) for r in parts]) * share) for c in ("z", "n"))
+        state = (keys, z, n)
     discard(features)
-    z, n = state
+    keys, z, n = state
     w = _weights(z, n, params)
-    w[-1] = -z[-1] / ((params.beta + np.sqrt(n[-1])) / params.alpha)
+    w[-1] = -z[-1] / ((params.beta + np.sqrt(n[-1])) / params.alpha)  # the bias has the largest key
     kept = np.flatnonzero(w)
-    return kept, w[kept].astype(np.float32)
+    return keys[kept], w[kept].astype(np.float32)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: FtrlParams = FtrlParams(), threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
