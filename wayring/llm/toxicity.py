@@ -21,11 +21,15 @@ from wayring.llm._io import discard, written
 from wayring.llm._words import LOWER, NOT_ALNUM, mix, prefix_hash, slices, span_hash, spans
 
 
+#: Low bits of a key by which training tells apart the n-grams of one bucket when it counts their texts.
+SPARE_BITS = 4
+
+
 @dataclass(frozen=True)
 class FtrlParams:
     """``sample_rows`` bounds the labelled rows used in training (the smallest id hashes are taken).
 
-    Buckets that fewer than ``least_docs`` sampled texts of a shard share are not learned."""
+    N-grams that fewer than ``least_docs`` sampled texts of a shard share are not learned."""
 
     bits: int = 22
     alpha: float = 1.0
@@ -41,12 +45,12 @@ class FtrlParams:
 
 
 def feature_buckets(buf: np.ndarray, offs: np.ndarray, params: FtrlParams) -> tuple[np.ndarray, np.ndarray]:
-    """Document index and bucket of each unigram, bigram, trigram and skip-gram (repeats included)."""
+    """Document index and key (bucket and spare bits) of each unigram, bigram, trigram and skip-gram, repeats included."""
     buf = LOWER[buf]
     starts, ends, first = spans(buf, offs, NOT_ALNUM)
     h = span_hash(prefix_hash(buf), starts, ends)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    shift = np.uint64(64 - params.bits)
+    shift = np.uint64(64 - params.bits - SPARE_BITS)
     docs, keys = [doc], [h >> shift]
     for step, salt in [(1, 0x51), *((s, 0x60 + s) for s in params.skips)]:
         if len(h) > step:
@@ -108,10 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
             cut = np.searchsorted(both >> 32, np.arange(len(offs)))
             flat = (both & 0xFFFFFFFF).astype(np.int32)
             rows += [flat[cut[k] : cut[k + 1]] for k in range(len(offs) - 1)]
-        held = np.zeros(1 << params.bits, np.int32)
+        held = np.zeros(1 << params.bits + SPARE_BITS, np.uint8)
         for x in rows:
-            held[x] += 1
-        return pd.DataFrame({"shard": pdf["shard"], "h": pdf["__h"], "id": pdf["__id"], "y": pdf["__y"], "x": [x[held[x] >= params.least_docs].tobytes() for x in rows]})
+            held[x] += held[x] < params.least_docs
+        return pd.DataFrame({"shard": pdf["shard"], "h": pdf["__h"], "id": pdf["__id"], "y": pdf["__y"], "x": [np.unique(x[held[x] >= params.least_docs] >> SPARE_BITS).tobytes() for x in rows]})
 
     features = written(sample.groupBy("shard").applyInPandas(shard_features, "shard int, h long, id long, y double, x binary"), "ftrl-sample")
     bias = 1 << params.bits
@@ -164,6 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: FtrlPar
         for batch in batches:
             for part, buf, offs in slices(batch, 1):
                 doc, key = feature_buckets(buf, offs, params)
+                key >>= SPARE_BITS
                 hit = dense[key] != 0
                 both = np.unique(doc[hit] << 32 | key[hit])
                 total = np.bincount(both >> 32, weights=dense[both & 0xFFFFFFFF], minlength=len(offs) - 1) + dense[-1]
