@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayring.llm import fingerprint, jaccard, language_id, media, mixing, packing, sharding, token_count, toxicity
+from wayring.llm import fingerprint, jaccard, language_id, media, mixing, packing, sharding, suffix_dedup, token_count, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
