@@ -35,7 +35,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

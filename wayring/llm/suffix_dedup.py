@@ -283,10 +283,10 @@ def covered(n: int, blobs: list[bytes] | None) -> tuple[np.ndarray, int]:
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row, with the columns of ``keep`` after them.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of every row, with the columns of ``keep`` after them.
 
-    A byte goes if a string of ``length`` bytes that covers it also starts in a row of a smaller id.  ``kept``
-    holds the remaining bytes.  Null texts are empty; rows of one id do not count against each other; rows of a
+    A byte goes if a string of ``length`` bytes that covers it also starts in a row of a smaller id.  ``kept_text``
+    holds the remaining bytes, without code points that lost a part.  Null texts are empty; rows of one id do not count against each other; rows of a
     null id are left whole and count against none; other columns are ignored; empty tables give empty tables.
     """
     spark = docs.sparkSession
@@ -299,10 +299,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     spans = found.groupBy("id", "key").agg(F.collect_list("spans").alias("spans")).withColumnRenamed("key", "key2")
     joined = rows.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("key2")), "left").select("doc_id", "text", "spans", *(f"k{n}" for n in range(len(keep))))
     types = dict(rows.dtypes)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", k{n} {types[f'k{n}']}" for n in range(len(keep)))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", k{n} {types[f'k{n}']}" for n in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(f"k{n}" for n in range(len(keep)))]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *(f"k{n}" for n in range(len(keep)))]
         for batch in batches:
             for part, buf, offs in slices(batch, 1):
                 out: list[list] = [[], [], [], []]
@@ -313,9 +313,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                         left = text[~gone].tobytes()
                     else:
                         left, runs = text.tobytes(), 0
-                    for column, value in zip(out, (len(text) - len(left), runs, hashlib.sha256(left).hexdigest(), left), strict=True):
+                    for column, value in zip(out, (len(text) - len(left), runs, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs), pa.int64()), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), *(part.column(3 + n) for n in range(len(keep)))], names=names)
 
     result = joined.mapInArrow(run, schema)
