@@ -26,7 +26,7 @@ TIERS = (4096, 2048, 1024, 512)
 GROUP_TOKENS = 2_000_000
 #: Tokens of a step group: so many windows of a tier as make this many tokens.
 STEP_TOKENS = 32_768
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 
 
 @lru_cache(maxsize=2)
@@ -36,6 +36,53 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return out
+
+
+def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all words in some order, and where each word's ids start and how many they are.
+
+    Words of letters alone are encoded many to a text: each has exactly one id that ends a word, so the ids fall
+    apart again at those.  Should their number differ in a text, and for all other words, each is encoded alone.
+    """
+    letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+    joined, alone = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
+    encode, ends = _tokenizer(path).encode_batch_fast, _word_ends(path)
+    groups = np.split(joined, range(1000, len(joined), 1000)) if len(joined) else []
+    flat, order, sizes = [], [], []
+    for at in range(0, len(groups), 16):
+        some = groups[at : at + 16]
+        for group, found in zip(some, encode([" ".join([words[k] for k in g]) for g in some], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            cut = np.flatnonzero(ends[ids]) + 1
+            if len(cut) == len(group):
+                flat.append(ids)
+                order.append(group)
+                sizes.append(np.diff(cut, prepend=0))
+            else:
+                alone += group.tolist()
+    if alone:
+        found = [e.ids for e in encode([words[k] for k in alone], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        flat.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes[-1].sum())))
+        order.append(np.array(alone))
+    place, each = np.concatenate(order), np.concatenate(sizes)
+    start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    start[place], size[place] = np.cumsum(each) - each, each
+    return np.concatenate(flat), start, size
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> "WordEncoder":
+    """One encoder for all tasks of a Python worker, so that words known from one task serve the next."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Token ids of texts by way of their distinct white-space separated words.
 
@@ -49,7 +96,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.used = np.zeros(1 << 16, np.uint16 if _tokenizer(self.path).get_vocab_size() <= 65_536 else np.uint32), 0
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the offsets of each text's ids."""
@@ -65,19 +112,17 @@ class WordEncoder:
         if new.any():
             raw = buf.tobytes()
             words = [raw[starts[k] : ends[k]].decode() for k in one[new]]
-            found = [e.ids for e in _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+            flat, begin, sizes = encode_words(self.path, words)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + len(flat)] = flat
             self.known = np.insert(self.known, at[new], distinct[new])
-            self.start = np.insert(self.start, at[new], self.used + np.cumsum(sizes) - sizes)
+            self.start = np.insert(self.start, at[new], self.used + begin)
             self.size = np.insert(self.size, at[new], sizes)
             self.used += len(flat)
         k = np.searchsorted(self.known, distinct)[inverse]
         size = self.size[k]
-        ids = self.ids[ragged(self.start[k], size)]
+        ids = self.ids[ragged(self.start[k], size)].astype(np.uint32)
         return ids, np.concatenate([[0], np.cumsum(size)])[first]
 
 
@@ -135,7 +180,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
-        encoder = WordEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         sequence = 0
         steps: dict[int, int] = {}
         names: list[int | None] = []
