@@ -14,9 +14,9 @@ or more are the occurrences of one string; it repeats wherever its least id is s
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -33,9 +33,13 @@ LENGTH = 50
 SEED = 8
 #: Strings of a segment at most; longer runs are cut, which keeps their key.
 RUN = 64
-#: Raw bytes of segments that one task gathers, about, and that it holds in suffix order at once.
-PART_BYTES = 80 << 20
-WORK_BYTES = 8 << 20
+#: Raw bytes of segments that one task gathers, about, and of those that it puts in suffix order together.
+PART_BYTES = 32 << 20
+COLLECTION_BYTES = 4 << 20
+#: Turns in which a task takes the segments of its part, by key.
+TURNS = 16
+#: Bytes of text whose segments are dealt together, so that what goes to one part compresses well.
+DEAL_BYTES = 16 << 20
 
 
 def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,19 +77,23 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int
 
 
 class ColumnFiles:
-    """The rows of a growing suffix order, one file per attribute, read and rewritten in sequence each round."""
+    """The rows of a growing suffix order, one file per attribute and round, read and written in sequence."""
 
     KINDS = {"symbol": np.uint8, "common": np.uint8, "owner": np.int32, "size": np.uint8}
 
     def __init__(self, folder: str) -> None:
-        self.folder = Path(folder)
+        self.folder = folder
+        self.round = 0
 
     def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self.folder / name, self.KINDS[name])
+        return np.fromfile(f"{self.folder}/{name}-{self.round}", self.KINDS[name])
 
-    def write(self, name: str, rows: np.ndarray) -> None:
-        rows.astype(self.KINDS[name], copy=False).tofile(self.folder / f"{name}.new")
-        (self.folder / f"{name}.new").replace(self.folder / name)
+    def next_round(self, **rows: np.ndarray) -> None:
+        for name, x in rows.items():
+            x.astype(self.KINDS[name], copy=False).tofile(f"{self.folder}/{name}-{self.round + 1}")
+            if self.round:
+                os.unlink(f"{self.folder}/{name}-{self.round}")
+        self.round += 1
 
 
 def _range_least(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -124,10 +132,7 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
     with tempfile.TemporaryDirectory(prefix="columns-") as folder:
         files = ColumnFiles(folder)
         everyone = np.arange(m, dtype=np.int32)
-        files.write("symbol", before(everyone, np.zeros(m, np.int64)))
-        files.write("common", np.zeros(m, np.uint8))
-        files.write("owner", everyone)
-        files.write("size", np.zeros(m, np.uint8))
+        files.next_round(symbol=before(everyone, np.zeros(m, np.int64)), common=np.zeros(m, np.uint8), owner=everyone, size=np.zeros(m, np.uint8))
         for j in range(1, int(sizes.max()) + 1 if m else 0):
             symbol, common, owner, size = (files.read(x) for x in ("symbol", "common", "owner", "size"))
             order = np.argsort(symbol, kind="stable")[int((symbol == 0).sum()) :]
@@ -139,8 +144,6 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
             value = np.zeros(len(order), np.uint8)
             value[alike] = _range_least(common, order[alike - 1] + 1, order[alike]) + np.uint8(1)
             place = np.concatenate([np.zeros(m, bool), new])
-            grown = np.concatenate([np.zeros(m, bool), np.zeros(len(order), bool)])
-            grown[m + touched] = True
 
             def merged(old: np.ndarray, fresh: np.ndarray) -> np.ndarray:
                 out = np.empty(len(place), old.dtype)
@@ -149,12 +152,9 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
                 return out
 
             own = owner[order[new]]
-            files.write("symbol", merged(symbol, before(own, np.full(len(own), j))))
             longer = merged(common, np.zeros(len(own), np.uint8))
-            longer[grown] = value[touched]
-            files.write("common", longer)
-            files.write("owner", merged(owner, own))
-            files.write("size", merged(size, np.full(len(own), j, np.uint8)))
+            longer[m + touched] = value[touched]
+            files.next_round(symbol=merged(symbol, before(own, np.full(len(own), j))), common=longer, owner=merged(owner, own), size=merged(size, np.full(len(own), j, np.uint8)))
         return files.read("owner"), files.read("size").astype(np.int64), files.read("common").astype(np.int64)
 
 
@@ -170,26 +170,41 @@ def repeated_starts(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids:
 
 
 def _dealt(docs: DataFrame, parts: int, length: int) -> DataFrame:
-    """(part, blob): all segments, dealt by key, as compressed arrays."""
+    """(part, arrays): all segments, dealt by key, as compressed arrays."""
+    names = ["id", "key", "count", "pos", "size", "turn", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
+        held: list[tuple] = []
+
+        def deal() -> Iterator[pa.RecordBatch]:
+            for k in range(parts):
+                some = [(x, x["cut"][k], x["cut"][k + 1]) for x in held if x["cut"][k] < x["cut"][k + 1]]
+                if some:
+                    data = [np.concatenate([x[n][x["at"][k] : x["at"][k + 1]] if n == "data" else x[n][a:z] for x, a, z in some]) for n in ("ids", "keys", "pos", "size", "turn", "data")]
+                    first = np.flatnonzero(np.concatenate([[True], (data[0][1:] != data[0][:-1]) | (data[1][1:] != data[1][:-1])]))
+                    data = [data[0][first], data[1][first], np.diff(np.append(first, len(data[0]))).astype(np.int32), np.diff(data[2], prepend=0).astype(np.int32), *data[3:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([pack(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes())], pa.binary()) for x in data)], names=["part", *names])
+            held.clear()
+
+        text = 0
         for batch in batches:
-            for part, buf, offs in slices(batch, 2, 8 << 20):
-                ids, keys = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy()
+            for part, buf, offs in slices(batch, 2, 4 << 20):
                 begin, size, doc, least = segments(buf, offs, length)
-                to = (mix(least.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                mixed = mix(least.astype(np.uint64))
+                to = (mixed % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
-                begin, size, doc, least, to = begin[by], size[by], doc[by], least[by], to[by]
+                begin, size, doc, to = begin[by], size[by], doc[by], to[by]
                 cut = np.searchsorted(to, np.arange(parts + 1))
-                for k in range(parts):
-                    a, z = cut[k], cut[k + 1]
-                    if a < z:
-                        own, count = np.unique(doc[a:z], return_counts=True)
-                        data = (ids[own].astype(np.int64), keys[own].astype(np.int32), count.astype(np.int32), np.diff(begin[a:z] - offs[doc[a:z]], prepend=0).astype(np.int32), size[a:z].astype(np.uint8), least[a:z], buf[ragged(begin[a:z], size[a:z])])
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([pack(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())], pa.binary()) for x in data)], names=["part", "id", "key", "count", "pos", "size", "least", "data"])
+                turn = (mixed[by] >> np.uint64(56)).astype(np.uint8) % np.uint8(TURNS)
+                held.append({"ids": part.column(0).to_numpy()[doc], "keys": part.column(1).to_numpy()[doc], "pos": (begin - offs[doc]).astype(np.int32), "size": size.astype(np.uint8), "turn": turn, "data": buf[ragged(begin, size)], "cut": cut, "at": np.concatenate([[0], np.cumsum(size)])[cut]})
+                text += len(buf)
+                if text >= DEAL_BYTES:
+                    yield from deal()
+                    text = 0
+        yield from deal()
 
-    return docs.mapInArrow(run, "part int, id binary, key binary, count binary, pos binary, size binary, least binary, data binary")
+    return docs.mapInArrow(run, "part int, " + ", ".join(f"{n} binary" for n in names))
 
 
 def _unpacked(blob: bytes, kind: type) -> np.ndarray:
@@ -200,25 +215,47 @@ def _unpacked(blob: bytes, kind: type) -> np.ndarray:
 
 def _repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Of all segments of some keys: per text, the spans whose strings also start in a text of a smaller id."""
-    ids, keys, pos, size, least, data = [], [], [], [], [], []
+    ids, keys, pos, size, turn, data = [], [], [], [], [], []
     for r in pdf.itertuples():
         count = _unpacked(r.count, np.int32)
         ids.append(np.repeat(_unpacked(r.id, np.int64), count))
         keys.append(np.repeat(_unpacked(r.key, np.int32), count))
         pos.append(np.cumsum(_unpacked(r.pos, np.int32)))
         size.append(_unpacked(r.size, np.uint8))
-        least.append(_unpacked(r.least, np.uint32))
+        turn.append(_unpacked(r.turn, np.uint8))
         data.append(_unpacked(r.data, np.uint8))
-    ids, keys, pos, least, buf = (np.concatenate(x) for x in (ids, keys, pos, least, data))
+    ids, keys, pos, turn, buf = (np.concatenate(x) for x in (ids, keys, pos, turn, data))
     size = np.concatenate(size).astype(np.int64)
     del data
     begin = np.cumsum(size) - size
-    rounds = max(1, int(size.sum() // WORK_BYTES))
-    turn = mix(least.astype(np.uint64) + np.uint64(0x5BD1E995)) % np.uint64(rounds)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # segment, first and last + 1 byte within it
+    waiting: list[tuple] = []  # holders that share strings: segment, first byte, length, hash
+
+    def collect() -> None:
+        """The suffix order of what waits; spans of its repeated strings for every copy of the same id."""
+        if not waiting:
+            return
+        holder, first, n, copies = (np.concatenate(x) for x in zip(*[w[:4] for w in waiting], strict=True))
+        rows = pd.concat([w[4] for w in waiting], ignore_index=True)
+        waiting.clear()
+        own = buf[ragged(begin[holder] + first, n)]
+        segment, at_byte = repeated_starts(own, np.cumsum(n) - n, n, ids[holder], length)
+        if not len(segment):
+            return
+        order = np.lexsort((at_byte, segment))
+        segment, at_byte = segment[order], at_byte[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (segment[1:] != segment[:-1]) | (at_byte[1:] != at_byte[:-1] + 1)
+        a = np.flatnonzero(head)
+        z = np.append(a[1:], len(order)) - 1
+        runs = pd.DataFrame({"h": copies[segment[a]], "a": at_byte[a] + first[segment[a]], "z": at_byte[z] + first[segment[a]] + length})
+        hit = rows.merge(runs, on="h")
+        found.append((hit["s"].to_numpy(np.int64), hit["a"].to_numpy(np.int64), hit["z"].to_numpy(np.int64)))
+
     by = np.argsort(turn, kind="stable")
-    cut = np.searchsorted(turn[by], np.arange(rounds + 1))
-    for k in range(rounds):
+    cut = np.searchsorted(turn[by], np.arange(TURNS + 1))
+    bytes_waiting = 0
+    for k in range(TURNS):
         at = by[cut[k] : cut[k + 1]]
         if not len(at):
             continue
@@ -232,33 +269,33 @@ def _repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         head[1:] = whole[order[1:]] != whole[order[:-1]]
         holder = order[head]
         least_id = ids[at][holder][np.cumsum(head) - 1]
-        later = order[ids[at][order] > least_id]
+        is_later = ids[at][order] > least_id
+        later, first_ones = order[is_later], order[~is_later]
         found.append((at[later], np.zeros(len(later), np.int64), size[at][later]))
-        # those of the distinct segments that share a string with another one
+        # those of the distinct segments that share a string with another one, from the first such string to the last
         count = size[at][holder] - length + 1
         strings = ragged(start[holder], count)
         h = span_hash(prefix, strings, strings + length)
         ranked = np.argsort(h)
-        twice = np.zeros(len(h), bool)
         same = h[ranked[1:]] == h[ranked[:-1]]
+        twice = np.zeros(len(h), bool)
         twice[ranked[1:][same]] = True
         twice[ranked[:-1][same]] = True
-        share = np.add.reduceat(twice, np.cumsum(count) - count) > 0 if len(count) else np.zeros(0, bool)
-        kept = holder[share]
+        where = np.flatnonzero(twice)
+        owner = np.searchsorted(np.cumsum(count), where, "right")
+        kept, one = np.unique(owner, return_index=True)
         if len(kept):
-            segment, at_byte = repeated_starts(own, start[kept], size[at][kept], ids[at][kept], length)
-            if len(segment):
-                order = np.lexsort((at_byte, segment))
-                segment, at_byte = segment[order], at_byte[order]
-                head = np.ones(len(order), bool)
-                head[1:] = (segment[1:] != segment[:-1]) | (at_byte[1:] != at_byte[:-1] + 1)
-                a = np.flatnonzero(head)
-                z = np.append(a[1:], len(order)) - 1
-                # rows of the holder's own id repeat the same spans
-                spans_of = pd.DataFrame({"h": whole[kept[segment[a]]], "i": ids[at][kept[segment[a]]], "a": at_byte[a], "z": at_byte[z] + length})
-                rows = pd.DataFrame({"h": whole, "i": ids[at], "s": at})
-                hit = rows[rows["h"].isin(spans_of["h"])].merge(spans_of, on=["h", "i"])
-                found.append((hit["s"].to_numpy(np.int64), hit["a"].to_numpy(np.int64), hit["z"].to_numpy(np.int64)))
+            base = (np.cumsum(count) - count)[kept]
+            first = where[one] - base
+            last = where[np.append(one[1:], len(where)) - 1] - base
+            chosen = holder[kept]
+            held = first_ones[np.isin(whole[first_ones], whole[chosen])]
+            waiting.append((at[chosen], first, last - first + length, whole[chosen], pd.DataFrame({"h": whole[held], "s": at[held]})))
+            bytes_waiting += int((last - first + length).sum())
+            if bytes_waiting >= COLLECTION_BYTES:
+                collect()
+                bytes_waiting = 0
+    collect()
     if not found:
         return pd.DataFrame({"id": [], "key": [], "spans": []})
     segment, a, z = (np.concatenate(x) for x in zip(*found, strict=True))
