@@ -1,6 +1,6 @@
 """All queries of the engine, by name."""
 
-from wayring.plans import scoring, temporal  # noqa: F401
+from wayring.plans import geometry, scoring, temporal  # noqa: F401
 from wayring.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
