@@ -7,8 +7,8 @@
    shingle within one size band or two neighbouring ones meet in a tile; a tile yields its members and a pivot.
 3. A signature is a bitmap of parities, about as many bits as shingles.  The bits in which two signatures
    differ bound the overlap from above; pairs that pass are verified on the sorted arrays.
-4. Pivot links are verified first.  Only tiles whose members still lie in several components are compared
-   among themselves, in blocks of bounded size.  Components follow by contraction.
+4. One pivot link of each set is verified first, then those that would still join components.  Only tiles whose
+   members lie in several components after that are compared among themselves, in blocks of bounded size.  Components follow by contraction.
 """
 
 from __future__ import annotations
@@ -248,10 +248,13 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "p").join(right, "s").select("p", "s", "np", "gp", "ns", "gs").mapInArrow(run, "p long, s long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that link, by exact intersection of the sorted arrays; only the pairs' own texts are shuffled."""
+def _arrays(docs: DataFrame, classes: DataFrame, pairs: DataFrame, known: list[DataFrame]) -> DataFrame:
+    """Sorted arrays (``sid, x``) of the sets in ``pairs`` that no table of ``known`` has; only their texts are read again."""
     wanted = pairs.select(F.col("p").alias("sid")).unionByName(pairs.select(F.col("s").alias("sid"))).distinct()
-    ids = wanted.join(classes, "sid").select(F.col("rep").alias("want"))
+    for table in known:
+        wanted = wanted.join(table.select("sid"), "sid", "left_anti")
+    # written first, so that its size is known: a small list is sent to the texts, a large one joined by shuffle
+    ids = written(wanted.join(classes, "sid").select(F.col("rep").alias("want")).distinct(), "jaccard-ids")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,6 +262,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
                 sets = [x for x in shingle_sets(buf, offs) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "x"])
 
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("doc_id", "text")
+    return written(texts.mapInArrow(arrays, "sid long, x binary").dropDuplicates(["sid"]), "jaccard-arrays")
+
+
+def _verified(pairs: DataFrame, arrays: list[DataFrame], percent: int) -> DataFrame:
+    """Pairs that link, by exact intersection of the sorted arrays."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -267,13 +277,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
                 keep.append(bool(links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent)))
             yield batch.select(["p", "s"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("doc_id", "text")
-    payload = written(texts.mapInArrow(arrays, "sid long, x binary").dropDuplicates(["sid"]), "jaccard-arrays")
+    payload = arrays[0]
+    for table in arrays[1:]:
+        payload = payload.unionByName(table)
     left = payload.select(F.col("sid").alias("p"), F.col("x").alias("xp"))
     right = payload.select(F.col("sid").alias("s"), F.col("x").alias("xs"))
-    out = written(pairs.join(left, "p").join(right, "s").select("p", "s", "xp", "xs").mapInArrow(check, "p long, s long"), "jaccard-links")
-    discard(payload)
-    return out
+    return written(pairs.join(left, "p").join(right, "s").select("p", "s", "xp", "xs").mapInArrow(check, "p long, s long"), "jaccard-links")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components so far."""
+    a = labels.select(F.col("node").alias("p"), F.col("label").alias("lp"))
+    b = labels.select(F.col("node").alias("s"), F.col("label").alias("ls"))
+    return pairs.join(a, "p", "left").join(b, "s", "left").where("coalesce(lp, p) <> coalesce(ls, s)").select("p", "s")
 
 
 def _open_tiles(edges: DataFrame, labels: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -346,12 +362,29 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     classes = written(texts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
     found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(_tile_edges, "p long, s long")
     edges = written(found.distinct(), "jaccard-edges")
-    pivot_links = _verified(written(_bounded(edges, classes, percent), "jaccard-pairs"), docs, classes, percent)
-    labels = components(pivot_links.select(F.col("p").alias("a"), F.col("s").alias("b")))
-    open_pairs = written(_open_tiles(edges, labels, classes, parts, percent), "jaccard-open")
-    if open_pairs.limit(1).count():
-        more = _verified(open_pairs, docs, classes, percent)
-        labels = components(pivot_links.unionByName(more).select(F.col("p").alias("a"), F.col("s").alias("b")))
+    candidates = written(_bounded(edges, classes, percent), "jaccard-pairs")
+    # one pivot for each set first: within a group of copies that already joins nearly all, and little is left to verify
+    first = written(candidates.groupBy("s").agg(F.min("p").alias("p")).select("p", "s"), "jaccard-first")
+    arrays, found_links, labels = [], [], None
+    for step in range(3):
+        if step == 0:
+            pairs = first
+        elif step == 1:
+            pairs = written(_apart(candidates, labels), "jaccard-rest")
+        else:
+            pairs = written(_open_tiles(edges, labels, classes, parts, percent), "jaccard-open")
+        if pairs.limit(1).count():
+            arrays.append(_arrays(docs, classes, pairs, arrays))
+            found_links.append(_verified(pairs, arrays, percent))
+        if found_links and (labels is None or pairs.limit(1).count()):
+            all_links = found_links[0]
+            for more in found_links[1:]:
+                all_links = all_links.unionByName(more)
+            labels = components(all_links.select(F.col("p").alias("a"), F.col("s").alias("b")))
+        elif labels is None:
+            labels = components(edges.limit(0).select(F.col("p").alias("a"), F.col("s").alias("b")))
+    for table in arrays:
+        discard(table)
     group = classes.join(labels, classes.sid == labels.node, "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
     least = group.groupBy("label").agg(F.min("rep").alias("component"))
     owner = group.join(least, "label").select(F.col("sid").alias("own"), "component")
