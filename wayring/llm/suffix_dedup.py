@@ -35,7 +35,7 @@ SEED = 8
 RUN = 64
 #: Raw bytes of segments that one task gathers, about, and of those that it puts in suffix order together.
 PART_BYTES = 32 << 20
-COLLECTION_BYTES = 4 << 20
+COLLECTION_BYTES = 2 << 20
 #: Turns in which a task takes the segments of its part, by key.
 TURNS = 16
 #: Bytes of text whose segments are dealt together, so that what goes to one part compresses well.
@@ -189,7 +189,7 @@ def _dealt(docs: DataFrame, parts: int, length: int) -> DataFrame:
 
         text = 0
         for batch in batches:
-            for part, buf, offs in slices(batch, 2, 4 << 20):
+            for part, buf, offs in slices(batch, 2, 3 << 20):
                 begin, size, doc, least = segments(buf, offs, length)
                 mixed = mix(least.astype(np.uint64))
                 to = (mixed % np.uint64(parts)).astype(np.int64)
@@ -213,8 +213,15 @@ def _unpacked(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def _repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of all segments of some keys: per text, the spans whose strings also start in a text of a smaller id."""
+#: Ids are spread over buckets by their rest by this prime.
+SPREAD = 1_000_003
+
+
+def _repeats(pdf: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
+    """Of all segments of some keys: per text, the spans whose strings also start in a text of a smaller id.
+
+    One row for each bucket of ids: the texts' ids and keys, how many spans each has, and the spans.
+    """
     ids, keys, pos, size, turn, data = [], [], [], [], [], []
     for r in pdf.itertuples():
         count = _unpacked(r.count, np.int32)
@@ -297,22 +304,27 @@ def _repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
                 bytes_waiting = 0
     collect()
     if not found:
-        return pd.DataFrame({"id": [], "key": [], "spans": []})
+        return pd.DataFrame({c: [] for c in ("bucket", "ids", "keys", "counts", "spans")})
     segment, a, z = (np.concatenate(x) for x in zip(*found, strict=True))
     a, z, i, k = pos[segment] + a, pos[segment] + z, ids[segment], keys[segment]
-    order = np.lexsort((a, k, i))
-    a, z, i, k = a[order], z[order], i[order], k[order]
+    bucket = i % SPREAD % buckets
+    order = np.lexsort((a, k, i, bucket))
+    a, z, i, k, bucket = a[order], z[order], i[order], k[order], bucket[order]
     head = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(i) else np.zeros(0, int)
+    count = np.diff(np.append(head, len(i))).astype(np.int32)
     both = np.stack([a, z], axis=1).astype(np.int32)
-    spans = [both[x:y].tobytes() for x, y in zip(head, np.append(head[1:], len(i)), strict=True)]
-    return pd.DataFrame({"id": i[head], "key": k[head], "spans": spans})
+    out = []
+    for d in np.unique(bucket):
+        x, y = np.searchsorted(bucket, [d, d + 1])
+        u, v = np.searchsorted(head, [x, y])
+        out.append((d, i[head[u:v]].tobytes(), k[head[u:v]].astype(np.int32).tobytes(), count[u:v].tobytes(), both[x:y].tobytes()))
+    return pd.DataFrame(out, columns=["bucket", "ids", "keys", "counts", "spans"])
 
 
-def covered(n: int, blobs: list[bytes] | None) -> tuple[np.ndarray, int]:
+def covered(n: int, spans: list[np.ndarray]) -> tuple[np.ndarray, int]:
     """Which of n bytes the spans cover, and the number of maximal covered runs."""
     edge = np.zeros(n + 1, np.int32)
-    for blob in blobs or []:
-        both = np.frombuffer(blob, np.int32).reshape(-1, 2)
+    for both in spans:
         np.add.at(edge, both[:, 0], 1)
         np.add.at(edge, both[:, 1], -1)
     out = np.cumsum(edge[:-1]) > 0
@@ -323,8 +335,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of every row, with the columns of ``keep`` after them.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a row of a smaller id.  ``kept_text``
-    holds the remaining bytes, without code points that lost a part.  Null texts are empty; rows of one id do not count against each other; rows of a
-    null id are left whole and count against none; other columns are ignored; empty tables give empty tables.
+    holds the remaining bytes, without code points that lost a part.  Null texts are empty; rows of one id do not
+    count against each other; rows of a null id are left whole and count against none; other columns are ignored;
+    empty tables give empty tables.  The segments and the texts are shuffled once each.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)))
@@ -332,28 +345,44 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 3.2 / PART_BYTES) + 1)
     dealt = _dealt(rows.where("doc_id is not null").select("doc_id", "key", "text"), parts, length)
-    found = dealt.groupBy("part").applyInPandas(lambda pdf: _repeats(pdf, length), "id long, key int, spans binary")
-    spans = found.groupBy("id", "key").agg(F.collect_list("spans").alias("spans")).withColumnRenamed("key", "key2")
-    joined = rows.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("key2")), "left").select("doc_id", "text", "spans", *(f"k{n}" for n in range(len(keep))))
+    found = dealt.groupBy("part").applyInPandas(lambda pdf: _repeats(pdf, length, parts), "bucket int, ids binary, keys binary, counts binary, spans binary")
+    # what repeats in the texts of a bucket comes before the bucket's texts
+    texts = rows.withColumns({"bucket": F.coalesce(F.pmod(F.pmod("doc_id", F.lit(SPREAD)), F.lit(parts)), F.lit(0)).cast("int"), "kind": F.lit(1)})
+    both = texts.unionByName(found.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    ordered = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").select("bucket", "kind", "doc_id", "key", "text", "ids", "keys", "counts", "spans", *(f"k{n}" for n in range(len(keep))))
     types = dict(rows.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", k{n} {types[f'k{n}']}" for n in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *(f"k{n}" for n in range(len(keep)))]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        current, spans = None, {}
         for batch in batches:
-            for part, buf, offs in slices(batch, 1):
+            for part, buf, offs in slices(batch, 4):
                 out: list[list] = [[], [], [], []]
-                for k, blobs in enumerate(part.column(2).to_pylist()):
+                chosen = []
+                head = zip(*(part.column(n).to_pylist() for n in range(4)), strict=True)
+                for k, (bucket, kind, doc, key) in enumerate(head):
+                    if bucket != current:
+                        current, spans = bucket, {}
+                    if kind == 0:
+                        ids, keys, counts = (np.frombuffer(part.column(c)[k].as_buffer(), t) for c, t in ((5, np.int64), (6, np.int32), (7, np.int32)))
+                        pieces = np.split(np.frombuffer(part.column(8)[k].as_buffer(), np.int32).reshape(-1, 2), np.cumsum(counts)[:-1])
+                        for pair, piece in zip(zip(ids.tolist(), keys.tolist(), strict=True), pieces, strict=True):
+                            spans.setdefault(pair, []).append(piece)
+                        continue
+                    chosen.append(k)
                     text = buf[offs[k] : offs[k + 1]]
-                    if blobs:
-                        gone, runs = covered(len(text), blobs)
+                    left, runs = text.tobytes(), 0
+                    if (doc, key) in spans:
+                        gone, runs = covered(len(text), spans[doc, key])
                         left = text[~gone].tobytes()
-                    else:
-                        left, runs = text.tobytes(), 0
                     for column, value in zip(out, (len(text) - len(left), runs, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs), pa.int64()), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), *(part.column(3 + n) for n in range(len(keep)))], names=names)
+                if chosen:
+                    rest = part.select([2, *range(9, 9 + len(keep))]).take(pa.array(chosen))
+                    sizes = pa.array(np.diff(offs)[chosen], pa.int64())
+                    yield pa.RecordBatch.from_arrays([rest.column(0), sizes, *(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), *(rest.column(1 + n) for n in range(len(keep)))], names=names)
 
-    result = joined.mapInArrow(run, schema)
+    result = ordered.mapInArrow(run, schema)
     return result.withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)}) if keep else result
