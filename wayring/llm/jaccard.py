@@ -5,7 +5,7 @@
 2. A pair that links shares one of the first ``n - ceil(0.75 n) + 1`` shingles of both sets under any common
    order.  The order is by hash, with the shingles that many texts hold last.  Classes that share such a
    shingle within one size band or two neighbouring ones meet in a tile; a tile yields its members and a pivot.
-3. A signature is a bitmap of parities, about as many bits as shingles.  The bits in which two signatures
+3. A signature is a bitmap of parities, four to eight bits a shingle.  The bits in which two signatures
    differ bound the overlap from above; pairs that pass are verified on the sorted arrays.
 4. One pivot link of each set is verified first, then those that would still join components.  Only tiles whose
    members lie in several components after that are compared among themselves, in blocks of bounded size.  Components follow by contraction.
@@ -76,9 +76,9 @@ def needed(n: np.ndarray | int, percent: int = 75) -> np.ndarray | int:
 
 
 def signature(x: np.ndarray) -> bytes:
-    """Parities of the shingles over a power of two of bits, at least 64 and at least as many as shingles."""
+    """Parities of the shingles over a power of two of bits, at least 64 and at least four per shingle."""
     bits = 64
-    while bits < len(x):
+    while bits < 4 * len(x):
         bits *= 2
     odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
