@@ -192,8 +192,11 @@ def _postings(docs: DataFrame, frequent: np.ndarray, parts: int, percent: int) -
     return docs.mapInArrow(run, "part int, sid binary, n binary, owner binary, token binary")
 
 
-def _tile_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of all postings of some shingles: for each shingle and band tile, its least set as pivot and the others."""
+def _tile_edges(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Of all postings of some shingles: for each shingle and band tile, its least set as pivot and the others.
+
+    One row for each bucket of pivots: pivots, others, and whether three or more sets met in the tile.
+    """
     sid, size, token = [], [], []
     for s, n, o, t in zip(pdf["sid"], pdf["n"], pdf["owner"], pdf["token"], strict=True):
         raw = np.frombuffer(t, np.uint8).reshape(-1, 5)
@@ -218,10 +221,35 @@ def _tile_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     key, sid = key[order], sid[order]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
-    pivot = sid[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else sid
+    if not len(key):
+        return pd.DataFrame({c: [] for c in ("bucket", "p", "s", "big")})
+    begin = np.flatnonzero(first)
+    # an own set may come twice to a tile of equal shingles; tiles count distinct sets
+    fresh = first.copy()
+    fresh[1:] |= sid[1:] != sid[:-1]
+    distinct = np.add.reduceat(fresh.astype(np.int64), begin)
+    tile = np.cumsum(first) - 1
+    pivot, many = sid[begin][tile], (distinct >= 3)[tile]
     other = sid != pivot
-    pairs = pd.DataFrame({"p": pivot[other], "s": sid[other]}).drop_duplicates()
-    return pairs
+    pairs = _merged_pairs(pivot[other], sid[other], many[other])
+    bucket = (pairs["p"] & 0x7FFFFFFF) % parts
+    out = [(k, some["p"].to_numpy().tobytes(), some["s"].to_numpy().tobytes(), some["big"].to_numpy(np.int8).tobytes()) for k, some in pairs.groupby(bucket)]
+    return pd.DataFrame(out, columns=["bucket", "p", "s", "big"])
+
+
+def _merged_pairs(p: np.ndarray, s: np.ndarray, big: np.ndarray) -> pd.DataFrame:
+    """Distinct pairs; one is big if any of its repeats is."""
+    order = np.lexsort((~big.astype(bool), s, p))
+    p, s, big = p[order], s[order], big[order]
+    head = np.ones(len(p), bool)
+    head[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1])
+    return pd.DataFrame({"p": p[head], "s": s[head], "big": big[head].astype(bool)})
+
+
+def _bucket_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The distinct edges of a bucket of pivots, from all parts."""
+    p, s = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("p", "s"))
+    return _merged_pairs(p, s, np.concatenate([np.frombuffer(x, np.int8) for x in pdf["big"]]))
 
 
 def _bound_passes(n_a, sig_a, n_b, sig_b, percent: int) -> np.ndarray:
@@ -294,6 +322,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _open_tiles(edges: DataFrame, labels: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
     """Candidate pairs within tiles whose members lie in several components, from signatures alone."""
+    # a tile of two sets is its pivot's pair and has been verified; others may hold pairs without the pivot
+    edges = edges.where("big")
     members = edges.select("p", "s").unionByName(edges.select("p", F.col("p").alias("s")).distinct())
     members = members.join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("p", "s", F.coalesce("label", "s").alias("c"))
     groups = members.groupBy("p").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 2 and lo <> hi").select("p", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
@@ -360,9 +390,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     frequent = (shingle[by], np.arange(len(shingle))[by])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((counts.shingles or 0) * 0.26 / PART_POSTINGS))
     classes = written(texts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
-    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(_tile_edges, "p long, s long")
-    edges = written(found.distinct(), "jaccard-edges")
-    candidates = written(_bounded(edges, classes, percent), "jaccard-pairs")
+    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(lambda pdf: _tile_edges(pdf, parts), "bucket int, p binary, s binary, big binary")
+    edges = written(found.groupBy("bucket").applyInPandas(_bucket_edges, "p long, s long, big boolean"), "jaccard-edges")
+    candidates = written(_bounded(edges.select("p", "s"), classes, percent), "jaccard-pairs")
     # one pivot for each set first: within a group of copies that already joins nearly all, and little is left to verify
     first = written(candidates.groupBy("s").agg(F.min("p").alias("p")).select("p", "s"), "jaccard-first")
     arrays, found_links, labels = [], [], None

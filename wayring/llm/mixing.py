@@ -43,16 +43,20 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WE
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to ``budget`` as possible from below."""
+    """How many documents of each length to take so that their words come near ``budget`` from below.
+
+    All but the last four longest documents' worth of words is shared over the lengths in proportion; the rest is
+    fitted exactly by the documents that are left.
+    """
     order = np.argsort(-lengths, kind="stable")
     size, have = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((size * have).sum())
     if budget >= total:
         return counts.copy()
-    share = have * (budget / total) if total else have * 0.0
+    reserve = 4 * int(size[0])
+    share = have * (max(0, budget - reserve) / total)
     take = np.floor(share).astype(np.int64)
     left = budget - int((size * take).sum())
-    reserve = 2 * int(size[0])
     # single documents, the largest fractions first, until the rest is small enough to be fitted exactly
     while left > reserve:
         before = left
