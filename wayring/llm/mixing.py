@@ -43,7 +43,7 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WE
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come near ``budget`` from below.
+    """How many documents of each length to take so that their words come near ``budget``.
 
     All but the last four longest documents' worth of words is shared over the lengths in proportion; the rest is
     fitted exactly by the documents that are left.
@@ -84,6 +84,12 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         if not before >> best & 1:
             take[k] += n
             best -= n * int(size[k])
+    # where one more document comes nearer from above than the fit does from below
+    gap = budget - int((size * take).sum())
+    if gap > 0 and (have > take).any():
+        off = np.where(have > take, np.abs(size - gap), np.iinfo(np.int64).max)
+        if off.min() < gap:
+            take[int(off.argmin())] += 1
     out = np.zeros(len(counts), np.int64)
     out[order] = take
     return out
