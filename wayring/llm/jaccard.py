@@ -2,8 +2,7 @@
 
 1. Every text becomes its set of distinct five-word shingles, as sorted 64-bit hashes.  Texts of equal sets are
    one class from here on, known by a hash of the set.
-2. A pair that links shares one of the first ``n - ceil(0.75 n) + 1`` shingles of both sets under any common
-   order.  The order is by hash, with the shingles that many texts hold last.  Classes that share such a
+2. A pair that links shares k of the first ``n - ceil(0.75 n) + k`` shingles of both sets under any common order.  The order is by hash, with the shingles that many texts hold last.  Classes that share such a
    shingle within one size band or two neighbouring ones meet in a tile; a tile yields its members and a pivot.
 3. A signature is a bitmap of parities, four to eight bits a shingle.  The bits in which two signatures
    differ bound the overlap from above; pairs that pass are verified on the sorted arrays.
@@ -32,6 +31,10 @@ FREQUENT = 0.001
 STRETCH_TEXTS = 5_000
 #: Postings that one task gathers, about.
 PART_POSTINGS = 1_500_000
+#: Shared shingles asked of the first parts of two sets that link; each part is longer by as many, less one.
+SHARED = 6
+#: Text bytes whose postings are packed together.
+PACK_BYTES = 8 << 20
 #: Members of a block when a tile is compared with itself.
 BLOCK = 2_048
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -75,6 +78,11 @@ def needed(n: np.ndarray | int, percent: int = 75) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
+def shared_needed(n: np.ndarray | int, percent: int = 75) -> np.ndarray | int:
+    """How many of its first shingles a set of n shares with those of any set it links to, at least."""
+    return np.minimum(SHARED, needed(n, percent))
+
+
 def signature(x: np.ndarray) -> bytes:
     """Parities of the shingles over a power of two of bits, at least 64 and at least four per shingle."""
     bits = 64
@@ -153,14 +161,36 @@ def _postings(docs: DataFrame, frequent: np.ndarray, parts: int, percent: int) -
         maybe = np.zeros(1 << 20, bool)
         maybe[last >> np.uint64(44)] = True
         seen: set[int] = set()
+        tokens, sids, sizes, lens = [], [], [], []
+
+        def packed() -> pa.RecordBatch | None:
+            if not sids:
+                return None
+            flat = np.concatenate(tokens)
+            owner = np.repeat(np.arange(len(sids), dtype=np.int32), lens)
+            part = (flat % np.uint64(parts)).astype(np.int32)
+            by = np.argsort(part, kind="stable")
+            flat, owner, part = (flat // np.uint64(parts))[by], owner[by], part[by]
+            sid, size = np.array(sids, np.int64), np.array(sizes, np.int32)
+            cut = np.searchsorted(part, np.arange(parts + 1))
+            ks = [k for k in range(parts) if cut[k + 1] > cut[k]]
+            out = []
+            for k in ks:
+                own, at = np.unique(owner[cut[k] : cut[k + 1]], return_inverse=True)
+                short = (flat[cut[k] : cut[k + 1]] & np.uint64(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append((sid[own].tobytes(), size[own].tobytes(), at.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), short.tobytes()))
+            for held in (tokens, sids, sizes, lens):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], names=["part", "sid", "n", "owner", "token"])
+
+        text = 0
         for batch in batches:
-            for _, buf, offs in slices(batch, 1, 8 << 20):
-                tokens, sids, sizes, lens = [], [], [], []
+            for _, buf, offs in slices(batch, 1):
                 for x in shingle_sets(buf, offs):
                     if not len(x) or (s := set_id(x)) in seen:
                         continue
                     seen.add(s)
-                    p = len(x) - needed(len(x), percent) + 1
+                    p = len(x) - needed(len(x), percent) + int(shared_needed(len(x), percent))
                     at = np.flatnonzero(maybe[x >> np.uint64(44)])
                     if len(at):
                         k = np.minimum(np.searchsorted(last, x[at]), len(last) - 1)
@@ -173,21 +203,13 @@ def _postings(docs: DataFrame, frequent: np.ndarray, parts: int, percent: int) -
                     sids.append(s)
                     sizes.append(len(x))
                     lens.append(p)
-                if not sids:
-                    continue
-                flat = np.concatenate(tokens)
-                owner = np.repeat(np.arange(len(sids), dtype=np.int32), lens)
-                part = (flat % np.uint64(parts)).astype(np.int32)
-                by = np.argsort(part, kind="stable")
-                flat, owner, part = (flat // np.uint64(parts))[by], owner[by], part[by]
-                sid, size = np.array(sids, np.int64), np.array(sizes, np.int32)
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                ks = [k for k in range(parts) if cut[k + 1] > cut[k]]
-                out = []
-                for k in ks:
-                    own, at = np.unique(owner[cut[k] : cut[k + 1]], return_inverse=True)
-                    out.append((sid[own].tobytes(), size[own].tobytes(), at.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), (flat[cut[k] : cut[k + 1]] & np.uint64(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], names=["part", "sid", "n", "owner", "token"])
+                text += len(buf)
+                if text >= PACK_BYTES:
+                    text = 0
+                    if (rows := packed()) is not None:
+                        yield rows
+        if (rows := packed()) is not None:
+            yield rows
 
     return docs.mapInArrow(run, "part int, sid binary, n binary, owner binary, token binary")
 
@@ -213,43 +235,58 @@ def _tile_edges(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     again[1:] = token[1:] == token[:-1]
     shared = again.copy()
     shared[:-1] |= again[1:]
-    token, sid, band = token[shared], sid[shared], np.searchsorted(_BANDS, size[shared], "right").astype(np.uint64)
+    token, sid, size = token[shared], sid[shared], size[shared]
+    band = np.searchsorted(_BANDS, size, "right").astype(np.uint64)
     # sets of one band or of neighbouring ones meet: each goes to the tile of its band and to the next
-    key = np.concatenate([token << np.uint64(7) | band, token << np.uint64(7) | (band + np.uint64(1))])
-    sid = np.concatenate([sid, sid])
+    tile = np.concatenate([band, band + np.uint64(1)])
+    token, sid, size, band = (np.concatenate([v, v]) for v in (token, sid, size, band))
+    key = token << np.uint64(7) | tile
     order = np.lexsort((sid, key))
-    key, sid = key[order], sid[order]
+    key, sid, size, band, tile = key[order], sid[order], size[order], band[order], tile[order]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     if not len(key):
-        return pd.DataFrame({c: [] for c in ("bucket", "p", "s", "big")})
+        return pd.DataFrame({c: [] for c in ("bucket", "p", "s", "big", "seen", "asked")})
     begin = np.flatnonzero(first)
     # an own set may come twice to a tile of equal shingles; tiles count distinct sets
     fresh = first.copy()
     fresh[1:] |= sid[1:] != sid[:-1]
     distinct = np.add.reduceat(fresh.astype(np.int64), begin)
-    tile = np.cumsum(first) - 1
-    pivot, many = sid[begin][tile], (distinct >= 3)[tile]
+    at = np.cumsum(first) - 1
+    pivot, many = sid[begin][at], (distinct >= 3)[at]
+    # a shingle counts for a pair in one tile only, that of the larger band
+    seen = fresh & (np.maximum(band, band[begin][at]) == tile)
+    asked = np.minimum(shared_needed(size), shared_needed(size[begin][at]))
     other = sid != pivot
-    pairs = _merged_pairs(pivot[other], sid[other], many[other])
+    pairs = _merged_pairs(pivot[other], sid[other], many[other], seen[other], asked[other])
     bucket = (pairs["p"] & 0x7FFFFFFF) % parts
-    out = [(k, some["p"].to_numpy().tobytes(), some["s"].to_numpy().tobytes(), some["big"].to_numpy(np.int8).tobytes()) for k, some in pairs.groupby(bucket)]
-    return pd.DataFrame(out, columns=["bucket", "p", "s", "big"])
+    kinds = {"p": np.int64, "s": np.int64, "big": np.int8, "seen": np.int32, "asked": np.int8}
+    out = [(k, *(some[c].to_numpy(t).tobytes() for c, t in kinds.items())) for k, some in pairs.groupby(bucket)]
+    return pd.DataFrame(out, columns=["bucket", *kinds])
 
 
-def _merged_pairs(p: np.ndarray, s: np.ndarray, big: np.ndarray) -> pd.DataFrame:
-    """Distinct pairs; one is big if any of its repeats is."""
-    order = np.lexsort((~big.astype(bool), s, p))
-    p, s, big = p[order], s[order], big[order]
+def _merged_pairs(p: np.ndarray, s: np.ndarray, big: np.ndarray, seen: np.ndarray, asked: np.ndarray) -> pd.DataFrame:
+    """Distinct pairs: big if any repeat is, how many shared shingles were seen, and how many are asked."""
+    if not len(p):
+        return pd.DataFrame({"p": p, "s": s, "big": big, "seen": seen, "asked": asked})
+    order = np.lexsort((s, p))
+    p, s, big, seen, asked = (v[order] for v in (p, s, big, seen, asked))
     head = np.ones(len(p), bool)
     head[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1])
-    return pd.DataFrame({"p": p[head], "s": s[head], "big": big[head].astype(bool)})
+    at = np.flatnonzero(head)
+    return pd.DataFrame({"p": p[at], "s": s[at], "big": np.maximum.reduceat(big.astype(np.int8), at), "seen": np.add.reduceat(seen.astype(np.int32), at), "asked": np.minimum.reduceat(asked, at)})
 
 
 def _bucket_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct edges of a bucket of pivots, from all parts."""
-    p, s = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("p", "s"))
-    return _merged_pairs(p, s, np.concatenate([np.frombuffer(x, np.int8) for x in pdf["big"]]))
+    """The distinct edges of a bucket of pivots, from all parts.
+
+    Two sets that link share ``asked`` of their first shingles at least.  A pair of which so many were seen is
+    verified as such; other edges matter only as members of larger tiles, which are compared whole later.
+    """
+    kinds = {"p": np.int64, "s": np.int64, "big": np.int8, "seen": np.int32, "asked": np.int8}
+    pairs = _merged_pairs(*(np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in kinds.items()))
+    out = pd.DataFrame({"p": pairs["p"], "s": pairs["s"], "big": pairs["big"] > 0, "pair": pairs["seen"] >= pairs["asked"]})
+    return out[out["big"] | out["pair"]]
 
 
 def _bound_passes(n_a, sig_a, n_b, sig_b, percent: int) -> np.ndarray:
@@ -390,9 +427,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     frequent = (shingle[by], np.arange(len(shingle))[by])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((counts.shingles or 0) * 0.26 / PART_POSTINGS))
     classes = written(texts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
-    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(lambda pdf: _tile_edges(pdf, parts), "bucket int, p binary, s binary, big binary")
-    edges = written(found.groupBy("bucket").applyInPandas(_bucket_edges, "p long, s long, big boolean"), "jaccard-edges")
-    candidates = written(_bounded(edges.select("p", "s"), classes, percent), "jaccard-pairs")
+    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(lambda pdf: _tile_edges(pdf, parts), "bucket int, p binary, s binary, big binary, seen binary, asked binary")
+    edges = written(found.groupBy("bucket").applyInPandas(_bucket_edges, "p long, s long, big boolean, pair boolean"), "jaccard-edges")
+    candidates = written(_bounded(edges.where("pair").select("p", "s"), classes, percent), "jaccard-pairs")
     # one pivot for each set first: within a group of copies that already joins nearly all, and little is left to verify
     first = written(candidates.groupBy("s").agg(F.min("p").alias("p")).select("p", "s"), "jaccard-first")
     arrays, found_links, labels = [], [], None

@@ -23,7 +23,7 @@ from wayring.llm._words import LOWER, _powers, _BYTE, mix, prefix_hash, ragged,
 #: Words are scored with a space in front; longer ones are cut into stretches of so many bytes.
 STRETCH = 40
 #: A task keeps the scores of this many words at most; then it forgets them and goes on.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 
 
 @dataclass(frozen=True)
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray], model: str,
         vocab, p = vocabulary(model), sent.value.astype(float)
         known, scores = np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32)
         for batch in batches:
-            for part, buf, offs in slices(batch, 1, 6 << 20):
+            for part, buf, offs in slices(batch, 1):
                 buf = LOWER[buf]
                 h, starts, lengths, doc = _stretches(buf, offs)
                 distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)

@@ -189,7 +189,7 @@ def _dealt(docs: DataFrame, parts: int, length: int) -> DataFrame:
 
         text = 0
         for batch in batches:
-            for part, buf, offs in slices(batch, 2, 3 << 20):
+            for part, buf, offs in slices(batch, 2):
                 begin, size, doc, least = segments(buf, offs, length)
                 mixed = mix(least.astype(np.uint64))
                 to = (mixed % np.uint64(parts)).astype(np.int64)
