@@ -8,18 +8,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wayring.config import Detection
 from wayring.functions import geo
 
 KEY = ["server_id", "vehicle_identifier"]
-_ALL = Window.partitionBy(*KEY)
-_ORDER = Window.partitionBy(*KEY).orderBy("sample_time")
 _EPS = geo.EPSILON
 
 
+def _stream() -> WindowSpec:
+    return Window.partitionBy(*KEY)
+
+
+def _in_time() -> WindowSpec:
+    return _stream().orderBy("sample_time")
+
+
 def _median(x: Column) -> Column:
     return F.percentile(x, 0.5)
 
@@ -28,14 +34,14 @@ def usable(samples: DataFrame, cfg: Detection = Detection(), seconds: int | None
     """Samples that can tell a route, of streams with enough of them over the whole observation time."""
     seconds = cfg.confirm_seconds if seconds is None else seconds
     s = samples.where("coalesce(active, true) and latitude_deg is not null and longitude_deg is not null and reliability > 0")
-    span = (F.unix_micros(F.max("sample_time").over(_ALL)) - F.unix_micros(F.min("sample_time").over(_ALL))) / 1e6
-    s = s.withColumns({"samples": F.count("*").over(_ALL), "observation_s": span})
+    span = (F.unix_micros(F.max("sample_time").over(_stream())) - F.unix_micros(F.min("sample_time").over(_stream()))) / 1e6
+    s = s.withColumns({"samples": F.count("*").over(_stream()), "observation_s": span})
     return s.where((F.col("samples") >= cfg.least_samples) & (F.col("observation_s") + _EPS >= seconds))
 
 
 def localized(samples: DataFrame) -> DataFrame:
     """Adds ``lat0, lon0`` (medians of the stream) and ``x, y`` in metres from them."""
-    s = samples.withColumns({"lat0": _median(F.col("latitude_deg")).over(_ALL), "lon0": _median(F.col("longitude_deg")).over(_ALL)})
+    s = samples.withColumns({"lat0": _median(F.col("latitude_deg")).over(_stream()), "lon0": _median(F.col("longitude_deg")).over(_stream())})
     p = geo.local_m(F.col("latitude_deg"), F.col("longitude_deg"), F.col("lat0"), F.col("lon0"))
     return s.withColumns({"x": p["x"], "y": p["y"]})
 
@@ -43,9 +49,9 @@ def localized(samples: DataFrame) -> DataFrame:
 def bump_masked(points: DataFrame) -> DataFrame:
     """Adds ``keep``: false for an inner point far from both neighbours while these lie close together."""
     step = lambda a, b: F.hypot(F.col(f"x{b}") - F.col(f"x{a}"), F.col(f"y{b}") - F.col(f"y{a}"))
-    p = points.withColumns({"x0": F.lag("x").over(_ORDER), "y0": F.lag("y").over(_ORDER), "x1": F.col("x"), "y1": F.col("y"), "x2": F.lead("x").over(_ORDER), "y2": F.lead("y").over(_ORDER)})
+    p = points.withColumns({"x0": F.lag("x").over(_in_time()), "y0": F.lag("y").over(_in_time()), "x1": F.col("x"), "y1": F.col("y"), "x2": F.lead("x").over(_in_time()), "y2": F.lead("y").over(_in_time())})
     p = p.withColumns({"into": step(0, 1), "out": step(1, 2), "bridge": step(0, 2)})
-    p = p.withColumn("median_step", _median(F.when(F.col("into") > _EPS, F.col("into"))).over(_ALL))
+    p = p.withColumn("median_step", _median(F.when(F.col("into") > _EPS, F.col("into"))).over(_stream()))
     far = F.greatest(F.col("median_step") * 4.0, F.lit(1.0))
     bump = (F.col("into") > far) & (F.col("out") > far) & (F.col("bridge") <= F.greatest(F.col("median_step") * 2.5, F.lit(1.5)))
     return p.withColumn("keep", ~F.coalesce(bump, F.lit(False))).drop("x0", "y0", "x1", "y1", "x2", "y2", "into", "out", "bridge", "median_step")
@@ -54,9 +60,9 @@ def bump_masked(points: DataFrame) -> DataFrame:
 def fitted(points: DataFrame, robust: bool, cfg: Detection = Detection()) -> DataFrame:
     """One shape per stream: centre, half axes, turn (radians), family, polyline segments and length."""
     middle = _median if robust else F.avg
-    p = points.withColumns({"cx": middle(F.col("x")).over(_ALL), "cy": middle(F.col("y")).over(_ALL)})
+    p = points.withColumns({"cx": middle(F.col("x")).over(_stream()), "cy": middle(F.col("y")).over(_stream())})
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    p = p.withColumns({"xx": F.avg(dx * dx).over(_ALL), "yy": F.avg(dy * dy).over(_ALL), "xy": F.avg(dx * dy).over(_ALL)})
+    p = p.withColumns({"xx": F.avg(dx * dx).over(_stream()), "yy": F.avg(dy * dy).over(_stream()), "xy": F.avg(dx * dy).over(_stream())})
     p = p.withColumn("turn", F.atan2(F.col("xy") * 2.0, F.col("xx") - F.col("yy")) * 0.5)
     along, across = dx * F.cos("turn") + dy * F.sin("turn"), dy * F.cos("turn") - dx * F.sin("turn")
     low, high = (0.05, 0.95) if robust else (0.0, 1.0)
@@ -79,8 +85,8 @@ def fitted(points: DataFrame, robust: bool, cfg: Detection = Detection()) -> Dat
 
 def _heading_cos(points: DataFrame) -> DataFrame:
     """Adds ``he, hn``: the direction between a point's neighbours (or itself at an end), null if it does not move."""
-    east = F.coalesce(F.lead("x").over(_ORDER), F.col("x")) - F.coalesce(F.lag("x").over(_ORDER), F.col("x"))
-    north = F.coalesce(F.lead("y").over(_ORDER), F.col("y")) - F.coalesce(F.lag("y").over(_ORDER), F.col("y"))
+    east = F.coalesce(F.lead("x").over(_in_time()), F.col("x")) - F.coalesce(F.lag("x").over(_in_time()), F.col("x"))
+    north = F.coalesce(F.lead("y").over(_in_time()), F.col("y")) - F.coalesce(F.lag("y").over(_in_time()), F.col("y"))
     p = points.withColumns({"he": east, "hn": north})
     still = F.hypot("he", "hn") <= _EPS
     return p.withColumns({"he": F.when(~still, F.col("he")), "hn": F.when(~still, F.col("hn"))})
@@ -88,10 +94,10 @@ def _heading_cos(points: DataFrame) -> DataFrame:
 
 def traced(points: DataFrame, shapes: DataFrame, cfg: Detection = Detection()) -> DataFrame:
     """One row per stream: fit, travelled way, cycles, closure and signed area of kept points against the shape."""
-    w = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
-    p = _heading_cos(points).withColumns({"px": F.lag("x").over(_ORDER), "py": F.lag("y").over(_ORDER)})
+    w = _in_time().rowsBetween(Window.unboundedPreceding, 0)
+    p = _heading_cos(points).withColumns({"px": F.lag("x").over(_in_time()), "py": F.lag("y").over(_in_time())})
     p = p.withColumn("step", F.coalesce(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), F.lit(0.0)))
-    p = p.withColumns({"way": F.sum("step").over(w), "index": F.row_number().over(_ORDER), **{f"first_{c}": F.first(c).over(w) for c in ("x", "y", "he", "hn")}})
+    p = p.withColumns({"way": F.sum("step").over(w), "index": F.row_number().over(_in_time()), **{f"first_{c}": F.first(c).over(w) for c in ("x", "y", "he", "hn")}})
     p = p.select(*KEY, "x", "y", "px", "py", "step", "way", "index", "he", "hn", "first_x", "first_y", "first_he", "first_hn")
     p = p.join(shapes.select(*KEY, "cx", "cy", "short_m", "length_m", "segs"), KEY)
     near = F.greatest(F.col("short_m") * cfg.closure_axis_ratio, F.lit(1.0))
@@ -106,8 +112,8 @@ def traced(points: DataFrame, shapes: DataFrame, cfg: Detection = Detection()) -
 def periods(points: DataFrame, lengths: DataFrame) -> DataFrame:
     """``period_s`` per stream: the length over the median of reported speeds, else of derived ones, else the time per cycle."""
     speed = F.hypot("velocity_east_mps", "velocity_north_mps")
-    dt = (F.unix_micros("sample_time") - F.unix_micros(F.lag("sample_time").over(_ORDER))) / 1e6
-    way = F.hypot(F.col("x") - F.lag("x").over(_ORDER), F.col("y") - F.lag("y").over(_ORDER))
+    dt = (F.unix_micros("sample_time") - F.unix_micros(F.lag("sample_time").over(_in_time()))) / 1e6
+    way = F.hypot(F.col("x") - F.lag("x").over(_in_time()), F.col("y") - F.lag("y").over(_in_time()))
     p = points.withColumns({"speed": F.when(speed > _EPS, speed), "derived": F.when(dt > 0, way / F.nullif(dt, F.lit(0.0)))})
     m = p.groupBy(*KEY).agg(_median(F.col("speed")).alias("speed"), _median(F.when(F.col("derived") > _EPS, F.col("derived"))).alias("derived"), ((F.unix_micros(F.max("sample_time")) - F.unix_micros(F.min("sample_time"))) / 1e6).alias("duration"))
     period = F.coalesce(F.col("length_m") / F.col("speed"), F.col("length_m") / F.col("derived"), F.col("duration") / F.greatest("cycles", F.lit(_EPS)))
@@ -115,7 +121,7 @@ def periods(points: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def _way(points: DataFrame) -> DataFrame:
-    step = F.hypot(F.col("x") - F.lag("x").over(_ORDER), F.col("y") - F.lag("y").over(_ORDER))
+    step = F.hypot(F.col("x") - F.lag("x").over(_in_time()), F.col("y") - F.lag("y").over(_in_time()))
     return points.withColumn("step", step).groupBy(*KEY).agg(F.sum("step").alias("travelled_m"))
 
 
@@ -130,7 +136,7 @@ def detect_routes(samples: DataFrame, cfg: Detection = Detection(), seconds: int
     empty tables.  Samples that are inactive, without position or without reliability are ignored.
     """
     points = bump_masked(localized(usable(samples, cfg, seconds)))
-    kept = points.where("keep").withColumn("kept", F.count("*").over(_ALL)).where(F.col("kept") >= cfg.least_samples)
+    kept = points.where("keep").withColumn("kept", F.count("*").over(_stream())).where(F.col("kept") >= cfg.least_samples)
     effective, observed = fitted(kept, True, cfg), fitted(points, False, cfg)
     trace = traced(kept, effective, cfg)
     passed = trace.where((F.col("cycles") + _EPS >= cfg.closure_phase) & F.col("closure_ok") & (F.col("fit_fraction") + _EPS >= cfg.least_fit) & (F.col("cycles") + _EPS >= cfg.least_cycles))
