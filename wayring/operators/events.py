@@ -113,3 +113,46 @@ def group_identity(before: DataFrame, after: DataFrame, keep: float = Grouping()
     rated = shared.join(size.withColumnRenamed("group_id", "old_id"), "old_id").where(F.col("shared") >= F.col("size") * keep)
     # an id whose members were merged with another surviving group's is not passed on
     return rated.groupBy("group_id").agg(F.count("*").alias("heirs"), F.max("old_id").alias("old_id")).select("group_id", F.when(F.col("heirs") == 1, F.col("old_id")).otherwise(F.col("group_id")).alias("kept_id"))
+
+
+def hysteresis(rows: DataFrame, key: list[str], second: str, opens: Column, closes: Column, open_seconds: int, close_seconds: int) -> DataFrame:
+    """Intervals opened by a condition that held for a time and closed by another one that did.
+
+    Template suggestions (a better template by 30 points for 120 s, closed under 15 points for 30 s) and changes of
+    a confirmed route (a fifth of its geometry or period for 120 s) are such intervals.
+    """
+    w = Window.partitionBy(*key).orderBy(second)
+    start = F.min(second).over(Window.partitionBy(*key))
+    s = rows.withColumns({"__open": F.coalesce(opens, F.lit(False)), "__close": F.coalesce(closes, F.lit(False))})
+    for name in ("__open", "__close"):
+        broken = F.max(F.when(~F.col(name), F.col(second))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        s = s.withColumn(f"{name}_for", F.when(F.col(name), F.col(second) - F.coalesce(broken, start - 1)))
+    s = s.withColumn("mark", F.when(F.col("__open_for") >= open_seconds, "open").when(F.col("__close_for") >= close_seconds, "close")).where("mark is not null")
+    edges = s.withColumn("was", F.lag("mark").over(w)).where("was is null and mark = 'open' or was <> mark")
+    out = edges.withColumn("closed_at", F.lead(second).over(w)).where("mark = 'open'")
+    return out.select(*key, F.col(second).alias("opened_at"), "closed_at")
+
+
+def jumps(samples: DataFrame, key: list[str], second: str, x: str, y: str, expected_speed: Column, factor: float = 2.0) -> DataFrame:
+    """Samples whose way from the last one needs more than ``factor`` times the expected speed."""
+    w = Window.partitionBy(*key).orderBy(second)
+    way = F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w))
+    speed = way / F.nullif(F.col(second) - F.lag(second).over(w), F.lit(0))
+    return samples.withColumn("derived_speed", speed).withColumn("jump", F.coalesce(F.col("derived_speed") > expected_speed * factor, F.lit(False)))
+
+
+def inner_turns(samples: DataFrame, key: list[str], second: str, heading_deg: str, phase: str, turns: float = 2.0, within: float = 0.10) -> DataFrame:
+    """Adds ``inner_turn``: so many local turns while the cycle went on by ``within`` at most.
+
+    Heading and phase are unwrapped by running sums of their smallest steps; the window of the last ``within``
+    cycles is a range over the unwrapped phase.
+    """
+    w = Window.partitionBy(*key).orderBy(second)
+    step = F.pmod(F.col(heading_deg) - F.lag(heading_deg).over(w) + 180.0, F.lit(360.0)) - 180.0
+    ahead = F.abs(F.pmod(F.col(phase) - F.lag(phase).over(w) + 0.5, F.lit(1.0)) - 0.5)
+    s = samples.withColumns({"__turn": F.coalesce(step, F.lit(0.0)), "__ahead": F.coalesce(ahead, F.lit(0.0))})
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumns({"__heading": F.sum("__turn").over(run), "__progress": (F.sum("__ahead").over(run) * 1e6).cast("long")})
+    recent = Window.partitionBy(*key).orderBy("__progress").rangeBetween(-int(within * 1e6), 0)
+    spread = F.max("__heading").over(recent) - F.min("__heading").over(recent)
+    return s.withColumn("inner_turn", spread >= turns * 360.0).drop("__turn", "__ahead", "__heading", "__progress")
