@@ -69,12 +69,14 @@ def with_scores(metrics: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
         }
     )
     losses = F.array(*(F.when(F.col(f"loss_{r}").isNotNull(), F.struct(F.col(f"loss_{r}").alias("loss"), F.lit(-k).alias("order"), F.lit(r).alias("reason"))) for k, r in enumerate(REASONS)))
-    worst = F.array_max(losses)
+    scored = scored.withColumn("worst", F.array_max(losses))
+    worst = F.col("worst")
     return scored.withColumns(
         {
             "sync": F.round("sync_raw", 6),
             "route": F.round("route_raw", 6),
             "total": F.round(weighted_mean([F.col("sync_raw"), F.col("route_raw")], total_w), 6),
+            "primary_loss": worst["loss"],
             "primary_reason": F.coalesce("invalid_reason", F.when(F.col("backwards"), F.lit("wrong_direction")).otherwise(F.when(worst["loss"] > 0, worst["reason"]))),
         }
     )
