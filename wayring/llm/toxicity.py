@@ -37,7 +37,7 @@ class FtrlParams:
     l1: float = 1.0
     l2: float = 0.1
     shards: int = 4
-    least_docs: int = 3
+    least_docs: int = 4
     rounds: int = 4
     passes: int = 2
     sample_rows: int = 24_000
