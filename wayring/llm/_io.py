@@ -17,6 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20, rows: int = 2000) -> None:
+    """Session settings: Arrow batches of bounded bytes and rows, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/wayring/{tag}-{uuid.uuid4().hex}"
 

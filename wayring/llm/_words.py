@@ -6,7 +6,9 @@ with a prefix sum modulo 2**64, so no Python loop runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -107,3 +109,35 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     out = np.arange(total, dtype=np.int64)
     return out + np.repeat(starts - (ends - lengths), lengths)
+
+
+def release() -> None:
+    """Give memory that is free within the process back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """A task function that releases memory when it has ended."""
+
+    def wrapped(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def released_group(run: Callable[[Any], Any]) -> Callable[[Any], Any]:
+    """The same for a function of a group."""
+
+    def wrapped(group: Any) -> Any:
+        try:
+            return run(group)
+        finally:
+            release()
+
+    return wrapped

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayring.llm._words import LOWER, mix, prefix_hash, span_hash, spans
+from wayring.llm._words import LOWER, mix, prefix_hash, span_hash, spans, released
 
 LANES = 1024
 LIKENESS_LANES = 256
@@ -147,4 +147,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clean = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, parts = _ranged(clean, bucket_bytes)
     ordered = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.col("id").desc_nulls_last(), "text")
-    return ordered.select("bucket", "ghost", "id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.select("bucket", "ghost", "id", "text").mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayring.llm._io import discard, written
-from wayring.llm._words import LOWER, mix, prefix_hash, slices, span_hash, spans
+from wayring.llm._words import LOWER, mix, prefix_hash, slices, span_hash, spans, released, released_group
 from wayring.llm.components import components
 
 #: A shingle that this share of the texts of some stretch of input holds goes to the end of the order.
@@ -148,7 +148,7 @@ def _set_rows(docs: DataFrame) -> DataFrame:
         if (rows := frequent()) is not None:
             yield rows
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, sid long, sig binary")
+    return docs.mapInArrow(released(run), "kind int, doc_id long, n long, sid long, sig binary")
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, parts: int, percent: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, parts: int, percent: int) -
         if (rows := packed()) is not None:
             yield rows
 
-    return docs.mapInArrow(run, "part int, sid binary, n binary, owner binary, token binary")
+    return docs.mapInArrow(released(run), "part int, sid binary, n binary, owner binary, token binary")
 
 
 def _tile_edges(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
@@ -310,7 +310,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("sid").alias("p"), F.col("n").alias("np"), F.col("sig").alias("gp"))
     right = sets.select(F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("sig").alias("gs"))
-    return pairs.join(left, "p").join(right, "s").select("p", "s", "np", "gp", "ns", "gs").mapInArrow(run, "p long, s long")
+    return pairs.join(left, "p").join(right, "s").select("p", "s", "np", "gp", "ns", "gs").mapInArrow(released(run), "p long, s long")
 
 
 def _arrays(docs: DataFrame, classes: DataFrame, pairs: DataFrame, known: list[DataFrame]) -> DataFrame:
@@ -328,7 +328,7 @@ def _arrays(docs: DataFrame, classes: DataFrame, pairs: DataFrame, known: list[D
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "x"])
 
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("doc_id", "text")
-    return written(texts.mapInArrow(arrays, "sid long, x binary").dropDuplicates(["sid"]), "jaccard-arrays")
+    return written(texts.mapInArrow(released(arrays), "sid long, x binary").dropDuplicates(["sid"]), "jaccard-arrays")
 
 
 def _verified(pairs: DataFrame, arrays: list[DataFrame], percent: int) -> DataFrame:
@@ -347,7 +347,7 @@ def _verified(pairs: DataFrame, arrays: list[DataFrame], percent: int) -> DataFr
         payload = payload.unionByName(table)
     left = payload.select(F.col("sid").alias("p"), F.col("x").alias("xp"))
     right = payload.select(F.col("sid").alias("s"), F.col("x").alias("xs"))
-    return written(pairs.join(left, "p").join(right, "s").select("p", "s", "xp", "xs").mapInArrow(check, "p long, s long"), "jaccard-links")
+    return written(pairs.join(left, "p").join(right, "s").select("p", "s", "xp", "xs").mapInArrow(released(check), "p long, s long"), "jaccard-links")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -404,7 +404,7 @@ def _open_tiles(edges: DataFrame, labels: DataFrame, sets: DataFrame, parts: int
             p, s = compare(held)
             yield pd.DataFrame({"p": np.array(p, np.int64), "s": np.array(s, np.int64)})
 
-    return ordered.mapInPandas(run, "p long, s long").select(F.least("p", "s").alias("p"), F.greatest("p", "s").alias("s")).distinct()
+    return ordered.mapInPandas(released(run), "p long, s long").select(F.least("p", "s").alias("p"), F.greatest("p", "s").alias("s")).distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,8 +427,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     frequent = (shingle[by], np.arange(len(shingle))[by])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((counts.shingles or 0) * 0.26 / PART_POSTINGS))
     classes = written(texts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
-    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(lambda pdf: _tile_edges(pdf, parts), "bucket int, p binary, s binary, big binary, seen binary, asked binary")
-    edges = written(found.groupBy("bucket").applyInPandas(_bucket_edges, "p long, s long, big boolean, pair boolean"), "jaccard-edges")
+    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(released_group(lambda pdf: _tile_edges(pdf, parts)), "bucket int, p binary, s binary, big binary, seen binary, asked binary")
+    edges = written(found.groupBy("bucket").applyInPandas(released_group(_bucket_edges), "p long, s long, big boolean, pair boolean"), "jaccard-edges")
     candidates = written(_bounded(edges.where("pair").select("p", "s"), classes, percent), "jaccard-pairs")
     # one pivot for each set first: within a group of copies that already joins nearly all, and little is left to verify
     first = written(candidates.groupBy("s").agg(F.min("p").alias("p")).select("p", "s"), "jaccard-first")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayring.llm._io import discard, written
-from wayring.llm._words import LOWER, _powers, _BYTE, mix, prefix_hash, ragged, slices, span_hash, spans
+from wayring.llm._words import LOWER, _powers, _BYTE, mix, prefix_hash, ragged, slices, span_hash, spans, released
 
 #: Words are scored with a space in front; longer ones are cut into stretches of so many bytes.
 STRETCH = 40
@@ -162,7 +162,7 @@ def train(docs: DataFrame, model: str, params: LanguageParams = LanguageParams()
                 words = [buf[s : s + n].tobytes() for s, n in zip(starts[at], lengths[at], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(k[at].astype(np.int32)), pa.array(words, pa.binary()), pa.array(counts.astype(np.int64))], names=["k", "word", "n"])
 
-    words = written(sample.mapInArrow(words_of, "k int, word binary, n long").groupBy("k", "word").agg(F.sum("n").alias("n")), "lang-words")
+    words = written(sample.mapInArrow(released(words_of), "k int, word binary, n long").groupBy("k", "word").agg(F.sum("n").alias("n")), "lang-words")
     sizes = np.array([len(p) for p in vocab.pieces], float)
     probs = np.repeat((np.exp(-sizes) / np.exp(-sizes).sum())[:, None], len(langs), axis=1)
     for _ in range(params.rounds):
@@ -183,7 +183,7 @@ def train(docs: DataFrame, model: str, params: LanguageParams = LanguageParams()
             yield pd.DataFrame({"piece": seen.astype(np.int32), "k": k.astype(np.int32), "n": total[seen, k]})
 
         # at most one row for each piece and language comes back
-        found = words.coalesce(8).mapInPandas(count, "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
+        found = words.coalesce(8).mapInPandas(released(count), "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(probs.shape)
         counts[found["piece"], found["k"]] = found["n"]
         probs = counts / np.maximum(counts.sum(0), 1e-300) * (1 - params.floor * len(counts)) + params.floor
@@ -241,4 +241,4 @@ def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray], model: str,
                 out = [part.column(0), pa.array(names, pa.string()), pa.array(share), *(part.column(3 + n) for n in range(len(keep)))]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", *(f"k{n}" for n in range(len(keep)))])
 
-    return source.mapInArrow(run, schema).withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)}) if keep else source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema).withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)}) if keep else source.mapInArrow(released(run), schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayring.llm._io import new_path, written
+from wayring.llm._words import released
 
 #: Samples in a row of the stored image; payloads are padded to a multiple.
 WIDTH = 64
@@ -131,7 +132,7 @@ def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         if shard is not None:
             shard.close()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(released(run), "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
 
 
 def _ranges(folder: str, batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -161,7 +162,7 @@ def fill_metadata(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.int32()) for c in columns)], names=[*part.schema.names, "width", "height", "bits"])
 
     kinds = ", ".join(f"{n} {t}" for n, t in index.dtypes)
-    return index.mapInArrow(run, f"{kinds}, width int, height int, bits int")
+    return index.mapInArrow(released(run), f"{kinds}, width int, height int, bits int")
 
 
 def read_features(index: DataFrame, folder: str) -> DataFrame:
@@ -177,7 +178,7 @@ def read_features(index: DataFrame, folder: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([part.column("digest"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return index.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return index.mapInArrow(released(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

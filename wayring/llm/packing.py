@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayring.llm._words import prefix_hash, ragged, slices, span_hash, spans
+from wayring.llm._words import prefix_hash, ragged, slices, span_hash, spans, released
 
 TIERS = (4096, 2048, 1024, 512)
 #: Tokens packed together at most before the rest waits for the next texts of the task.
 GROUP_TOKENS = 2_000_000
 #: Tokens of a step group: so many windows of a tier as make this many tokens.
 STEP_TOKENS = 32_768
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -229,7 +229,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
         if rest:
             yield emit([(tiers[0], rest)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(released(run), ", ".join(f"{c} long" for c in COLUMNS))
 
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_size", "step_group"]

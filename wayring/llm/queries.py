@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from wayring.llm import fingerprint, jaccard, language_id, media, mixing, packing, sharding, suffix_dedup, token_count, toxicity
 
+from wayring.llm._io import bounded_batches
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

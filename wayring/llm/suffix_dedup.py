@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayring.llm._words import _powers, mix, prefix_hash, ragged, slices, span_hash
+from wayring.llm._words import _powers, mix, prefix_hash, ragged, slices, span_hash, released, released_group
 
 #: Length of the strings that count as repeated.
 LENGTH = 50
@@ -204,7 +204,7 @@ def _dealt(docs: DataFrame, parts: int, length: int) -> DataFrame:
                     text = 0
         yield from deal()
 
-    return docs.mapInArrow(run, "part int, " + ", ".join(f"{n} binary" for n in names))
+    return docs.mapInArrow(released(run), "part int, " + ", ".join(f"{n} binary" for n in names))
 
 
 def _unpacked(blob: bytes, kind: type) -> np.ndarray:
@@ -345,7 +345,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 3.2 / PART_BYTES) + 1)
     dealt = _dealt(rows.where("doc_id is not null").select("doc_id", "key", "text"), parts, length)
-    found = dealt.groupBy("part").applyInPandas(lambda pdf: _repeats(pdf, length, parts), "bucket int, ids binary, keys binary, counts binary, spans binary")
+    found = dealt.groupBy("part").applyInPandas(released_group(lambda pdf: _repeats(pdf, length, parts)), "bucket int, ids binary, keys binary, counts binary, spans binary")
     # what repeats in the texts of a bucket comes before the bucket's texts
     texts = rows.withColumns({"bucket": F.coalesce(F.pmod(F.pmod("doc_id", F.lit(SPREAD)), F.lit(parts)), F.lit(0)).cast("int"), "kind": F.lit(1)})
     both = texts.unionByName(found.withColumn("kind", F.lit(0)), allowMissingColumns=True)
@@ -384,5 +384,5 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                     sizes = pa.array(np.diff(offs)[chosen], pa.int64())
                     yield pa.RecordBatch.from_arrays([rest.column(0), sizes, *(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), *(rest.column(1 + n) for n in range(len(keep)))], names=names)
 
-    result = ordered.mapInArrow(run, schema)
+    result = ordered.mapInArrow(released(run), schema)
     return result.withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)}) if keep else result

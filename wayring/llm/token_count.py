@@ -13,7 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayring.llm._words import slices
+from wayring.llm._words import slices, released
 
 #: Bytes of text for one call of the tokenizer.
 BATCH_BYTES = 1 << 20
@@ -103,4 +103,4 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(released(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

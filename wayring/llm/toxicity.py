@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayring.llm._io import discard, written
-from wayring.llm._words import LOWER, NOT_ALNUM, mix, prefix_hash, slices, span_hash, spans
+from wayring.llm._words import LOWER, NOT_ALNUM, mix, prefix_hash, slices, span_hash, spans, released, released_group
 
 
 #: Low bits of a key by which training tells apart the n-grams of one bucket when it counts their texts.
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
             held[x] += held[x] < params.least_docs
         return pd.DataFrame({"shard": pdf["shard"], "h": pdf["__h"], "id": pdf["__id"], "y": pdf["__y"], "x": [np.unique(x[held[x] >= params.least_docs] >> SPARE_BITS).tobytes() for x in rows]})
 
-    features = written(sample.groupBy("shard").applyInPandas(shard_features, "shard int, h long, id long, y double, x binary"), "ftrl-sample")
+    features = written(sample.groupBy("shard").applyInPandas(released_group(shard_features), "shard int, h long, id long, y double, x binary"), "ftrl-sample")
     bias = 1 << params.bits
     state = (np.array([bias], np.int32), np.zeros(1), np.zeros(1))
     for _ in range(params.rounds):
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
             return pd.DataFrame({"rows": [len(pdf)], "k": [used[seen].astype(np.int32).tobytes()], "z": [z[seen].astype(np.float32).tobytes()], "n": [n[seen].astype(np.float32).tobytes()]})
 
         # one row for each shard; its arrays hold the buckets that least_docs of its sampled rows share
-        parts = features.groupBy("shard").applyInPandas(fit, "rows long, k binary, z binary, n binary").collect()
+        parts = features.groupBy("shard").applyInPandas(released_group(fit), "rows long, k binary, z binary, n binary").collect()
         sent.unpersist()
         if not parts:
             break
@@ -175,4 +175,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: FtrlPar
                 p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(released(run), "doc_id long, score double, predicted int")
