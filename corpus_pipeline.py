@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayring.llm import jaccard, language_id, mixing, packing, suffix_dedup
-from wayring.llm._io import written
+from wayring.llm._io import bounded_batches, written
 from wayring.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,6 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: those without letters or with less than half of the likelihood."""
+    bounded_batches(spark)
     model = tokenizer_path("piece_bpe_32k.model")
     known = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
     trained = language_id.train(known, model)
@@ -27,6 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each Jaccard component."""
+    bounded_batches(spark)
     groups = jaccard.jaccard_components(docs)
     kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
@@ -34,12 +36,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove bytes whose 50-byte strings occur in an earlier document; a code point that is cut goes whole."""
+    bounded_batches(spark)
     cut = suffix_dedup.dedup_substrings(docs, keep=("lang", "source"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; rows of one id are taken as often as the one taken most."""
+    bounded_batches(spark)
     taken = mixing.mix_sources(docs).where("taken > 0")
     mixed = taken.groupBy(F.col("doc_id").alias("mix_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
     joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mix_id")))
@@ -47,6 +51,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
