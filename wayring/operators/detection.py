@@ -160,7 +160,7 @@ def detect_routes(samples: DataFrame, cfg: Detection = Detection(), seconds: int
 def with_phase(samples: DataFrame, routes: DataFrame, corrected_frame: bool = False) -> DataFrame:
     """Frames of the routes' streams with ``route_id`` and ``phase`` where they are active and positioned.
 
-    The polyline is relative to the median origin, the projection to the shape's centre, as the reference has it;
+    The polyline is relative to the median origin, the projection to the centre of the shape, as surveyed;
     ``corrected_frame`` projects from the median origin instead.
     """
     lat0, lon0 = ("lat0", "lon0") if corrected_frame else ("center_latitude_deg", "center_longitude_deg")
