@@ -68,16 +68,15 @@ def with_scores(metrics: DataFrame, cfg: Scoring = Scoring()) -> DataFrame:
             "route_raw": F.when(F.col("valid"), weighted_mean([F.col(c) for c in names[3:]], route_w)),
         }
     )
-    losses = F.array(*(F.when(F.col(f"loss_{r}").isNotNull(), F.struct(F.col(f"loss_{r}").alias("loss"), F.lit(-k).alias("order"), F.lit(r).alias("reason"))) for k, r in enumerate(REASONS)))
-    scored = scored.withColumn("worst", F.array_max(losses))
-    worst = F.col("worst")
+    # the largest loss; among equal ones the first in the order of REASONS
+    scored = scored.withColumn("primary_loss", F.greatest(*(F.col(f"loss_{r}") for r in REASONS)))
+    worst = F.coalesce(*(F.when(F.col(f"loss_{r}") == F.col("primary_loss"), F.lit(r)) for r in REASONS))
     return scored.withColumns(
         {
             "sync": F.round("sync_raw", 6),
             "route": F.round("route_raw", 6),
             "total": F.round(weighted_mean([F.col("sync_raw"), F.col("route_raw")], total_w), 6),
-            "primary_loss": worst["loss"],
-            "primary_reason": F.coalesce("invalid_reason", F.when(F.col("backwards"), F.lit("wrong_direction")).otherwise(F.when(worst["loss"] > 0, worst["reason"]))),
+            "primary_reason": F.coalesce("invalid_reason", F.when(F.col("backwards"), F.lit("wrong_direction")).otherwise(F.when(F.col("primary_loss") > 0, worst))),
         }
     )
 

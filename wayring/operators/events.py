@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayring.config import Grouping, Scoring
+from wayring.functions.scoring import REASONS
 
 
 def weighted_score(score: Column, minutes: Column) -> Column:
@@ -19,11 +20,13 @@ def overlaid(events: DataFrame, edits: DataFrame) -> DataFrame:
     return events.join(e, "event_id", "left").withColumns({"note": F.coalesce("edit_note", F.lit("")), "template_id": F.coalesce("edit_template", "template_id")}).drop("edit_note", "edit_template")
 
 
-def root_causes(losses: DataFrame, valid: DataFrame) -> DataFrame:
-    """Share, impact and contribution of each reason: ``losses`` has ``reason, loss``, ``valid`` one row ``n``."""
-    by = losses.groupBy("reason").agg(F.count("*").alias("vehicles"), F.avg("loss").alias("impact"))
-    c = by.crossJoin(F.broadcast(valid))  # one row
-    c = c.withColumn("share_pct", F.col("vehicles") * 100.0 / F.col("n"))
+def root_causes(scored: DataFrame) -> DataFrame:
+    """Share of the valid vehicles, mean loss and contribution of each primary reason.
+
+    One partial aggregation by reason; the total is a window over its few rows.
+    """
+    by = scored.where("valid").groupBy(F.col("primary_reason").alias("reason")).agg(F.count("*").alias("vehicles"), F.avg("primary_loss").alias("impact"))
+    c = by.withColumn("share_pct", F.col("vehicles") * 100.0 / F.sum("vehicles").over(Window.partitionBy())).where(F.col("reason").isin(*REASONS))
     return c.select("reason", "vehicles", "share_pct", "impact", (F.col("share_pct") * F.col("impact") / 100.0).alias("contribution"))
 
 

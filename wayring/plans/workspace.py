@@ -43,9 +43,7 @@ _OWN_LOSS = " UNION ALL ".join(f"SELECT '{r}' AS reason, loss_{r} AS loss FROM s
 
 @query(f"{SCORES_SQL}, ls AS ({_OWN_LOSS}), rc AS (SELECT reason, count(*) AS vehicles, avg(loss) AS impact, 100.0 * count(*) / (SELECT count(*) FROM s WHERE valid) AS share FROM ls GROUP BY 1) SELECT reason, vehicles, {rounded_sql('share', 3)} AS share_pct, {rounded_sql('impact', 3)} AS impact, {rounded_sql('share * impact / 100.0', 3)} AS contribution FROM rc")
 def root_cause_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scored(spark, sf_dir).where("valid")
-    losses = s.where(F.col("primary_reason").isin(*REASONS)).select(F.col("primary_reason").alias("reason"), F.col("primary_loss").alias("loss"))
-    c = E.root_causes(losses, s.agg(F.count("*").alias("n")))
+    c = E.root_causes(_scored(spark, sf_dir))
     return c.select("reason", "vehicles", *(rounded(x, 3).alias(x) for x in ("share_pct", "impact", "contribution"))).orderBy(F.col("contribution").desc(), "reason")
 
 
