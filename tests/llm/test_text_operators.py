@@ -78,6 +78,27 @@ def test_toxicity_learns_planted_words(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_learns_rare_words_whatever_their_shards(spark):
+    """A word in twelve texts, three of them in each of the four shards."""
+    rng, words = random.Random(6), [f"w{k}" for k in range(300)]
+    shard = {r.id: r.shard for r in spark.range(400).selectExpr("id", "pmod(xxhash64(id), 4) as shard").collect()}
+    bad = {k for s in range(4) for k in [k for k in range(400) if shard[k] == s][:3]}
+    texts = [[rng.choice(words) for _ in range(40)] for _ in range(400)]
+    docs = spark.createDataFrame([(k, " ".join([*t, "vile"] if k in bad else t), "en", "a", 0) for k, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(k, int(k in bad)) for k in range(400)], "doc_id long, toxic int")
+    params = toxicity.FtrlParams(bits=18)
+    model = toxicity.train(docs, labels, params)
+    new = spark.createDataFrame([(1, "some new text", "en", "a", 0), (2, "some vile new text", "en", "a", 0)], DOCS)
+    clean, vile = (r.score for r in toxicity.score(new, model, params).orderBy("doc_id").collect())
+    assert vile > clean + 0.2
+
+
+def test_packed_keys():
+    for keys in ([], [0], [3, 4, 70_000, (1 << 22)]):
+        data = toxicity.packed(np.array(keys, np.int32))
+        assert toxicity.unpacked(data, len(keys)).tolist() == keys
+
+
 def test_toxicity_odd_rows(spark):
     docs, labels = toxic_corpus(spark, 100)
     params = toxicity.FtrlParams(bits=12, shards=2, rounds=1)

@@ -2,18 +2,20 @@
 
 Training takes a bounded, documented sample of labelled rows, dealt over a fixed number of shards.  Each
 shard runs FTRL-proximal with per-coordinate rates and L1; the shards' states are averaged after each round
-and the next round starts from the average.  L1 keeps the weights sparse, so the model is a short list of
-(bucket, weight) pairs that is broadcast to score every text.
+and the next round starts from the average.  Every n-gram of the sampled texts is learned from, however rare;
+L1 keeps the weights sparse, so the model is a short list of (bucket, weight) pairs that is broadcast to score
+every text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,13 @@ from wayring.llm._io import discard, written
 from wayring.llm._words import LOWER, NOT_ALNUM, mix, prefix_hash, slices, span_hash, spans, released, released_group
 
 
-#: Low bits of a key by which training tells apart the n-grams of one bucket when it counts their texts.
-SPARE_BITS = 4
+#: Buckets in one row (and file) of what a shard has learned, and files that the driver reads at once.
+CHUNK, FILES = 1 << 17, 8
 
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``sample_rows`` bounds the labelled rows used in training (the smallest id hashes are taken).
-
-    N-grams that fewer than ``least_docs`` sampled texts of a shard share are not learned."""
+    """``sample_rows`` bounds the labelled rows used in training (the smallest id hashes are taken)."""
 
     bits: int = 22
     alpha: float = 1.0
@@ -37,7 +37,6 @@ class FtrlParams:
     l1: float = 1.0
     l2: float = 0.1
     shards: int = 4
-    least_docs: int = 4
     rounds: int = 4
     passes: int = 2
     sample_rows: int = 24_000
@@ -45,12 +44,12 @@ class FtrlParams:
 
 
 def feature_buckets(buf: np.ndarray, offs: np.ndarray, params: FtrlParams) -> tuple[np.ndarray, np.ndarray]:
-    """Document index and key (bucket and spare bits) of each unigram, bigram, trigram and skip-gram, repeats included."""
+    """Document index and bucket of each unigram, bigram, trigram and skip-gram, repeats included."""
     buf = LOWER[buf]
     starts, ends, first = spans(buf, offs, NOT_ALNUM)
     h = span_hash(prefix_hash(buf), starts, ends)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    shift = np.uint64(64 - params.bits - SPARE_BITS)
+    shift = np.uint64(64 - params.bits)
     docs, keys = [doc], [h >> shift]
     for step, salt in [(1, 0x51), *((s, 0x60 + s) for s in params.skips)]:
         if len(h) > step:
@@ -66,11 +65,25 @@ def feature_buckets(buf: np.ndarray, offs: np.ndarray, params: FtrlParams) -> tu
     return np.concatenate(docs), np.concatenate(keys).astype(np.int64)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending int32 keys as the compressed byte planes of their gaps."""
+    gaps = np.diff(keys, prepend=0).astype("<u4")
+    return pa.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) if len(keys) else b""
+
+
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    """The ``count`` keys of :func:`packed`."""
+    if not count:
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(pa.decompress(data, 4 * count, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int32)
+
+
 def _weights(z: np.ndarray, n: np.ndarray, p: FtrlParams) -> np.ndarray:
     return np.where(np.abs(z) <= p.l1, 0.0, -(z - np.sign(z) * p.l1) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2))
 
 
-def ftrl_pass(rows: list[np.ndarray], labels: np.ndarray, z: np.ndarray, n: np.ndarray, p: FtrlParams) -> None:
+def ftrl_pass(rows: Iterable[np.ndarray], labels: np.ndarray, z: np.ndarray, n: np.ndarray, p: FtrlParams) -> None:
     """One pass over the rows in their order; ``z`` and ``n`` change in place. The last coordinate is the bias."""
     bias = len(z) - 1
     for idx, y in zip(rows, labels, strict=True):
@@ -104,54 +117,53 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
     )
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id").select(F.pmod("__h", F.lit(params.shards)).cast("int").alias("shard"), "__h", "__id", "__y", "__t")
 
-    def shard_features(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[np.ndarray] = []
-        for _, buf, offs in slices(pa.RecordBatch.from_arrays([pa.array(pdf["__t"], pa.string())], names=["t"]), 0):
-            doc, key = feature_buckets(buf, offs, params)
-            both = np.unique(doc << 32 | key)
-            cut = np.searchsorted(both >> 32, np.arange(len(offs)))
-            flat = (both & 0xFFFFFFFF).astype(np.int32)
-            rows += [flat[cut[k] : cut[k + 1]] for k in range(len(offs) - 1)]
-        held = np.zeros(1 << params.bits + SPARE_BITS, np.uint8)
-        for x in rows:
-            held[x] += held[x] < params.least_docs
-        return pd.DataFrame({"shard": pdf["shard"], "h": pdf["__h"], "id": pdf["__id"], "y": pdf["__y"], "x": [np.unique(x[held[x] >= params.least_docs] >> SPARE_BITS).tobytes() for x in rows]})
-
-    features = written(sample.groupBy("shard").applyInPandas(released_group(shard_features), "shard int, h long, id long, y double, x binary"), "ftrl-sample")
+    def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offs in slices(batch, 4):
+                doc, key = feature_buckets(buf, offs, params)
+                both = np.unique(doc << 32 | key)
+                cut = np.searchsorted(both >> 32, np.arange(len(offs)))
+                flat = (both & 0xFFFFFFFF).astype(np.int32)
+                x = pa.array([packed(flat[cut[k] : cut[k + 1]]) for k in range(len(offs) - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(np.diff(cut)), x], names=["shard", "h", "id", "y", "c", "x"])
+
+    # kept by shard, so that a round deals no rows anew
+    features = sample.mapInArrow(released(sample_features), "shard int, h long, id long, y double, c long, x binary").repartition(params.shards, "shard").persist(StorageLevel.DISK_ONLY)
+    total = features.count()
     bias = 1 << params.bits
-    state = (np.array([bias], np.int32), np.zeros(1), np.zeros(1))
-    for _ in range(params.rounds):
-        sent = spark.sparkContext.broadcast(state)
+    z, n = np.zeros(bias + 1, np.float32), np.zeros(bias + 1, np.float32)
+    for _ in range(params.rounds if total else 0):
+        sent = spark.sparkContext.broadcast((z, n) if n.any() else None)
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["h", "id"])
-            rows = [np.frombuffer(x, np.int32) for x in pdf["x"]]
-            old, old_z, old_n = sent.value
-            used = np.unique(np.concatenate([*rows, old]))
-            z, n = np.zeros(len(used)), np.zeros(len(used))
-            z[np.searchsorted(used, old)], n[np.searchsorted(used, old)] = old_z, old_n
-            local = [np.searchsorted(used, x) for x in rows]
+            old_z, old_n = sent.value or (np.zeros(bias + 1, np.float32),) * 2
+            z, n = old_z.astype(np.float64), old_n.astype(np.float64)
             for _ in range(params.passes):
-                ftrl_pass(local, pdf["y"].to_numpy(), z, n, params)
-            seen = n > 0
-            return pd.DataFrame({"rows": [len(pdf)], "k": [used[seen].astype(np.int32).tobytes()], "z": [z[seen].astype(np.float32).tobytes()], "n": [n[seen].astype(np.float32).tobytes()]})
-
-        # one row for each shard; its arrays hold the buckets that least_docs of its sampled rows share
-        parts = features.groupBy("shard").applyInPandas(released_group(fit), "rows long, k binary, z binary, n binary").collect()
-        sent.unpersist()
-        if not parts:
-            break
-        total = sum(r.rows for r in parts)
-        share = np.concatenate([np.full(len(r.k) // 4, r.rows / total) for r in parts])
-        keys, inverse = np.unique(np.concatenate([np.frombuffer(r.k, np.int32) for r in parts]), return_inverse=True)
-        z, n = (np.bincount(inverse, weights=np.concatenate([np.frombuffer(r[c], np.float32) for r in parts]) * share) for c in ("z", "n"))
-        state = (keys, z, n)
-    discard(features)
-    keys, z, n = state
-    w = _weights(z, n, params)
+                ftrl_pass(map(unpacked, pdf["x"], pdf["c"]), pdf["y"].to_numpy(), z, n, params)
+            parts = []
+            for first in range(0, bias + 1, CHUNK):
+                k = first + np.flatnonzero(n[first : first + CHUNK] != old_n[first : first + CHUNK])
+                if len(k):
+                    parts.append((len(pdf), len(k), packed(k), *((new[k] - old[k]).astype(np.float32).tobytes() for new, old in ((z, old_z), (n, old_n)))))
+            return pd.DataFrame(parts, columns=["rows", "c", "k", "z", "n"])
+
+        # the driver adds up the shards' changes, a few files at a time; it holds two numbers for each of the 2**bits buckets, whatever the input
+        changes = written(features.groupBy("shard").applyInPandas(released_group(fit), "rows long, c long, k binary, z binary, n binary"), "ftrl-changes", maxRecordsPerFile=1)
+        files = sorted(changes.inputFiles())
+        for k in range(0, len(files), FILES):
+            for r in spark.read.schema(changes.schema).parquet(*files[k : k + FILES]).toLocalIterator():
+                at = unpacked(r.k, r.c)
+                z[at] += np.frombuffer(r.z, np.float32) * np.float32(r.rows / total)
+                n[at] += np.frombuffer(r.n, np.float32) * np.float32(r.rows / total)
+        discard(changes)
+        sent.destroy()
+    features.unpersist()
+    kept = np.append(np.flatnonzero(np.abs(z[:-1]) > params.l1), bias)
+    w = _weights(z[kept], n[kept], params)
     w[-1] = -z[-1] / ((params.beta + np.sqrt(n[-1])) / params.alpha)  # the bias has the largest key
-    kept = np.flatnonzero(w)
-    return keys[kept], w[kept].astype(np.float32)
+    some = np.flatnonzero(w)
+    return kept[some].astype(np.int32), w[some].astype(np.float32)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: FtrlParams = FtrlParams(), threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +180,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: FtrlPar
         for batch in batches:
             for part, buf, offs in slices(batch, 1):
                 doc, key = feature_buckets(buf, offs, params)
-                key >>= SPARE_BITS
                 hit = dense[key] != 0
                 both = np.unique(doc[hit] << 32 | key[hit])
                 total = np.bincount(both >> 32, weights=dense[both & 0xFFFFFFFF], minlength=len(offs) - 1) + dense[-1]
