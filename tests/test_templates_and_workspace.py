@@ -46,6 +46,17 @@ def test_mirrored_templates_share_a_key(spark):
     assert keys[0] == keys[1] and keys[2] != keys[3]
 
 
+def test_every_template_is_compared(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (4, "a"), (5, "b"), (6, "a"), (7, "c")], "template_id long, key string")
+    assert sorted((r.template_id, r.first_id) for r in W.duplicates_of_first(rows).collect()) == [(4, 1), (5, 2), (6, 1)]
+
+
+def test_large_groups_keep_their_first_five_places(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 3), (3, 7)], "group_id long, n int")
+    got = {(r.group_id, r.first, r.second) for r in W.vehicle_pairs(W.first_places(groups)).collect()}
+    assert got == {(g, i, j) for g, n in ((2, 3), (3, 5)) for j in range(n) for i in range(j)}
+
+
 def test_writes_get_revisions_and_limits(spark):
     log = spark.createDataFrame([("w", 4, "x")], "workspace_id string, revision long, state string")
     writes = spark.createDataFrame([("w", "a", 1, "d" * 600), ("w", "b", 2, "e"), ("bad id!", "c", 3, "f")], "workspace_id string, state string, arrival long, detail string")

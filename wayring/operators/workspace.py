@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SEPARATOR = " — "
 RELATIONS = {"same": 0, "mixed": 1, "opposite": 2}
 PAIR_ANGLES = (45, 90, 120)
+MOST_PLACES = 5
 WORKSPACE_ID = r"^[A-Za-z0-9_-]{1,80}$"
 MOST_STATE_CHARS = 750_000
 AUDIT_LIMITS = {"area": 40, "action": 80, "detail": 500}
@@ -27,6 +28,17 @@ def new_templates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return candidates.join(existing.select("key").distinct(), "key", "left_anti")
 
 
+def duplicates_of_first(templates: DataFrame) -> DataFrame:
+    """Templates (``template_id, key``) whose key one of a smaller id has, with the least such id as ``first_id``."""
+    first = templates.groupBy("key").agg(F.min("template_id").alias("first_id"))
+    return templates.join(first, "key").where("template_id > first_id")
+
+
+def first_places(members: DataFrame) -> DataFrame:
+    """Groups (``group_id, n``) with no more places than a template has; the first ones of larger groups stay."""
+    return members.withColumn("n", F.least("n", F.lit(MOST_PLACES)))
+
+
 def relation_code(relation: Column) -> Column:
     return F.when(relation == "same", 0).when(relation == "mixed", 1).otherwise(2)
 

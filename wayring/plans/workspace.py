@@ -73,12 +73,25 @@ def duplicate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.new_templates(t.where("template_id % 10 = 3"), t.where("template_id % 97 = 0")).select("template_id", "key")
 
 
+@query(f"WITH {_TEMPLATES_SQL} SELECT t.template_id, f.first_id, t.key FROM tk t JOIN (SELECT key, min(template_id) AS first_id FROM tk GROUP BY key) f ON t.key = f.key WHERE t.template_id > f.first_id")
+def duplicate_templates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates that one of a smaller id equals, over all orders."""
+    return W.duplicates_of_first(_templates(spark, sf_dir)).select("template_id", "first_id", "key")
+
+
 @query("WITH g AS (SELECT l_orderkey AS group_id, count(*)::INTEGER AS n FROM lineitem GROUP BY 1) SELECT group_id, i AS first, j AS second, 90 AS angle FROM g, range(20) a(i), range(20) b(j) WHERE i < j AND j < n AND n <= 5")
 def pair_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("group_id")).agg(F.count("*").cast("int").alias("n")).where("n <= 5")
     return W.vehicle_pairs(g).select("group_id", F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"), "angle")
 
 
+@query("WITH g AS (SELECT l_orderkey AS group_id, least(count(*), 5)::INTEGER AS n FROM lineitem GROUP BY 1) SELECT group_id, i AS first, j AS second, 90 AS angle FROM g, range(5) a(i), range(5) b(j) WHERE i < j AND j < n")
+def pair_enumeration_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the first five places of every group, as the template editor lists them."""
+    g = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("group_id")).agg(F.count("*").cast("int").alias("n"))
+    return W.vehicle_pairs(W.first_places(g)).select("group_id", F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"), "angle")
+
+
 @query("SELECT s_suppkey AS vehicle_id, s_suppkey * 37 % 500 AS number, CASE WHEN s_suppkey * 37 % 500 BETWEEN 100 AND 199 THEN 'storm' WHEN s_suppkey * 37 % 500 BETWEEN 200 AND 299 THEN 'lightning' WHEN s_suppkey * 37 % 500 BETWEEN 300 AND 399 THEN 'thunder' END AS type_id FROM supplier")
 def vehicle_type_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") * 37 % 500).alias("vehicle_id"))
