@@ -1,12 +1,13 @@
 """Vectorised word boundaries and 64-bit hashes over the bytes of an Arrow batch.
 
 A batch of texts is one byte buffer plus document offsets.  Words are found with boolean masks and hashed
-with a prefix sum modulo 2**64, so no Python loop runs per word.
+eight bytes at a time, so no Python loop runs per word; only words beyond ``LONG_WORD`` bytes are hashed one by one.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -88,7 +89,44 @@ def spans(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> tuple[n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
+#: Words of more bytes than this are hashed by blake2b.
+LONG_WORD = 64
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_CHAIN = np.uint64(0x9FB21C651E98DF25)
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; the end is filled up with zeros."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings buf[starts:ends]; equal strings have equal hashes anywhere.
+
+    Every eight bytes pass through :func:`mix`, which is no linear function of them, so words of a regular
+    structure collide no more often than others.
+    """
+    starts, sizes = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    data = eights(buf)
+    out = mix((data[starts] & _KEEP[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * _CHAIN)
+    left = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+    at = 8
+    while len(left):
+        rest = sizes[left] - at
+        out[left] = mix(out[left] * _CHAIN ^ (data[starts[left] + at] & _KEEP[np.minimum(rest, 8)]))
+        at += 8
+        left = left[rest > 8]
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : starts[k] + sizes[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
+    """Prefix sums for :func:`span_hash`: for strings of up to 256 bytes, or where equal hashes of long structured words do no harm."""
     pows, _ = _powers(len(buf) + 1)
     out = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * pows[: len(buf)], out=out[1:])

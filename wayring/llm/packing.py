@@ -8,29 +8,34 @@ text for what remains.  Windows of one tier form step groups of equal tokens.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayring.llm._words import prefix_hash, ragged, slices, span_hash, spans, released
+from wayring.llm._words import LOWER, SPACE, ragged, released, slices, spans, word_hash
 
 TIERS = (4096, 2048, 1024, 512)
 #: Tokens packed together at most before the rest waits for the next texts of the task.
 GROUP_TOKENS = 2_000_000
 #: Tokens of a step group: so many windows of a tier as make this many tokens.
 STEP_TOKENS = 32_768
-CACHE_WORDS = 500_000
+#: Slots of the table of known units; it is emptied when half full.
+TABLE_SLOTS = 1 << 21
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    # tasks share the cores already; a pool of threads in each would only cost time
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -79,49 +84,121 @@ def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray, n
 
 @lru_cache(maxsize=2)
 def shared_encoder(path: str) -> "WordEncoder":
-    """One encoder for all tasks of a Python worker, so that words known from one task serve the next."""
+    """One encoder for all tasks of a Python worker, so that units known from one task serve the next."""
     return WordEncoder(path)
 
 
+_PUNCTUATION, _LETTER, _DIGIT, _WHOLE = range(4)
+_KINDS = np.array([_WHOLE if b > 127 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _PUNCTUATION for b in range(256)], np.uint8)
+
+
+def units(buf: np.ndarray, offs: np.ndarray, special: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case bytes, starts and ends of the units of all words, and the index of each text's first unit.
+
+    Words are cut where the tokenizer always begins a new token: between letters, single digits and other signs,
+    but not behind an apostrophe, which may begin a contraction.  Letters are those of ASCII and of U+00C0 to
+    U+023F.  Words with other characters, or with a byte of ``special`` (which may begin an added token), are
+    kept whole and as they are, since normalization may join or change their characters.
+    """
+    starts, ends, _ = spans(buf, offs)
+    kinds = _KINDS[buf]
+    lead = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC8))
+    if len(lead):
+        pair = buf[lead].astype(np.int32) << 8 | buf[lead + 1]
+        latin = lead[(pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)]  # two signs, and a letter whose lower case ends in a mark
+        kinds[latin] = kinds[latin + 1] = _LETTER
+    odd = kinds == _WHOLE
+    for b in special:
+        odd |= buf == b
+    low = LOWER[buf]
+    at = np.flatnonzero(odd)
+    if len(at):
+        word = np.unique(np.searchsorted(starts, at, "right") - 1)
+        whole = ragged(starts[word], ends[word] - starts[word])
+        kinds[whole] = _WHOLE
+        low[whole] = buf[whole]
+    cut = np.zeros(len(buf) + 1, bool)
+    if len(buf) > 1:
+        left, right = kinds[:-1], kinds[1:]
+        cut[1:-1] = ((left != right) | (left == _DIGIT)) & (left != _WHOLE) & (right != _WHOLE) & ~((buf[:-1] == 39) & (right == _LETTER))
+    cut[:-1] &= ~SPACE[buf]
+    last = cut.copy()
+    cut[starts] = True
+    last[starts] = False
+    last[ends] = True
+    begin = np.flatnonzero(cut)
+    return low, begin, np.flatnonzero(last), np.searchsorted(begin, offs)
+
+
 class WordEncoder:
-    """Token ids of texts by way of their distinct white-space separated words.
+    """Token ids of texts by way of the distinct units of their words (see :func:`units`).
 
-    The tokenizer drops white space and merges within words only, so the ids of a text are those of its words
-    in order; each distinct word is encoded once and its ids are kept while memory allows.
+    The tokenizer drops white space and merges within units only, so the ids of a text are those of its units
+    in order; each distinct unit is encoded once and its ids are kept while memory allows.  Known units are
+    found in a table with open addressing by their hash.
     """
 
     def __init__(self, path: str) -> None:
         self.path = path
+        self.special = bytes(sorted({t.content.encode()[0] for t in _tokenizer(path).get_added_tokens_decoder().values()}))
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint16 if _tokenizer(self.path).get_vocab_size() <= 65_536 else np.uint32), 0
+        self.keys, self.values = np.zeros(TABLE_SLOTS, np.uint64), np.zeros(TABLE_SLOTS, np.int32)
+        self.start, self.size, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.ids, self.used = np.zeros(1 << 18, np.uint16 if _tokenizer(self.path).get_vocab_size() <= 65_536 else np.uint32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those not known."""
+        out, left = np.full(len(h), -1, np.int64), np.arange(len(h))
+        slot = (h % np.uint64(TABLE_SLOTS)).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == h[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) % TABLE_SLOTS
+        return out
+
+    def insert(self, h: np.ndarray, first: int) -> None:
+        """Number distinct unknown hashes from ``first`` on."""
+        left = np.arange(len(h))
+        slot = (h % np.uint64(TABLE_SLOTS)).astype(np.int64)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]
+            mine = free & (self.keys[slot] == h[left])
+            self.values[slot[mine]] = first + left[mine]
+            left, slot = left[~mine], (slot[~mine] + 1) % TABLE_SLOTS
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the offsets of each text's ids."""
-        starts, ends, first = spans(buf, offs)
-        h = span_hash(prefix_hash(buf), starts, ends)
-        distinct, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE_WORDS:
+        buf, starts, ends, first = units(buf, offs, self.special)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        inverse, distinct = pd.factorize(np.maximum(word_hash(buf, starts, ends), np.uint64(1)))
+        if self.count + len(distinct) > TABLE_SLOTS // 2:
             self.forget()
-        at = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
-        if new.any():
+        known = self.find(distinct)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            one = np.empty(len(distinct), np.int64)
+            one[inverse] = np.arange(len(inverse))
             raw = buf.tobytes()
-            words = [raw[starts[k] : ends[k]].decode() for k in one[new]]
-            flat, begin, sizes = encode_words(self.path, words)
+            flat, begin, sizes = encode_words(self.path, [raw[a:z].decode() for a, z in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while self.count + len(new) > len(self.start):
+                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
             self.ids[self.used : self.used + len(flat)] = flat
-            self.known = np.insert(self.known, at[new], distinct[new])
-            self.start = np.insert(self.start, at[new], self.used + begin)
-            self.size = np.insert(self.size, at[new], sizes)
+            self.start[self.count : self.count + len(new)] = self.used + begin
+            self.size[self.count : self.count + len(new)] = sizes
+            self.insert(distinct[new], self.count)
+            known[new] = self.count + np.arange(len(new))
             self.used += len(flat)
-        k = np.searchsorted(self.known, distinct)[inverse]
-        size = self.size[k]
+            self.count += len(new)
+        k = known[inverse]
+        size = self.size[k].astype(np.int64)
         ids = self.ids[ragged(self.start[k], size)].astype(np.uint32)
         return ids, np.concatenate([[0], np.cumsum(size)])[first]
 
