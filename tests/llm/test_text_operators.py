@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from wayring.llm import fingerprint, language_id, queries, token_count, toxicity
-from wayring.llm._words import slices, spans, prefix_hash, span_hash
+from wayring.llm._words import prefix_hash, slices, span_hash, spans, word_hash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (None, "x y", None, "a", 3), (4, "Aé 中 </s> ▁▁ word", "fr", "b", 5), (4, "Aé 中 </s> ▁▁ word", "fr", "b", 5), (5, "a\n\nb  c\t" * 9000, "de", "a", 1)]
@@ -34,6 +34,20 @@ def test_words_and_hashes():
     assert h[0] == h[2] == h[4] and h[1] == h[5] and len(set(h.tolist())) == 3
 
 
+def regular(n):
+    """The two words of n letters a and b in which a letter follows the parity of its place's binary digits."""
+    word = bytes(97 + bin(k).count("1") % 2 for k in range(n))
+    return word.decode(), bytes(195 - b for b in word).decode()
+
+
+def test_structured_words_have_different_hashes():
+    for n in [1, 7, 8, 9, 63, 64, 65, 256, 1024, 2048, 4096]:
+        a, b = (w.encode() for w in regular(n))
+        buf = np.frombuffer(b"." + a + b + a, np.uint8)
+        h = word_hash(buf, np.array([1, 1 + n, 1 + 2 * n]), np.array([1 + n, 1 + 2 * n, 1 + 3 * n]))
+        assert h[0] != h[1] and h[0] == h[2]
+
+
 def test_split_texts_count_like_whole_ones():
     path = queries.tokenizer_path("piece_bpe_32k.model")
     sp, rng = token_count._pieces(path), random.Random(3)
@@ -118,10 +132,36 @@ def test_multiset_hash_is_order_free_and_incremental():
     assert (fingerprint.paragraph_sum([a, a]) != fingerprint.paragraph_sum([a])).any()
 
 
+def plain_state(text):
+    """One paragraph at a time, by the same two hashes of a paragraph."""
+    vector, lanes = np.zeros(1024, np.uint16), np.zeros(256, np.int64)
+    for p in text.split("\n"):
+        if p:
+            vector = vector + fingerprint.paragraph_sum([p])
+            lanes = lanes + fingerprint.likeness_vectors([p])[0]
+    return fingerprint.packed_state(vector, lanes)
+
+
+def test_stored_fingerprints_are_updated_without_their_texts(spark):
+    rows = [(1, "one two three four\nfive six seven\n\nlast", "en", "s", 0), (2, None, "en", "s", 0)]
+    stored = fingerprint.fingerprints(table(spark, rows), states=True)
+    changes = stored.selectExpr("doc_id", "state", "if(doc_id = 1, array('five six seven'), null) as removed", "array('new words come here', '', null) as added", "1 as fingerprint")
+    got = {r.doc_id: r for r in fingerprint.update_fingerprints(changes).collect()}
+    want = {1: "one two three four\nlast\nnew words come here", 2: "new words come here"}
+    for k, text in want.items():
+        assert got[k].state == plain_state(text) and got[k].fingerprint == fingerprint.digest(plain_state(text))
+
+
+def test_likeness_of_very_repetitive_texts():
+    many, few, other = fingerprint.likeness_vectors(["x y z\n" * 65_536, "x y z\n" * 20_000, "a b c\n" * 40_000])
+    near = fingerprint.likeness(np.array([many, many, many * 0]), np.array([few, other, other]))
+    assert near[0] == 1.0 and near[1] < 0.2 and near[2] == 0.0
+
+
 def test_fingerprints_against_plain_python(spark):
     rng = random.Random(8)
     rows = [(k, "\n".join(" ".join(rng.choice(["uno", "dos", "tres", "é", "x"]) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 4))) or None, "en", "s", 0) for k in range(0, 90, 2)]
-    got = {r.doc_id: r for r in fingerprint.fingerprints(table(spark, rows), bucket_bytes=500).collect()}
+    got = {r.doc_id: r for r in fingerprint.fingerprints(table(spark, rows), bucket_bytes=500, states=True).collect()}
     order = sorted(rows, reverse=True)
     for k, row in enumerate(order):
         text, following = row[1] or "", order[(k + 1) % len(order)][1] or ""
@@ -129,9 +169,12 @@ def test_fingerprints_against_plain_python(spark):
         edit = text[: len(text) - n] + following[:n]
         r = got[row[0]]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edit.encode()).hexdigest()
-        assert r.fingerprint == fingerprint.digest(fingerprint.paragraph_sum(fingerprint.paragraphs(text)))
-        assert r.edited_fingerprint == fingerprint.digest(fingerprint.paragraph_sum(fingerprint.paragraphs(edit)))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (edit != text or r.near_edited == 1)
+        states = [plain_state(t) for t in (text, edit, following)]
+        assert (r.fingerprint, r.edited_fingerprint, r.state) == (fingerprint.digest(states[0]), fingerprint.digest(states[1]), states[0])
+        a, b, c = (np.frombuffer(x, "<i8", offset=2048).astype(float) for x in states)
+        for got_near, other, same in ((r.near_edited, b, text == edit), (r.near_next, c, False)):
+            size = np.sqrt((a @ a) * (other @ other))
+            assert got_near == pytest.approx(1.0 if same or not (a.any() or other.any()) else max(0.0, a @ other / size) if size else 0.0)
     assert fingerprint.fingerprints(empty(spark)).count() == 0
     assert fingerprint.fingerprints(table(spark)).count() == len(ODD)
     lone = fingerprint.fingerprints(table(spark, ODD[3:4])).first()

@@ -1,24 +1,24 @@
 """Document fingerprints (operator 4): a homomorphic multiset hash over paragraphs.
 
-A paragraph (a non-empty line) is hashed to a wide vector of 1,024 lanes modulo 2**16; a document's vector is
-the lane-wise sum, so it does not depend on the order of paragraphs, and a paragraph is inserted or deleted by
-adding or subtracting its vector.  The fingerprint is the SHA-256 of that vector.  Beside it, 256 signed lanes
-modulo 2**16 count the paragraph's three-word shingles; they are summed the same way, and the cosine of two
-such vectors is the likeness of two fingerprints.
+A paragraph (a non-empty line) is hashed to a wide vector of 1,024 lanes modulo 2**16, and its three-word
+shingles are counted on 256 signed lanes of 64 bits.  A document's state is the lane-wise sum of both over its
+paragraphs, so it does not depend on their order, and a paragraph is inserted or deleted by adding or
+subtracting its lanes (:func:`updated_state`, :func:`update_fingerprints`).  The fingerprint is the SHA-256 of
+the state; the likeness of two fingerprints is the cosine of the states' signed lanes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayring.llm._words import LOWER, mix, prefix_hash, span_hash, spans, released
+from wayring.llm._words import LOWER, mix, released, spans, word_hash
 
 LANES = 1024
 LIKENESS_LANES = 256
@@ -40,8 +40,19 @@ def edited_sum(vector: np.ndarray, old: list[str], new: list[str]) -> np.ndarray
     return vector - paragraph_sum((before - after).elements()) + paragraph_sum((after - before).elements())
 
 
-def digest(vector: np.ndarray) -> str:
-    return hashlib.sha256(vector.astype("<u2").tobytes()).hexdigest()
+def packed_state(vector: np.ndarray, lanes: np.ndarray) -> bytes:
+    return vector.astype("<u2").tobytes() + lanes.astype("<i8").tobytes()
+
+
+def digest(state: bytes) -> str:
+    return hashlib.sha256(state).hexdigest()
+
+
+def updated_state(state: bytes, removed: Sequence[str], added: Sequence[str]) -> bytes:
+    """The state after paragraphs were removed and added, without the rest of the text."""
+    vector, lanes = np.frombuffer(state, "<u2", LANES), np.frombuffer(state, "<i8", LIKENESS_LANES, 2 * LANES)
+    change = likeness_vectors(["\n".join(removed), "\n".join(added)])
+    return packed_state(vector - paragraph_sum(removed) + paragraph_sum(added), lanes - change[0] + change[1])
 
 
 def likeness_vectors(texts: list[str]) -> np.ndarray:
@@ -51,7 +62,7 @@ def likeness_vectors(texts: list[str]) -> np.ndarray:
     buf = LOWER[np.frombuffer(b"".join(data), np.uint8)]
     edges = np.unique(np.concatenate([offs, np.flatnonzero(buf == 10)]))
     starts, ends, first = spans(buf, edges)
-    h = span_hash(prefix_hash(buf), starts, ends)
+    h = word_hash(buf, starts, ends)
     words = np.diff(first)
     owner = np.clip(np.searchsorted(offs, edges[:-1], "right") - 1, 0, len(texts) - 1) if len(edges) > 1 else np.zeros(0, int)
     paragraph = np.repeat(np.arange(len(words)), words)
@@ -64,7 +75,7 @@ def likeness_vectors(texts: list[str]) -> np.ndarray:
     key, doc = np.concatenate(keys), np.concatenate(docs)
     lane = doc * LIKENESS_LANES + (key >> np.uint64(56)).astype(np.int64)
     sign = 1.0 - 2.0 * (key & np.uint64(1)).astype(float)
-    return np.bincount(lane, weights=sign, minlength=len(texts) * LIKENESS_LANES).astype(np.int16).reshape(len(texts), LIKENESS_LANES)
+    return np.bincount(lane, weights=sign, minlength=len(texts) * LIKENESS_LANES).astype(np.int64).reshape(len(texts), LIKENESS_LANES)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,15 +119,37 @@ def _ranged(docs: DataFrame, rows_bytes: int) -> tuple[DataFrame, int]:
     return rows, heads[-1].bucket + 1
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 24 << 20) -> DataFrame:
+def update_fingerprints(changes: DataFrame) -> DataFrame:
+    """``changes`` (``doc_id, state, removed, added``, the last two arrays of paragraphs) with the new ``state`` and ``fingerprint``.
+
+    Null arrays and null or empty paragraphs change nothing; a null state is that of an empty text; paragraphs
+    removed must have been there, which a sum cannot tell.  Other columns are ignored; no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = packed_state(paragraph_sum([]), np.zeros(LIKENESS_LANES))
+        for batch in batches:
+            states = []
+            for state, *both in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                states.append(updated_state(state or empty, *([p for text in side or [] for p in paragraphs(text or "")] for side in both)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(states, pa.binary()), pa.array(map(digest, states), pa.string())], names=["doc_id", "state", "fingerprint"])
+
+    rows = changes.select(F.col("doc_id").cast("long").alias("doc_id"), "state", "removed", "added")
+    return rows.mapInArrow(released(run), "doc_id long, state binary, fingerprint string")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 24 << 20, states: bool = False) -> DataFrame:
     """Fingerprints of every text and of its edit by the next text in descending id order.
 
-    Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.  The
-    texts are shuffled once, by range of ids.  A null text counts as empty; null ids come last; rows of equal id
+    Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, and the
+    updatable ``state`` of the text (4,096 bytes) if ``states``.  The texts are shuffled once, by range of ids.
+    A very long text is one row, hashed whole.  A null text counts as empty; null ids come last; rows of equal id
     are ordered by text; a lone row follows itself.  Fingerprints of equal texts are equal, and so are those of
     texts whose paragraphs are permuted.  Other columns are ignored; an empty table gives an empty table.
     """
 
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *(["state"] if states else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: tuple | None = None
         for batch in batches:
@@ -132,19 +165,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 texts = [r[2] for r in rows]
                 edits = [edited_text(texts[k], texts[k + 1]) for k in own]
                 lanes, edited_lanes = likeness_vectors(texts), likeness_vectors(edits)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for k, edit in zip(own, edits, strict=True):
                     old, new = paragraphs(texts[k]), paragraphs(edit)
                     vector = paragraph_sum(old)
-                    for column, value in zip(out, (rows[k][1], len(texts[k]), hashlib.sha256(edit.encode()).hexdigest(), digest(vector), digest(edited_sum(vector, old, new))), strict=True):
+                    state = packed_state(vector, lanes[k])
+                    new_state = packed_state(edited_sum(vector, old, new), edited_lanes[len(out[0])])
+                    for column, value in zip(out, (rows[k][1], len(texts[k]), hashlib.sha256(edit.encode()).hexdigest(), digest(state), digest(new_state), state), strict=True):
                         column.append(value)
                 index = np.array(own)
                 near_edited = np.where(np.array(out[3]) == np.array(out[4]), 1.0, likeness(lanes[index], edited_lanes))
                 near_next = likeness(lanes[index], lanes[index + 1])
-                arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.string()) for c in out[2:]), pa.array(near_edited), pa.array(near_next)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.string()) for c in out[2:5]), pa.array(near_edited), pa.array(near_next), *([pa.array(out[5], pa.binary())] if states else [])]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     clean = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, parts = _ranged(clean, bucket_bytes)
     ordered = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.col("id").desc_nulls_last(), "text")
-    return ordered.select("bucket", "ghost", "id", "text").mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.select("bucket", "ghost", "id", "text").mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double" + ", state binary" * states)
