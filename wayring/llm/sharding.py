@@ -51,6 +51,37 @@ def with_new_shard(current: dict[int, int], slot_bytes: dict[int, int], shards:
     return out
 
 
+def edited_map(current: dict[int, int], slot_bytes: dict[int, int], shards: int, tolerance: float = 0.02) -> dict[int, int]:
+    """The map edited for ``shards`` shards and the bytes as they are now; slots that need not move stay.
+
+    New shards are filled one by one, each by moves into it alone; slots of shards that are gone go to the
+    emptiest ones; then slots move from the fullest to the emptiest shard until the fullest is within
+    ``tolerance`` of the mean or no single move brings the two nearer.
+    """
+    size = lambda s: slot_bytes.get(s, 0)
+    out = dict(current)
+    for grown in range(max(out.values(), default=-1) + 1, shards):
+        out = with_new_shard(out, slot_bytes, grown)
+    load = [0] * shards
+    for slot, shard in out.items():
+        if shard < shards:
+            load[shard] += size(slot)
+    for slot in sorted((s for s in out if out[s] >= shards), key=lambda s: (-size(s), s)):
+        out[slot] = load.index(min(load))
+        load[out[slot]] += size(slot)
+    mean = sum(load) / shards
+    while max(load) > (1 + tolerance) * mean:
+        full, low = load.index(max(load)), load.index(min(load))
+        fitting = [s for s in out if out[s] == full and 0 < size(s) <= (load[full] - load[low]) / 2]
+        if not fitting:
+            break
+        slot = max(fitting, key=lambda s: (size(s), -s))
+        out[slot] = low
+        load[full] -= size(slot)
+        load[low] += size(slot)
+    return out
+
+
 def store_map(spark: SparkSession, slot_map: dict[int, int], version: int, path: str) -> None:
     """Append one version of the map; older versions stay readable."""
     rows = [(version, slot, shard) for slot, shard in sorted(slot_map.items())]
@@ -58,7 +89,10 @@ def store_map(spark: SparkSession, slot_map: dict[int, int], version: int, path:
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[int, int]]:
-    """A stored version of the map, the newest if none is named."""
+    """A stored version of the map, the newest if none is named; version 0 and no slots where nothing is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0, {}
     table = spark.read.parquet(path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
@@ -68,8 +102,9 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
 def shard_records(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot`` of every row; the law is ``bytes``.
 
-    The virtual slot is a hash of the id and the text's checksum; the map of slots to shards is built from the
-    bytes per slot (a fixed number of rows) and stored as the next version at ``map_path``.  ``slot`` is the
+    The virtual slot is a hash of the id and the text's checksum.  If ``map_path`` holds a map, its newest version
+    is edited for the bytes per slot (a fixed number of rows) and the number of shards, and stored as the next
+    version if that changed it; else a map of all slots is built and stored as version 1.  ``slot`` is the
     row's place in its shard, gapless from 0: rows before its virtual slot plus its rank within that slot, so
     no shard is ever gathered in one task.  Null texts have only the overhead and checksum 0; null ids hash
     like a value; repeated rows are placed each; other columns are ignored; an empty table gives an empty table.
@@ -83,10 +118,15 @@ def shard_records(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_pat
         "shard-rows",
     )
     held = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    slot_map = balanced_map({r.virtual_slot: r.bytes for r in held}, shards)
+    slot_bytes = {r.virtual_slot: r.bytes for r in held}
     path = map_path or new_path(spark, "slot-map")
-    store_map(spark, slot_map, 1, path)
-    n, placed, start = {r.virtual_slot: r.n for r in held}, [0] * shards, []
+    version, stored = load_map(spark, path)
+    slot_map = edited_map(stored, slot_bytes, shards) if stored else balanced_map({s: slot_bytes.get(s, 0) for s in range(slots)}, shards)
+    if len(slot_map) != slots:
+        raise ValueError(f"the map at {path} has {len(slot_map)} slots, not {slots}")
+    if slot_map != stored:
+        store_map(spark, slot_map, version + 1, path)
+    n, placed, start = {s: 0 for s in range(slots)} | {r.virtual_slot: r.n for r in held}, [0] * shards, []
     for slot in sorted(slot_map):
         start.append((slot, slot_map[slot], placed[slot_map[slot]]))
         placed[slot_map[slot]] += n[slot]
