@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from wayring.llm import components, jaccard, media, mixing, packing, queries, sharding, suffix_dedup
 
@@ -139,6 +140,27 @@ def test_components(spark):
     assert sorted(map(len, got.values())) == [2, 41]
 
 
+def test_components_of_a_long_sorted_path_take_few_rounds(spark):
+    links = spark.range(999).selectExpr("id as a", "id + 1 as b")
+    rounds = []
+    got = components.components(links, rounds).collect()
+    assert len(rounds) <= 20 and len(got) == 1000 and len({r.label for r in got}) == 1
+
+
+def test_structured_words_do_not_link_or_share_ids(spark):
+    word = bytes(97 + bin(k).count("1") % 2 for k in range(1024))
+    a, b = word.decode(), bytes(195 - x for x in word).decode()
+    rows = [(1, f"{a} one two three four five", "en", "s", 0), (2, f"{b} one two three four six", "en", "s", 0), (3, f"{a} {b} {a} {b} {a} {b}", "en", "s", 0), (4, f"{b} {a} {b} {a} {b} {b}", "en", "s", 0)]
+    got = {r.doc_id: r for r in jaccard.jaccard_components(table(spark, rows)).collect()}
+    assert {k: got[k].component_id for k in got} == {1: 1, 2: 2, 3: 3, 4: 4} and got[3].n_shingles == got[4].n_shingles == 2
+    pieces = {r.doc_id: r.ids_crc32 for r in packing.pack_documents(table(spark, rows[:2]), queries.tokenizer_path("word_bpe_49k.json")).where("start = 0 and length = doc_tokens").collect()}
+    whole = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    for doc, text, *_ in rows[:2]:
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 2]
+        assert doc not in pieces or pieces[doc] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert pieces
+
+
 def test_targets_are_reshared():
     t = mixing.source_targets({"a": 10, "b": 1000, None: 1000})
     assert t["a"] == 30.0 and sum(t.values()) == pytest.approx(2010) and t["b"] == pytest.approx(1980 * 2 / 3)
@@ -202,6 +224,26 @@ def test_slot_map_edits(spark, tmp_path):
     assert sharding.load_map(spark, path) == (2, second) and sharding.load_map(spark, path, 1) == (1, first)
 
 
+def test_stored_map_is_edited_by_the_operator(spark, tmp_path):
+    path, rows = str(tmp_path / "map"), corpus(11, 400)
+    run = lambda shards, rows=rows: {(r.doc_id, r.text_crc32): r for r in sharding.shard_records(table(spark, rows), shards=shards, slots=256, map_path=path).collect()}
+    first, again = run(5), run(5)
+    assert {k: r.shard for k, r in first.items()} == {k: r.shard for k, r in again.items()} and sharding.load_map(spark, path)[0] == 1
+    grown = run(6)
+    assert sharding.load_map(spark, path)[0] == 2
+    (_, one), (_, two) = sharding.load_map(spark, path, 1), sharding.load_map(spark, path, 2)
+    assert any(one[s] != two[s] for s in one) and all(first[k].shard == one[first[k].virtual_slot] and grown[k].shard == two[grown[k].virtual_slot] for k in grown)
+    moved = [k for k in grown if first[k].shard != grown[k].shard]
+    assert moved and len(moved) < 0.4 * len(grown)
+    for got, shards in ((first, 5), (grown, 6)):
+        load = [sum(r["size"] for r in got.values() if r.shard == s) for s in range(shards)]
+        assert max(load) < 1.1 * min(load)
+    fewer = run(3, rows[:200])
+    assert sharding.load_map(spark, path)[0] == 3 and {r.shard for r in fewer.values()} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        sharding.shard_records(table(spark, rows), shards=5, slots=128, map_path=path)
+
+
 def test_packing(spark):
     rows = [(1000 + i, *rest) for i, *rest in corpus(5, 150)] + ODD
     path = queries.tokenizer_path("word_bpe_49k.json")

@@ -37,12 +37,12 @@ def written(df: DataFrame, tag: str, **options: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    for name in df.inputFiles():
-        if "/wayring/" in name and name.startswith(base.split(":", 1)[0]):
-            folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-            return
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`written` once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = shared_dir(spark)
+        for name in df.inputFiles()[:1]:
+            if "/wayring/" in name and name.startswith(base.split(":", 1)[0]):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayring.llm._io import discard, written
-from wayring.llm._words import LOWER, mix, prefix_hash, slices, span_hash, spans, released, released_group
+from wayring.llm._words import LOWER, mix, released, released_group, slices, spans, word_hash
 from wayring.llm.components import components
 
 #: A shingle that this share of the texts of some stretch of input holds goes to the end of the order.
 FREQUENT = 0.001
+#: At most so many of them, the most frequent; the order decides what is compared first, not what is found.
+MOST_FREQUENT = 200_000
 #: Texts of a stretch in which frequent shingles are looked for.
 STRETCH_TEXTS = 5_000
 #: Postings that one task gathers, about.
@@ -37,6 +39,8 @@ SHARED = 6
 PACK_BYTES = 8 << 20
 #: Members of a block when a tile is compared with itself.
 BLOCK = 2_048
+#: Tasks over which the pairs of one pivot are spread when its row is joined to them.
+SALTS = 32
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 _BANDS = np.array([1.0 * (4 / 3) ** k for k in range(1, 62)])
 
@@ -45,7 +49,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> list[np.n
     """Sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one."""
     buf = LOWER[buf]
     starts, ends, first = spans(buf, offs)
-    h = span_hash(prefix_hash(buf), starts, ends)
+    h = word_hash(buf, starts, ends)
     n = np.diff(first)
     run = h.copy()
     for j in range(1, width):
@@ -214,10 +218,11 @@ def _postings(docs: DataFrame, frequent: np.ndarray, parts: int, percent: int) -
     return docs.mapInArrow(released(run), "part int, sid binary, n binary, owner binary, token binary")
 
 
-def _tile_edges(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+def _tile_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of all postings of some shingles: for each shingle and band tile, its least set as pivot and the others.
 
-    One row for each bucket of pivots: pivots, others, and whether three or more sets met in the tile.
+    One row for each pair of pivot and other: whether three or more sets met in one of its tiles, how many shared
+    shingles were seen, and how many are asked.
     """
     sid, size, token = [], [], []
     for s, n, o, t in zip(pdf["sid"], pdf["n"], pdf["owner"], pdf["token"], strict=True):
@@ -246,7 +251,7 @@ def _tile_edges(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     if not len(key):
-        return pd.DataFrame({c: [] for c in ("bucket", "p", "s", "big", "seen", "asked")})
+        return pd.DataFrame({c: [] for c in ("p", "s", "big", "seen", "asked")})
     begin = np.flatnonzero(first)
     # an own set may come twice to a tile of equal shingles; tiles count distinct sets
     fresh = first.copy()
@@ -258,11 +263,7 @@ def _tile_edges(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     seen = fresh & (np.maximum(band, band[begin][at]) == tile)
     asked = np.minimum(shared_needed(size), shared_needed(size[begin][at]))
     other = sid != pivot
-    pairs = _merged_pairs(pivot[other], sid[other], many[other], seen[other], asked[other])
-    bucket = (pairs["p"] & 0x7FFFFFFF) % parts
-    kinds = {"p": np.int64, "s": np.int64, "big": np.int8, "seen": np.int32, "asked": np.int8}
-    out = [(k, *(some[c].to_numpy(t).tobytes() for c, t in kinds.items())) for k, some in pairs.groupby(bucket)]
-    return pd.DataFrame(out, columns=["bucket", *kinds])
+    return _merged_pairs(pivot[other], sid[other], many[other], seen[other], asked[other])
 
 
 def _merged_pairs(p: np.ndarray, s: np.ndarray, big: np.ndarray, seen: np.ndarray, asked: np.ndarray) -> pd.DataFrame:
@@ -277,16 +278,21 @@ def _merged_pairs(p: np.ndarray, s: np.ndarray, big: np.ndarray, seen: np.ndarra
     return pd.DataFrame({"p": p[at], "s": s[at], "big": np.maximum.reduceat(big.astype(np.int8), at), "seen": np.add.reduceat(seen.astype(np.int32), at), "asked": np.minimum.reduceat(asked, at)})
 
 
-def _bucket_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct edges of a bucket of pivots, from all parts.
+def _edges(found: DataFrame) -> DataFrame:
+    """The distinct pairs of all parts: ``p, s, big, pair``.
 
     Two sets that link share ``asked`` of their first shingles at least.  A pair of which so many were seen is
     verified as such; other edges matter only as members of larger tiles, which are compared whole later.
     """
-    kinds = {"p": np.int64, "s": np.int64, "big": np.int8, "seen": np.int32, "asked": np.int8}
-    pairs = _merged_pairs(*(np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in kinds.items()))
-    out = pd.DataFrame({"p": pairs["p"], "s": pairs["s"], "big": pairs["big"] > 0, "pair": pairs["seen"] >= pairs["asked"]})
-    return out[out["big"] | out["pair"]]
+    merged = found.groupBy("p", "s").agg(F.max("big").alias("big"), F.sum("seen").alias("seen"), F.min("asked").alias("asked"))
+    return merged.select("p", "s", (F.col("big") > 0).alias("big"), (F.col("seen") >= F.col("asked")).alias("pair")).where("big or pair")
+
+
+def _at_pivots(pairs: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``pairs`` with the row of ``table`` (keyed ``p``); a pivot's row goes to at most ``SALTS`` tasks and its pairs are spread over them."""
+    salted = pairs.withColumn("z", F.pmod(F.xxhash64("s"), F.lit(SALTS)))
+    heads = salted.select("p", "z").distinct().join(table, "p", how)
+    return salted.join(heads, ["p", "z"]).drop("z")
 
 
 def _bound_passes(n_a, sig_a, n_b, sig_b, percent: int) -> np.ndarray:
@@ -310,7 +316,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("sid").alias("p"), F.col("n").alias("np"), F.col("sig").alias("gp"))
     right = sets.select(F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("sig").alias("gs"))
-    return pairs.join(left, "p").join(right, "s").select("p", "s", "np", "gp", "ns", "gs").mapInArrow(released(run), "p long, s long")
+    return _at_pivots(pairs, left).join(right, "s").select("p", "s", "np", "gp", "ns", "gs").mapInArrow(released(run), "p long, s long")
 
 
 def _arrays(docs: DataFrame, classes: DataFrame, pairs: DataFrame, known: list[DataFrame]) -> DataFrame:
@@ -328,7 +334,9 @@ def _arrays(docs: DataFrame, classes: DataFrame, pairs: DataFrame, known: list[D
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "x"])
 
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("doc_id", "text")
-    return written(texts.mapInArrow(released(arrays), "sid long, x binary").dropDuplicates(["sid"]), "jaccard-arrays")
+    out = written(texts.mapInArrow(released(arrays), "sid long, x binary").dropDuplicates(["sid"]), "jaccard-arrays")
+    discard(ids)
+    return out
 
 
 def _verified(pairs: DataFrame, arrays: list[DataFrame], percent: int) -> DataFrame:
@@ -347,14 +355,14 @@ def _verified(pairs: DataFrame, arrays: list[DataFrame], percent: int) -> DataFr
         payload = payload.unionByName(table)
     left = payload.select(F.col("sid").alias("p"), F.col("x").alias("xp"))
     right = payload.select(F.col("sid").alias("s"), F.col("x").alias("xs"))
-    return written(pairs.join(left, "p").join(right, "s").select("p", "s", "xp", "xs").mapInArrow(released(check), "p long, s long"), "jaccard-links")
+    return written(_at_pivots(pairs, left).join(right, "s").select("p", "s", "xp", "xs").mapInArrow(released(check), "p long, s long"), "jaccard-links")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components so far."""
     a = labels.select(F.col("node").alias("p"), F.col("label").alias("lp"))
     b = labels.select(F.col("node").alias("s"), F.col("label").alias("ls"))
-    return pairs.join(a, "p", "left").join(b, "s", "left").where("coalesce(lp, p) <> coalesce(ls, s)").select("p", "s")
+    return _at_pivots(pairs, a, "left").join(b, "s", "left").where("coalesce(lp, p) <> coalesce(ls, s)").select("p", "s")
 
 
 def _open_tiles(edges: DataFrame, labels: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -364,7 +372,7 @@ def _open_tiles(edges: DataFrame, labels: DataFrame, sets: DataFrame, parts: int
     members = edges.select("p", "s").unionByName(edges.select("p", F.col("p").alias("s")).distinct())
     members = members.join(labels.select(F.col("node").alias("s"), "label"), "s", "left").select("p", "s", F.coalesce("label", "s").alias("c"))
     groups = members.groupBy("p").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 2 and lo <> hi").select("p", F.ceil(F.col("k") / BLOCK).cast("int").alias("nb"))
-    placed = members.join(groups, "p").join(sets.select(F.col("sid").alias("s"), "n", "sig"), "s").withColumn("b", F.pmod(F.xxhash64("s"), F.col("nb")).cast("int"))
+    placed = _at_pivots(members, groups).join(sets.select(F.col("sid").alias("s"), "n", "sig"), "s").withColumn("b", F.pmod(F.xxhash64("s"), F.col("nb")).cast("int"))
     tiles = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("p", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "s", "c", "n", "sig", "b")
     ordered = tiles.repartition(parts, "p", "bi", "bj").sortWithinPartitions("p", "bi", "bj", "s")
 
@@ -413,26 +421,28 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     Two texts link when 100 * intersection >= percent * union of their shingle sets; the component id is the
     least id that links reach.  Null and empty texts have no shingles, link with nothing and are their own
     component; null ids stay null and never become a component id while a named row is in the component.
-    Repeated rows are rows of one class; other columns are ignored; an empty table gives an empty table.
+    Repeated rows are rows of one class; a very long text is one row of its set and is read whole; other columns
+    are ignored; an empty table gives an empty table.  The result is a table in the shared folder; all others
+    made on the way are deleted.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(_set_rows(docs), "jaccard-sets")
     texts = rows.where("kind = 0")
     counts = texts.agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).first()
-    # at most (mean set size) / FREQUENT shingles can be this frequent, however large the input
-    often = rows.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, FREQUENT * counts.docs)).toPandas().sort_values(["n", "sid"])
+    often = rows.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, FREQUENT * counts.docs))
+    often = often.orderBy(F.desc("n"), "sid").limit(MOST_FREQUENT).toPandas().sort_values(["n", "sid"])
     shingle = often["sid"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(shingle)
     frequent = (shingle[by], np.arange(len(shingle))[by])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((counts.shingles or 0) * 0.26 / PART_POSTINGS))
     classes = written(texts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
-    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(released_group(lambda pdf: _tile_edges(pdf, parts)), "bucket int, p binary, s binary, big binary, seen binary, asked binary")
-    edges = written(found.groupBy("bucket").applyInPandas(released_group(_bucket_edges), "p long, s long, big boolean, pair boolean"), "jaccard-edges")
+    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(released_group(_tile_edges), "p long, s long, big byte, seen int, asked byte")
+    edges = written(_edges(found), "jaccard-edges")
     candidates = written(_bounded(edges.where("pair").select("p", "s"), classes, percent), "jaccard-pairs")
     # one pivot for each set first: within a group of copies that already joins nearly all, and little is left to verify
     first = written(candidates.groupBy("s").agg(F.min("p").alias("p")).select("p", "s"), "jaccard-first")
-    arrays, found_links, labels = [], [], None
+    arrays, found_links, labels = [], [], components(first.limit(0).select(F.col("p").alias("a"), F.col("s").alias("b")))
     for step in range(3):
         if step == 0:
             pairs = first
@@ -443,16 +453,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
         if pairs.limit(1).count():
             arrays.append(_arrays(docs, classes, pairs, arrays))
             found_links.append(_verified(pairs, arrays, percent))
-        if found_links and (labels is None or pairs.limit(1).count()):
             all_links = found_links[0]
             for more in found_links[1:]:
                 all_links = all_links.unionByName(more)
+            discard(labels)
             labels = components(all_links.select(F.col("p").alias("a"), F.col("s").alias("b")))
-        elif labels is None:
-            labels = components(edges.limit(0).select(F.col("p").alias("a"), F.col("s").alias("b")))
-    for table in arrays:
-        discard(table)
+        discard(pairs)
     group = classes.join(labels, classes.sid == labels.node, "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
     least = group.groupBy("label").agg(F.min("rep").alias("component"))
     owner = group.join(least, "label").select(F.col("sid").alias("own"), "component")
-    return texts.join(owner, texts.sid == owner.own, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    result = texts.join(owner, texts.sid == owner.own, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    result = written(result, "jaccard-components")
+    discard(rows, classes, edges, candidates, labels, *arrays, *found_links)
+    return result
