@@ -33,6 +33,8 @@ MOST_FREQUENT = 200_000
 STRETCH_TEXTS = 5_000
 #: Postings that one task gathers, about.
 PART_POSTINGS = 1_500_000
+#: Parts at least: a pair comes from each part that holds shingles of both, so the rows a pair should not depend on the input.
+LEAST_PARTS = 64
 #: Shared shingles asked of the first parts of two sets that link; each part is longer by as many, less one.
 SHARED = 6
 #: Text bytes whose postings are packed together.
@@ -218,7 +220,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, parts: int, percent: int) -
     return docs.mapInArrow(released(run), "part int, sid binary, n binary, owner binary, token binary")
 
 
-def _tile_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+def _tile_edges(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Of all postings of some shingles: for each shingle and band tile, its least set as pivot and the others.
 
     One row for each pair of pivot and other: whether three or more sets met in one of its tiles, how many shared
@@ -261,8 +263,10 @@ def _tile_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     pivot, many = sid[begin][at], (distinct >= 3)[at]
     # a shingle counts for a pair in one tile only, that of the larger band
     seen = fresh & (np.maximum(band, band[begin][at]) == tile)
-    asked = np.minimum(shared_needed(size), shared_needed(size[begin][at]))
-    other = sid != pivot
+    asked = np.minimum(shared_needed(size, percent), shared_needed(size[begin][at], percent))
+    # sets that meet their pivot alone matter as a pair only, which their sizes may rule out
+    with_pivot = size[begin][at]
+    other = (sid != pivot) & (many | (100 * np.minimum(size, with_pivot) >= percent * np.maximum(size, with_pivot)))
     return _merged_pairs(pivot[other], sid[other], many[other], seen[other], asked[other])
 
 
@@ -435,9 +439,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     shingle = often["sid"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(shingle)
     frequent = (shingle[by], np.arange(len(shingle))[by])
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((counts.shingles or 0) * 0.26 / PART_POSTINGS))
+    parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), int((counts.shingles or 0) * 0.26 / PART_POSTINGS))
     classes = written(texts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
-    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(released_group(_tile_edges), "p long, s long, big byte, seen int, asked byte")
+    found = _postings(docs, frequent, parts, percent).groupBy("part").applyInPandas(released_group(lambda pdf: _tile_edges(pdf, percent)), "p long, s long, big byte, seen int, asked byte")
     edges = written(_edges(found), "jaccard-edges")
     candidates = written(_bounded(edges.where("pair").select("p", "s"), classes, percent), "jaccard-pairs")
     # one pivot for each set first: within a group of copies that already joins nearly all, and little is left to verify
