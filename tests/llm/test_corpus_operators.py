@@ -46,10 +46,10 @@ def corpus(seed, n=120):
 
 def test_suffix_order_with_common_prefixes():
     rng = np.random.default_rng(1)
-    for _ in range(25):
+    for _ in range(60):
         strings = [bytes(rng.integers(97, 97 + rng.integers(1, 4), rng.integers(1, 25)).astype(np.uint8)) for _ in range(rng.integers(1, 10))]
         size = np.array([len(s) for s in strings])
-        owner, length, common = suffix_dedup.suffix_order(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size)
+        owner, length, common = suffix_dedup.suffix_order(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, block=int(rng.choice([1, 2, 5, 17, 1000])))
         want = sorted((tuple(b + 1000 for b in s[len(s) - k :]) + (i,), i, k) for i, s in enumerate(strings) for k in range(len(s) + 1))
         assert list(zip(owner.tolist(), length.tolist())) == [(i, k) for _, i, k in want]
         shared = [next((n for n in range(99) if n >= min(len(a), len(b)) or a[n] != b[n])) for (a, _, _), (b, _, _) in zip(want, want[1:])]

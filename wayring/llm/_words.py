@@ -179,3 +179,15 @@ def released_group(run: Callable[[Any], Any]) -> Callable[[Any], Any]:
             release()
 
     return wrapped
+
+
+def released_pair(run: Callable[[Any, Any], Any]) -> Callable[[Any, Any], Any]:
+    """The same for a function of two groups of one key."""
+
+    def wrapped(left: Any, right: Any) -> Any:
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return wrapped

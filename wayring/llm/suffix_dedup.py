@@ -1,56 +1,63 @@
 """Suffix-array dedup (operator 3): column-wise construction of a collection's Burrows-Wheeler transform.
 
-Which bytes repeat is decided on strings of 50 bytes.  To build the suffix order piecewise, every text is cut
-into overlapping segments: each 50-byte string is keyed by the least hash of its 8-byte substrings, and a
-maximal run of strings of one key is one segment.  Equal strings have equal keys, so they meet in one part of
-the corpus and nowhere else.
-
-Within a part, segments that occur whole in a text of smaller id repeat throughout.  The other segments that
-share a string form a collection; its transform and its common prefixes are built from the right, one symbol of
-every segment per round, in files that each round reads and writes in sequence.  Runs of common prefixes of 50
-or more are the occurrences of one string; it repeats wherever its least id is smaller than the segment's.
+Which bytes repeat is decided on strings of 50 bytes.  Every text is cut into overlapping segments: each string
+is keyed by the least hash of its 24-byte substrings, and a maximal run of strings of one key is one segment.
+Equal strings have equal keys.  The texts are dealt into buckets once; a segment's key is known to be in one
+bucket only, and in one row of it, before any of its bytes is sent (:func:`_key_rows`, :func:`_shared_keys`).  The
+other segments go to the part of their key, those of one bucket that are equal once, with their least id.
+
+Within a part all segments form collections, equal ones being one string.  A collection's transform and its
+common prefixes are built from the right, one symbol of every string per round: each round reads the files of
+the last one in sequence, in blocks of bounded size, and writes its own.  Rows that follow each other with common
+prefixes of 50 or more are the occurrences of one string; it repeats wherever its least id is smaller than the
+segment's.  The spans go back to the buckets.  Hashes only route and leave out what cannot repeat; a collision
+brings strings together that the suffix order then tells apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayring.llm._words import _powers, mix, prefix_hash, ragged, slices, span_hash, released, released_group
+from wayring.llm._words import eights, mix, ragged, released_group, released_pair, slices
 
 #: Length of the strings that count as repeated.
 LENGTH = 50
 #: Length of the substrings whose least hash keys a string.
-SEED = 8
+SEED = 24
 #: Strings of a segment at most; longer runs are cut, which keeps their key.
 RUN = 64
-#: Raw bytes of segments that one task gathers, about, and of those that it puts in suffix order together.
-PART_BYTES = 32 << 20
-COLLECTION_BYTES = 2 << 20
-#: Turns in which a task takes the segments of its part, by key.
-TURNS = 16
-#: Bytes of text whose segments are dealt together, so that what goes to one part compresses well.
-DEAL_BYTES = 16 << 20
+#: Text bytes of a bucket, about.
+BUCKET_BYTES = 24 << 20
+#: Bytes of distinct segments that are put in suffix order together; a key with more has a collection of its own.
+COLLECTION_BYTES = 4 << 20
+#: Rows of a block in which the column files are read and written.
+BLOCK_ROWS = 1 << 18
+#: Text bytes that are cut into segments at once.
+CUT_BYTES = 1 << 20
 
 
 def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, size, document and key of each segment; every string of ``length`` bytes of a text lies in one."""
+    """Start, size, document and key of each segment; every string of ``length`` bytes of a text lies in one.
+
+    Keys have 48 bits; ``seed`` is a multiple of 8.
+    """
     n, width = len(buf), length - seed + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint32)
-    prefix = prefix_hash(buf)
-    _, inv = _powers(n + 1)
-    least = (mix((prefix[seed:] - prefix[:-seed]) * inv[: n - seed + 1]) >> np.uint64(32)).astype(np.uint32)
+        return none, none, none, none.astype(np.uint64)
+    data = eights(buf)
+    total = np.zeros(n - seed + 1, np.uint64)
+    for k in range(0, seed, 8):
+        total ^= (data[k : k + len(total)] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15 + (k << 33))
+    least = mix(total) >> np.uint64(16)
     size = 1
     while 2 * size <= width:
         least = np.minimum(least[:-size], least[size:])
@@ -76,26 +83,6 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int
     return begin, count + length - 1, np.searchsorted(offs, begin, "right") - 1, least[begin]
 
 
-class ColumnFiles:
-    """The rows of a growing suffix order, one file per attribute and round, read and written in sequence."""
-
-    KINDS = {"symbol": np.uint8, "common": np.uint8, "owner": np.int32, "size": np.uint8}
-
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
-        self.round = 0
-
-    def read(self, name: str) -> np.ndarray:
-        return np.fromfile(f"{self.folder}/{name}-{self.round}", self.KINDS[name])
-
-    def next_round(self, **rows: np.ndarray) -> None:
-        for name, x in rows.items():
-            x.astype(self.KINDS[name], copy=False).tofile(f"{self.folder}/{name}-{self.round + 1}")
-            if self.round:
-                os.unlink(f"{self.folder}/{name}-{self.round}")
-        self.round += 1
-
-
 def _range_least(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(rows[low..high]) for each pair, from minima over powers of two of rows."""
     level = np.log2(np.maximum(high - low + 1, 1)).astype(np.int64)
@@ -111,51 +98,132 @@ def _range_least(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return out
 
 
-def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, size and common prefix with its predecessor of every suffix of the strings, in suffix order.
+class ColumnFiles:
+    """The rows of a growing suffix order in one file per attribute, read and written in sequence, block by block.
 
-    Round j inserts the suffix of size j of every string that has one.  Its place follows from the order of the
-    suffix it extends: rows sorted by the symbol before them, ties in row order, are the order after the round.
-    The common prefix of two neighbours that begin alike is one more than the least over the rows between the
-    suffixes they extend.  Each string ends with a mark of its own that is less than any symbol.
+    A round reads the files of the last round and writes new ones.  They lie in a scratch folder of the task and
+    go with it; a lost task builds them anew.
     """
-    m = len(starts)
-    ends = starts + sizes
 
-    def before(owner: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The symbol in front of a suffix, 0 at a string's start; symbols are bytes plus one (0xFF is no UTF-8)."""
-        inside = size < sizes[owner]
-        out = np.zeros(len(owner), np.uint8)
-        out[inside] = buf[(ends[owner] - size - 1)[inside]] + np.uint8(1)
-        return out
+    KINDS = {"symbol": np.uint8, "common": np.uint8, "row": np.int64}
+
+    def __init__(self, folder: str, block: int) -> None:
+        self.folder, self.block, self.round, self.rows = folder, block, 0, 0
+
+    def path(self, name: str, turn: int) -> str:
+        return f"{self.folder}/{name}-{turn % 2}"
+
+    def blocks(self, *names: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """First row and the named attributes of each block."""
+        files = [open(self.path(n, self.round), "rb") for n in names]  # noqa: SIM115
+        try:
+            for at in range(0, self.rows, self.block):
+                yield at, [np.fromfile(f, self.KINDS[n], self.block) for f, n in zip(files, names, strict=True)]
+        finally:
+            for f in files:
+                f.close()
+
+    def write(self, blocks: Iterator[tuple[np.ndarray, ...]]) -> None:
+        """The next round's rows; tuples of all attributes."""
+        files = [open(self.path(n, self.round + 1), "wb") for n in self.KINDS]  # noqa: SIM115
+        self.written = 0
+        try:
+            for arrays in blocks:
+                self.written += len(arrays[0])
+                for f, x, kind in zip(files, arrays, self.KINDS.values(), strict=True):
+                    x.astype(kind, copy=False).tofile(f)
+        finally:
+            for f in files:
+                f.close()
+        self.round, self.rows = self.round + 1, self.written
+
+
+def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, size and common prefix with its predecessor of every suffix of the strings, in suffix order.
 
+    Round j inserts the suffix of size j of every string that has one.  Its place follows from the suffix that it
+    extends: rows counted by the symbol before them, ties in row order, are the order after the round.  The
+    common prefix of two neighbours that begin alike is one more than the least over the rows between the
+    suffixes they extend.  A first pass over the files finds places and common prefixes of the new suffixes and
+    of those that follow them, a second one merges the new rows.  Each string ends with a mark of its own that is
+    less than any symbol.  Symbols are bytes plus one (0xFF is no UTF-8), 0 at a string's start; strings have at
+    most 254 bytes.
+    """
+    m = len(starts)
+    # every string behind a 0 and shifted by it, so that each suffix, the empty ones too, has a place of its own
+    first = np.cumsum(sizes + 1) - sizes
+    text = np.zeros(int(sizes.sum()) + m + 1, np.uint8)
+    text[ragged(first, sizes)] = buf[ragged(starts, sizes)] + np.uint8(1)
     with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        files = ColumnFiles(folder)
-        everyone = np.arange(m, dtype=np.int32)
-        files.next_round(symbol=before(everyone, np.zeros(m, np.int64)), common=np.zeros(m, np.uint8), owner=everyone, size=np.zeros(m, np.uint8))
-        for j in range(1, int(sizes.max()) + 1 if m else 0):
-            symbol, common, owner, size = (files.read(x) for x in ("symbol", "common", "owner", "size"))
-            order = np.argsort(symbol, kind="stable")[int((symbol == 0).sum()) :]
-            new = size[order] == j - 1
-            # common prefixes of the rows that are new or follow a new one
-            touched = np.flatnonzero(new | np.concatenate([[False], new[:-1]]))
-            alike = touched[touched > 0]
-            alike = alike[symbol[order[alike]] == symbol[order[alike - 1]]]
-            value = np.zeros(len(order), np.uint8)
-            value[alike] = _range_least(common, order[alike - 1] + 1, order[alike]) + np.uint8(1)
-            place = np.concatenate([np.zeros(m, bool), new])
-
-            def merged(old: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-                out = np.empty(len(place), old.dtype)
-                out[place] = fresh
-                out[~place] = old
-                return out
-
-            own = owner[order[new]]
-            longer = merged(common, np.zeros(len(own), np.uint8))
-            longer[m + touched] = value[touched]
-            files.next_round(symbol=merged(symbol, before(own, np.full(len(own), j))), common=longer, owner=merged(owner, own), size=merged(size, np.full(len(own), j, np.uint8)))
-        return files.read("owner"), files.read("size").astype(np.int64), files.read("common").astype(np.int64)
+        files = ColumnFiles(folder, block)
+        at, row = np.arange(m), first + sizes  # rows of the last round: their places in the file, and what they are
+        counts = np.bincount(text[row - 1], minlength=256)
+        files.write((text[row[a : a + block] - 1], np.zeros(len(row[a : a + block]), np.uint8), row[a : a + block]) for a in range(0, m, block))
+        while len(at):
+            base = m + np.concatenate([[0, 0], np.cumsum(counts[1:-1])])
+            seen, since, new_before = np.zeros(256, np.int64), np.full(256, 255, np.uint8), np.zeros(256, bool)
+            found = []
+            for a, (symbol, common) in files.blocks("symbol", "common"):
+                x, y = np.searchsorted(at, [a, a + len(symbol)])
+                fresh, rows = np.zeros(len(symbol), bool), np.zeros(len(symbol), np.int64)
+                fresh[at[x:y] - a] = True
+                rows[at[x:y] - a] = row[x:y]
+                order = np.argsort(symbol, kind="stable")[int((symbol == 0).sum()) :]
+                if len(order):
+                    begins = symbol[order]
+                    head = np.flatnonzero(np.concatenate([[True], begins[1:] != begins[:-1]]))
+                    tail = np.append(head[1:], len(order)) - 1
+                    here = begins[head]
+                    new = fresh[order]
+                    after = np.concatenate([[False], new[:-1]])
+                    after[head] = new_before[here]
+                    is_head = np.zeros(len(order), bool)
+                    is_head[head] = True
+                    touched = np.flatnonzero(new | after)
+                    c, leads, place = begins[touched], is_head[touched], order[touched]
+                    low = np.where(leads, 0, order[touched - 1] + 1)
+                    least = _range_least(common, low, place)
+                    least = np.where(leads, np.minimum(least, since[c]), least).astype(np.int64)
+                    rank = seen[c] + touched - head[np.searchsorted(head, touched, "right") - 1]
+                    value = np.where(rank == 0, 0, least + 1)  # the first row that begins with c has no such neighbour
+                    found.append((base[c] + rank, value.astype(np.uint8), new[touched], rows[place] - 1))
+                since = np.minimum(since, common.min())
+                if len(order):
+                    rest = np.append(np.minimum.accumulate(common[::-1])[::-1], 255)
+                    since[here] = rest[order[tail] + 1]
+                    new_before[here] = new[tail]
+                    seen[here] += tail - head + 1
+            if not found:
+                break
+            place, value, new, moved = (np.concatenate(f) for f in zip(*found, strict=True))
+            by = np.argsort(place)
+            place, value, new, moved = place[by], value[by], new[by], moved[by]
+            at, row = place[new], moved[new]
+            ahead = text[row - 1]
+            counts += np.bincount(ahead, minlength=256)
+            old_before = at - np.arange(len(at))
+
+            def merged(old: list[np.ndarray], a: int) -> tuple[np.ndarray, ...]:
+                stop = a + len(old[0])
+                x, y = np.searchsorted(old_before, [a, stop if stop < files.rows else stop + 1])
+                is_new = np.zeros(len(old[0]) + y - x, bool)
+                is_new[at[x:y] - (a + x)] = True
+                is_old = ~is_new
+                out = []
+                for kept, added in zip(old, (ahead[x:y], np.zeros(y - x, np.uint8), row[x:y]), strict=True):
+                    both = np.empty(len(is_new), kept.dtype)
+                    both[is_old] = kept
+                    both[is_new] = added
+                    out.append(both)
+                u, v = np.searchsorted(place, [a + x, a + x + len(is_new)])
+                out[1][place[u:v] - (a + x)] = value[u:v]
+                return tuple(out)
+
+            files.write(merged(old, a) for a, old in files.blocks(*ColumnFiles.KINDS))
+        parts = [arrays for _, arrays in files.blocks("row", "common")]
+    row, common = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+    owner = np.searchsorted(first, row, "right") - 1
+    return owner, (first + sizes)[owner] - row, common.astype(np.int64)
 
 
 def repeated_starts(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -169,220 +237,258 @@ def repeated_starts(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids:
     return owner[hit].astype(np.int64), sizes[owner[hit]] - size[hit]
 
 
-def _dealt(docs: DataFrame, parts: int, length: int) -> DataFrame:
-    """(part, arrays): all segments, dealt by key, as compressed arrays."""
-    names = ["id", "key", "count", "pos", "size", "turn", "data"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        held: list[tuple] = []
-
-        def deal() -> Iterator[pa.RecordBatch]:
-            for k in range(parts):
-                some = [(x, x["cut"][k], x["cut"][k + 1]) for x in held if x["cut"][k] < x["cut"][k + 1]]
-                if some:
-                    data = [np.concatenate([x[n][x["at"][k] : x["at"][k + 1]] if n == "data" else x[n][a:z] for x, a, z in some]) for n in ("ids", "keys", "pos", "size", "turn", "data")]
-                    first = np.flatnonzero(np.concatenate([[True], (data[0][1:] != data[0][:-1]) | (data[1][1:] != data[1][:-1])]))
-                    data = [data[0][first], data[1][first], np.diff(np.append(first, len(data[0]))).astype(np.int32), np.diff(data[2], prepend=0).astype(np.int32), *data[3:]]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([pack(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes())], pa.binary()) for x in data)], names=["part", *names])
-            held.clear()
-
-        text = 0
-        for batch in batches:
-            for part, buf, offs in slices(batch, 2):
-                begin, size, doc, least = segments(buf, offs, length)
-                mixed = mix(least.astype(np.uint64))
-                to = (mixed % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(to, kind="stable")
-                begin, size, doc, to = begin[by], size[by], doc[by], to[by]
-                cut = np.searchsorted(to, np.arange(parts + 1))
-                turn = (mixed[by] >> np.uint64(56)).astype(np.uint8) % np.uint8(TURNS)
-                held.append({"ids": part.column(0).to_numpy()[doc], "keys": part.column(1).to_numpy()[doc], "pos": (begin - offs[doc]).astype(np.int32), "size": size.astype(np.uint8), "turn": turn, "data": buf[ragged(begin, size)], "cut": cut, "at": np.concatenate([[0], np.cumsum(size)])[cut]})
-                text += len(buf)
-                if text >= DEAL_BYTES:
-                    yield from deal()
-                    text = 0
-        yield from deal()
-
-    return docs.mapInArrow(released(run), "part int, " + ", ".join(f"{n} binary" for n in names))
-
-
-def _unpacked(blob: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
-
-
-#: Ids are spread over buckets by their rest by this prime.
-SPREAD = 1_000_003
-
+def _pack(x: np.ndarray) -> bytes:
+    """An array as compressed byte planes."""
+    x = np.ascontiguousarray(x)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"", 3)
+
+
+def _unpack(blob: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _batch(names: list[str], rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32() if n in ("bucket", "part", "kind") else pa.binary() for n in names]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+class Bucket:
+    """The texts of one bucket: their bytes, their segments, and the keys that several of its rows have."""
+
+    def __init__(self, table: pa.Table, length: int) -> None:
+        ids, parts, sizes = [], [], []
+        for batch in table.to_batches():
+            for part, buf, offs in slices(batch, batch.schema.get_field_index("text")):
+                ids.append(part.column("doc_id"))
+                parts.append(buf)
+                sizes.append(np.diff(offs))
+        self.id = pa.chunked_array(ids, pa.int64()).combine_chunks()
+        self.ids, self.named = self.id.fill_null(0).to_numpy(zero_copy_only=False), self.id.is_valid().to_numpy(zero_copy_only=False)
+        self.buf, self.sizes = np.concatenate([np.zeros(0, np.uint8), *parts]), np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.offs = np.concatenate([[0], np.cumsum(self.sizes)])
+        found, k = [], 0
+        while k < len(self.sizes):
+            z = max(k + 1, int(np.searchsorted(self.offs, self.offs[k] + CUT_BYTES, "right")) - 1)
+            begin, size, doc, key = segments(self.buf[self.offs[k] : self.offs[z]], self.offs[k : z + 1] - self.offs[k], length)
+            own = self.named[doc + k]
+            found.append((begin[own] + self.offs[k], size[own], doc[own] + k, key[own]))
+            k = z
+        none = np.zeros(0, np.int64)
+        self.begin, self.size, self.doc, self.key = (np.concatenate(x) for x in zip((none, none, none, none.astype(np.uint64)), *found, strict=True))
+        order = np.argsort(self.key, kind="stable")
+        sorted_keys = self.key[order]
+        head = np.flatnonzero(np.concatenate([np.ones(min(len(order), 1), bool), sorted_keys[1:] != sorted_keys[:-1]]))
+        self.keys = sorted_keys[head]
+        self.several = np.zeros(len(head), bool)
+        if len(head):
+            docs = self.doc[order]
+            self.several = np.minimum.reduceat(docs, head) != np.maximum.reduceat(docs, head)
+
+    def by_part(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys in the order in which they are sent, and where each part's begin."""
+        part = (self.keys % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+    def choose(self, answers: Iterator[tuple[int, bytes]], parts: int) -> None:
+        """Keep the segments whose keys other rows have too; equal ones are one, in a fixed order by part, key and bytes."""
+        order, cut = self.by_part(parts)
+        shared = self.several.copy()
+        for part, bits in answers:
+            own = order[cut[part] : cut[part + 1]]
+            shared[own] |= np.unpackbits(np.frombuffer(zstandard.decompress(bits), np.uint8), count=len(own)).astype(bool)
+        number = np.searchsorted(self.keys, self.key)
+        chosen = np.flatnonzero(shared[number]) if len(number) else number
+        self.begin, self.size, self.doc, self.key = self.begin[chosen], self.size[chosen], self.doc[chosen], self.key[chosen]
+        part = (self.key % np.uint64(parts)).astype(np.int64)
+        # equal segments by their bytes: rows of fixed width, part and key in front
+        head = np.stack([part.astype(">u8"), self.key.astype(">u8")], axis=1).view(np.uint8).reshape(-1, 16)
+        rows = np.concatenate([head, padded(self.buf, self.begin, self.size)], axis=1)
+        _, one, self.kind = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True) if len(rows) else (None, number[:0], number[:0])
+        self.one = one
+        self.least = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.kind, self.ids[self.doc])
+        self.cut = np.searchsorted(part[one], np.arange(parts + 1))
+
+
+def padded(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings as rows of one width, filled up with zeros and closed by their size."""
+    width = int(size.max()) if len(size) else 0
+    out = np.zeros((len(size), width + 1), np.uint8)
+    inside = np.arange(width)[None, :] < size[:, None]
+    out[:, :width][inside] = buf[ragged(begin, size)]
+    out[:, width] = size
+    return out
 
-def _repeats(pdf: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
-    """Of all segments of some keys: per text, the spans whose strings also start in a text of a smaller id.
 
-    One row for each bucket of ids: the texts' ids and keys, how many spans each has, and the spans.
+def _key_rows(table: pa.Table, parts: int, length: int) -> pa.Table:
+    """(part, bucket, keys): the distinct keys of a bucket, dealt by key."""
+    number, bucket = table.column("bucket")[0].as_py(), Bucket(table, length)
+    order, cut = bucket.by_part(parts)
+    rows = []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        rows.append((k, number, _pack(np.diff(bucket.keys[order[cut[k] : cut[k + 1]]], prepend=np.uint64(0)))))
+    return _batch(["part", "bucket", "keys"], rows)
+
+
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """(bucket, part, bits): which keys of each bucket's blob another bucket has too."""
+    part = table.column("part")[0].as_py()
+    buckets, keys = table.column("bucket").to_pylist(), [np.cumsum(_unpack(b, np.uint64), dtype=np.uint64) for b in table.column("keys").to_pylist()]
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    same = flat[order[1:]] == flat[order[:-1]]
+    shared = np.zeros(len(flat), bool)
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    ends = np.cumsum([len(k) for k in keys])
+    rows = [(b, part, zstandard.compress(np.packbits(shared[z - len(k) : z]).tobytes(), 3)) for b, k, z in zip(buckets, keys, ends.tolist(), strict=True) if shared[z - len(k) : z].any()]
+    return _batch(["bucket", "part", "bits"], rows)
+
+
+def _answers(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+    return zip(table.column("part").to_pylist(), table.column("bits").to_pylist(), strict=True)
+
+
+def _segment_rows(texts: pa.Table, answers: pa.Table, parts: int, length: int) -> pa.Table:
+    """(part, bucket, keys, sizes, ids, data): the chosen distinct segments of a bucket with their least ids."""
+    rows, number, bucket = [], texts.column("bucket")[0].as_py(), Bucket(texts, length)
+    bucket.choose(_answers(answers), parts)
+    for k in np.flatnonzero(np.diff(bucket.cut)).tolist():
+        a, z = bucket.cut[k], bucket.cut[k + 1]
+        one = bucket.one[a:z]
+        size = bucket.size[one]
+        data = zstandard.compress(bucket.buf[ragged(bucket.begin[one], size)].tobytes(), 3)
+        rows.append((k, number, _pack(np.diff(bucket.key[one], prepend=np.uint64(0))), _pack(size.astype(np.uint8)), _pack(bucket.least[a:z]), data))
+    return _batch(["part", "bucket", "keys", "sizes", "ids", "data"], rows)
+
+
+def _repeats(table: pa.Table, length: int) -> pa.Table:
+    """(bucket, part, spans): of the segments of some keys, which strings also start in a text of a smaller id.
+
+    A span names the segment's place in its bucket's blob and the first and last byte (plus one) that repeat.
     """
-    ids, keys, pos, size, turn, data = [], [], [], [], [], []
-    for r in pdf.itertuples():
-        count = _unpacked(r.count, np.int32)
-        ids.append(np.repeat(_unpacked(r.id, np.int64), count))
-        keys.append(np.repeat(_unpacked(r.key, np.int32), count))
-        pos.append(np.cumsum(_unpacked(r.pos, np.int32)))
-        size.append(_unpacked(r.size, np.uint8))
-        turn.append(_unpacked(r.turn, np.uint8))
-        data.append(_unpacked(r.data, np.uint8))
-    ids, keys, pos, turn, buf = (np.concatenate(x) for x in (ids, keys, pos, turn, data))
-    size = np.concatenate(size).astype(np.int64)
-    del data
+    part = table.column("part")[0].as_py()
+    buckets = np.array(table.column("bucket").to_pylist())
+    columns = {c: [_unpack(b, t) for b in table.column(c).to_pylist()] for c, t in (("keys", np.uint64), ("sizes", np.uint8), ("ids", np.int64))}
+    each = np.array([len(x) for x in columns["sizes"]])
+    key = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in columns["keys"]])
+    size, ids = np.concatenate(columns["sizes"]).astype(np.int64), np.concatenate(columns["ids"])
+    buf = np.frombuffer(b"".join(zstandard.decompress(b) for b in table.column("data").to_pylist()), np.uint8)
     begin = np.cumsum(size) - size
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # segment, first and last + 1 byte within it
-    waiting: list[tuple] = []  # holders that share strings: segment, first byte, length, hash
-
-    def collect() -> None:
-        """The suffix order of what waits; spans of its repeated strings for every copy of the same id."""
-        if not waiting:
-            return
-        holder, first, n, copies = (np.concatenate(x) for x in zip(*[w[:4] for w in waiting], strict=True))
-        rows = pd.concat([w[4] for w in waiting], ignore_index=True)
-        waiting.clear()
-        own = buf[ragged(begin[holder] + first, n)]
-        segment, at_byte = repeated_starts(own, np.cumsum(n) - n, n, ids[holder], length)
-        if not len(segment):
-            return
-        order = np.lexsort((at_byte, segment))
-        segment, at_byte = segment[order], at_byte[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (segment[1:] != segment[:-1]) | (at_byte[1:] != at_byte[:-1] + 1)
-        a = np.flatnonzero(head)
-        z = np.append(a[1:], len(order)) - 1
-        runs = pd.DataFrame({"h": copies[segment[a]], "a": at_byte[a] + first[segment[a]], "z": at_byte[z] + first[segment[a]] + length})
-        hit = rows.merge(runs, on="h")
-        found.append((hit["s"].to_numpy(np.int64), hit["a"].to_numpy(np.int64), hit["z"].to_numpy(np.int64)))
-
-    by = np.argsort(turn, kind="stable")
-    cut = np.searchsorted(turn[by], np.arange(TURNS + 1))
-    bytes_waiting = 0
-    for k in range(TURNS):
-        at = by[cut[k] : cut[k + 1]]
-        if not len(at):
-            continue
-        own = buf[ragged(begin[at], size[at])]
-        start = np.cumsum(size[at]) - size[at]
-        prefix = prefix_hash(own)
-        whole = span_hash(prefix, start, start + size[at])
-        # distinct segments, each held by its least id
-        order = np.lexsort((ids[at], whole))
-        head = np.ones(len(order), bool)
-        head[1:] = whole[order[1:]] != whole[order[:-1]]
-        holder = order[head]
-        least_id = ids[at][holder][np.cumsum(head) - 1]
-        is_later = ids[at][order] > least_id
-        later, first_ones = order[is_later], order[~is_later]
-        found.append((at[later], np.zeros(len(later), np.int64), size[at][later]))
-        # those of the distinct segments that share a string with another one, from the first such string to the last
-        count = size[at][holder] - length + 1
-        strings = ragged(start[holder], count)
-        h = span_hash(prefix, strings, strings + length)
-        ranked = np.argsort(h)
-        same = h[ranked[1:]] == h[ranked[:-1]]
-        twice = np.zeros(len(h), bool)
-        twice[ranked[1:][same]] = True
-        twice[ranked[:-1][same]] = True
-        where = np.flatnonzero(twice)
-        owner = np.searchsorted(np.cumsum(count), where, "right")
-        kept, one = np.unique(owner, return_index=True)
-        if len(kept):
-            base = (np.cumsum(count) - count)[kept]
-            first = where[one] - base
-            last = where[np.append(one[1:], len(where)) - 1] - base
-            chosen = holder[kept]
-            held = first_ones[np.isin(whole[first_ones], whole[chosen])]
-            waiting.append((at[chosen], first, last - first + length, whole[chosen], pd.DataFrame({"h": whole[held], "s": at[held]})))
-            bytes_waiting += int((last - first + length).sum())
-            if bytes_waiting >= COLLECTION_BYTES:
-                collect()
-                bytes_waiting = 0
-    collect()
-    if not found:
-        return pd.DataFrame({c: [] for c in ("bucket", "ids", "keys", "counts", "spans")})
-    segment, a, z = (np.concatenate(x) for x in zip(*found, strict=True))
-    a, z, i, k = pos[segment] + a, pos[segment] + z, ids[segment], keys[segment]
-    bucket = i % SPREAD % buckets
-    order = np.lexsort((a, k, i, bucket))
-    a, z, i, k, bucket = a[order], z[order], i[order], k[order], bucket[order]
-    head = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(i) else np.zeros(0, int)
-    count = np.diff(np.append(head, len(i))).astype(np.int32)
-    both = np.stack([a, z], axis=1).astype(np.int32)
-    out = []
-    for d in np.unique(bucket):
-        x, y = np.searchsorted(bucket, [d, d + 1])
-        u, v = np.searchsorted(head, [x, y])
-        out.append((d, i[head[u:v]].tobytes(), k[head[u:v]].astype(np.int32).tobytes(), count[u:v].tobytes(), both[x:y].tobytes()))
-    return pd.DataFrame(out, columns=["bucket", "ids", "keys", "counts", "spans"])
-
-
-def covered(n: int, spans: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """Which of n bytes the spans cover, and the number of maximal covered runs."""
-    edge = np.zeros(n + 1, np.int32)
-    for both in spans:
-        np.add.at(edge, both[:, 0], 1)
-        np.add.at(edge, both[:, 1], -1)
-    out = np.cumsum(edge[:-1]) > 0
-    return out, int((out & ~np.concatenate([[False], out[:-1]])).sum()) if n else 0
+    home, place = np.repeat(np.arange(len(each)), each), ragged(np.zeros(len(each), np.int64), each)
+    # equal segments of several buckets are one string of the collection, with the least of their ids
+    rows = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), padded(buf, begin, size)], axis=1)
+    _, one, kind = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    del rows
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, ids)
+    found = []  # string, first and last + 1 byte that repeat
+    heads = np.flatnonzero(np.concatenate([[True], key[one][1:] != key[one][:-1]]))
+    bytes_before = np.concatenate([[0], np.cumsum(size[one])])
+    a = 0
+    while a < len(one):
+        z = int(np.searchsorted(bytes_before, bytes_before[a] + COLLECTION_BYTES, "right")) - 1
+        later = heads[(heads > a) & (heads <= z)]
+        z = int(later[-1]) if len(later) and z < len(one) else len(one) if z >= len(one) else int(np.append(heads[heads > a], len(one))[0])
+        own = one[a:z]
+        segment, at_byte = repeated_starts(buf, begin[own], size[own], least[a:z], length)
+        if len(segment):
+            order = np.lexsort((at_byte, segment))
+            segment, at_byte = segment[order], at_byte[order]
+            head = np.ones(len(order), bool)
+            head[1:] = (segment[1:] != segment[:-1]) | (at_byte[1:] != at_byte[:-1] + 1)
+            x = np.flatnonzero(head)
+            y = np.append(x[1:], len(order)) - 1
+            found.append((segment[x] + a, at_byte[x], at_byte[y] + length))
+        a = z
+    # a copy of a larger id repeats whole; the others in the spans of their string
+    later = np.flatnonzero(ids > least[kind])
+    out = [(later, np.zeros(len(later), np.int64), size[later])]
+    if found:
+        string, x, y = (np.concatenate(f) for f in zip(*found, strict=True))
+        count = np.bincount(string, minlength=len(one))
+        start = np.cumsum(count) - count
+        holders = np.flatnonzero((ids == least[kind]) & (count[kind] > 0))
+        pick = ragged(start[kind[holders]], count[kind[holders]])
+        order = np.argsort(string, kind="stable")
+        out.append((np.repeat(holders, count[kind[holders]]), x[order][pick], y[order][pick]))
+    segment, x, y = (np.concatenate(f) for f in zip(*out, strict=True))
+    order = np.argsort(segment, kind="stable")
+    segment, x, y = segment[order], x[order], y[order]
+    cut = np.searchsorted(home[segment], np.arange(len(each) + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        s = slice(cut[k], cut[k + 1])
+        rows.append((int(buckets[k]), part, _pack(np.stack([place[segment[s]], x[s], y[s]], axis=1).astype(np.int32))))
+    return _batch(["bucket", "part", "spans"], rows)
+
+
+def _without_repeats(texts: pa.Table, answers: pa.Table, parts: int, length: int, names: list[str]) -> pa.Table:
+    """The rows of a bucket with what is left of their texts; ``answers`` holds shared keys and spans."""
+    bucket = Bucket(texts, length)
+    is_bits = answers.column("bits").is_valid()
+    bucket.choose(_answers(answers.filter(is_bits)), parts)
+    edge = np.zeros(len(bucket.buf) + 1, np.int32)
+    later = bucket.ids[bucket.doc] > bucket.least[bucket.kind]
+    starts, ends = [bucket.begin[later]], [(bucket.begin + bucket.size)[later]]
+    by = np.argsort(bucket.kind, kind="stable")
+    count = np.bincount(bucket.kind, minlength=len(bucket.one))
+    first = np.cumsum(count) - count
+    spans = answers.filter(answers.column("spans").is_valid())
+    for part, blob in zip(spans.column("part").to_pylist(), spans.column("spans").to_pylist(), strict=True):
+        place, x, y = _unpack(blob, np.dtype((np.void, 12))).view(np.int32).reshape(-1, 3).T.astype(np.int64)
+        kind = place + bucket.cut[part]
+        copies = by[ragged(first[kind], count[kind])]
+        starts.append(bucket.begin[copies] + np.repeat(x, count[kind]))
+        ends.append(bucket.begin[copies] + np.repeat(y, count[kind]))
+    for places, step in ((starts, 1), (ends, -1)):
+        edge += (step * np.bincount(np.concatenate(places), minlength=len(edge))).astype(np.int32)
+    gone = np.cumsum(edge[:-1]) > 0
+    del edge
+    before = np.concatenate([[0], np.cumsum(gone)])
+    removed = np.diff(before[bucket.offs])
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    inner = bucket.offs[:-1][bucket.sizes > 0]
+    opens[inner] = gone[inner]
+    runs = np.diff(np.concatenate([[0], np.cumsum(opens)])[bucket.offs])
+    digests, kept = [], []
+    for k, (a, z, n) in enumerate(zip(bucket.offs[:-1].tolist(), bucket.offs[1:].tolist(), removed.tolist(), strict=True)):
+        left = (bucket.buf[a:z][~gone[a:z]] if n else bucket.buf[a:z]).tobytes()
+        digests.append(hashlib.sha256(left).hexdigest())
+        kept.append(left.decode(errors="ignore"))
+    head = [bucket.id, pa.array(bucket.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
+    rest = [texts.column(n).combine_chunks() for n in names]
+    return pa.Table.from_arrays([*head, *rest], names=[*COLUMNS, *names])
+
+
+COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of every row, with the columns of ``keep`` after them.
 
-    A byte goes if a string of ``length`` bytes that covers it also starts in a row of a smaller id.  ``kept_text``
-    holds the remaining bytes, without code points that lost a part.  Null texts are empty; rows of one id do not
-    count against each other; rows of a null id are left whole and count against none; other columns are ignored;
-    empty tables give empty tables.  The segments and the texts are shuffled once each.
+    A byte goes if a string of ``length`` bytes (24 to 190) that covers it also starts in a row of a smaller id.
+    ``kept_text`` holds the remaining bytes, without code points that lost a part.  Null texts are empty; rows of
+    one id do not count against each other; rows of a null id are left whole and count against none; a very long
+    text lies whole in one bucket; other columns are ignored; empty tables give empty tables.  The texts are
+    shuffled once, and that shuffle is read three times.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)))
-    rows = rows.withColumn("key", F.hash("text"))
+    names = [f"k{n}" for n in range(len(keep))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 3.2 / PART_BYTES) + 1)
-    dealt = _dealt(rows.where("doc_id is not null").select("doc_id", "key", "text"), parts, length)
-    found = dealt.groupBy("part").applyInPandas(released_group(lambda pdf: _repeats(pdf, length, parts)), "bucket int, ids binary, keys binary, counts binary, spans binary")
-    # what repeats in the texts of a bucket comes before the bucket's texts
-    texts = rows.withColumns({"bucket": F.coalesce(F.pmod(F.pmod("doc_id", F.lit(SPREAD)), F.lit(parts)), F.lit(0)).cast("int"), "kind": F.lit(1)})
-    both = texts.unionByName(found.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    ordered = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").select("bucket", "kind", "doc_id", "key", "text", "ids", "keys", "counts", "spans", *(f"k{n}" for n in range(len(keep))))
-    types = dict(rows.dtypes)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", k{n} {types[f'k{n}']}" for n in range(len(keep)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *(f"k{n}" for n in range(len(keep)))]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        current, spans = None, {}
-        for batch in batches:
-            for part, buf, offs in slices(batch, 4):
-                out: list[list] = [[], [], [], []]
-                chosen = []
-                head = zip(*(part.column(n).to_pylist() for n in range(4)), strict=True)
-                for k, (bucket, kind, doc, key) in enumerate(head):
-                    if bucket != current:
-                        current, spans = bucket, {}
-                    if kind == 0:
-                        ids, keys, counts = (np.frombuffer(part.column(c)[k].as_buffer(), t) for c, t in ((5, np.int64), (6, np.int32), (7, np.int32)))
-                        pieces = np.split(np.frombuffer(part.column(8)[k].as_buffer(), np.int32).reshape(-1, 2), np.cumsum(counts)[:-1])
-                        for pair, piece in zip(zip(ids.tolist(), keys.tolist(), strict=True), pieces, strict=True):
-                            spans.setdefault(pair, []).append(piece)
-                        continue
-                    chosen.append(k)
-                    text = buf[offs[k] : offs[k + 1]]
-                    left, runs = text.tobytes(), 0
-                    if (doc, key) in spans:
-                        gone, runs = covered(len(text), spans[doc, key])
-                        left = text[~gone].tobytes()
-                    for column, value in zip(out, (len(text) - len(left), runs, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")), strict=True):
-                        column.append(value)
-                if chosen:
-                    rest = part.select([2, *range(9, 9 + len(keep))]).take(pa.array(chosen))
-                    sizes = pa.array(np.diff(offs)[chosen], pa.int64())
-                    yield pa.RecordBatch.from_arrays([rest.column(0), sizes, *(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), *(rest.column(1 + n) for n in range(len(keep)))], names=names)
-
-    result = ordered.mapInArrow(released(run), schema)
-    return result.withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)}) if keep else result
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / BUCKET_BYTES) + 1)
+    texts = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "bucket")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", {n} {dict(rows.dtypes)[n]}" for n in names)
+
+    keyed = texts.groupBy("bucket").applyInArrow(released_group(lambda t: _key_rows(t, parts, length)), "part int, bucket int, keys binary")
+    shared = keyed.repartition(parts, "part").groupBy("part").applyInArrow(released_group(_shared_keys), "bucket int, part int, bits binary")
+    dealt = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(released_pair(lambda t, s: _segment_rows(t, s, parts, length)), "part int, bucket int, keys binary, sizes binary, ids binary, data binary")
+    spans = dealt.repartition(parts, "part").groupBy("part").applyInArrow(released_group(lambda t: _repeats(t, length)), "bucket int, part int, spans binary")
+    answers = shared.withColumn("spans", F.lit(None).cast("binary")).unionByName(spans.withColumn("bits", F.lit(None).cast("binary")))
+    result = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(released_pair(lambda t, s: _without_repeats(t, s, parts, length, names)), schema)
+    return result.withColumnsRenamed(dict(zip(names, keep, strict=True))) if keep else result
