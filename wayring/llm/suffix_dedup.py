@@ -1,7 +1,7 @@
 """Suffix-array dedup (operator 3): column-wise construction of a collection's Burrows-Wheeler transform.
 
 Which bytes repeat is decided on strings of 50 bytes.  Every text is cut into overlapping segments: each string
-is keyed by the least hash of its 24-byte substrings, and a maximal run of strings of one key is one segment.
+is keyed by the least hash of its 32-byte substrings, and a maximal run of strings of one key is one segment.
 Equal strings have equal keys.  The texts are dealt into buckets once; a segment's key is known to be in one
 bucket only, and in one row of it, before any of its bytes is sent (:func:`_key_rows`, :func:`_shared_keys`).  The
 other segments go to the part of their key, those of one bucket that are equal once, with their least id.
@@ -16,6 +16,7 @@ brings strings together that the suffix order then tells apart.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -31,17 +32,17 @@ from wayring.llm._words import eights, mix, ragged, released_group, released_pai
 #: Length of the strings that count as repeated.
 LENGTH = 50
 #: Length of the substrings whose least hash keys a string.
-SEED = 24
+SEED = 32
 #: Strings of a segment at most; longer runs are cut, which keeps their key.
 RUN = 64
 #: Text bytes of a bucket, about.
 BUCKET_BYTES = 24 << 20
 #: Bytes of distinct segments that are put in suffix order together; a key with more has a collection of its own.
-COLLECTION_BYTES = 4 << 20
-#: Rows of a block in which the column files are read and written.
-BLOCK_ROWS = 1 << 18
+COLLECTION_BYTES = 2 << 20
+#: Rows of a block in which the column files are read and written; twice as many at most pass at once, and 2**23 is the limit.
+BLOCK_ROWS = 1 << 17
 #: Text bytes that are cut into segments at once.
-CUT_BYTES = 1 << 20
+CUT_BYTES = 1 << 16
 
 
 def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,43 +100,100 @@ def _range_least(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 
 
 class ColumnFiles:
-    """The rows of a growing suffix order in one file per attribute, read and written in sequence, block by block.
+    """The rows of a growing suffix order, read and written in sequence, block by block.
 
-    A round reads the files of the last round and writes new ones.  They lie in a scratch folder of the task and
-    go with it; a lost task builds them anew.
+    A row is one number: what suffix it is, its common prefix with the row before, and the symbol before it.
+    A round reads the file of the last round and writes the other one of two.  They lie in a scratch folder of
+    the task and go with it; a lost task builds them anew.
     """
 
-    KINDS = {"symbol": np.uint8, "common": np.uint8, "row": np.int64}
-
     def __init__(self, folder: str, block: int) -> None:
-        self.folder, self.block, self.round, self.rows = folder, block, 0, 0
-
-    def path(self, name: str, turn: int) -> str:
-        return f"{self.folder}/{name}-{turn % 2}"
-
-    def blocks(self, *names: str) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """First row and the named attributes of each block."""
-        files = [open(self.path(n, self.round), "rb") for n in names]  # noqa: SIM115
-        try:
-            for at in range(0, self.rows, self.block):
-                yield at, [np.fromfile(f, self.KINDS[n], self.block) for f, n in zip(files, names, strict=True)]
-        finally:
-            for f in files:
-                f.close()
-
-    def write(self, blocks: Iterator[tuple[np.ndarray, ...]]) -> None:
-        """The next round's rows; tuples of all attributes."""
-        files = [open(self.path(n, self.round + 1), "wb") for n in self.KINDS]  # noqa: SIM115
-        self.written = 0
-        try:
-            for arrays in blocks:
-                self.written += len(arrays[0])
-                for f, x, kind in zip(files, arrays, self.KINDS.values(), strict=True):
-                    x.astype(kind, copy=False).tofile(f)
-        finally:
-            for f in files:
-                f.close()
-        self.round, self.rows = self.round + 1, self.written
+        self.block, self.turn, self.rows = block, 0, 0
+        self.files = [open(f"{folder}/rows-{k}", "w+b") for k in range(2)]  # noqa: SIM115
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The first row's number and the rows of each block."""
+        file = self.files[self.turn]
+        file.seek(0)
+        for at in range(0, self.rows, self.block):
+            yield at, np.fromfile(file, np.uint64, min(self.block, self.rows - at))
+
+    def write(self, blocks: Iterator[np.ndarray]) -> None:
+        """The next round's rows."""
+        file, rows = self.files[1 - self.turn], 0
+        file.seek(0)
+        for x in blocks:
+            rows += len(x)
+            x.tofile(file)
+        file.flush()
+        self.turn, self.rows = 1 - self.turn, rows
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
+
+
+def _rows(suffix: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Rows without a common prefix."""
+    return suffix.astype(np.uint64) << np.uint64(16) | symbol
+
+
+class Places:
+    """Where the next round's suffixes go, from the rows of this one as they pass by in sequence.
+
+    ``found`` gathers, for the rows that the next round adds and those that follow one of them: place, common
+    prefix, whether it is added, and the place of the row that it extends.
+    """
+
+    def __init__(self, at: np.ndarray, strings: int, counts: np.ndarray) -> None:
+        self.at = at  # places of the rows that this round added
+        self.base = strings + np.concatenate([[0, 0], np.cumsum(counts[1:-1])])
+        # by symbol: rows so far, the least common prefix since the last one, and whether that one was added
+        self.count, self.since, self.added = np.zeros(256, np.int64), np.full(256, 255, np.uint8), np.zeros(256, bool)
+        self.found: list[tuple[np.ndarray, ...]] = []
+
+    def seen(self, rows: np.ndarray, a: int) -> np.ndarray:
+        """Take in a block that begins at row ``a``; the block is returned as it is."""
+        columns = rows.view(np.uint8).reshape(-1, 8)
+        common = columns[:, 1].copy()
+        x, y = np.searchsorted(self.at, [a, a + len(rows)])
+        # symbol, row and whether this round added it in one number, which sorts faster than rows by symbol
+        order = columns[:, 0].astype(np.uint32) << np.uint32(24) | np.arange(0, 2 * len(rows), 2, dtype=np.uint32)
+        order[self.at[x:y] - a] |= np.uint32(1)
+        order.sort()
+        heads = np.searchsorted(order, np.arange(1, 256, dtype=np.uint32) << np.uint32(24))
+        since = np.minimum(self.since, common.min())
+        order, heads = order[heads[0] :], np.append(heads, len(order)) - heads[0]
+        if len(order):
+            here = np.flatnonzero(heads[1:] != heads[:-1]) + 1
+            head, tail = heads[here - 1], heads[here] - 1
+            new = (order.view(np.uint8)[::4] & 1).view(bool)
+            either = new.copy()
+            either[1:] |= new[:-1]
+            either[head] = new[head] | self.added[here]
+            touched = np.flatnonzero(either)
+            row_of = lambda k: ((order[k] & np.uint32((1 << 24) - 1)) >> np.uint32(1)).astype(np.int64)
+            place, c = row_of(touched), (order[touched] >> np.uint32(24)).astype(np.int64)
+            begin = heads[c - 1]
+            leads = touched == begin
+            least = _range_least(common, np.where(leads, 0, row_of(touched - 1) + 1), place)
+            least = np.where(leads, np.minimum(least, self.since[c]), least).astype(np.int64)
+            rank = self.count[c] + touched - begin
+            value = np.where(rank == 0, 0, least + 1)  # the first row that begins with c has no such neighbour
+            if len(touched):
+                self.found.append((self.base[c] + rank, value.astype(np.uint8), new[touched], place + a))
+            last = row_of(tail)
+            by = np.argsort(last)
+            ends = last[by] + 1
+            inside = ends[ends < len(common)]
+            rest = np.full(len(last), 255, np.uint8)
+            if len(inside):
+                rest[: len(inside)] = np.minimum.accumulate(np.minimum.reduceat(common, inside)[::-1])[::-1]
+            since[here[by]] = rest
+            self.added[here] = new[tail]
+            self.count[here] += tail + 1 - head
+        self.since = since
+        return rows
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +202,8 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block:
     Round j inserts the suffix of size j of every string that has one.  Its place follows from the suffix that it
     extends: rows counted by the symbol before them, ties in row order, are the order after the round.  The
     common prefix of two neighbours that begin alike is one more than the least over the rows between the
-    suffixes they extend.  A first pass over the files finds places and common prefixes of the new suffixes and
-    of those that follow them, a second one merges the new rows.  Each string ends with a mark of its own that is
+    suffixes they extend.  One pass over the file merges the new rows, and finds on the way places and common
+    prefixes of the next round's suffixes and of those that follow them.  Each string ends with a mark of its own that is
     less than any symbol.  Symbols are bytes plus one (0xFF is no UTF-8), 0 at a string's start; strings have at
     most 254 bytes.
     """
@@ -154,76 +212,40 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block:
     first = np.cumsum(sizes + 1) - sizes
     text = np.zeros(int(sizes.sum()) + m + 1, np.uint8)
     text[ragged(first, sizes)] = buf[ragged(starts, sizes)] + np.uint8(1)
-    with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        files = ColumnFiles(folder, block)
+    with tempfile.TemporaryDirectory(prefix="columns-") as folder, contextlib.closing(ColumnFiles(folder, block)) as files:
         at, row = np.arange(m), first + sizes  # rows of the last round: their places in the file, and what they are
-        counts = np.bincount(text[row - 1], minlength=256)
-        files.write((text[row[a : a + block] - 1], np.zeros(len(row[a : a + block]), np.uint8), row[a : a + block]) for a in range(0, m, block))
-        while len(at):
-            base = m + np.concatenate([[0, 0], np.cumsum(counts[1:-1])])
-            seen, since, new_before = np.zeros(256, np.int64), np.full(256, 255, np.uint8), np.zeros(256, bool)
-            found = []
-            for a, (symbol, common) in files.blocks("symbol", "common"):
-                x, y = np.searchsorted(at, [a, a + len(symbol)])
-                fresh, rows = np.zeros(len(symbol), bool), np.zeros(len(symbol), np.int64)
-                fresh[at[x:y] - a] = True
-                rows[at[x:y] - a] = row[x:y]
-                order = np.argsort(symbol, kind="stable")[int((symbol == 0).sum()) :]
-                if len(order):
-                    begins = symbol[order]
-                    head = np.flatnonzero(np.concatenate([[True], begins[1:] != begins[:-1]]))
-                    tail = np.append(head[1:], len(order)) - 1
-                    here = begins[head]
-                    new = fresh[order]
-                    after = np.concatenate([[False], new[:-1]])
-                    after[head] = new_before[here]
-                    is_head = np.zeros(len(order), bool)
-                    is_head[head] = True
-                    touched = np.flatnonzero(new | after)
-                    c, leads, place = begins[touched], is_head[touched], order[touched]
-                    low = np.where(leads, 0, order[touched - 1] + 1)
-                    least = _range_least(common, low, place)
-                    least = np.where(leads, np.minimum(least, since[c]), least).astype(np.int64)
-                    rank = seen[c] + touched - head[np.searchsorted(head, touched, "right") - 1]
-                    value = np.where(rank == 0, 0, least + 1)  # the first row that begins with c has no such neighbour
-                    found.append((base[c] + rank, value.astype(np.uint8), new[touched], rows[place] - 1))
-                since = np.minimum(since, common.min())
-                if len(order):
-                    rest = np.append(np.minimum.accumulate(common[::-1])[::-1], 255)
-                    since[here] = rest[order[tail] + 1]
-                    new_before[here] = new[tail]
-                    seen[here] += tail - head + 1
-            if not found:
-                break
-            place, value, new, moved = (np.concatenate(f) for f in zip(*found, strict=True))
+        ahead = text[row - 1]
+        counts = np.bincount(ahead, minlength=256)
+        places = Places(at, m, counts)
+        files.write(places.seen(_rows(row[a : a + block], ahead[a : a + block]), a) for a in range(0, m, block))
+        while places.found:
+            place, value, new, source = (np.concatenate(f) for f in zip(*places.found, strict=True))
             by = np.argsort(place)
-            place, value, new, moved = place[by], value[by], new[by], moved[by]
-            at, row = place[new], moved[new]
+            place, value, new, source = place[by], value[by], new[by], source[by]
+            row = row[np.searchsorted(at, source[new])] - 1
+            at = place[new]
             ahead = text[row - 1]
             counts += np.bincount(ahead, minlength=256)
-            old_before = at - np.arange(len(at))
+            added, old_before = _rows(row, ahead), at - np.arange(len(at))
+            places = Places(at, m, counts)
 
-            def merged(old: list[np.ndarray], a: int) -> tuple[np.ndarray, ...]:
-                stop = a + len(old[0])
+            def merged(old: np.ndarray, a: int) -> np.ndarray:
+                stop = a + len(old)
                 x, y = np.searchsorted(old_before, [a, stop if stop < files.rows else stop + 1])
-                is_new = np.zeros(len(old[0]) + y - x, bool)
-                is_new[at[x:y] - (a + x)] = True
-                is_old = ~is_new
-                out = []
-                for kept, added in zip(old, (ahead[x:y], np.zeros(y - x, np.uint8), row[x:y]), strict=True):
-                    both = np.empty(len(is_new), kept.dtype)
-                    both[is_old] = kept
-                    both[is_new] = added
-                    out.append(both)
-                u, v = np.searchsorted(place, [a + x, a + x + len(is_new)])
-                out[1][place[u:v] - (a + x)] = value[u:v]
-                return tuple(out)
-
-            files.write(merged(old, a) for a, old in files.blocks(*ColumnFiles.KINDS))
-        parts = [arrays for _, arrays in files.blocks("row", "common")]
-    row, common = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+                is_old = np.ones(len(old) + y - x, bool)
+                is_old[at[x:y] - (a + x)] = False
+                out = np.empty(len(is_old), np.uint64)
+                out[is_old] = old
+                out[at[x:y] - (a + x)] = added[x:y]
+                u, v = np.searchsorted(place, [a + x, a + x + len(out)])
+                out.view(np.uint8).reshape(-1, 8)[place[u:v] - (a + x), 1] = value[u:v]
+                return places.seen(out, a + x)
+
+            files.write(merged(old, a) for a, old in files.blocks())
+        rows = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in files.blocks())])
+    row = (rows >> np.uint64(16)).astype(np.int64)
     owner = np.searchsorted(first, row, "right") - 1
-    return owner, (first + sizes)[owner] - row, common.astype(np.int64)
+    return owner, (first + sizes)[owner] - row, (rows >> np.uint64(8)).astype(np.uint8).astype(np.int64)
 
 
 def repeated_starts(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +262,7 @@ def repeated_starts(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids:
 def _pack(x: np.ndarray) -> bytes:
     """An array as compressed byte planes."""
     x = np.ascontiguousarray(x)
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"", 3)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"", 1)
 
 
 def _unpack(blob: bytes, kind: type) -> np.ndarray:
@@ -277,9 +299,12 @@ class Bucket:
             k = z
         none = np.zeros(0, np.int64)
         self.begin, self.size, self.doc, self.key = (np.concatenate(x) for x in zip((none, none, none, none.astype(np.uint64)), *found, strict=True))
-        order = np.argsort(self.key, kind="stable")
+        order = np.argsort(self.key)
         sorted_keys = self.key[order]
-        head = np.flatnonzero(np.concatenate([np.ones(min(len(order), 1), bool), sorted_keys[1:] != sorted_keys[:-1]]))
+        fresh = np.concatenate([np.ones(min(len(order), 1), bool), sorted_keys[1:] != sorted_keys[:-1]])
+        head = np.flatnonzero(fresh)
+        self.number = np.empty(len(order), np.int64)  # of each segment's key
+        self.number[order] = np.cumsum(fresh) - 1
         self.keys = sorted_keys[head]
         self.several = np.zeros(len(head), bool)
         if len(head):
@@ -289,7 +314,7 @@ class Bucket:
     def by_part(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys in the order in which they are sent, and where each part's begin."""
         part = (self.keys % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = _by_part(part, parts)
         return order, np.searchsorted(part[order], np.arange(parts + 1))
 
     def choose(self, answers: Iterator[tuple[int, bytes]], parts: int) -> None:
@@ -299,28 +324,53 @@ class Bucket:
         for part, bits in answers:
             own = order[cut[part] : cut[part + 1]]
             shared[own] |= np.unpackbits(np.frombuffer(zstandard.decompress(bits), np.uint8), count=len(own)).astype(bool)
-        number = np.searchsorted(self.keys, self.key)
-        chosen = np.flatnonzero(shared[number]) if len(number) else number
+        number = self.number
+        chosen = np.flatnonzero(shared[number])
         self.begin, self.size, self.doc, self.key = self.begin[chosen], self.size[chosen], self.doc[chosen], self.key[chosen]
         part = (self.key % np.uint64(parts)).astype(np.int64)
-        # equal segments by their bytes: rows of fixed width, part and key in front
-        head = np.stack([part.astype(">u8"), self.key.astype(">u8")], axis=1).view(np.uint8).reshape(-1, 16)
-        rows = np.concatenate([head, padded(self.buf, self.begin, self.size)], axis=1)
-        _, one, self.kind = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True) if len(rows) else (None, number[:0], number[:0])
+        one, self.kind = distinct(self.buf, self.begin, self.size, self.key, part)
         self.one = one
         self.least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.kind, self.ids[self.doc])
         self.cut = np.searchsorted(part[one], np.arange(parts + 1))
 
 
-def padded(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The strings as rows of one width, filled up with zeros and closed by their size."""
-    width = int(size.max()) if len(size) else 0
-    out = np.zeros((len(size), width + 1), np.uint8)
-    inside = np.arange(width)[None, :] < size[:, None]
-    out[:, :width][inside] = buf[ragged(begin, size)]
-    out[:, width] = size
-    return out
+def distinct(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each set of equal strings, ordered by ``before`` (the last first) and their bytes' hash, and each string's number.
+
+    Strings of equal hash and size are compared byte by byte; should they differ, all are ordered by their bytes.
+    """
+    data, keep = eights(buf), np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    steps = range(0, int(size.max()) if len(size) else 0, 8)
+
+    def eight(k: np.ndarray, at: int) -> np.ndarray:
+        return data[np.minimum(begin[k] + at, len(buf))] & keep[np.clip(size[k] - at, 0, 8)]
+
+    everyone = np.arange(len(begin))
+    h = mix(size.astype(np.uint64))
+    for at in steps:
+        h = mix(h * np.uint64(0x9FB21C651E98DF25) ^ eight(everyone, at))
+    order = np.lexsort((h, *before))
+    new = np.ones(len(order), bool)
+    columns = [c[order] for c in (h, size, *before)]
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if len(order) else False
+    again = np.flatnonzero(~new)
+    one, two = order[again], order[again - 1]
+    if any((eight(one, at) != eight(two, at)).any() for at in steps):
+        width = int(size.max())
+        rows = np.zeros((len(size), width), np.uint8)
+        rows[np.arange(width)[None, :] < size[:, None]] = buf[ragged(begin, size)]
+        order = np.lexsort((*rows.T[::-1], size, *before))
+        columns = [c[order] for c in (rows, size, *before)]
+        new[1:] = np.logical_or.reduce([(c[1:] != c[:-1]).reshape(len(c) - 1, -1).any(axis=1) for c in columns])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    """The stable order by part; small numbers are sorted faster."""
+    return np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
 
 
 def _key_rows(table: pa.Table, parts: int, length: int) -> pa.Table:
@@ -380,21 +430,22 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
     begin = np.cumsum(size) - size
     home, place = np.repeat(np.arange(len(each)), each), ragged(np.zeros(len(each), np.int64), each)
     # equal segments of several buckets are one string of the collection, with the least of their ids
-    rows = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), padded(buf, begin, size)], axis=1)
-    _, one, kind = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    del rows
+    one, kind = distinct(buf, begin, size, key)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, kind, ids)
     found = []  # string, first and last + 1 byte that repeat
-    heads = np.flatnonzero(np.concatenate([[True], key[one][1:] != key[one][:-1]]))
-    bytes_before = np.concatenate([[0], np.cumsum(size[one])])
-    a = 0
-    while a < len(one):
-        z = int(np.searchsorted(bytes_before, bytes_before[a] + COLLECTION_BYTES, "right")) - 1
-        later = heads[(heads > a) & (heads <= z)]
-        z = int(later[-1]) if len(later) and z < len(one) else len(one) if z >= len(one) else int(np.append(heads[heads > a], len(one))[0])
-        own = one[a:z]
-        segment, at_byte = repeated_starts(buf, begin[own], size[own], least[a:z], length)
+    # a key with one string is a collection of one, in which nothing repeats; whole keys share a collection up to its size
+    new_key = np.concatenate([[True], key[one][1:] != key[one][:-1]])
+    several = np.flatnonzero(~(new_key & np.append(new_key[1:], True)))
+    heads = np.append(np.flatnonzero(new_key[several]), len(several))
+    bytes_before = np.concatenate([[0], np.cumsum(size[one[several]])])
+    turn = 0
+    while turn < len(heads) - 1:
+        a = int(heads[turn])
+        turn = max(turn + 1, int(np.searchsorted(bytes_before[heads], bytes_before[a] + COLLECTION_BYTES, "right")) - 1)
+        strings = several[a : int(heads[turn])]
+        own = one[strings]
+        segment, at_byte = repeated_starts(buf, begin[own], size[own], least[strings], length)
         if len(segment):
             order = np.lexsort((at_byte, segment))
             segment, at_byte = segment[order], at_byte[order]
@@ -402,8 +453,7 @@ def _repeats(table: pa.Table, length: int) -> pa.Table:
             head[1:] = (segment[1:] != segment[:-1]) | (at_byte[1:] != at_byte[:-1] + 1)
             x = np.flatnonzero(head)
             y = np.append(x[1:], len(order)) - 1
-            found.append((segment[x] + a, at_byte[x], at_byte[y] + length))
-        a = z
+            found.append((strings[segment[x]], at_byte[x], at_byte[y] + length))
     # a copy of a larger id repeats whole; the others in the spans of their string
     later = np.flatnonzero(ids > least[kind])
     out = [(later, np.zeros(len(later), np.int64), size[later])]
@@ -431,9 +481,8 @@ def _without_repeats(texts: pa.Table, answers: pa.Table, parts: int, length: int
     bucket = Bucket(texts, length)
     is_bits = answers.column("bits").is_valid()
     bucket.choose(_answers(answers.filter(is_bits)), parts)
-    edge = np.zeros(len(bucket.buf) + 1, np.int32)
     later = bucket.ids[bucket.doc] > bucket.least[bucket.kind]
-    starts, ends = [bucket.begin[later]], [(bucket.begin + bucket.size)[later]]
+    found = [(bucket.doc[later], bucket.begin[later], (bucket.begin + bucket.size)[later])]
     by = np.argsort(bucket.kind, kind="stable")
     count = np.bincount(bucket.kind, minlength=len(bucket.one))
     first = np.cumsum(count) - count
@@ -442,25 +491,24 @@ def _without_repeats(texts: pa.Table, answers: pa.Table, parts: int, length: int
         place, x, y = _unpack(blob, np.dtype((np.void, 12))).view(np.int32).reshape(-1, 3).T.astype(np.int64)
         kind = place + bucket.cut[part]
         copies = by[ragged(first[kind], count[kind])]
-        starts.append(bucket.begin[copies] + np.repeat(x, count[kind]))
-        ends.append(bucket.begin[copies] + np.repeat(y, count[kind]))
-    for places, step in ((starts, 1), (ends, -1)):
-        edge += (step * np.bincount(np.concatenate(places), minlength=len(edge))).astype(np.int32)
-    gone = np.cumsum(edge[:-1]) > 0
-    del edge
-    before = np.concatenate([[0], np.cumsum(gone)])
-    removed = np.diff(before[bucket.offs])
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1]
-    inner = bucket.offs[:-1][bucket.sizes > 0]
-    opens[inner] = gone[inner]
-    runs = np.diff(np.concatenate([[0], np.cumsum(opens)])[bucket.offs])
+        found.append((bucket.doc[copies], bucket.begin[copies] + np.repeat(x, count[kind]), bucket.begin[copies] + np.repeat(y, count[kind])))
+    # maximal runs: spans that overlap or touch within a document
+    doc, x, y = (np.concatenate(f) for f in zip(*found, strict=True))
+    order = np.argsort(x)
+    doc, x, y = doc[order], x[order], y[order]
+    reach = np.maximum.accumulate(y)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), (x[1:] > reach[:-1]) | (doc[1:] != doc[:-1])]))
+    doc, x, y = doc[first], x[first], reach[np.append(first[1:], len(x))[: len(first)] - 1]
+    runs = np.bincount(doc, minlength=len(bucket.sizes))
+    removed = np.bincount(doc, weights=y - x, minlength=len(bucket.sizes)).astype(np.int64)
+    gone = np.zeros(len(bucket.buf), bool)
+    gone[ragged(x, y - x)] = True
     digests, kept = [], []
-    for k, (a, z, n) in enumerate(zip(bucket.offs[:-1].tolist(), bucket.offs[1:].tolist(), removed.tolist(), strict=True)):
+    for a, z, n in zip(bucket.offs[:-1].tolist(), bucket.offs[1:].tolist(), removed.tolist(), strict=True):
         left = (bucket.buf[a:z][~gone[a:z]] if n else bucket.buf[a:z]).tobytes()
         digests.append(hashlib.sha256(left).hexdigest())
-        kept.append(left.decode(errors="ignore"))
-    head = [bucket.id, pa.array(bucket.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
+        kept.append(left.decode(errors="ignore").encode() if n else left)
+    head = [bucket.id, pa.array(bucket.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())]
     rest = [texts.column(n).combine_chunks() for n in names]
     return pa.Table.from_arrays([*head, *rest], names=[*COLUMNS, *names])
 
@@ -471,7 +519,7 @@ COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_tex
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of every row, with the columns of ``keep`` after them.
 
-    A byte goes if a string of ``length`` bytes (24 to 190) that covers it also starts in a row of a smaller id.
+    A byte goes if a string of ``length`` bytes (32 to 190) that covers it also starts in a row of a smaller id.
     ``kept_text`` holds the remaining bytes, without code points that lost a part.  Null texts are empty; rows of
     one id do not count against each other; rows of a null id are left whole and count against none; a very long
     text lies whole in one bucket; other columns are ignored; empty tables give empty tables.  The texts are
