@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -322,19 +323,97 @@ def test_pipeline_stages_against_plain_python(spark):
     rows = {}
     for name, stage in P.STAGES:
         before = [tuple(r) for r in docs.collect()]
-        docs = spark.createDataFrame(stage(spark, docs, "/root/testdata/sf0.001").collect(), stage(spark, docs, "/root/testdata/sf0.001").schema)
+        made = stage(spark, docs, "/root/testdata/sf0.001")
+        docs = spark.createDataFrame(made.collect(), made.schema)
         rows[name] = (before, docs.collect())
         if name != "packing":
             assert docs.columns == P.COLUMNS
     before, after = rows["language_id"]
     assert len(after) >= 0.95 * len(before)
+    assert {r[0] for r in before if not any(c.isalpha() for c in r[1] or "")}.isdisjoint({r.doc_id for r in after})
     before, after = rows["near_duplicates"]
     keep = {i for i, _, c in components_by_brute_force(before) if i == c}
-    assert {str(r.doc_id) for r in after} == keep
+    assert {str(r.doc_id) for r in after} == keep and len(after) == len(keep)
     before, after = rows["repeated_passages"]
-    want = removed_by_brute_force(before)
-    assert all(len(r[1].encode()) - len(a) <= want[r[0], len(r[1].encode())][0][0] + 4 for r in before for a in [next(x.text for x in after if x.doc_id == r[0]).encode()])
+    assert {r.doc_id: r.text for r in after} == left_by_brute_force(before)
+    assert sum(len(r[1] or "") for r in before) > sum(len(r.text) for r in after)
     before, after = rows["source_mix"]
-    assert {r.doc_id for r in after} <= {r[0] for r in before}
+    taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix_sources(spark.createDataFrame(before, DOCS)).collect() if r.taken}
+    texts = {r[0]: r[1] for r in before}
+    assert Counter(r.doc_id for r in after) == Counter(taken) and all(texts[r.doc_id] == r.text for r in after)
     before, after = rows["packing"]
-    assert sum(1 for r in after if r.start == 0) == len(before)
+    whole = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    assert_packed(before, after, whole)
+
+
+def left_by_brute_force(rows, length=50):
+    """What is left of each text, whole code points only."""
+    first, out = {}, {}
+    for i, text in sorted((r[0], (r[1] or "").encode()) for r in rows):
+        for k in range(len(text) - length + 1):
+            first.setdefault(text[k : k + length], i)
+    for i, text in ((r[0], (r[1] or "").encode()) for r in rows):
+        gone = np.zeros(len(text), bool)
+        for k in range(len(text) - length + 1):
+            if first[text[k : k + length]] < i:
+                gone[k : k + length] = True
+        out[i] = np.frombuffer(text, np.uint8)[~gone].tobytes().decode(errors="ignore")
+    return out
+
+
+def assert_packed(rows, pieces, tokenizer, longest=4096):
+    """Every id of every row lies in one piece, pieces tile their windows, and padding is little."""
+    want = Counter()
+    for i, text, *_ in rows:
+        want[(i, tuple(tokenizer.encode(text or "", add_special_tokens=False).ids) + (2,))] += 1
+    by_doc, windows = {}, {}
+    for r in pieces:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        windows.setdefault(r.sequence_id, []).append(r)
+    for i in {i for i, _ in want}:
+        texts = [(ids, n) for (j, ids), n in want.items() if j == i]
+        expected = Counter()
+        for r in by_doc[i]:
+            assert any(len(ids) == r.doc_tokens and zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for ids, _ in texts)
+            expected[r.doc_tokens] += r.length
+        assert expected == Counter({size: sum(n * len(ids) for ids, n in texts if len(ids) == size) for size in {len(ids) for ids, _ in texts}})
+    padding = 0
+    for some in windows.values():
+        some.sort(key=lambda r: r.offset)
+        filled = 0
+        for r in some:
+            assert r.offset == filled
+            filled += r.length
+        assert 0 < filled <= longest
+        padding += 0 if filled & (filled - 1) == 0 else longest - filled
+    assert padding <= 16 * longest
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as P
+
+    odd = [
+        *((k, " ".join(f"w{k}x{j}" for j in range(30)), "en", "s", 9) for k in range(10, 20)),
+        (1, None, "en", "a", 0),
+        (2, "", "en", None, 0),
+        (None, "plain words that stand here alone once", None, "a", 3),
+        (4, "these are the very same words of one row", "en", "b", 5),
+        (4, "these are the very same words of one row", "en", "b", 5),
+        (4, "other words altogether under that same old id", "en", "b", 5),
+        (5, "these are the very same words of one row", "en", "b", 5),
+        (None, "these are the very same words of one row", "en", "b", 5),
+        (6, "lang " * 5000, "en", "b", 5),
+    ]
+    clashing = ["kept_id", "kept_set", "rows", "set_id", "group_id", "taken", "times", "size", "k0", "key", "bucket", "shard"]
+    docs = spark.createDataFrame(odd, DOCS).selectExpr("*", *(f"7 as {c}" for c in clashing))
+    got = {name: stage(spark, docs, "") for name, stage in P.STAGES}
+    found = {name: Counter((r.doc_id, r.text) for r in got[name].collect()) for name, _ in P.STAGES[:4]}
+    all_rows = Counter((r[0], r[1]) for r in odd)
+    assert all(found["language_id"][k] in (0, all_rows[k]) for k in all_rows) and not found["language_id"][1, None]
+    want = Counter({k: 1 for k in all_rows if k not in [(5, odd[16][1]), (None, odd[16][1])]})
+    assert found["near_duplicates"] == want
+    assert sum(found["repeated_passages"].values()) == len(odd) and found["repeated_passages"][1, ""] == 1
+    assert all(k[1] for k in found["source_mix"]) and found["source_mix"].keys() <= all_rows.keys()
+    assert_packed(odd, got["packing"].collect(), Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")))
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wayring.llm._io import discard, written
 from wayring.llm._words import LOWER, mix, released, released_group, slices, spans, word_hash
@@ -79,6 +80,19 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> list[np.n
     return out
 
 
+def with_set_ids(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns and ``set_id``, the name of the text's set of shingles, null for texts without any; no shuffle."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offs in slices(batch, names.index(text_col)):
+                ids = pa.array([set_id(x) if len(x) else None for x in shingle_sets(buf, offs)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*names, "set_id"])
+
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, StructField("set_id", LongType())]))
+
+
 def needed(n: np.ndarray | int, percent: int = 75) -> np.ndarray | int:
     """The least overlap that a set of n shingles has with any set it links to."""
     return (percent * n + 99) // 100
@@ -420,10 +434,11 @@ def _open_tiles(edges: DataFrame, labels: DataFrame, sets: DataFrame, parts: int
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
+    """``doc_id, n_shingles, component_id, set_id, group_id`` of every row.
 
     Two texts link when 100 * intersection >= percent * union of their shingle sets; the component id is the
-    least id that links reach.  Null and empty texts have no shingles, link with nothing and are their own
+    least id that links reach.  ``set_id`` names the row's set as :func:`with_set_ids` does, and ``group_id`` its
+    component, also where rows of several components have one id; both are null without shingles.  Null and empty texts have no shingles, link with nothing and are their own
     component; null ids stay null and never become a component id while a named row is in the component.
     Repeated rows are rows of one class; a very long text is one row of its set and is read whole; other columns
     are ignored; an empty table gives an empty table.  The result is a table in the shared folder; all others
@@ -465,8 +480,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
         discard(pairs)
     group = classes.join(labels, classes.sid == labels.node, "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
     least = group.groupBy("label").agg(F.min("rep").alias("component"))
-    owner = group.join(least, "label").select(F.col("sid").alias("own"), "component")
-    result = texts.join(owner, texts.sid == owner.own, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    owner = group.join(least, "label").select(F.col("sid").alias("own"), "label", "component")
+    result = texts.join(owner, texts.sid == owner.own, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("sid").alias("set_id"), F.col("label").alias("group_id"))
     result = written(result, "jaccard-components")
     discard(rows, classes, edges, candidates, labels, *arrays, *found_links)
     return result

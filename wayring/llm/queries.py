@@ -46,7 +46,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents")).drop("set_id", "group_id")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
