@@ -149,6 +149,29 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - lengths), lengths)
 
 
+_KEPT: list[tuple[tuple, Any]] = []
+
+
+def kept(make: Callable[..., Any], *args: Any) -> Any:
+    """``make(*args)``, kept for the next task of this worker; what another operator kept before is dropped."""
+    key = (make, *args)
+    for known, value in _KEPT:
+        if known == key:
+            return value
+    if any(known[0].__module__ != make.__module__ for known, _ in _KEPT):
+        _KEPT.clear()
+    value = make(*args)
+    _KEPT.append((key, value))
+    return value
+
+
+def forget() -> None:
+    """Drop what this worker has kept, for tasks that need the memory."""
+    global _POW, _INV
+    _KEPT.clear()
+    _POW, _INV = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
 def release() -> None:
     """Give memory that is free within the process back to the system; Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayring.llm._io import discard, written
-from wayring.llm._words import LOWER, _powers, _BYTE, mix, prefix_hash, ragged, slices, span_hash, spans, released
+from wayring.llm._words import LOWER, _powers, _BYTE, kept, mix, prefix_hash, ragged, slices, span_hash, spans, released
 
 #: Words are scored with a space in front; longer ones are cut into stretches of so many bytes.
 STRETCH = 40
@@ -65,13 +65,8 @@ class Vocabulary:
         return at[hit], self.order[k[hit]]
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
-
 def vocabulary(model: str) -> Vocabulary:
-    if model not in _VOCABULARIES:
-        _VOCABULARIES[model] = Vocabulary(model)
-    return _VOCABULARIES[model]
+    return kept(Vocabulary, model)
 
 
 def _edges(words: np.ndarray, vocab: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

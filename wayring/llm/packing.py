@@ -12,7 +12,6 @@ import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayring.llm._words import LOWER, SPACE, ragged, released, slices, spans, word_hash
+from wayring.llm._words import LOWER, SPACE, kept, ragged, released, slices, spans, word_hash
 
 TIERS = (4096, 2048, 1024, 512)
 #: Tokens packed together at most before the rest waits for the next texts of the task.
@@ -32,8 +31,11 @@ STEP_TOKENS = 32_768
 TABLE_SLOTS = 1 << 21
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    return kept(_load_tokenizer, path)
+
+
+def _load_tokenizer(path: str):
     # tasks share the cores already; a pool of threads in each would only cost time
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -41,8 +43,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=2)
 def _word_ends(path: str) -> np.ndarray:
+    return kept(_find_word_ends, path)
+
+
+def _find_word_ends(path: str) -> np.ndarray:
     vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
     out = np.zeros(max(vocab.values()) + 1, bool)
     out[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -82,12 +87,6 @@ def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(flat), start, size
 
 
-@lru_cache(maxsize=2)
-def shared_encoder(path: str) -> "WordEncoder":
-    """One encoder for all tasks of a Python worker, so that units known from one task serve the next."""
-    return WordEncoder(path)
-
-
 _PUNCTUATION, _LETTER, _DIGIT, _WHOLE = range(4)
 _KINDS = np.array([_WHOLE if b > 127 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _PUNCTUATION for b in range(256)], np.uint8)
 
@@ -257,7 +256,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
-        encoder = shared_encoder(tokenizer)
+        encoder = kept(WordEncoder, tokenizer)  # units known from one task of a worker serve the next
         sequence = 0
         steps: dict[int, int] = {}
         names: list[int | None] = []

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayring.llm._words import eights, mix, ragged, released_group, released_pair, slices
+from wayring.llm._words import eights, forget, mix, ragged, released_group, released_pair, slices
 
 #: Length of the strings that count as repeated.
 LENGTH = 50
@@ -36,7 +36,7 @@ SEED = 32
 #: Strings of a segment at most; longer runs are cut, which keeps their key.
 RUN = 64
 #: Text bytes of a bucket, about.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 #: Bytes of distinct segments that are put in suffix order together; a key with more has a collection of its own.
 COLLECTION_BYTES = 2 << 20
 #: Rows of a block in which the column files are read and written; twice as many at most pass at once, and 2**23 is the limit.
@@ -280,6 +280,7 @@ class Bucket:
     """The texts of one bucket: their bytes, their segments, and the keys that several of its rows have."""
 
     def __init__(self, table: pa.Table, length: int) -> None:
+        forget()
         ids, parts, sizes = [], [], []
         for batch in table.to_batches():
             for part, buf, offs in slices(batch, batch.schema.get_field_index("text")):
@@ -290,21 +291,23 @@ class Bucket:
         self.ids, self.named = self.id.fill_null(0).to_numpy(zero_copy_only=False), self.id.is_valid().to_numpy(zero_copy_only=False)
         self.buf, self.sizes = np.concatenate([np.zeros(0, np.uint8), *parts]), np.concatenate([np.zeros(0, np.int64), *sizes])
         self.offs = np.concatenate([[0], np.cumsum(self.sizes)])
-        found, k = [], 0
+        # places fit 32 bits unless a text is very long
+        found, k, place = [], 0, np.int32 if len(self.buf) < 1 << 31 else np.int64
         while k < len(self.sizes):
             z = max(k + 1, int(np.searchsorted(self.offs, self.offs[k] + CUT_BYTES, "right")) - 1)
             begin, size, doc, key = segments(self.buf[self.offs[k] : self.offs[z]], self.offs[k : z + 1] - self.offs[k], length)
             own = self.named[doc + k]
-            found.append((begin[own] + self.offs[k], size[own], doc[own] + k, key[own]))
+            found.append(((begin[own] + self.offs[k]).astype(place), size[own].astype(np.uint8), (doc[own] + k).astype(np.int32), key[own]))
             k = z
-        none = np.zeros(0, np.int64)
-        self.begin, self.size, self.doc, self.key = (np.concatenate(x) for x in zip((none, none, none, none.astype(np.uint64)), *found, strict=True))
+        kinds = (place, np.uint8, np.int32, np.uint64)
+        self.begin, self.size, self.doc, self.key = (np.concatenate([np.zeros(0, t), *(f[n] for f in found)]) for n, t in enumerate(kinds))
+        del found
         order = np.argsort(self.key)
         sorted_keys = self.key[order]
         fresh = np.concatenate([np.ones(min(len(order), 1), bool), sorted_keys[1:] != sorted_keys[:-1]])
         head = np.flatnonzero(fresh)
-        self.number = np.empty(len(order), np.int64)  # of each segment's key
-        self.number[order] = np.cumsum(fresh) - 1
+        self.number = np.empty(len(order), np.int32)  # of each segment's key
+        self.number[order] = np.cumsum(fresh, dtype=np.int32) - 1
         self.keys = sorted_keys[head]
         self.several = np.zeros(len(head), bool)
         if len(head):
@@ -326,7 +329,8 @@ class Bucket:
             shared[own] |= np.unpackbits(np.frombuffer(zstandard.decompress(bits), np.uint8), count=len(own)).astype(bool)
         number = self.number
         chosen = np.flatnonzero(shared[number])
-        self.begin, self.size, self.doc, self.key = self.begin[chosen], self.size[chosen], self.doc[chosen], self.key[chosen]
+        self.begin, self.size, self.doc = (x[chosen].astype(np.int64) for x in (self.begin, self.size, self.doc))
+        self.key = self.key[chosen]
         part = (self.key % np.uint64(parts)).astype(np.int64)
         one, self.kind = distinct(self.buf, self.begin, self.size, self.key, part)
         self.one = one
