@@ -73,6 +73,14 @@ def test_phase_follows_the_route(spark):
     assert f.where("phase is null or phase < 0 or phase >= 1 or distance_m > 2").count() == 0
 
 
+def test_phase_begins_with_the_confirming_sample(spark):
+    c = circle(spark)
+    changes = lifecycle.route_changes(c).where("kind = 'route_confirmed'").select(*detection.KEY, F.timestamp_seconds("change_s").alias("confirmed_at"))
+    f = detection.with_phase(c, detection.detect_routes(c), confirmed=changes).join(changes, detection.KEY)
+    assert f.where("(phase is null) = (sample_time >= confirmed_at)").count() == 0 and f.where("phase is null").count() > 0
+    assert detection.with_phase(c, detection.detect_routes(c), confirmed=changes.limit(0)).where("phase is not null or route_id is not null").count() == 0
+
+
 def test_step_and_native_detection_agree(spark):
     c = circle(spark)
     changes = {(r.vehicle_identifier, r.kind): r for r in lifecycle.route_changes(c).collect()}

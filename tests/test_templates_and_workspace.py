@@ -72,8 +72,15 @@ def test_hydration_and_mapping(spark):
     assert tuple(W.mapped_values(raw, mapping).first()) == (5, "active", "true", "forward-fill")
 
 
-def test_rebalanced():
-    assert W.rebalanced({"a": 60, "b": 20, "c": 20}, "a", 40) == {"a": 40, "b": 30, "c": 30}
+def test_rebalanced(spark):
+    rows = [("x", 1, 60, 40), ("x", 2, 20, None), ("x", 3, 20, None), ("y", 1, 7, None), ("z", 1, 0, None), ("z", 2, 0, None), ("z", 3, 9, 30)]
+    got = {(r.set_id, r.place): r.weight for r in W.rebalanced(spark.createDataFrame(rows, "set_id string, place int, weight int, value int")).collect()}
+    assert got == {("x", 1): 40, ("x", 2): 30, ("x", 3): 30, ("y", 1): 7, ("z", 1): 35, ("z", 2): 35, ("z", 3): 30}
+
+
+def test_templates_need_finite_offsets():
+    with pytest.raises(ValueError):
+        T.Template("t", "si", (T.Slot("a", "A", 0.0), T.Slot("b", "A", float("inf"))))
 
 
 def test_group_identity(spark):

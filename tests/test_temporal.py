@@ -62,6 +62,26 @@ def test_bad_values_are_raised(spark):
         joined(spark, ("vehicle_identifier", 0, 1.5), *BASE[1:])
 
 
+def test_values_that_are_not_finite_are_raised(spark):
+    for bad in ("nan", "inf", "-inf"):
+        with pytest.raises(Exception, match="finite"):
+            joined(spark, *BASE[:3], ("latitude_deg", 2, bad), *BASE[4:])
+        with pytest.raises(Exception, match="whole"):
+            joined(spark, ("vehicle_identifier", 0, bad), *BASE[1:])
+
+
+def test_activity_as_text(spark):
+    p = points(spark, *BASE).withColumn("text", F.when(F.col("metric") == "active", " OFF "))
+    assert [r.active for r in temporal.join_metrics(p).collect()] == [False] * 3
+    with pytest.raises(Exception, match="mapped"):
+        temporal.join_metrics(p.withColumn("text", F.when(F.col("metric") == "active", "maybe"))).collect()
+
+
+def test_first_of_conflicting_points_stays(spark):
+    p = points(spark, ("latitude_deg", 0, 40), ("latitude_deg", 0, 31)).withColumn("ingest_order", F.when(F.col("value") == 40, 1).otherwise(2))
+    assert temporal.deduplicated(p).first().value == 40 and temporal.deduplicated(p.drop("ingest_order")).first().value == 31
+
+
 def test_empty_input(spark):
     assert joined(spark) == []
 

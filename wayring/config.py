@@ -61,24 +61,17 @@ class Detection:
     closure_axis_ratio: float = 0.20
     closure_heading_deg: float = 30.0
     closure_phase: float = 0.80
-    geometry_change: float = 0.20
-    period_change: float = 0.20
-    change_seconds: int = 120
     smoothing_seconds: int = 3
     least_samples: int = 12
 
 
 @dataclass(frozen=True)
 class Grouping:
-    least_vehicles: int = 2
     confirm_seconds: int = 120
     hold_seconds: int = 300
     identity_fraction: float = 0.60
     si_center_ratio: float = 0.30
     si_period_ratio: float = 0.20
-    so_period_ratio: float = 0.20
-    so_leg_multiplier: float = 1.0
-    most_so_vehicles: int = 8
 
 
 @dataclass(frozen=True)
@@ -86,10 +79,6 @@ class Timing:
     grid_seconds: int = 1
     batch_seconds: int = 5
     no_data_seconds: int = 20
-    late_seconds: int = 10
-    resume_seconds: int = 10
-    checkpoint_seconds: int = 300
-    finalize_seconds: int = 120
 
 
 @dataclass(frozen=True)
@@ -113,9 +102,6 @@ class Join:
 @dataclass(frozen=True)
 class Engine:
     schema_version: int = 1
-    detection_version: str = "1"
-    scoring_version: str = "1"
-    template_version: str = "1"
     scoring: Scoring = field(default_factory=Scoring)
     detection: Detection = field(default_factory=Detection)
     grouping: Grouping = field(default_factory=Grouping)

@@ -157,15 +157,19 @@ def detect_routes(samples: DataFrame, cfg: Detection = Detection(), seconds: int
     )
 
 
-def with_phase(samples: DataFrame, routes: DataFrame, corrected_frame: bool = False) -> DataFrame:
+def with_phase(samples: DataFrame, routes: DataFrame, corrected_frame: bool = False, confirmed: DataFrame | None = None) -> DataFrame:
     """Frames of the routes' streams with ``route_id`` and ``phase`` where they are active and positioned.
 
     The polyline is relative to the median origin, the projection to the centre of the shape, as surveyed;
-    ``corrected_frame`` projects from the median origin instead.
+    ``corrected_frame`` projects from the median origin instead.  With ``confirmed`` (the key and ``confirmed_at``)
+    frames have a phase from the confirming sample on, and none where the stream was never confirmed.
     """
     lat0, lon0 = ("lat0", "lon0") if corrected_frame else ("center_latitude_deg", "center_longitude_deg")
     p = samples.join(routes.select(*KEY, "route_id", F.col(lat0).alias("__lat"), F.col(lon0).alias("__lon"), "segs"), KEY)
     at = geo.local_m(F.col("latitude_deg"), F.col("longitude_deg"), F.col("__lat"), F.col("__lon"))
     placed = F.coalesce(F.col("active"), F.lit(True)) & F.col("latitude_deg").isNotNull() & F.col("longitude_deg").isNotNull()
+    if confirmed is not None:
+        p = p.join(confirmed.select(*KEY, F.col("confirmed_at").alias("__from")), KEY, "left")
+        placed = placed & F.coalesce(F.col("sample_time") >= F.col("__from"), F.lit(False))
     hit = geo.project(F.col("segs"), at["x"], at["y"])
-    return p.withColumns({"projection": F.when(placed, hit), "route_id": F.when(placed, F.col("route_id"))}).withColumns({"phase": F.col("projection.phase"), "distance_m": F.col("projection.distance")}).drop("segs", "__lat", "__lon")
+    return p.withColumns({"projection": F.when(placed, hit), "route_id": F.when(placed, F.col("route_id"))}).withColumns({"phase": F.col("projection.phase"), "distance_m": F.col("projection.distance")}).drop("segs", "__lat", "__lon", "__from")

@@ -7,6 +7,7 @@ broadcast join and array expressions, and groups never leave their partition.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import permutations
 
@@ -36,6 +37,8 @@ class Template:
             raise ValueError("a template needs two slots or more with ids of their own")
         if any(not s.slot_id or not s.vehicle_type or s.sign not in (-1, 1) for s in self.slots):
             raise ValueError("slots need an id, a vehicle type and a sign of 1 or -1")
+        if not all(math.isfinite(s.offset) for s in self.slots):
+            raise ValueError("phase offsets must be finite")
         if len(self.slots) > 8:
             raise ValueError("templates have eight slots at most")
 
@@ -67,17 +70,18 @@ def circular_l1_center(phases: Column) -> Column:
 
 
 def arrangements(spark: SparkSession, templates: list[Template]) -> DataFrame:
-    """``template_id, n, arrangement, slots``: every order of every template's slots (at most 8! of them each)."""
+    """``template_id, types, arrangement, slots``: every order of every template's slots (at most 8! of them each)."""
     rows = []
     for t in templates:
         for k, order in enumerate(permutations(t.slots)):
-            rows.append((t.template_id, len(t.slots), k, [(s.slot_id, s.vehicle_type, s.offset % 1.0, s.sign, s.role) for s in order]))
-    return spark.createDataFrame(rows, "template_id string, n int, arrangement int, slots array<struct<slot_id:string,vehicle_type:string,offset:double,sign:int,role:string>>")
+            rows.append((t.template_id, [s.vehicle_type for s in order], k, [(s.slot_id, s.vehicle_type, s.offset % 1.0, s.sign, s.role) for s in order]))
+    return spark.createDataFrame(rows, "template_id string, types array<string>, arrangement int, slots array<struct<slot_id:string,vehicle_type:string,offset:double,sign:int,role:string>>")
 
 
 def legal_assignments(members: DataFrame, templates: list[Template]) -> DataFrame:
     """Groups with each arrangement that their members may take: types agree, and roles where the slot has one.
 
+    Groups meet only the arrangements of their own sequence of types, so no other order is tried.
     ``members`` has ``group_id, member, vehicle_type, phase`` and perhaps ``role``; one shuffle by group.
     """
     role = F.col("role") if "role" in members.columns else F.lit(None).cast("string")
@@ -86,8 +90,9 @@ def legal_assignments(members: DataFrame, templates: list[Template]) -> DataFram
     # a group larger than any template cannot fit one; its rows are only counted
     counted = members.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n").isin(*sizes))
     groups = members.join(counted, "group_id").groupBy("group_id").agg(F.sort_array(F.collect_list(one)).alias("members"), F.first("n").cast("int").alias("n"))
-    tried = groups.join(F.broadcast(arrangements(members.sparkSession, templates)), "n")
-    fits = F.forall(F.arrays_zip("members", "slots"), lambda z: (z["members"]["vehicle_type"] == z["slots"]["vehicle_type"]) & (z["slots"]["role"].isNull() | F.coalesce(z["members"]["role"] == z["slots"]["role"], F.lit(False))))
+    groups = groups.withColumn("types", F.transform("members", lambda m: m["vehicle_type"]))
+    tried = groups.join(F.broadcast(arrangements(members.sparkSession, templates)), "types").drop("types")
+    fits = F.forall(F.arrays_zip("members", "slots"), lambda z: z["slots"]["role"].isNull() | F.coalesce(z["members"]["role"] == z["slots"]["role"], F.lit(False)))
     return tried.where(fits)
 
 

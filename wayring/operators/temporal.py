@@ -24,9 +24,13 @@ def conflicts(points: DataFrame) -> DataFrame:
 
 
 def deduplicated(points: DataFrame, strict: bool = False) -> DataFrame:
-    """One value per metric, stream and time; with ``strict`` differing values are an error."""
+    """One value per metric, stream and time; with ``strict`` differing values are an error.
+
+    Otherwise the first one stays: by ``ingest_order`` where the points have that column, else the least.
+    """
     low, high = F.min("value"), F.max("value")
-    value = F.when(low != high, F.raise_error(F.lit("conflicting values at one time")).cast("double")).otherwise(low) if strict else low
+    first = F.min_by("value", "ingest_order") if "ingest_order" in points.columns else low
+    value = F.when(low != high, F.raise_error(F.lit("conflicting values at one time")).cast("double")).otherwise(low) if strict else first
     return points.groupBy(*STREAM, "metric", "source_time").agg(value.alias("value"))
 
 
@@ -43,10 +47,16 @@ def active_flag(number: Column, text: Column, cfg: Join = Join()) -> Column:
 
 def identifier_value(number: Column) -> Column:
     """A whole number from 0 on; anything else is an error."""
-    fits = (number >= 0) & (number == F.floor(number))
+    fits = (number >= 0) & (number < 2.0**63) & (number == F.floor(number))
     return F.when(number.isNull(), F.lit(None).cast("long")).when(fits, number.cast("long")).otherwise(F.raise_error(F.lit("vehicle identifier is no whole number")).cast("long"))
 
 
+def finite(value: Column) -> Column:
+    """The value; NaN and the infinities are an error."""
+    bad = F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("numeric value is not finite")).cast("double")).otherwise(value)
+
+
 def by_time(points: DataFrame) -> DataFrame:
     """One row per stream and time with a column for each metric."""
     return points.groupBy(*STREAM, F.col("source_time").alias("time")).agg(*(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in METRICS))
@@ -103,10 +113,11 @@ def with_numeric(rows: DataFrame, metric: str, cfg: Join = Join(), guard: bool =
     if guard:
         for side in (before, after):
             near = near & side["id_now"].eqNullSafe(F.col("id_now")) & F.coalesce(side["active_now"] != 0, F.lit(True))
-    between = before["value"] + (after["value"] - before["value"]) * (back / F.nullif(back + ahead, F.lit(0.0)))
+    low, high = finite(before["value"]), finite(after["value"])
+    between = low + (high - low) * (back / F.nullif(back + ahead, F.lit(0.0)))
     return rows.withColumns(
         {
-            metric: F.when(exact, before["value"]).when(near, between),
+            metric: F.when(exact, low).when(near, between),
             f"{metric}_quality": F.when(exact, "original").when(near, "interpolated").otherwise("missing"),
             f"{metric}_distance": F.when(exact, F.lit(0.0)).when(near, F.greatest(back, ahead)),
         }
@@ -122,9 +133,13 @@ def field_reliability(distance: Column, cfg: Join = Join()) -> Column:
 def join_metrics(points: DataFrame, cfg: Join = Join(), start: Column | None = None, end: Column | None = None, strict: bool = False) -> DataFrame:
     """Vehicle samples on the grid from long metric points (``server_id, vehicle_number, metric, source_time, value``).
 
+    An activity may come as text in a further column ``text``; it is read by the configured spellings.
     Rows without an identifier, and rows without a position unless inactive, are left out.  Null times or
     metrics never match; an empty table gives an empty table; equal points at one time count once.
     """
+    if "text" in points.columns:
+        spelled = (F.col("metric") == "active") & F.col("text").isNotNull()
+        points = points.withColumn("value", F.when(spelled, active_flag(F.lit(None).cast("double"), F.col("text"), cfg).cast("double")).otherwise(F.col("value")))
     rows = asof_rows(deduplicated(points.where("source_time is not null and metric is not null and value is not null"), strict), cfg, start, end).where("id_now is not null")
     for metric in NUMERIC:
         rows = with_numeric(rows, metric, cfg)

@@ -83,16 +83,24 @@ def mapped_values(raw: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.select(*(c for c in raw.columns if c not in ("bucket", "measurement", "key", "value")), F.col("system_key").alias("metric"), value.alias("value"), "fill_mode")
 
 
-def rebalanced(weights: dict[str, int], key: str, value: int) -> dict[str, int]:
-    """Weights that add up to 100 after one was set; the others keep their proportions in steps of 5, the last takes the rest."""
-    others = [k for k in weights if k != key]
-    rest, total, used = max(0, 100 - value), sum(weights[k] for k in others), 0
-    out = dict(weights) | {key: value}
-    for place, k in enumerate(others):
-        part = weights[k] / total if total else 1 / len(others)
-        out[k] = rest - used if place == len(others) - 1 else int(part * rest / 5 + 0.5) * 5
-        used += out[k]
-    return out
+def rebalanced(weights: DataFrame) -> DataFrame:
+    """``set_id, place, weight`` after one weight of each set was set to ``value`` (null in the other rows).
+
+    What is left of 100 goes to the other places in proportion to their weights (evenly without any), in steps of
+    5; the last of them takes what the steps leave.  Sets without a value stay as they are.  One shuffle by set.
+    """
+    whole = Window.partitionBy("set_id")
+    so_far = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    other = F.col("value").isNull()
+    value = F.max("value").over(whole)
+    rest = F.when(value.isNotNull(), F.greatest(F.lit(0), 100 - value))
+    total, count = F.sum(F.when(other, F.col("weight"))).over(whole), F.count(F.when(other, 1)).over(whole)
+    share = F.when(total > 0, F.col("weight") / total).otherwise(F.lit(1.0) / count)
+    rows = weights.withColumns({"__rest": rest, "__last": other & (F.col("place") == F.max(F.when(other, F.col("place"))).over(whole))})
+    rows = rows.withColumn("__part", F.when(other, F.floor(share * F.col("__rest") / 5 + 0.5) * 5))
+    left = F.col("__rest") - F.coalesce(F.sum("__part").over(so_far), F.lit(0))
+    weight = F.when(F.col("__rest").isNull(), F.col("weight")).when(~other, F.col("value")).when(F.col("__last"), left).otherwise(F.col("__part"))
+    return rows.select("set_id", "place", weight.alias("weight"))
 
 
 def route_bank(routes: DataFrame, family: str = "all", arena: str = "all", vehicle_type: str = "all") -> DataFrame:

@@ -51,7 +51,7 @@ JOIN_SQL = (
     f"""j AS (SELECT time AS sample_time, server_id, vehicle_number, id_now::BIGINT AS vehicle_identifier, active_now = 1 AS active,
   CASE WHEN latitude_deg IS NOT NULL AND longitude_deg IS NOT NULL THEN latitude_deg END AS latitude_deg, CASE WHEN latitude_deg IS NOT NULL AND longitude_deg IS NOT NULL THEN longitude_deg END AS longitude_deg, velocity_north_mps,
   CASE WHEN latitude_deg IS NULL OR longitude_deg IS NULL THEN 'missing' ELSE latitude_deg_quality END AS latitude_quality, {_FILL('id_age')} AS identifier_quality, {_FILL('active_age')} AS active_quality,
-  velocity_north_mps_quality AS velocity_quality,
+  velocity_north_mps_quality AS velocity_quality, CASE WHEN latitude_deg IS NULL OR longitude_deg IS NULL THEN 'missing' ELSE longitude_deg_quality END AS longitude_quality,
   least({_REL('id_age')}, {_REL('active_age')}, {_REL('latitude_deg_distance')}, {_REL('longitude_deg_distance')}, {_REL('velocity_north_mps_distance')}) AS reliability FROM n3),
 js AS (SELECT * FROM j WHERE latitude_deg IS NOT NULL OR active IS NOT DISTINCT FROM FALSE)"""
 )
@@ -111,10 +111,10 @@ def joined_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("sample_time", "server_id", "vehicle_number", "vehicle_identifier", "active", *(rounded(c, 6).alias(c) for c in ("latitude_deg", "longitude_deg", "velocity_north_mps", "reliability")), F.col("field_quality")["latitude_deg"].alias("latitude_quality"))
 
 
-@query(f"{JOIN_SQL}, q AS (SELECT 'vehicle_identifier' AS field, identifier_quality AS quality FROM js UNION ALL SELECT 'active', active_quality FROM js UNION ALL SELECT 'latitude_deg', latitude_quality FROM js UNION ALL SELECT 'velocity_north_mps', velocity_quality FROM js) SELECT field, quality, count(*) AS samples FROM q GROUP BY ALL")
+@query(f"{JOIN_SQL}, q AS (SELECT 'vehicle_identifier' AS field, identifier_quality AS quality FROM js UNION ALL SELECT 'active', active_quality FROM js UNION ALL SELECT 'latitude_deg', latitude_quality FROM js UNION ALL SELECT 'velocity_north_mps', velocity_quality FROM js UNION ALL SELECT 'longitude_deg', longitude_quality FROM js UNION ALL SELECT unnest(['altitude_m', 'velocity_east_mps']), 'missing' FROM js) SELECT field, quality, count(*) AS samples FROM q GROUP BY ALL")
 def quality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = temporal.join_metrics(_points(spark, sf_dir), CFG)
-    each = s.select(F.explode("field_quality").alias("field", "quality")).where(F.col("field").isin("vehicle_identifier", "active", "latitude_deg", "velocity_north_mps"))
+    each = s.select(F.explode("field_quality").alias("field", "quality"))
     return each.groupBy("field", "quality").agg(F.count("*").alias("samples"))
 
 

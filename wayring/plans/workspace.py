@@ -47,7 +47,7 @@ def root_cause_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("reason", "vehicles", *(rounded(x, 3).alias(x) for x in ("share_pct", "impact", "contribution"))).orderBy(F.col("contribution").desc(), "reason")
 
 
-_TEMPLATES_SQL = f"""tp AS (SELECT o_orderkey AS template_id, CASE WHEN o_orderkey % 2 = 1 THEN 'SO' ELSE 'SI' END AS family, o_orderstatus AS mix, concat_ws('{W.SEPARATOR}', o_orderstatus, o_orderpriority, 'x' || (o_custkey % 4)::VARCHAR) AS constellation, [o_orderkey % 3, o_custkey % 3] AS vals FROM orders),
+_TEMPLATES_SQL = f"""tp AS (SELECT o_orderkey AS template_id, CASE WHEN o_orderkey % 2 = 1 THEN 'SO' ELSE 'SI' END AS family, o_orderstatus AS mix, concat_ws('{W.SEPARATOR}', o_orderstatus, o_orderpriority, 'x' || (o_custkey % 4)::VARCHAR) AS constellation, [o_orderkey % 3, o_custkey % 3] AS vals, o_orderdate AS made FROM orders),
 tk AS (SELECT *, concat_ws('|', family, mix, least(constellation, array_to_string(list_reverse(string_split(constellation, '{W.SEPARATOR}')), '{W.SEPARATOR}')),
   CASE WHEN family = 'SI' THEN array_to_string(vals, ',') ELSE least(array_to_string(vals, ','), array_to_string(list_reverse(vals), ',')) END) AS key FROM tp)"""
 
@@ -56,7 +56,7 @@ def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     t = o.select(
         F.col("o_orderkey").alias("template_id"), F.when(F.col("o_orderkey") % 2 == 1, "SO").otherwise("SI").alias("family"), F.col("o_orderstatus").alias("mix"),
-        F.concat_ws(W.SEPARATOR, "o_orderstatus", "o_orderpriority", F.concat(F.lit("x"), (F.col("o_custkey") % 4).cast("string"))).alias("constellation"), F.array(F.col("o_orderkey") % 3, F.col("o_custkey") % 3).alias("vals"),
+        F.concat_ws(W.SEPARATOR, "o_orderstatus", "o_orderpriority", F.concat(F.lit("x"), (F.col("o_custkey") % 4).cast("string"))).alias("constellation"), F.array(F.col("o_orderkey") % 3, F.col("o_custkey") % 3).alias("vals"), F.col("o_orderdate").alias("made"),
     )
     return t.withColumn("key", W.canonical_key(F.col("family"), F.col("mix"), F.col("constellation"), F.col("vals")))
 
@@ -66,11 +66,11 @@ def canonical_template_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _templates(spark, sf_dir).select("template_id", "key")
 
 
-@query(f"WITH {_TEMPLATES_SQL} SELECT template_id, key FROM tk WHERE template_id % 10 = 3 AND key NOT IN (SELECT key FROM tk WHERE template_id % 97 = 0)")
+@query(f"WITH {_TEMPLATES_SQL} SELECT template_id, key FROM tk WHERE made >= DATE '1995-02-01' AND key NOT IN (SELECT key FROM tk WHERE made < DATE '1995-02-01')")
 def duplicate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New templates that no stored one equals."""
+    """Templates since a date that none from before it equals."""
     t = _templates(spark, sf_dir)
-    return W.new_templates(t.where("template_id % 10 = 3"), t.where("template_id % 97 = 0")).select("template_id", "key")
+    return W.new_templates(t.where("made >= DATE '1995-02-01'"), t.where("made < DATE '1995-02-01'")).select("template_id", "key")
 
 
 @query(f"WITH {_TEMPLATES_SQL} SELECT t.template_id, f.first_id, t.key FROM tk t JOIN (SELECT key, min(template_id) AS first_id FROM tk GROUP BY key) f ON t.key = f.key WHERE t.template_id > f.first_id")
@@ -79,13 +79,8 @@ def duplicate_templates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.duplicates_of_first(_templates(spark, sf_dir)).select("template_id", "first_id", "key")
 
 
-@query("WITH g AS (SELECT l_orderkey AS group_id, count(*)::INTEGER AS n FROM lineitem GROUP BY 1) SELECT group_id, i AS first, j AS second, 90 AS angle FROM g, range(20) a(i), range(20) b(j) WHERE i < j AND j < n AND n <= 5")
-def pair_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("group_id")).agg(F.count("*").cast("int").alias("n")).where("n <= 5")
-    return W.vehicle_pairs(g).select("group_id", F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"), "angle")
-
-
 @query("WITH g AS (SELECT l_orderkey AS group_id, least(count(*), 5)::INTEGER AS n FROM lineitem GROUP BY 1) SELECT group_id, i AS first, j AS second, 90 AS angle FROM g, range(5) a(i), range(5) b(j) WHERE i < j AND j < n")
+@query("WITH g AS (SELECT l_orderkey AS group_id, least(count(*), 5)::INTEGER AS n FROM lineitem GROUP BY 1) SELECT group_id, i AS first, j AS second, 90 AS angle FROM g, range(5) a(i), range(5) b(j) WHERE i < j AND j < n", name="pair_enumeration")
 def pair_enumeration_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the first five places of every group, as the template editor lists them."""
     g = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("group_id")).agg(F.count("*").cast("int").alias("n"))
@@ -159,13 +154,29 @@ def score_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(120).select(i.alias("i"), cut(F.sin(i / F.lit(7.0) + 2.0) * 4.0 + 86.0 - incident).alias("sync"), cut(F.sin(i / F.lit(11.0) + 1.0) * 4.0 + 80.0).alias("route"))
 
 
-_CARDS = f"{GROUPS_SQL} SELECT group_id, total < 50 AS alert, {rounded_sql('total', 3, 1.3e-5)} AS total FROM gs WHERE valid ORDER BY (total < 50) DESC, {rounded_sql('total', 3, 1.3e-5)}, group_id LIMIT 50"
+_CARDS = f"{GROUPS_SQL} SELECT group_id, total < 50 AS alert, {rounded_sql('total', 3, 1.3e-5)} AS total FROM gs WHERE valid ORDER BY (total < 50) DESC, {rounded_sql('total', 3, 1.3e-5)}, group_id"
 
 
 @query(_CARDS)
 def card_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _groups(spark, sf_dir).where("valid")
-    return g.select("group_id", (F.col("total") < 50).alias("alert"), rounded("total", 3, 1.3e-5).alias("total")).orderBy(F.col("alert").desc(), "total", "group_id").limit(50)
+    return g.select("group_id", (F.col("total") < 50).alias("alert"), rounded("total", 3, 1.3e-5).alias("total")).orderBy(F.col("alert").desc(), "total", "group_id")
+
+
+@query(
+    """WITH w AS (SELECT l_orderkey AS set_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, l_quantity::DOUBLE AS weight FROM lineitem),
+s AS (SELECT *, place = 1 AS fixed, (set_id % 101)::DOUBLE AS value, sum(CASE WHEN place > 1 THEN weight END) OVER (PARTITION BY set_id) AS others, max(place) OVER (PARTITION BY set_id) AS last FROM w),
+p AS (SELECT *, CASE WHEN fixed THEN value ELSE floor(weight / others * (100 - value) / 5 + 0.5) * 5 END AS part FROM s)
+SELECT set_id, place, (CASE WHEN NOT fixed AND place = last THEN 100 - value - coalesce(sum(CASE WHEN NOT fixed THEN part END) OVER (PARTITION BY set_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE part END)::BIGINT AS weight FROM p"""
+)
+def weight_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first weight of each order is set, the others share the rest."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    w = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("set_id"), F.row_number().over(order).cast("long").alias("place"), F.col("l_quantity").cast("double").alias("weight"))
+    changed = w.withColumn("value", F.when(F.col("place") == 1, F.col("set_id") % 101))
+    return W.rebalanced(changed).select("set_id", "place", F.col("weight").cast("long").alias("weight"))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'override-' || (event_id % 2)::VARCHAR ELSE 'default-' || family END AS template_id FROM ev")

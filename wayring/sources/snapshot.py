@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from wayring.config import Engine
 from wayring.operators.lifecycle import latest_state
 
-SCHEMA_VERSION = 2
-ALGORITHM_VERSION = "0.2.0"
+SCHEMA_VERSION = 1
+ALGORITHM_VERSION = "wayring-2"
 STATE = "server_id long, vehicle_identifier long, active boolean, sample_time timestamp, samples long"
 
 
