@@ -82,6 +82,31 @@ def test_suffix_dedup(spark, seed):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_suffix_dedup_of_common_passages(spark, monkeypatch):
+    """A passage in every document, one large group of copies, long runs of one key, small collections and blocks."""
+    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", 300)
+    rng = random.Random(21)
+    passage = " ".join(f"license{k}" for k in range(12))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows = [(k, " ".join([*(word() for _ in range(rng.randint(0, 15))), passage, *(word() for _ in range(rng.randint(0, 15)))]), "en", "s", 0) for k in range(60)]
+    rows += [(100 + k, rows[7][1], "en", "s", 0) for k in range(30)]
+    rows += [(200, "z" * 500, "en", "s", 0), (150, "z" * 120 + passage[:49], "en", "s", 0), (201, "y" * 49, "en", "s", 0), (202, "y" * 49, "en", "s", 0)]
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_substrings(table(spark, rows)).collect()}
+    assert got == {k: v[0] for k, v in removed_by_brute_force(rows).items()}
+
+
+def test_distinct_strings_whose_hashes_are_equal(monkeypatch):
+    """Strings of one hash that differ are told apart by their bytes."""
+    strings = [b"same bytes here", b"same bytes here", b"other bytes two", b"short", b"short", b"shorx"]
+    size = np.array([len(s) for s in strings])
+    buf = np.frombuffer(b"".join(strings), np.uint8)
+    for colliding in (False, True):
+        if colliding:
+            monkeypatch.setattr(suffix_dedup, "mix", lambda x: x * np.uint64(0))
+        one, number = suffix_dedup.distinct(buf, np.cumsum(size) - size, size)
+        assert len(one) == 4 and [strings[one[k]] for k in number] == strings
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.dedup_substrings(table(spark, ODD[:0])).count() == 0
 

@@ -24,6 +24,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _fold(parts: int):
+    """The rest of the id's checksum; null for a null id, which is neither held out nor trained on."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
@@ -34,7 +35,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(_fold(3) != 1))
-    return toxicity.score(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, model = _table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
     trained = language_id.train(docs.where(_fold(5) != 0), model)
-    return language_id.predict(docs, trained, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, trained, model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
