@@ -153,6 +153,10 @@ def _ranges(folder: str, batches: Iterator[pa.RecordBatch], whole: bool) -> Iter
         file.close()
 
 
+#: Stored bytes that one range of the index stands for, about.
+READ_BYTES = 16 << 20
+
+
 def fill_metadata(index: DataFrame, folder: str) -> DataFrame:
     """``index`` rows with ``width, height, bits``, from reads of ``HEADER_BYTES`` bytes at each offset."""
 
@@ -187,7 +191,7 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     Columns: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
     shard, offset, length, width, height, bits``.  A null text is an empty payload of one padded row.  Equal
     texts share one stored content, the first by shard and offset.  Null ids and repeated rows are kept; other
-    columns are ignored; an empty table gives an empty table.  ``folder`` must be a URI or path that every
+    columns are ignored; an empty table gives an empty table; a very long text is one payload.  ``folder`` must be a URI or path that every
     executor reaches; by default it lies in the shared checkpoint folder.
     """
     folder = folder or new_path(docs.sparkSession, "media")
@@ -195,7 +199,10 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
         folder = "file://" + folder
     index = written(store_payloads(docs, folder, id_col, text_col), "media-index")
     places = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.shard", "at.offset", "at.length")
-    ordered = written(places.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "media-places")
+    # as many ranges as the stored bytes ask for; the index itself is far smaller than what its rows make a task read
+    stored = index.agg(F.sum("length")).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(stored // READ_BYTES) + 1)
+    ordered = written(places.repartitionByRange(ranges, "shard", "offset").sortWithinPartitions("shard", "offset"), "media-places")
     described = fill_metadata(ordered, folder).join(read_features(ordered, folder), "digest")
     return index.select("doc_id", "n_bytes", "digest").join(described, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "bits"
