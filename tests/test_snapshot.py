@@ -1,9 +1,12 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayring.config import Engine, Scoring
+from wayring.operators.lifecycle import accepted, state_changes
 from wayring.sources import snapshot
+from wayring.streaming import lifecycle as streaming
 
 T0 = datetime(2026, 1, 1)
 
@@ -25,3 +28,47 @@ def test_partitioned_samples_and_report(spark, tmp_path):
     e = spark.createDataFrame([(1, "2026-01-01", 5.0), (2, "2026-01-01", 6.0)], "server_id long, start string, score double")
     report = snapshot.report_json(e, 1, "2025-01-01", "2027-01-01").first().report
     assert '"server":1' in report and '"score":5.0' in report and "6.0" not in report
+
+
+def orbit(spark):
+    from wayring.sources.simulator import circle_samples
+
+    return circle_samples(spark, [(1, 101, 0.0), (2, 102, 90.0)], 360)
+
+
+def test_routes_go_on_from_a_snapshot(spark, tmp_path):
+    s = orbit(spark)
+    cut = s.where("minute(sample_time) < 3")
+    snapshot.export_snapshot(cut, str(tmp_path), routes=streaming.route_states(cut))
+    rest = snapshot.resumed_samples(s, snapshot.restore_snapshot(spark, str(tmp_path)))
+    states = snapshot.restore_routes(spark, str(tmp_path))
+    parts = streaming.route_changes(cut).unionByName(streaming.route_changes(rest, states))
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, streaming.route_changes(s).collect()))
+    end = {r.vehicle_identifier: r for r in streaming.route_states(rest, states).collect()}
+    assert all(r.confirmed and not r.time for r in end.values()) and len(end) == 2
+
+
+def test_state_changes_go_on_from_a_snapshot(spark, tmp_path):
+    seconds = [(1, s, s % 7 != 3) for s in (0, 5, 9, 40, 41, 70, 300)] + [(2, s, True) for s in (0, 60, 61, 900)] + [(None, 30, True)]
+    s = spark.createDataFrame([(1, v, T0 + timedelta(seconds=k), a) for v, k, a in seconds], "server_id long, vehicle_identifier long, sample_time timestamp, active boolean")
+    early = s.where(F.col("sample_time") <= F.lit(T0 + timedelta(seconds=65)))
+    snapshot.export_snapshot(early, str(tmp_path))
+    until = F.lit(snapshot.passed_gate(spark, str(tmp_path)).processed_until)
+    late = snapshot.resumed_changes(s, snapshot.restore_snapshot(spark, str(tmp_path)), until)
+    both = state_changes(early).unionByName(late)
+    key = lambda r: repr(tuple(r))
+    assert sorted(both.collect(), key=key) == sorted(state_changes(s).collect(), key=key)
+
+
+@pytest.mark.parametrize("runs", [[(0, 20, 50, 200, 1000)], [(0, 20), (20, 50), (50, 200, 1000)]])
+def test_streamed_state_changes_equal_the_batch_form(spark, tmp_path, runs):
+    seconds = [(1, s, s % 7 != 3) for s in (0, 0, 5, 9, 40, 41, 70, 300)] + [(2, s, None if s == 61 else True) for s in (0, 60, 61, 900)] + [(None, 30, True)]
+    s = spark.createDataFrame([(1, v, T0 + timedelta(seconds=k), a, n) for n, (v, k, a) in enumerate(seconds)], "server_id long, vehicle_identifier long, sample_time timestamp, active boolean, n long")
+    for cuts in runs:  # each run goes on from the checkpoint of the one before
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            s.where(F.col("sample_time").between(F.lit(T0 + timedelta(seconds=a)), F.lit(T0 + timedelta(seconds=b - 1)))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = streaming.stream_state_changes(stream, ties=("n",)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        q.trigger(availableNow=True).start().awaitTermination()
+    key = lambda r: repr(tuple(r))
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key) == sorted(state_changes(accepted(s, "n")).collect(), key=key)

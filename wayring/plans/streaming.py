@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayring.plans.registry import query, rounded
+from wayring.plans.temporal import EXPIRE, LIFE_SQL, NO_DATA
+from wayring.sources.fixtures import lifecycle_samples
 from wayring.sources.simulator import orbits
 from wayring.streaming import lifecycle
 
@@ -52,3 +54,12 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*")
     s = stream.select(F.col("user_id").alias("vehicle_identifier"), F.date_trunc("hour", "ts").alias("sample_time"))
     return run_to_end(spark, lifecycle.stream_first_samples(s, ["vehicle_identifier", "sample_time"]), "first-samples")
+
+
+@query(f"{LIFE_SQL} SELECT * FROM c")
+def stream_state_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changelog of the batch form, from a stream with timers."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*")
+    changes = lifecycle.stream_state_changes(lifecycle_samples(spark, sf_dir, stream), NO_DATA, EXPIRE, ties=("event_id",))
+    return run_to_end(spark, changes, "state-changes").withColumn("change_time", F.col("change_time").cast(e.schema["ts"].dataType))

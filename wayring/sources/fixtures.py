@@ -65,9 +65,9 @@ def raw_points(spark: SparkSession, sf_dir: str, collapse: bool = True) -> DataF
     return points.groupBy("server_id", "vehicle_number", "metric", "source_time").agg(F.min_by("value", "event_id").alias("value"))
 
 
-def lifecycle_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sample per event: ``server_id, vehicle_identifier, sample_time, active, event_id``."""
-    e = table(spark, sf_dir, "events")
+def lifecycle_samples(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One sample per event: ``server_id, vehicle_identifier, sample_time, active, event_id``; of the table or a stream of it."""
+    e = table(spark, sf_dir, "events") if events is None else events
     return e.select(F.lit(0).cast("long").alias("server_id"), F.col("user_id").alias("vehicle_identifier"), F.col("ts").alias("sample_time"), (F.col("event_type") != "error").alias("active"), "event_id")
 
 

@@ -2,34 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from wayring.config import Engine
-from wayring.operators.lifecycle import latest_state
+from wayring.operators.lifecycle import latest_state, state_changes
+from wayring.streaming.lifecycle import ROUTE_STATE
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 ALGORITHM_VERSION = "wayring-2"
+GATE = "schema_version int, algorithm_version string, config_sha256 string, processed_until timestamp"
 STATE = "server_id long, vehicle_identifier long, active boolean, sample_time timestamp, samples long"
 
 
-def export_snapshot(samples: DataFrame, path: str, config: Engine = Engine()) -> None:
-    """One JSON line per stream with its newest state, beside a gate row; lines are written by the executors."""
-    spark = samples.sparkSession
-    gate = [(SCHEMA_VERSION, ALGORITHM_VERSION, config.fingerprint())]
-    spark.createDataFrame(gate, "schema_version int, algorithm_version string, config_sha256 string").coalesce(1).write.mode("overwrite").json(f"{path}/gate")
+def export_snapshot(samples: DataFrame, path: str, config: Engine = Engine(), routes: DataFrame | None = None) -> None:
+    """One JSON line per stream with its newest state, beside a gate row; lines are written by the executors.
+
+    The gate row also says until when samples were processed: the newest sample of all streams.  ``routes``
+    (``route_states``) adds what the route lifecycle carries, a line per stream.
+    """
+    until = samples.agg(F.max(F.col("sample_time").cast("timestamp")).alias("processed_until"))
+    gate = until.select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(ALGORITHM_VERSION).alias("algorithm_version"), F.lit(config.fingerprint()).alias("config_sha256"), "processed_until")
+    gate.coalesce(1).write.mode("overwrite").json(f"{path}/gate")
     latest_state(samples).select(F.to_json(F.struct("server_id", "vehicle_identifier", "active", "sample_time", "samples")).alias("value")).write.mode("overwrite").text(f"{path}/states")
+    if routes is not None:
+        routes.select(F.to_json(F.struct(*routes.columns)).alias("value")).write.mode("overwrite").text(f"{path}/routes")
 
 
-def restore_snapshot(spark: SparkSession, path: str, config: Engine = Engine()) -> DataFrame:
-    """The states of a snapshot; another schema, algorithm or configuration is refused."""
-    gate = spark.read.schema("schema_version int, algorithm_version string, config_sha256 string").json(f"{path}/gate").first()
+def passed_gate(spark: SparkSession, path: str, config: Engine = Engine()) -> Row:
+    """The gate row of a snapshot; another schema, algorithm or configuration is refused."""
+    gate = spark.read.schema(GATE).json(f"{path}/gate").first()
     for name, have, want in (("schema version", gate.schema_version, SCHEMA_VERSION), ("algorithm version", gate.algorithm_version, ALGORITHM_VERSION), ("configuration", gate.config_sha256, config.fingerprint())):
         if have != want:
             raise ValueError(f"the snapshot has another {name}")
+    return gate
+
+
+def restore_snapshot(spark: SparkSession, path: str, config: Engine = Engine()) -> DataFrame:
+    """The newest state of each stream of a snapshot that passes the gate."""
+    passed_gate(spark, path, config)
     return spark.read.text(f"{path}/states").select(F.from_json("value", STATE).alias("s")).select("s.*")
 
 
+def restore_routes(spark: SparkSession, path: str, config: Engine = Engine()) -> DataFrame:
+    """The route states of a snapshot that passes the gate."""
+    passed_gate(spark, path, config)
+    return spark.read.text(f"{path}/routes").select(F.from_json("value", ROUTE_STATE).alias("s")).select("s.*")
+
+
+def resumed_changes(samples: DataFrame, states: DataFrame, processed_until: Column, **settings) -> DataFrame:
+    """State changes after a snapshot, which with those before it are the changes of a continuous run.
+
+    The snapshot's newest sample of a stream stands before its new ones.  Samples up to ``processed_until`` are late.
+    """
+    columns = ["server_id", "vehicle_identifier", "sample_time", "active"]
+    both = states.select(*columns).unionByName(samples.where(F.col("sample_time") > processed_until).select(*columns))
+    return state_changes(both, **settings).where(F.col("change_time") > processed_until)
+
+
 def resumed_samples(samples: DataFrame, states: DataFrame) -> DataFrame:
     """Samples after their stream's snapshot; overlap with what the snapshot has seen is dropped."""
     seen = states.select("server_id", "vehicle_identifier", F.col("sample_time").alias("seen_until"))

@@ -1,7 +1,7 @@
-"""Route lifecycle of vehicle streams: batch by stream, and Structured Streaming with state per stream.
+"""Lifecycle of vehicle streams: routes in batch and stream, activation and data loss in Structured Streaming.
 
-Both call the same step for each sample, so one large batch, micro-batches and a restart from a checkpoint give
-the same changes.
+Batch and stream call the same step for each sample, so one large batch, micro-batches and a restart from a
+checkpoint or a snapshot give the same changes.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wayring.streaming.route_steps import RouteState, advance
+from wayring.config import Grouping, Timing
+from wayring.streaming.route_steps import FIELDS, RouteState, advance
 
 KEY = ["server_id", "vehicle_identifier"]
 CHANGES = "server_id long, vehicle_identifier long, change_s double, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double"
+ROUTE_STATE = "server_id long, vehicle_identifier long, last_time double, last_look double, candidate boolean, confirmed boolean, " + ", ".join(f"{f} array<double>" for f in FIELDS)
+STATE_CHANGES = "server_id long, vehicle_identifier long, at_us long, kind string"
 _SAMPLE = ["second", "active", "latitude_deg", "longitude_deg", "velocity_east_mps", "velocity_north_mps", "reliability"]
 
 
@@ -34,13 +37,45 @@ def _changes(key: tuple, state: RouteState, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in CHANGES.split(",")])
 
 
-def route_changes(samples: DataFrame) -> DataFrame:
-    """Route candidates and confirmations of every stream, from all its samples; one shuffle by stream."""
+def _held(states: pd.DataFrame) -> RouteState:
+    if states.empty:
+        return RouteState()
+    row = states.iloc[0]
+    history = {f: [float(x) for x in row[f]] for f in FIELDS}
+    return RouteState(history, float(row["last_time"]), float(row["last_look"]), bool(row["candidate"]), bool(row["confirmed"]))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _changes(key, RouteState(), pdf)
 
-    return _prepared(samples).groupBy(*KEY).applyInPandas(run, CHANGES)
+def _with_states(samples: DataFrame, states: DataFrame | None):
+    """Samples by stream beside the stream's state, where there is one."""
+    if states is None:
+        states = samples.sparkSession.createDataFrame([], ROUTE_STATE)
+    return _prepared(samples).groupBy(*KEY).cogroup(states.groupBy(*KEY))
+
+
+def route_changes(samples: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Route candidates and confirmations of every stream, from all its samples; one shuffle by stream.
+
+    With ``states`` of earlier samples (``route_states``) the streams go on from there.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return _changes(key, _held(held), pdf)
+
+    return _with_states(samples, states).applyInPandas(run, CHANGES)
+
+
+def route_states(samples: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """What every stream carries after its samples: unconfirmed history, last sample and look, candidate and confirmed.
+
+    Streams without new samples keep their state.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        state = _held(held)
+        _changes(key, state, pdf)
+        return pd.DataFrame([(*key, state.last_time, state.last_look, state.candidate, state.confirmed, *(state.history[f] for f in FIELDS))], columns=[c.strip().split(" ")[0] for c in ROUTE_STATE.split(",")])
+
+    return _with_states(samples, states).applyInPandas(run, ROUTE_STATE)
 
 
 def stream_route_changes(samples: DataFrame) -> DataFrame:
@@ -55,6 +90,54 @@ def stream_route_changes(samples: DataFrame) -> DataFrame:
     return _prepared(samples).groupBy(*KEY).applyInPandasWithState(run, CHANGES, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_state_changes(samples: DataFrame, no_data_seconds: int = Timing().no_data_seconds, expire_seconds: int = Grouping().hold_seconds, late: str = "0 seconds", ties: tuple[str, ...] = ()) -> DataFrame:
+    """``change_time, kind, server_id, vehicle_identifier`` from a streaming DataFrame, stamped as in the batch form.
+
+    Deadlines of loss and expiry are event-time timers: they fire, in whole milliseconds, when the watermark of all
+    streams (the newest sample less ``late``) reaches them; the watermark never goes back.  Samples without a time, at
+    or before the watermark, or not after the last one of their stream are late and change nothing; of one time the
+    first by ``ties`` counts within a micro-batch.  A stream's state is its last sample and the deadlines passed.
+    """
+    waits = sorted([(no_data_seconds * 1_000_000, "data_lost"), (expire_seconds * 1_000_000, "vehicle_expired")])
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, active, passed = state.get if state.exists else (None, None, 0)
+        out: list[tuple] = []
+
+        def pass_deadlines(until: int) -> None:
+            nonlocal passed
+            while last is not None and passed < len(waits) and last + waits[passed][0] <= until:
+                out.append((*key, last + waits[passed][0], waits[passed][1]))
+                passed += 1
+
+        rows = [pdf for pdf in frames if len(pdf)]
+        if rows:
+            pdf = pd.concat(rows, ignore_index=True).sort_values(["at_us", *ties], kind="stable")
+            for at, now in zip(pdf["at_us"].tolist(), pdf["active"].astype(object).where(pdf["active"].notna(), None), strict=True):
+                if last is not None and at <= last:
+                    continue
+                pass_deadlines(at)
+                if last is not None and last + no_data_seconds * 1_000_000 <= at:
+                    out.append((*key, at, "data_resumed"))
+                if now and not active:
+                    out.append((*key, at, "vehicle_activated"))
+                elif now is False and active:
+                    out.append((*key, at, "vehicle_deactivated"))
+                last, active, passed = at, None if now is None else bool(now), 0
+        watermark_ms = state.getCurrentWatermarkMs()
+        pass_deadlines(watermark_ms * 1000)
+        state.update((last, active, passed))
+        if passed < len(waits):
+            deadline_ms = -((last + waits[passed][0]) // -1000)
+            state.setTimeoutTimestamp(max(deadline_ms - 1, watermark_ms))  # fires once the watermark is beyond it
+        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in STATE_CHANGES.split(",")])
+
+    timed = samples.where("sample_time is not null").select(*KEY, F.col("sample_time").cast("timestamp").alias("sample_time"), "active", *ties)
+    keyed = timed.withWatermark("sample_time", late).withColumn("at_us", F.unix_micros("sample_time")).groupBy(*KEY)
+    found = keyed.applyInPandasWithState(run, STATE_CHANGES, "last long, active boolean, passed int", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.timestamp_micros("at_us").alias("change_time"), "kind", *KEY)
+
+
 def stream_first_samples(samples: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """The first row of each set of keys in a stream; state is dropped once the watermark has passed."""
     return samples.withWatermark("sample_time", late).dropDuplicatesWithinWatermark(keys)
