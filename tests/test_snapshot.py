@@ -12,7 +12,7 @@ T0 = datetime(2026, 1, 1)
 
 
 def test_restore_needs_the_same_configuration(spark, tmp_path):
-    s = spark.createDataFrame([(1, k % 3, T0 + timedelta(seconds=k), k % 2 == 0) for k in range(30)], "server_id long, vehicle_identifier long, sample_time timestamp, active boolean")
+    s = spark.createDataFrame([(1, k % 3, T0 + timedelta(seconds=k, microseconds=549), k % 2 == 0) for k in range(30)], "server_id long, vehicle_identifier long, sample_time timestamp, active boolean")
     early = s.where("second(sample_time) < 20")
     snapshot.export_snapshot(early, str(tmp_path))
     states = snapshot.restore_snapshot(spark, str(tmp_path))
@@ -72,3 +72,22 @@ def test_streamed_state_changes_equal_the_batch_form(spark, tmp_path, runs):
         q.trigger(availableNow=True).start().awaitTermination()
     key = lambda r: repr(tuple(r))
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key) == sorted(state_changes(accepted(s, "n")).collect(), key=key)
+
+
+def test_debug_state(spark):
+    s = orbit(spark)
+    early = {r.vehicle_identifier: r for r in streaming.debug_state(streaming.route_states(s.where("minute(sample_time) < 1"))).collect()}
+    assert early[101].history_count == 60 and not early[101].confirmed and (early[101].history_end - early[101].history_start).total_seconds() == 59
+    late = streaming.debug_state(streaming.route_states(s)).first()
+    assert late.history_count == 0 and late.confirmed and late.history_start is None and late.last_evaluation is not None
+
+
+def test_ranges_have_to_begin_before_they_end(spark):
+    with pytest.raises(ValueError, match="range"):
+        snapshot.report_json(spark.createDataFrame([(1, "x")], "server_id long, start string"), 1, "2027-01-01", "2026-01-01")
+
+
+def test_json_lines_round_trip(spark):
+    s = orbit(spark).where("second(sample_time) < 5")
+    back = snapshot.from_json_lines(snapshot.json_lines(s.withColumn("reliability", F.when(F.col("vehicle_number") == 1, 0.25))))
+    assert sorted(back.collect()) == sorted(s.withColumn("reliability", F.when(F.col("vehicle_number") == 1, 0.25).otherwise(1.0)).select(back.columns).collect())

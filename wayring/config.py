@@ -72,6 +72,9 @@ class Grouping:
     identity_fraction: float = 0.60
     si_center_ratio: float = 0.30
     si_period_ratio: float = 0.20
+    so_period_ratio: float = 0.20
+    finalize_seconds: int = 120
+    run_seconds: int = 20
 
 
 @dataclass(frozen=True)

@@ -39,6 +39,7 @@ def smoothed(scores: DataFrame, key: list[str], time: str, score: str, seconds:
 def alert_intervals(scores: DataFrame, key: list[str], second: str, score: str, cfg: Scoring = Scoring()) -> DataFrame:
     """Alerts with hysteresis: opened after a run of low scores, closed after a run of recovered ones.
 
+    Null scores are neither: they leave runs as they are, and no alert opens or closes at them.
     A low run is consecutive rows under ``low_below`` for ``alert_open_seconds``, a recovery run rows from
     ``alert_recovery_score`` on for ``alert_recovery_seconds``.  Runs and their ends come from windows; the
     first recovery after an opening closes it, and openings before that belong to the same alert.
@@ -63,6 +64,11 @@ def membership_events(rows: DataFrame, key: list[str], time: str, gap_seconds: i
     return numbered.groupBy(*key, "event").agg(F.min(time).alias("start_time"), F.max(time).alias("end_time"), F.count("*").alias("rows"))
 
 
+def finalised(end: Column, observed_until: Column, seconds: int = Grouping().finalize_seconds) -> Column:
+    """Whether an event's end lies so far back that it is final; null without an end."""
+    return F.unix_micros(end.cast("timestamp")) + seconds * 1_000_000 <= F.unix_micros(observed_until.cast("timestamp"))
+
+
 def visible_revisions(versions: DataFrame, score_points: float = 5.0, boundary_seconds: float = 30.0) -> DataFrame:
     """Versions of events that become visible: the first, and each that moves the mean or a boundary enough.
 
@@ -91,6 +97,29 @@ def si_neighbours(routes: DataFrame, cfg: Grouping = Grouping()) -> DataFrame:
     return j.where(near & alike).select(F.col("a_route_id").alias("a"), F.col("route_id").alias("b"))
 
 
+def so_neighbours(routes: DataFrame, cfg: Grouping = Grouping()) -> DataFrame:
+    """Links (a, b) of SO routes that may form a group: an end of each within the longer leg, like periods.
+
+    ``routes`` has ``server_id, route_id, ends`` (an array of ``x, y``), ``leg_m, period_s``.  Ends are put into
+    square cells of the longest leg of their server, so each meets only those of its own and the next cells.
+    """
+    reach = routes.groupBy("server_id").agg(F.max("leg_m").alias("cell"))
+    columns = ("route_id", "x", "y", "leg_m", "period_s")
+    r = routes.join(reach, "server_id").withColumn("end", F.explode("ends"))
+    r = r.select("server_id", "route_id", "end.x", "end.y", "leg_m", "period_s", F.floor(F.col("end.x") / F.col("cell")).alias("gx"), F.floor(F.col("end.y") / F.col("cell")).alias("gy"))
+    around = F.array(*(F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
+    a = r.withColumn("at", F.explode(around)).select("server_id", "at.gx", "at.gy", *(F.col(c).alias(f"a_{c}") for c in columns))
+    near = F.hypot(F.col("x") - F.col("a_x"), F.col("y") - F.col("a_y")) <= F.greatest("leg_m", "a_leg_m")
+    alike = F.abs(F.col("period_s") - F.col("a_period_s")) <= F.greatest("period_s", "a_period_s") * cfg.so_period_ratio
+    links = a.join(r, ["server_id", "gx", "gy"]).where("a_route_id < route_id").where(near & alike)
+    return links.select(F.col("a_route_id").alias("a"), F.col("route_id").alias("b")).distinct()
+
+
+def reliable_groups(members: DataFrame, least: float = Scoring().least_reliability) -> DataFrame:
+    """``group_id, reliable`` of groups with two reliable members or more; a null reliability is not reliable."""
+    return members.groupBy("group_id").agg(F.count_if(F.col("reliability") >= least).alias("reliable")).where("reliable >= 2")
+
+
 def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``node, label``: the least node that links reach, by rounds of least-neighbour labels and pointer jumps.
 
@@ -144,8 +173,16 @@ def jumps(samples: DataFrame, key: list[str], second: str, x: str, y: str, expec
     return samples.withColumn("derived_speed", speed).withColumn("jump", F.coalesce(F.col("derived_speed") > expected_speed * factor, F.lit(False)))
 
 
-def inner_turns(samples: DataFrame, key: list[str], second: str, heading_deg: str, phase: str, turns: float = 2.0, within: float = 0.10) -> DataFrame:
-    """Adds ``inner_turn``: so many local turns while the cycle went on by ``within`` at most.
+def accepted_runs(samples: DataFrame, key: list[str], second: str, jump: str, seconds: int = Grouping().run_seconds) -> DataFrame:
+    """Adds ``run``, the number of jumps so far, and ``accepted``: a run after a jump counts once it went on for a time without another."""
+    w = Window.partitionBy(*key).orderBy(second)
+    s = samples.withColumn("run", F.sum(F.coalesce(F.col(jump), F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    began = F.max(F.when(F.col(jump), F.col(second))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return s.withColumn("accepted", (F.col("run") == 0) | (F.col(second) - began >= seconds))
+
+
+def inner_turns(samples: DataFrame, key: list[str], second: str, heading_deg: str, phase: str, turns: float = 2.0, within: float = 0.10, cleared: float = 0.20) -> DataFrame:
+    """Adds ``inner_turn``: so many local turns while the cycle went on by ``within`` at most, until it went on by ``cleared``.
 
     Heading and phase are unwrapped by running sums of their smallest steps; the window of the last ``within``
     cycles is a range over the unwrapped phase.
@@ -158,4 +195,6 @@ def inner_turns(samples: DataFrame, key: list[str], second: str, heading_deg: st
     s = s.withColumns({"__heading": F.sum("__turn").over(run), "__progress": (F.sum("__ahead").over(run) * 1e6).cast("long")})
     recent = Window.partitionBy(*key).orderBy("__progress").rangeBetween(-int(within * 1e6), 0)
     spread = F.max("__heading").over(recent) - F.min("__heading").over(recent)
-    return s.withColumn("inner_turn", spread >= turns * 360.0).drop("__turn", "__ahead", "__heading", "__progress")
+    last = F.max(F.when(F.col("__found"), F.col("__progress"))).over(run)
+    s = s.withColumn("__found", spread >= turns * 360.0).withColumn("inner_turn", F.coalesce(F.col("__progress") - last < int(cleared * 1e6), F.lit(False)))
+    return s.drop("__turn", "__ahead", "__heading", "__progress", "__found")

@@ -148,6 +148,32 @@ def accepted_notes(notes: DataFrame) -> DataFrame:
     return notes.withColumn("title", F.trim("title")).where("title <> ''")
 
 
+def newest_notes(notes: DataFrame, n: int = 20) -> DataFrame:
+    """The last ``n`` accepted notes; notes of one time are told by id."""
+    return accepted_notes(notes).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
+
+
+def valid_range(start: Column, end: Column) -> Column:
+    """Whether a range has both ends and begins before it ends."""
+    return F.coalesce(start < end, F.lit(False))
+
+
+def selected_servers(wanted: DataFrame, servers: DataFrame) -> DataFrame:
+    """Adds ``server_id`` to rows with ``wanted``: that server where it is enabled, else the first enabled one.
+
+    Without any enabled server it is null.  ``servers`` has ``server_id, enabled``.
+    """
+    enabled = servers.where("enabled").select("server_id").distinct()
+    first = enabled.agg(F.min("server_id").alias("__first"))  # one row
+    found = wanted.join(enabled, F.col("wanted") == F.col("server_id"), "left").crossJoin(F.broadcast(first))
+    return found.withColumn("server_id", F.coalesce("server_id", "__first")).drop("__first")
+
+
+def alert_summary(cards: DataFrame, key: list[str], alert: Column, unread: Column) -> DataFrame:
+    """The first group (by ``group_id``) with an alert and the number of its unread alerts, for each key."""
+    return cards.groupBy(*key).agg(F.min(F.when(alert, F.col("group_id"))).alias("first_alert"), F.count_if(alert & unread).alias("unread"))
+
+
 def hydrated(stored: Column, defaults: Column) -> Column:
     """A stored map over the defaults, key by key."""
     kept = F.map_filter(defaults, lambda k, _: ~F.coalesce(F.map_contains_key(stored, k), F.lit(False)))

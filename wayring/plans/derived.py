@@ -10,6 +10,7 @@ from wayring.plans.registry import query, rounded, rounded_sql
 from wayring.plans.workspace import _SECONDS_SQL, _seconds
 from wayring.sources.simulator import orbits
 from wayring.functions import geo
+from wayring.streaming import lifecycle
 
 
 @query(
@@ -38,3 +39,37 @@ def inner_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.withColumns({"heading": F.degrees(F.atan2("velocity_east_mps", "velocity_north_mps")), "phase": F.pmod(F.atan2(p["y"], p["x"]) / (2 * 3.141592653589793), F.lit(1.0))})
     t = E.inner_turns(o, ["server_id", "vehicle_identifier"], "second", "heading", "phase")
     return t.groupBy("server_id", "vehicle_identifier").agg(F.count_if("inner_turn").alias("samples_in_inner_turns"))
+
+
+@query(
+    f"""WITH {_SECONDS_SQL}, j AS (SELECT k, second, coalesce(abs(score - lag(score) OVER (PARTITION BY k ORDER BY second)) > 60.0, false) AS jump FROM sec), r AS (SELECT *, sum(jump::INTEGER) OVER (PARTITION BY k ORDER BY second)::BIGINT AS run FROM j)
+SELECT k, second, run, run = 0 OR second - min(second) OVER (PARTITION BY k, run) >= 2 AS accepted FROM r"""
+)
+def score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of scores between jumps; one after a jump counts from its third second on."""
+    s = _seconds(spark, sf_dir).withColumn("zero", F.lit(0.0))
+    return E.accepted_runs(E.jumps(s, ["k"], "second", "score", "zero", F.lit(30.0)), ["k"], "second", "jump", 2).select("k", "second", "run", "accepted")
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey AS k, second, CASE WHEN s_suppkey % 2 = 0 THEN 45.0 * least(greatest(second - 30, 0), 20) ELSE 0.0 END AS heading, floor(second * 1953.125::DOUBLE)::BIGINT AS progress FROM supplier, range(300) t(second)),
+f AS (SELECT *, max(heading) OVER w - min(heading) OVER w >= 720 AS found FROM r WINDOW w AS (PARTITION BY k ORDER BY progress RANGE BETWEEN 100000 PRECEDING AND CURRENT ROW)),
+l AS (SELECT k, second, progress, max(CASE WHEN found THEN progress END) OVER (PARTITION BY k ORDER BY second) AS last FROM f)
+SELECT k, count(CASE WHEN progress - last < 200000 THEN 1 END) AS samples, min(CASE WHEN progress - last < 200000 THEN second END) AS first_second, max(CASE WHEN progress - last < 200000 THEN second END) AS last_second FROM l GROUP BY k"""
+)
+def inner_turn_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of 512 s; every second stream turns two and a half times on the spot in 20 s of its first one."""
+    second, k = F.col("second"), F.col("s_suppkey")
+    turn = F.when(k % 2 == 0, F.least(F.greatest(second - 30, F.lit(0)), F.lit(20)) * 45.0).otherwise(0.0)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k, k.alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))).alias("second"))
+    s = s.select("k", "second", F.pmod(turn, F.lit(360.0)).alias("heading"), (second / F.lit(512.0)).alias("phase"))
+    t = E.inner_turns(s, ["k"], "second", "heading", "phase")
+    inside = F.when(F.col("inner_turn"), second)
+    return t.groupBy("k").agg(F.count_if("inner_turn").alias("samples"), F.min(inside).alias("first_second"), F.max(inside).alias("last_second"))
+
+
+@query()
+def debug_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the streams of the orbits hold after two minutes of samples."""
+    early = orbits(spark, sf_dir).where("unix_timestamp(sample_time) - unix_timestamp('2026-01-01 00:00:00') < 120")
+    return lifecycle.debug_state(lifecycle.route_states(early))

@@ -10,6 +10,7 @@ from wayring.operators import workspace as W
 from wayring.plans.registry import query, rounded, rounded_sql
 from wayring.plans.scoring import GROUPS_SQL, SCORES_SQL, _groups, _scored
 from wayring.functions.scoring import REASONS
+from wayring.sources import snapshot
 from wayring.sources.fixtures import investigation_events, lifecycle_samples
 
 EVENTS_SQL = "ev AS (SELECT o_orderkey AS event_id, o_custkey % 3 + 1 AS server_id, CASE WHEN o_orderkey % 2 = 1 THEN 'so' ELSE 'si' END AS family, o_orderdate AS start, o_orderkey % 50 + 10 AS duration_min, least(100.0, round(o_totalprice / 5000.0::DOUBLE, 0)) AS score FROM orders)"
@@ -260,3 +261,68 @@ def group_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wayring-"))
     return E.connected(r.select(F.col("route_id").alias("node")), E.si_neighbours(r))
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at, 'note ' || o_orderkey AS title FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
+def newest_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest twenty notes, as the notes table lists them; every third has a blank title."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    title = F.when(F.col("o_orderkey") % 3 == 0, "  ").otherwise(F.concat(F.lit(" note "), F.col("o_orderkey").cast("string"), F.lit(" ")))
+    return W.newest_notes(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), title.alias("title")))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT event_id, coalesce(start < TIMESTAMP '1995-06-17 00:00:00', false) AS valid FROM ev")
+def range_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.lit("1995-06-17 00:00:00").cast("timestamp_ntz")
+    return investigation_events(spark, sf_dir).select("event_id", W.valid_range(F.col("start").cast("timestamp_ntz"), end).alias("valid"))
+
+
+@query("SELECT c_custkey AS key, coalesce(n_nationkey, (SELECT min(n_nationkey) FROM nation WHERE n_nationkey % 3 <> 0)) AS server_id FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) n ON c_nationkey = n_nationkey")
+def selected_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The server that each customer wants, or the first enabled one."""
+    servers = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("server_id"), (F.col("n_nationkey") % 3 != 0).alias("enabled"))
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("wanted"))
+    return W.selected_servers(wanted, servers).select("key", "server_id")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT server_id, min(CASE WHEN score < 50 THEN event_id END) AS first_alert, sum((score < 50 AND event_id % 4 = 1)::INTEGER)::BIGINT AS unread FROM ev GROUP BY ALL")
+def first_alert_and_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = investigation_events(spark, sf_dir).withColumnRenamed("event_id", "group_id")
+    return W.alert_summary(cards, ["server_id"], F.col("score") < 50, F.col("group_id") % 4 == 1)
+
+
+@query(f"WITH {EVENTS_SQL}, e AS (SELECT event_id, start + to_minutes(duration_min) AS ends FROM ev) SELECT event_id, ends + INTERVAL 120 SECOND <= (SELECT max(ends) FROM e) AS final FROM e")
+def finalised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = investigation_events(spark, sf_dir).select("event_id", F.expr("start + make_dt_interval(0, 0, cast(duration_min AS int))").alias("ends"))
+    newest = e.agg(F.max("ends").alias("newest"))  # one row
+    return e.crossJoin(F.broadcast(newest)).select("event_id", E.finalised(F.col("ends"), F.col("newest")).alias("final"))
+
+
+_SO_SQL = "so AS (SELECT s_nationkey % 3 AS server_id, s_suppkey AS route_id, (s_suppkey * 37 % 2000)::DOUBLE AS x0, (s_suppkey * 53 % 2000)::DOUBLE AS y0, (s_suppkey * 37 % 2000 + 60 + s_suppkey % 5 * 20)::DOUBLE AS x1, (60 + s_suppkey % 5 * 20)::DOUBLE AS leg_m, (90 + s_suppkey % 6 * 15)::DOUBLE AS period_s FROM supplier)"
+
+
+@query(
+    f"""WITH {_SO_SQL}, e AS (SELECT server_id, route_id, x0 AS x, y0 AS y, leg_m, period_s FROM so UNION ALL SELECT server_id, route_id, x1, y0, leg_m, period_s FROM so)
+SELECT DISTINCT a.route_id AS a, b.route_id AS b FROM e a JOIN e b ON a.server_id = b.server_id AND a.route_id < b.route_id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= greatest(a.leg_m, b.leg_m) AND abs(a.period_s - b.period_s) <= greatest(a.period_s, b.period_s) * 0.2::DOUBLE"""
+)
+def so_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stadiums of three servers whose ends lie near each other."""
+    k = F.col("s_suppkey")
+    x, y, leg = (k * 37 % 2000).cast("double"), (k * 53 % 2000).cast("double"), (k % 5 * 20 + 60).cast("double")
+    ends = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + leg).alias("x"), y.alias("y")))
+    routes = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_nationkey") % 3).alias("server_id"), k.alias("route_id"), ends.alias("ends"), leg.alias("leg_m"), (k % 6 * 15 + 90).cast("double").alias("period_s"))
+    return E.so_neighbours(routes)
+
+
+@query("SELECT l_orderkey AS group_id, sum((l_discount >= 0.06::DOUBLE)::INTEGER)::BIGINT AS reliable FROM lineitem GROUP BY l_orderkey HAVING sum((l_discount >= 0.06::DOUBLE)::INTEGER) >= 2")
+def reliable_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("group_id"), F.col("l_discount").alias("reliability"))
+    return E.reliable_groups(members, 0.06)
+
+
+@query("SELECT user_id AS vehicle_identifier, ts AS sample_time, event_type <> 'error' AS active, CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS reliability FROM events")
+def sample_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples to JSON lines and back; every fifth comes without its reliability."""
+    s = lifecycle_samples(spark, sf_dir)
+    lines = snapshot.json_lines(s.withColumn("reliability", F.when(F.col("event_id") % 5 != 0, 0.5)).drop("event_id"))
+    return snapshot.from_json_lines(lines).select("vehicle_identifier", F.col("sample_time").cast(s.schema["sample_time"].dataType).alias("sample_time"), "active", "reliability")

@@ -11,6 +11,9 @@ from wayring.streaming.lifecycle import ROUTE_STATE
 
 SCHEMA_VERSION = 2
 ALGORITHM_VERSION = "wayring-2"
+#: Times are written whole, to the microsecond.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+SAMPLE = "sample_time timestamp, server_id long, vehicle_number long, vehicle_identifier long, active boolean, latitude_deg double, longitude_deg double, velocity_north_mps double, velocity_east_mps double, reliability double"
 GATE = "schema_version int, algorithm_version string, config_sha256 string, processed_until timestamp"
 STATE = "server_id long, vehicle_identifier long, active boolean, sample_time timestamp, samples long"
 
@@ -23,15 +26,15 @@ def export_snapshot(samples: DataFrame, path: str, config: Engine = Engine(), ro
     """
     until = samples.agg(F.max(F.col("sample_time").cast("timestamp")).alias("processed_until"))
     gate = until.select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(ALGORITHM_VERSION).alias("algorithm_version"), F.lit(config.fingerprint()).alias("config_sha256"), "processed_until")
-    gate.coalesce(1).write.mode("overwrite").json(f"{path}/gate")
-    latest_state(samples).select(F.to_json(F.struct("server_id", "vehicle_identifier", "active", "sample_time", "samples")).alias("value")).write.mode("overwrite").text(f"{path}/states")
+    gate.coalesce(1).write.mode("overwrite").options(**TIMES).json(f"{path}/gate")
+    json_lines(latest_state(samples)).write.mode("overwrite").text(f"{path}/states")
     if routes is not None:
-        routes.select(F.to_json(F.struct(*routes.columns)).alias("value")).write.mode("overwrite").text(f"{path}/routes")
+        json_lines(routes).write.mode("overwrite").text(f"{path}/routes")
 
 
 def passed_gate(spark: SparkSession, path: str, config: Engine = Engine()) -> Row:
     """The gate row of a snapshot; another schema, algorithm or configuration is refused."""
-    gate = spark.read.schema(GATE).json(f"{path}/gate").first()
+    gate = spark.read.schema(GATE).options(**TIMES).json(f"{path}/gate").first()
     for name, have, want in (("schema version", gate.schema_version, SCHEMA_VERSION), ("algorithm version", gate.algorithm_version, ALGORITHM_VERSION), ("configuration", gate.config_sha256, config.fingerprint())):
         if have != want:
             raise ValueError(f"the snapshot has another {name}")
@@ -41,13 +44,13 @@ def passed_gate(spark: SparkSession, path: str, config: Engine = Engine()) -> Ro
 def restore_snapshot(spark: SparkSession, path: str, config: Engine = Engine()) -> DataFrame:
     """The newest state of each stream of a snapshot that passes the gate."""
     passed_gate(spark, path, config)
-    return spark.read.text(f"{path}/states").select(F.from_json("value", STATE).alias("s")).select("s.*")
+    return spark.read.text(f"{path}/states").select(F.from_json("value", STATE, TIMES).alias("s")).select("s.*")
 
 
 def restore_routes(spark: SparkSession, path: str, config: Engine = Engine()) -> DataFrame:
     """The route states of a snapshot that passes the gate."""
     passed_gate(spark, path, config)
-    return spark.read.text(f"{path}/routes").select(F.from_json("value", ROUTE_STATE).alias("s")).select("s.*")
+    return spark.read.text(f"{path}/routes").select(F.from_json("value", ROUTE_STATE, TIMES).alias("s")).select("s.*")
 
 
 def resumed_changes(samples: DataFrame, states: DataFrame, processed_until: Column, **settings) -> DataFrame:
@@ -67,6 +70,18 @@ def resumed_samples(samples: DataFrame, states: DataFrame) -> DataFrame:
     return joined.where("seen_until is null or sample_time > seen_until").drop("seen_until")
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON document per row, in ``value``; nulls are left out, times without a zone are those of the session's."""
+    zoned = [F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in rows.dtypes]
+    return rows.select(F.to_json(F.struct(*zoned), TIMES).alias("value"))
+
+
+def from_json_lines(lines: DataFrame, schema: str = SAMPLE, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of JSON documents; what is missing takes its default, for samples the reliability 1."""
+    rows = lines.select(F.from_json("value", schema, TIMES).alias("s")).select("s.*")
+    return rows.withColumns({c: F.coalesce(F.col(c), default) for c, default in (defaults or {"reliability": F.lit(1.0)}).items()})
+
+
 def retained(samples: DataFrame, now: str, days: int = 90) -> DataFrame:
     """Samples within the retention; on tables partitioned by date the filter prunes folders."""
     return samples.where(F.col("sample_time") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
@@ -79,5 +94,7 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 def report_json(events: DataFrame, server_id: int, start: str, end: str) -> DataFrame:
     """One JSON document: server, range and its events; the events of a report are a stated, small range."""
+    if not start < end:
+        raise ValueError("a range has to begin before it ends")
     chosen = events.where((F.col("server_id") == server_id) & (F.col("start") >= start) & (F.col("start") < end))
     return chosen.agg(F.to_json(F.struct(F.lit(server_id).alias("server"), F.lit(start).alias("from"), F.lit(end).alias("to"), F.sort_array(F.collect_list(F.struct(*events.columns))).alias("events"))).alias("report"))

@@ -78,6 +78,13 @@ def route_states(samples: DataFrame, states: DataFrame | None = None) -> DataFra
     return _with_states(samples, states).applyInPandas(run, ROUTE_STATE)
 
 
+def debug_state(states: DataFrame) -> DataFrame:
+    """Diagnostics of ``route_states``: how much unconfirmed history a stream holds, from when to when, and its last look."""
+    at = lambda x: F.timestamp_micros((x * 1e6).cast("long"))
+    look = F.when(F.col("last_look") > float("-inf"), F.col("last_look"))
+    return states.select(*KEY, F.size("time").alias("history_count"), at(F.array_min("time")).alias("history_start"), at(F.array_max("time")).alias("history_end"), "candidate", "confirmed", at(look).alias("last_evaluation"))
+
+
 def stream_route_changes(samples: DataFrame) -> DataFrame:
     """The same from a streaming DataFrame; a stream's state is its unconfirmed history."""
 
