@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +109,46 @@ def test_toxicity_learns_rare_words_whatever_their_shards(spark):
     assert vile > clean + 0.2
 
 
+def test_ftrl_against_plain_python():
+    rng, p = random.Random(8), toxicity.FtrlParams(bits=5, l1=0.3)
+    rows = [sorted(rng.sample(range(32), rng.randrange(0, 9))) for _ in range(60)]
+    labels = [float(3 in r or rng.random() < 0.2) for r in rows]
+    z, n = np.zeros(33), np.zeros(33)
+    for _ in range(2):
+        toxicity.ftrl_pass([np.array(r, int) for r in rows], np.array(labels), z, n, p)
+    pz, pn = [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        if i == 32:  # the bias is not regularised
+            return -pz[i] / ((p.beta + pn[i] ** 0.5) / p.alpha)
+        if abs(pz[i]) <= p.l1:
+            return 0.0
+        return -(pz[i] - (p.l1 if pz[i] > 0 else -p.l1)) / ((p.beta + pn[i] ** 0.5) / p.alpha + p.l2)
+
+    for row, y in [*zip(rows, labels, strict=True)] * 2:
+        w = {i: weight(i) for i in [*row, 32]}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i, x in w.items():
+            sigma = ((pn[i] + g * g) ** 0.5 - pn[i] ** 0.5) / p.alpha
+            pz[i], pn[i] = pz[i] + g - sigma * x, pn[i] + g * g
+    assert np.allclose(z, pz) and np.allclose(n, pn) and (np.abs(z[:-1]) <= p.l1).any()
+
+
+def test_features_against_plain_python():
+    texts = ["The cat sat on the cat", "", "a b", "x", "THE cat, sat! on the mat; the cat sat on a é word1"]
+    data = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, data)])
+    doc, key = toxicity.feature_buckets(np.frombuffer(b"".join(data), np.uint8), offs, toxicity.FtrlParams(bits=60))
+    want, seen = [], {}
+    for d, t in enumerate(data):
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", t.lower())
+        grams = [("1", x) for x in w] + [(f"s{s}", w[k], w[k + s]) for s in (1, 2, 3) for k in range(len(w) - s)] + [("3", *w[k : k + 3]) for k in range(len(w) - 2)]
+        want += [(d, seen.setdefault(g, len(seen))) for g in grams]
+    assert sorted(Counter(doc.tolist()).items()) == sorted(Counter(d for d, _ in want).items())
+    profile = lambda pairs: Counter(tuple(sorted(Counter(d for d, k in pairs if k == one).items())) for one in {k for _, k in pairs})
+    assert profile(list(zip(doc.tolist(), key.tolist(), strict=True))) == profile(want)
+
+
 def test_packed_keys():
     for keys in ([], [0], [3, 4, 70_000, (1 << 22)]):
         data = toxicity.packed(np.array(keys, np.int32))
@@ -202,6 +244,37 @@ def test_forward_sums_all_segmentations():
         assert (counts[:, 1] @ np.array([len(p) for p in vocab.pieces])) == pytest.approx(2.0 * len(word)) and counts[:, 0].sum() == 0
 
 
+def segmentations(word, pieces):
+    if not word:
+        return [()]
+    return [(p, *rest) for p in pieces if word.startswith(p) for rest in segmentations(word[len(p) :], pieces)]
+
+
+def test_expected_counts_against_all_segmentations():
+    vocab = language_id.vocabulary(queries.tokenizer_path("piece_bpe_32k.model"))
+    probs = np.random.default_rng(3).random((len(vocab.pieces), 2))
+    words, counts, langs = [b" the", b" ing", b" the"], np.array([2.0, 5.0, 1.0]), np.array([1, 0, 0])
+    got = language_id.expected_counts(np.frombuffer(b"".join(words), np.uint8).reshape(3, -1), counts, langs, probs, vocab)
+    want = np.zeros(probs.shape)
+    for word, n, k in zip(words, counts, langs, strict=True):
+        inside = {p: at for at, p in enumerate(vocab.pieces) if p in word}
+        ways = [[inside[p] for p in way] for way in segmentations(word, inside)]
+        share = np.array([probs[way, k].prod() for way in ways])
+        for way, part in zip(ways, share / share.sum(), strict=True):
+            for at in way:
+                want[at, k] += n * part
+    assert np.allclose(got, want)
+
+
+def test_language_id_in_small_blocks(spark, monkeypatch):
+    model = queries.tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, [(1, "das ist gut und das ist schlecht", "de", "a", 0), (2, "this is good and that is bad", "en", "a", 0)])
+    trained = language_id.train(docs, model)
+    whole = sorted(language_id.predict(docs, trained, model).collect())
+    monkeypatch.setattr(language_id, "CELLS", 50)
+    assert sorted(language_id.predict(docs, trained, model).collect()) == whole
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries.op8_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()

@@ -24,6 +24,8 @@ from wayring.llm._words import LOWER, _powers, _BYTE, kept, mix, prefix_hash, ra
 STRETCH = 40
 #: A task keeps the scores of this many words at most; then it forgets them and goes on.
 CACHE_WORDS = 800_000
+#: Numbers in one table of partial sums or of kept scores; with more languages fewer words share one.
+CELLS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -103,11 +105,10 @@ def expected_counts(words: np.ndarray, counts: np.ndarray, langs: np.ndarray, pr
         alpha[e, rows] += alpha[s, rows] * p
     for s, e, rows, _, p in sorted(edges, key=lambda x: -x[0]):
         beta[s, rows] += beta[e, rows] * p
-    out = np.zeros(probs.size)
     scale = counts / np.maximum(alpha[n], 1e-300)
-    for s, e, rows, pieces, p in edges:
-        out += np.bincount(pieces * probs.shape[1] + langs[rows], weights=alpha[s, rows] * p * beta[e, rows] * scale[rows], minlength=probs.size)
-    return out.reshape(probs.shape)
+    at = [np.zeros(0, np.int64), *(pieces * probs.shape[1] + langs[rows] for _, _, rows, pieces, _ in edges)]
+    weights = [np.zeros(0), *(alpha[s, rows] * p * beta[e, rows] * scale[rows] for s, e, rows, _, p in edges)]
+    return np.bincount(np.concatenate(at), weights=np.concatenate(weights), minlength=probs.size).reshape(probs.shape)
 
 
 def _stretches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def train(docs: DataFrame, model: str, params: LanguageParams = LanguageParams()
             yield pd.DataFrame({"piece": seen.astype(np.int32), "k": k.astype(np.int32), "n": total[seen, k]})
 
         # at most one row for each piece and language comes back
-        found = words.coalesce(8).mapInPandas(released(count), "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
+        found = words.coalesce(max(8, len(langs))).mapInPandas(released(count), "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(probs.shape)
         counts[found["piece"], found["k"]] = found["n"]
         probs = counts / np.maximum(counts.sum(0), 1e-300) * (1 - params.floor * len(counts)) + params.floor
@@ -207,7 +208,7 @@ def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray], model: str,
                 buf = LOWER[buf]
                 h, starts, lengths, doc = _stretches(buf, offs)
                 distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                if len(known) + len(distinct) > CACHE_WORDS:
+                if len(known) + len(distinct) > min(CACHE_WORDS, CELLS // max(1, len(langs))):
                     known, scores = np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32)
                 at = np.searchsorted(known, distinct)
                 new = np.ones(len(distinct), bool)
@@ -217,8 +218,9 @@ def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray], model: str,
                 size, place = lengths[first[new]], starts[first[new]]
                 for n in np.unique(size):
                     same = np.flatnonzero(size == n)
-                    for a in range(0, len(same), 20_000):
-                        some = same[a : a + 20_000]
+                    block = max(1, min(20_000, CELLS // ((n + 2) * max(1, len(langs)))))
+                    for a in range(0, len(same), block):
+                        some = same[a : a + block]
                         fresh[some] = forward(_matrix(buf, place[some], n), p, vocab)
                 known = np.insert(known, at[new], distinct[new])
                 scores = np.insert(scores, at[new], fresh, axis=0)
