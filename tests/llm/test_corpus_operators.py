@@ -222,6 +222,8 @@ def test_mixing(spark):
         s[0] += r["size"]
         s[1] += r.taken
     assert sum(s[1] for s in sums.values()) == pytest.approx(sum(s[0] for s in sums.values()), rel=0.02)
+    longest = max(r["size"] for r in a)
+    assert all(abs(s[1] - target) <= max(longest, 0.02 * target) for (_, target), s in sums.items())
     assert mixing.mix_sources(table(spark, ODD[:0])).count() == 0
 
 
