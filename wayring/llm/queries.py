@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayring.llm import fingerprint, jaccard, language_id, media, mixing, packing, sharding, suffix_dedup, token_count, toxicity
+from wayring.llm import fingerprint, jaccard, language_id, media, mixing, oracle, packing, piece_codec, sharding, suffix_dedup, token_count, toxicity, vector_codes
 
 from wayring.llm._io import bounded_batches
 
@@ -72,6 +72,17 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    decoded = piece_codec.decode_pieces(piece_codec.encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return decoded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_media_columns": op10_media_columns,
+    "op11_piece_codec": op11_piece_codec,
+    "op12_vector_codes": op12_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
