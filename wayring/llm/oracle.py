@@ -33,4 +33,27 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
         FROM coded JOIN kept USING (vec_id)"""
 
 
-ORACLE_SQL = {"op12_vector_codes": _codes_sql()}
+COLLOCATIONS = r"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+phrases AS MATERIALIZED (
+    SELECT lang, ws[i.i : i.i + k.k - 1] AS ws, k.k AS k, count(*) AS f
+    FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) AS k, LATERAL (SELECT unnest(range(1, len(ws) - k.k + 2)) AS i) AS i GROUP BY ALL),
+candidates AS MATERIALIZED (SELECT lang, ws, k, f AS a FROM phrases WHERE k > 1 AND f >= 30),
+cuts AS (
+    SELECT c.lang, c.ws, c.a, min({'score': CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f), 'j': j.j, 'l': x.f, 'r': y.f}) AS low
+    FROM candidates AS c, LATERAL (SELECT unnest(range(1, c.k)) AS j) AS j
+    JOIN phrases AS x ON x.lang = c.lang AND x.ws = c.ws[1 : j.j] JOIN phrases AS y ON y.lang = c.lang AND y.ws = c.ws[j.j + 1 : c.k] GROUP BY ALL),
+inner_phrases AS (
+    SELECT c.lang, c.ws[i.i : i.i + s.s - 1] AS ws, max(c.a) AS longer
+    FROM candidates AS c, LATERAL (SELECT unnest(range(2, c.k)) AS s) AS s, LATERAL (SELECT unnest(range(1, c.k - s.s + 2)) AS i) AS i GROUP BY ALL),
+kept AS (
+    SELECT cuts.lang, array_to_string(cuts.ws, ' ') AS phrase, a, low.l AS l, low.r AS r, CAST(low.score AS BIGINT) AS score
+    FROM cuts LEFT JOIN inner_phrases AS i ON i.lang = cuts.lang AND i.ws = cuts.ws WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM phrases WHERE k = 1 GROUP BY lang) USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op12_vector_codes": _codes_sql(), "op13_collocations": COLLOCATIONS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayring.llm import fingerprint, jaccard, language_id, media, mixing, oracle, packing, piece_codec, sharding, suffix_dedup, token_count, toxicity, vector_codes
+from wayring.llm import collocations, fingerprint, jaccard, language_id, media, mixing, oracle, packing, piece_codec, sharding, suffix_dedup, token_count, toxicity, vector_codes
 
 from wayring.llm._io import bounded_batches
 
@@ -83,6 +83,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
     "op11_piece_codec": op11_piece_codec,
     "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
