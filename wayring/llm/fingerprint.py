@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from wayring.llm._words import LOWER, mix, released, spans, word_hash
 
 LANES = 1024
 LIKENESS_LANES = 256
+#: Paragraphs whose vectors are held at once.
+HASHED = 256
 
 
 def paragraphs(text: str) -> list[str]:
@@ -29,9 +32,14 @@ def paragraphs(text: str) -> list[str]:
 
 
 def paragraph_sum(parts: Iterable[str]) -> np.ndarray:
-    """Sum of the paragraphs' vectors modulo 2**16 per lane."""
-    blob = b"".join(hashlib.shake_128(p.encode()).digest(2 * LANES) for p in parts)
-    return np.frombuffer(blob, "<u2").reshape(-1, LANES).sum(axis=0, dtype=np.uint16)
+    """Sum of the paragraphs' vectors modulo 2**16 per lane; each distinct one is hashed once, ``HASHED`` at a time."""
+    counted = Counter(parts)
+    distinct, total = iter(counted.items()), np.zeros(LANES, np.uint16)
+    while some := list(islice(distinct, HASHED)):
+        rows = np.frombuffer(b"".join(hashlib.shake_128(p.encode()).digest(2 * LANES) for p, _ in some), "<u2").reshape(-1, LANES)
+        times = np.array([n & 0xFFFF for _, n in some], np.uint16)
+        total += (rows * times[:, None]).sum(axis=0, dtype=np.uint16)
+    return total
 
 
 def edited_sum(vector: np.ndarray, old: list[str], new: list[str]) -> np.ndarray:
