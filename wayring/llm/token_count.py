@@ -76,7 +76,7 @@ def encoded_lengths(texts: list[str], model: str, batch_bytes: int = BATCH_BYTES
         for part in safe_parts(text, split_chars) if pieces else [text]:
             waiting.append(part)
             owner.append(k)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= batch_bytes:
                 flush()
                 size = 0
