@@ -66,24 +66,28 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 left -= int(size[k])
         if left == before:
             break
-    # bounded knapsack: bit b of a state says that b words can be reached; powers of two split each count
-    mask, states, items = (1 << (left + 1)) - 1, [1], []
-    for k in range(len(size)):
-        more, step = int(have[k] - take[k]), 1
-        if not size[k]:
-            continue
-        more = min(more, left // int(size[k]))
-        while more > 0 and not states[-1] >> left & 1:
+    # bounded knapsack: bit b says that b units of words can be reached; powers of two split each count.  For each sum
+    # the first item that reaches it is kept: what it leaves was reached by earlier ones
+    unit = max(1, int(np.gcd.reduce(size)))
+    room = left // unit
+    mask, reached, items, first = (1 << (room + 1)) - 1, 1, [], np.full(room + 1, -1, np.int32)
+    for k in np.flatnonzero(size).tolist():
+        weight, more, step = int(size[k]) // unit, int(have[k] - take[k]), 1
+        more = min(more, room // weight)
+        while more > 0 and not reached >> room & 1:
             n = min(step, more)
-            states.append((states[-1] | states[-1] << (n * int(size[k]))) & mask)
-            items.append((k, n))
+            new = (reached << (n * weight)) & mask & ~reached
+            reached |= new
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(room // 8 + 1, "little"), np.uint8), bitorder="little")
+            first[np.flatnonzero(bits)] = len(items)
+            items.append((k, n, n * weight))
             more -= n
             step *= 2
-    best = states[-1].bit_length() - 1
-    for (k, n), before in zip(reversed(items), reversed(states[:-1]), strict=True):
-        if not before >> best & 1:
-            take[k] += n
-            best -= n * int(size[k])
+    best = reached.bit_length() - 1
+    while best:
+        k, n, weight = items[first[best]]
+        take[k] += n
+        best -= weight
     # where one more document comes nearer from above than the fit does from below
     gap = budget - int((size * take).sum())
     if gap > 0 and (have > take).any():
