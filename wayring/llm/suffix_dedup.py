@@ -39,7 +39,7 @@ RUN = 64
 BUCKET_BYTES = 12 << 20
 #: Bytes of distinct segments that are put in suffix order together; a key with more has a collection of its own.
 COLLECTION_BYTES = 2 << 20
-#: Rows of a block in which the column files are read and written; twice as many at most pass at once, and 2**23 is the limit.
+#: Rows of a block in which the column files are read and written; 2**23 is the limit.
 BLOCK_ROWS = 1 << 17
 #: Text bytes that are cut into segments at once.
 CUT_BYTES = 1 << 16
@@ -229,7 +229,7 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block:
             added, old_before = _rows(row, ahead), at - np.arange(len(at))
             places = Places(at, m, counts)
 
-            def merged(old: np.ndarray, a: int) -> np.ndarray:
+            def merged(old: np.ndarray, a: int) -> Iterator[np.ndarray]:
                 stop = a + len(old)
                 x, y = np.searchsorted(old_before, [a, stop if stop < files.rows else stop + 1])
                 is_old = np.ones(len(old) + y - x, bool)
@@ -239,9 +239,11 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block:
                 out[at[x:y] - (a + x)] = added[x:y]
                 u, v = np.searchsorted(place, [a + x, a + x + len(out)])
                 out.view(np.uint8).reshape(-1, 8)[place[u:v] - (a + x), 1] = value[u:v]
-                return places.seen(out, a + x)
+                # many rows may be added behind one old one: they pass by in blocks, too
+                for k in range(0, len(out), block):
+                    yield places.seen(out[k : k + block], a + x + k)
 
-            files.write(merged(old, a) for a, old in files.blocks())
+            files.write(out for a, old in files.blocks() for out in merged(old, a))
         rows = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in files.blocks())])
     row = (rows >> np.uint64(16)).astype(np.int64)
     owner = np.searchsorted(first, row, "right") - 1
