@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayring.llm._io import discard, written
@@ -29,7 +29,7 @@ CHUNK, FILES = 1 << 17, 8
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``sample_rows`` bounds the labelled rows used in training (the smallest id hashes are taken)."""
+    """``sample_rows`` bounds the labelled rows used in training (the smallest id hashes are taken, an id once)."""
 
     bits: int = 22
     alpha: float = 1.0
@@ -100,6 +100,13 @@ def ftrl_pass(rows: Iterable[np.ndarray], labels: np.ndarray, z: np.ndarray, n:
         n[bias] += g * g
 
 
+def leading_numbers(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` partitions the least number that Spark's hash partitioning puts there."""
+    numbers = spark.range(100 * parts).select(F.col("id").cast("int").alias("n"))
+    found = numbers.groupBy(F.pmod(F.hash("n"), F.lit(parts)).alias("at")).agg(F.min("n").alias("n")).orderBy("at").collect()
+    return [r["n"] for r in found]
+
+
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """Sparse weights (buckets, values); bucket ``2**bits`` is the bias.
 
@@ -115,7 +122,10 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(),
         .orderBy("__h", "__id")
         .limit(params.sample_rows)
     )
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id").select(F.pmod("__h", F.lit(params.shards)).cast("int").alias("shard"), "__h", "__id", "__y", "__t")
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id").groupBy("__h", "__id", "__y").agg(F.min("__t").alias("__t"))
+    # one partition a shard: a shard goes by a number whose hash leads there
+    led = F.array(*map(F.lit, leading_numbers(spark, params.shards)))
+    sample = sample.select(led[F.pmod("__h", F.lit(params.shards)).cast("int")].alias("shard"), "__h", "__id", "__y", "__t")
 
     def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
