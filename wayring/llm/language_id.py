@@ -146,7 +146,9 @@ def train(docs: DataFrame, model: str, params: LanguageParams = LanguageParams()
     if not langs:
         return [], np.zeros((len(vocab.pieces), 0))
     share = F.broadcast(spark.createDataFrame([(r.lang, langs.index(r.lang), min(1.0, params.sample_rows / r["count"])) for r in per_lang], "lang string, k int, share double"))
-    sample = known.join(share, "lang").where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("k", "text")
+    sample = known.join(share, "lang").where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # an id enters once, however often it is repeated
+    sample = sample.groupBy("k", "id").agg(F.min("text").alias("text")).select("k", "text")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
