@@ -63,6 +63,8 @@ class Detection:
     closure_phase: float = 0.80
     smoothing_seconds: int = 3
     least_samples: int = 12
+    # samples of a stream without a route that are kept and looked at; None keeps them all
+    history_points: int | None = 3600
 
 
 @dataclass(frozen=True)

@@ -87,7 +87,8 @@ def rebalanced(weights: DataFrame) -> DataFrame:
     """``set_id, place, weight`` after one weight of each set was set to ``value`` (null in the other rows).
 
     What is left of 100 goes to the other places in proportion to their weights (evenly without any), in steps of
-    5; the last of them takes what the steps leave.  Sets without a value stay as they are.  One shuffle by set.
+    5; the last of them takes what the steps leave.  No weight is below 0: where rounding up has used the rest before,
+    the last has none.  Sets without a value stay as they are.  One shuffle by set.
     """
     whole = Window.partitionBy("set_id")
     so_far = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,8 +98,8 @@ def rebalanced(weights: DataFrame) -> DataFrame:
     total, count = F.sum(F.when(other, F.col("weight"))).over(whole), F.count(F.when(other, 1)).over(whole)
     share = F.when(total > 0, F.col("weight") / total).otherwise(F.lit(1.0) / count)
     rows = weights.withColumns({"__rest": rest, "__last": other & (F.col("place") == F.max(F.when(other, F.col("place"))).over(whole))})
-    rows = rows.withColumn("__part", F.when(other, F.floor(share * F.col("__rest") / 5 + 0.5) * 5))
-    left = F.col("__rest") - F.coalesce(F.sum("__part").over(so_far), F.lit(0))
+    rows = rows.withColumn("__part", F.when(other, F.greatest(F.lit(0), F.floor(share * F.col("__rest") / 5 + 0.5) * 5)))
+    left = F.greatest(F.lit(0), F.col("__rest") - F.coalesce(F.sum("__part").over(so_far), F.lit(0)))
     weight = F.when(F.col("__rest").isNull(), F.col("weight")).when(~other, F.col("value")).when(F.col("__last"), left).otherwise(F.col("__part"))
     return rows.select("set_id", "place", weight.alias("weight"))
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayring.operators import events as E
+from wayring.plans.geometry import ORBIT_SQL
 from wayring.plans.registry import query, rounded, rounded_sql
 from wayring.plans.workspace import _SECONDS_SQL, _seconds
 from wayring.sources.simulator import orbits
 from wayring.functions import geo
-from wayring.streaming import lifecycle
 
 
 @query(
@@ -31,7 +31,7 @@ def score_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.jumps(s, ["k"], "second", "score", "zero", F.lit(30.0)).where("jump").select("k", "second", rounded("derived_speed", 3).alias("derived_speed"))
 
 
-@query()
+@query(f"WITH {ORBIT_SQL} SELECT server_id, vid AS vehicle_identifier, 0::BIGINT AS samples_in_inner_turns FROM og GROUP BY ALL")
 def inner_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of the orbits and how many of their samples lie in an inner turn; smooth orbits have none."""
     o = orbits(spark, sf_dir).withColumn("second", F.unix_timestamp("sample_time"))
@@ -66,10 +66,3 @@ def inner_turn_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = E.inner_turns(s, ["k"], "second", "heading", "phase")
     inside = F.when(F.col("inner_turn"), second)
     return t.groupBy("k").agg(F.count_if("inner_turn").alias("samples"), F.min(inside).alias("first_second"), F.max(inside).alias("last_second"))
-
-
-@query()
-def debug_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the streams of the orbits hold after two minutes of samples."""
-    early = orbits(spark, sf_dir).where("unix_timestamp(sample_time) - unix_timestamp('2026-01-01 00:00:00') < 120")
-    return lifecycle.debug_state(lifecycle.route_states(early))

@@ -8,15 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayring.plans.registry import query, rounded
+from wayring.plans.geometry import FIT_SQL, R
+from wayring.plans.registry import query, rounded, rounded_sql
 from wayring.plans.temporal import EXPIRE, LIFE_SQL, NO_DATA
 from wayring.sources.fixtures import lifecycle_samples
 from wayring.sources.simulator import orbits
 from wayring.streaming import lifecycle
 
+#: 2026-01-01 00:00:00 UTC, when orbits begin.
+_START_SECOND = 1_767_225_600
+
 
 def _folder(spark: SparkSession, tag: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wayring-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="wayring-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -27,25 +35,104 @@ def run_to_end(spark: SparkSession, stream: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+# --- the session over the orbits: what every look of a stream at its samples so far finds ----------------------------
+
+#: Streams are looked at every five seconds; a look stands in the place of the stream, so that the statements of whole
+#: streams apply to each.  Looks that already fail a cheaper gate are not projected.
+LOOK_SQL = (
+    FIT_SQL.replace("FROM og WHERE active WINDOW", """FROM (SELECT og.* REPLACE (og.vid * 1000 + l.second AS vid) FROM og JOIN og l ON l.server_id = og.server_id AND l.vid = og.vid AND og.second <= l.second
+  WHERE l.second % 5 = 0 AND l.second >= 60 AND l.active AND og.active) WINDOW""")
+    .replace("span >= 300", "span >= 60")
+    .replace("FROM ef e JOIN ps s", "FROM (SELECT ef.* FROM ef SEMI JOIN (SELECT server_id, vid FROM tr WHERE closed AND cycles + 1e-9 >= 1) t ON t.server_id = ef.server_id AND t.vid = ef.vid) e JOIN ps s")
+    + f""", looks AS (SELECT *, vid // 1000 AS stream, vid % 1000 AS look FROM rt),
+found AS (SELECT *, 'route_candidate' AS kind FROM looks QUALIFY row_number() OVER (PARTITION BY server_id, stream ORDER BY look) = 1
+  UNION ALL SELECT *, 'route_confirmed' FROM looks WHERE look >= 300 QUALIFY row_number() OVER (PARTITION BY server_id, stream ORDER BY look) = 1),
+changes AS (SELECT server_id, stream AS vehicle_identifier, {_START_SECOND} + look::DOUBLE AS change_s, kind, server_id || ':' || stream || ':effective' AS route_id, family, CASE WHEN area > 0 THEN 'counterclockwise' ELSE 'clockwise' END AS direction,
+  {rounded_sql('period', 3)} AS period_s, {rounded_sql('0.55 * fit + 0.30 * inlier + 0.15', 3)} AS quality FROM found)"""
+)
+PHASE_SQL = f"""{LOOK_SQL},
+cn AS (SELECT server_id, stream, vid, look, lat0 + degrees(cy / {R}) AS la0, lon0 + degrees(cx / ({R} * cos(radians(lat0)))) AS lo0 FROM found WHERE kind = 'route_confirmed'),
+fr AS (SELECT og.server_id, og.vid, og.second, og.active, c.vid AS shape, radians(og.lon - lo0) * {R} * cos(radians(la0)) AS qx, radians(og.lat - la0) * {R} AS qy FROM og JOIN cn c ON c.server_id = og.server_id AND c.stream = og.vid WHERE og.active AND og.second >= c.look),
+fp AS (SELECT f.server_id, f.vid, f.second, s.i, s.before, s.len, s.total, least(1.0, greatest(0.0, ((f.qx - s.x) * s.dx + (f.qy - s.y) * s.dy) / (s.len * s.len))) AS fr, f.qx, f.qy, s.x, s.y, s.dx, s.dy FROM fr f JOIN ps s ON f.server_id = s.server_id AND f.shape = s.vid),
+ph AS (SELECT server_id, vid, second, (before + len * fr) / total AS phase FROM fp QUALIFY row_number() OVER (PARTITION BY server_id, vid, second ORDER BY sqrt((qx - (x + dx * fr)) ** 2 + (qy - (y + dy * fr)) ** 2), i) = 1)
+SELECT og.server_id, og.vid AS vehicle_identifier, og.second, og.active, CASE WHEN phase IS NOT NULL THEN og.server_id || ':' || og.vid || ':effective' END AS route_id, {rounded_sql('phase')} % 1.0 AS phase FROM og LEFT JOIN ph ON ph.server_id = og.server_id AND ph.vid = og.vid AND ph.second = og.second"""
+SESSION_SQL = f"""{LOOK_SQL},
+w AS (SELECT *, lag(second) OVER o AS before, lag(active) OVER o AS was, coalesce(lead(second) OVER o, 360) AS until FROM og WINDOW o AS (PARTITION BY server_id, vid ORDER BY second))
+SELECT server_id, vehicle_identifier, change_s, kind FROM changes
+UNION ALL SELECT server_id, vid, {_START_SECOND} + second::DOUBLE, 'vehicle_activated' FROM w WHERE active AND was IS NOT TRUE
+UNION ALL SELECT server_id, vid, {_START_SECOND} + second::DOUBLE, 'vehicle_deactivated' FROM w WHERE NOT active AND was
+UNION ALL SELECT server_id, vid, {_START_SECOND} + second::DOUBLE, 'data_resumed' FROM w WHERE before + 20 <= second
+UNION ALL SELECT server_id, vid, {_START_SECOND} + second::DOUBLE + 20, 'data_lost' FROM w WHERE until >= second + 20
+UNION ALL SELECT server_id, vid, {_START_SECOND} + second::DOUBLE + 300, 'vehicle_expired' FROM w WHERE until >= second + 300"""
+
+
 def _rounded(changes: DataFrame) -> DataFrame:
     return changes.select(*lifecycle.KEY, "change_s", "kind", "route_id", "family", "direction", rounded("period_s", 3).alias("period_s"), rounded("quality", 3).alias("quality"))
 
 
-@query()
+def orbit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orbits as a stream of files of two minutes each, one file a micro-batch."""
+    o = orbits(spark, sf_dir)
+    source = _folder(spark, "orbits")
+    second = F.unix_timestamp("sample_time") - _START_SECOND
+    for first in range(0, 361, 120):
+        o.where(second.between(first, first + 119)).repartition(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _phases(found: DataFrame) -> DataFrame:
+    frames = lifecycle.frames_of(found)
+    return frames.select(*lifecycle.KEY, (F.unix_timestamp("sample_time") - _START_SECOND).alias("second"), "active", "route_id", (rounded("phase") % 1.0).alias("phase"))
+
+
+def _session_changes(found: DataFrame) -> DataFrame:
+    return found.where("output = 'change'").select(*lifecycle.KEY, (F.col("at_us") / 1e6).alias("change_s"), "kind")
+
+
+@query(f"WITH {LOOK_SQL} SELECT * FROM changes")
 def route_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(lifecycle.route_changes(orbits(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {LOOK_SQL} SELECT * FROM changes")
 def stream_route_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orbits as a stream of minute files, one file a micro-batch."""
-    o = orbits(spark, sf_dir)
-    source = _folder(spark, "orbits")
-    for minute in range(0, 361, 120):
-        part = o.where(F.unix_timestamp("sample_time") - F.unix_timestamp(F.lit("2026-01-01 00:00:00")) >= minute).where(F.unix_timestamp("sample_time") - F.unix_timestamp(F.lit("2026-01-01 00:00:00")) < minute + 120)
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    return _rounded(run_to_end(spark, lifecycle.stream_route_changes(stream), "route-changes"))
+    """The changes of the batch form from a stream, whose state is kept by Spark."""
+    return _rounded(run_to_end(spark, lifecycle.stream_route_changes(orbit_stream(spark, sf_dir)), "route-changes"))
+
+
+@query(f"WITH {PHASE_SQL}")
+def session_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame per sample, with route and phase from the confirming sample on."""
+    return _phases(lifecycle.process(orbits(spark, sf_dir)))
+
+
+@query(f"WITH {PHASE_SQL}")
+def stream_session_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames from a stream: one operator gives changes and frames."""
+    return _phases(run_to_end(spark, lifecycle.stream_process(orbit_stream(spark, sf_dir)), "session"))
+
+
+@query(f"WITH {SESSION_SQL}")
+def session_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of activity, data and routes together."""
+    return _session_changes(lifecycle.process(orbits(spark, sf_dir)))
+
+
+@query(f"WITH {SESSION_SQL}")
+def stream_session_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session_changes(run_to_end(spark, lifecycle.stream_process(orbit_stream(spark, sf_dir)), "session"))
+
+
+@query(
+    f"""WITH {LOOK_SQL}, k AS (SELECT server_id, vid, count(*) AS n, bool_and(active) AS on_, max(second) FILTER (second % 5 = 0) AS last_look FROM og GROUP BY ALL)
+SELECT k.server_id, k.vid AS vehicle_identifier, CASE WHEN on_ AND f.look IS NULL THEN n ELSE 0 END AS history_count, on_ AND c.look IS NOT NULL AS candidate, f.look IS NOT NULL AS confirmed,
+  CASE WHEN on_ THEN coalesce(f.look, last_look) END AS last_look_s FROM k
+LEFT JOIN (SELECT * FROM found WHERE kind = 'route_confirmed') f ON f.server_id = k.server_id AND f.stream = k.vid LEFT JOIN (SELECT * FROM found WHERE kind = 'route_candidate') c ON c.server_id = k.server_id AND c.stream = k.vid"""
+)
+def debug_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the streams of the orbits hold after all samples."""
+    d = lifecycle.debug_state(lifecycle.route_states(orbits(spark, sf_dir)))
+    return d.select(*lifecycle.KEY, F.col("history_count").cast("long").alias("history_count"), "candidate", "confirmed", (F.unix_timestamp("last_evaluation") - _START_SECOND).alias("last_look_s"))
 
 
 @query("SELECT DISTINCT user_id AS vehicle_identifier, date_trunc('hour', ts) AS sample_time FROM events")

@@ -168,7 +168,7 @@ def card_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH w AS (SELECT l_orderkey AS set_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, l_quantity::DOUBLE AS weight FROM lineitem),
 s AS (SELECT *, place = 1 AS fixed, (set_id % 101)::DOUBLE AS value, sum(CASE WHEN place > 1 THEN weight END) OVER (PARTITION BY set_id) AS others, max(place) OVER (PARTITION BY set_id) AS last FROM w),
 p AS (SELECT *, CASE WHEN fixed THEN value ELSE floor(weight / others * (100 - value) / 5 + 0.5) * 5 END AS part FROM s)
-SELECT set_id, place, (CASE WHEN NOT fixed AND place = last THEN 100 - value - coalesce(sum(CASE WHEN NOT fixed THEN part END) OVER (PARTITION BY set_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE part END)::BIGINT AS weight FROM p"""
+SELECT set_id, place, (CASE WHEN NOT fixed AND place = last THEN greatest(0, 100 - value - coalesce(sum(CASE WHEN NOT fixed THEN part END) OVER (PARTITION BY set_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) ELSE part END)::BIGINT AS weight FROM p"""
 )
 def weight_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first weight of each order is set, the others share the rest."""

@@ -1,40 +1,61 @@
-"""Lifecycle of vehicle streams: routes in batch and stream, activation and data loss in Structured Streaming.
+"""Lifecycle of vehicle streams: routes, frames, activation and data loss, in batch and in Structured Streaming.
 
-Batch and stream call the same step for each sample, so one large batch, micro-batches and a restart from a
-checkpoint or a snapshot give the same changes.
+Batch and stream call the same steps for each sample, so one large batch, micro-batches and a restart from a
+checkpoint or a snapshot give the same changes and frames.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wayring.config import Grouping, Timing
-from wayring.streaming.route_steps import FIELDS, RouteState, advance
+from wayring.config import Detection, Engine, Grouping, Timing
+from wayring.streaming.route_steps import FIELDS, Route, RouteState, advance
 
 KEY = ["server_id", "vehicle_identifier"]
 CHANGES = "server_id long, vehicle_identifier long, change_s double, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double"
-ROUTE_STATE = "server_id long, vehicle_identifier long, last_time double, last_look double, candidate boolean, confirmed boolean, " + ", ".join(f"{f} array<double>" for f in FIELDS)
+ROUTE = "route_lat double, route_lon double, route_x array<double>, route_y array<double>"
+ROUTE_STATE = "server_id long, vehicle_identifier long, last_time double, last_look double, candidate boolean, confirmed boolean, " + ", ".join(f"{f} array<double>" for f in FIELDS) + ", " + ROUTE
 STATE_CHANGES = "server_id long, vehicle_identifier long, at_us long, kind string"
+#: What the samples of a stream give: changes, with details where a route is found, and a frame per accepted sample.
+RESULTS = "output string, server_id long, vehicle_identifier long, at_us long, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double, active boolean, latitude_deg double, longitude_deg double, reliability double, phase double"
+DETAILS = ("family", "subtype", "direction", "period_s", "quality", "fit_fraction", "cycles")
 _SAMPLE = ["second", "active", "latitude_deg", "longitude_deg", "velocity_east_mps", "velocity_north_mps", "reliability"]
 
 
-def _prepared(samples: DataFrame) -> DataFrame:
-    return samples.select(*KEY, (F.unix_micros(F.col("sample_time").cast("timestamp")) / 1e6).alias("second"), *_SAMPLE[1:], "sample_time")
+def columns_of(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
+
+
+def prepared(samples: DataFrame) -> DataFrame:
+    """The columns that the steps read; samples of one time are told by vehicle number, where there is one."""
+    number = F.col("vehicle_number") if "vehicle_number" in samples.columns else F.lit(None)
+    at = F.unix_micros(F.col("sample_time").cast("timestamp"))
+    return samples.where("sample_time is not null").select(*KEY, at.alias("at_us"), (at / 1e6).alias("second"), *_SAMPLE[1:], number.cast("long").alias("number"))
+
+
+def _in_order(pdf: pd.DataFrame) -> Iterator[tuple]:
+    rows = pdf.sort_values(["at_us", "number"], kind="stable")
+    return zip(rows["at_us"].tolist(), *(rows[c].astype(object).where(rows[c].notna(), None) for c in _SAMPLE), strict=True)
+
+
+def route_id(key: tuple) -> str:
+    return f"{key[0]}:{key[1]}:effective"
 
 
 def _changes(key: tuple, state: RouteState, pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
-    rows = pdf.sort_values("second", kind="stable")
-    for sample in zip(*(rows[c].astype(object).where(rows[c].notna(), None) for c in _SAMPLE), strict=True):
-        for time, kind, found in advance(state, sample):
-            out.append((*key, time, kind, f"{key[0]}:{key[1]}:effective", *(found[c] for c in ("family", "subtype", "direction", "period_s", "quality", "fit_fraction", "cycles"))))
-    return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in CHANGES.split(",")])
+    for _, *sample in _in_order(pdf):
+        for time, kind, found in advance(state, tuple(sample)):
+            out.append((*key, time, kind, route_id(key), *(found[c] for c in DETAILS)))
+    return pd.DataFrame(out, columns=columns_of(CHANGES))
 
 
 def _held(states: pd.DataFrame) -> RouteState:
@@ -42,14 +63,19 @@ def _held(states: pd.DataFrame) -> RouteState:
         return RouteState()
     row = states.iloc[0]
     history = {f: [float(x) for x in row[f]] for f in FIELDS}
-    return RouteState(history, float(row["last_time"]), float(row["last_look"]), bool(row["candidate"]), bool(row["confirmed"]))
+    route = None if row["route_x"] is None else Route(float(row["route_lat"]), float(row["route_lon"]), [float(x) for x in row["route_x"]], [float(x) for x in row["route_y"]])
+    return RouteState(history, float(row["last_time"]), float(row["last_look"]), bool(row["candidate"]), bool(row["confirmed"]), route)
+
+
+def _route_values(route: Route | None) -> tuple:
+    return (None,) * 4 if route is None else (route.lat, route.lon, route.x, route.y)
 
 
 def _with_states(samples: DataFrame, states: DataFrame | None):
     """Samples by stream beside the stream's state, where there is one."""
     if states is None:
         states = samples.sparkSession.createDataFrame([], ROUTE_STATE)
-    return _prepared(samples).groupBy(*KEY).cogroup(states.groupBy(*KEY))
+    return prepared(samples).groupBy(*KEY).cogroup(states.groupBy(*KEY))
 
 
 def route_changes(samples: DataFrame, states: DataFrame | None = None) -> DataFrame:
@@ -65,7 +91,7 @@ def route_changes(samples: DataFrame, states: DataFrame | None = None) -> DataFr
 
 
 def route_states(samples: DataFrame, states: DataFrame | None = None) -> DataFrame:
-    """What every stream carries after its samples: unconfirmed history, last sample and look, candidate and confirmed.
+    """What every stream carries after its samples: unconfirmed history, last sample and look, candidate and route.
 
     Streams without new samples keep their state.
     """
@@ -73,7 +99,7 @@ def route_states(samples: DataFrame, states: DataFrame | None = None) -> DataFra
     def run(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         state = _held(held)
         _changes(key, state, pdf)
-        return pd.DataFrame([(*key, state.last_time, state.last_look, state.candidate, state.confirmed, *(state.history[f] for f in FIELDS))], columns=[c.strip().split(" ")[0] for c in ROUTE_STATE.split(",")])
+        return pd.DataFrame([(*key, state.last_time, state.last_look, state.candidate, state.confirmed, *(state.history[f] for f in FIELDS), *_route_values(state.route))], columns=columns_of(ROUTE_STATE))
 
     return _with_states(samples, states).applyInPandas(run, ROUTE_STATE)
 
@@ -85,16 +111,191 @@ def debug_state(states: DataFrame) -> DataFrame:
     return states.select(*KEY, F.size("time").alias("history_count"), at(F.array_min("time")).alias("history_start"), at(F.array_max("time")).alias("history_end"), "candidate", "confirmed", at(look).alias("last_evaluation"))
 
 
-def stream_route_changes(samples: DataFrame) -> DataFrame:
-    """The same from a streaming DataFrame; a stream's state is its unconfirmed history."""
+@dataclass
+class Track:
+    """A stream between two samples: its last one, the deadlines passed since, and what the route lifecycle carries."""
+
+    last_us: int | None = None
+    active: bool | None = None
+    passed: int = 0
+    routes: RouteState = field(default_factory=RouteState)
+
+    def pass_deadlines(self, until_us: int, config: Engine) -> list[tuple[int, str]]:
+        """Loss and expiry up to a time, stamped with their deadlines; expiry forgets the route."""
+        out = []
+        for wait, kind in deadlines(config)[self.passed :]:
+            if self.last_us is None or self.last_us + wait > until_us:
+                break
+            out.append((self.last_us + wait, kind))
+            self.passed += 1
+            if kind == "vehicle_expired":
+                self.routes.forget()
+        return out
+
+    def take(self, at_us: int, sample: tuple, config: Engine) -> list[tuple[int, str, dict | None]] | None:
+        """Changes that follow from a sample; None for one that is not after the last, which changes nothing."""
+        if self.last_us is not None and at_us <= self.last_us:
+            return None
+        out: list[tuple[int, str, dict | None]] = [(*c, None) for c in self.pass_deadlines(at_us, config)]
+        active = None if sample[1] is None else bool(sample[1])
+        if self.passed:
+            out.append((at_us, "data_resumed", None))
+        if active and not self.active:
+            out.append((at_us, "vehicle_activated", None))
+        elif active is False and self.active:
+            out.append((at_us, "vehicle_deactivated", None))
+        self.last_us, self.active, self.passed = at_us, active, 0
+        found = advance(self.routes, (sample[0], active, *sample[2:]), config.detection, config.timing, config.grouping)
+        return out + [(at_us, kind, told) for _, kind, told in found]
+
+
+def deadlines(config: Engine) -> list[tuple[int, str]]:
+    return sorted([(config.timing.no_data_seconds * 1_000_000, "data_lost"), (config.grouping.hold_seconds * 1_000_000, "vehicle_expired")])
+
+
+def results(key: tuple, track: Track, pdf: pd.DataFrame, until_us: int | None, config: Engine) -> pd.DataFrame:
+    """Changes and frames of a stream's new samples, and the deadlines passed by ``until_us``; ``track`` moves on."""
+    rows: list[list] = []
+    placed: dict[int, tuple[Route, list[int]]] = {}
+
+    def change(at_us: int, kind: str, told: dict | None = None) -> None:
+        rows.append(["change", *key, at_us, kind, route_id(key) if told else None, *((told or {}).get(c) for c in DETAILS), None, None, None, None, None])
+
+    for at_us, *sample in _in_order(pdf) if len(pdf) else ():
+        changes = track.take(at_us, tuple(sample), config)
+        if changes is None:
+            continue
+        for one in changes:
+            change(*one)
+        _, active, lat, lon, *_, reliability = sample
+        route = track.routes.route if active is not False and lat is not None and lon is not None else None
+        if route is not None:
+            placed.setdefault(id(route), (route, []))[1].append(len(rows))
+        rows.append(["frame", *key, at_us, None, route_id(key) if route else None, *(None for _ in DETAILS), active, lat, lon, reliability, None])
+    if until_us is not None:
+        for one in track.pass_deadlines(until_us, config):
+            change(*one)
+    for route, at in placed.values():
+        for k, phase in zip(at, route.phases(*(np.array([rows[k][c] for k in at], float) for c in (-4, -3))).tolist(), strict=True):
+            rows[k][-1] = phase
+    out = pd.DataFrame(rows, columns=columns_of(RESULTS))
+    return out.astype({"active": object})
+
+
+def process(samples: DataFrame, observed_until: Column | None = None, config: Engine = Engine()) -> DataFrame:
+    """``RESULTS`` of one batch from the beginning: every change, and a frame for every accepted sample.
+
+    Frames have route and phase from the confirming sample on, while the vehicle is not inactive and has a position.
+    At the end deadlines count up to ``observed_until``, by default the newest sample of all streams.  One shuffle by stream.
+    """
+    rows = prepared(samples)
+    until = rows.agg(F.max("at_us").alias("until_us")) if observed_until is None else samples.sparkSession.range(1).select(F.unix_micros(observed_until).alias("until_us"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return results(key, Track(), pdf, int(pdf["until_us"].iloc[0]), config)
+
+    return rows.crossJoin(F.broadcast(until)).groupBy(*KEY).applyInPandas(run, RESULTS)  # one row
+
+
+def changes_of(found: DataFrame) -> DataFrame:
+    """The changes among results."""
+    return found.where("output = 'change'").select(F.timestamp_micros("at_us").alias("change_time"), "kind", *KEY, "route_id", *DETAILS)
+
+
+def frames_of(found: DataFrame) -> DataFrame:
+    """The frames among results."""
+    return found.where("output = 'frame'").select(F.timestamp_micros("at_us").alias("sample_time"), *KEY, "active", "latitude_deg", "longitude_deg", "reliability", "route_id", "phase")
+
+
+class TrackProcessor(StatefulProcessor):
+    """The steps of a stream over Spark's state store.
+
+    The last sample is a value, the history of a stream without a route a list to which rows are appended, and the
+    confirmed route a value of its own, so that a micro-batch writes what it changes.  Deadlines are event-time
+    timers; expiry drops history and route.
+    """
+
+    def __init__(self, config: Engine) -> None:
+        self.config = config
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_us long, active boolean, passed int, last_look double, candidate boolean")
+        self.history = handle.getListState("history", ", ".join(f"{f} double" for f in FIELDS))
+        self.route = handle.getValueState("route", ROUTE)
+
+    def _track(self) -> tuple[Track, int]:
+        """The stream's track and how many rows of its history are stored."""
+        if not self.last.exists():
+            return Track(), 0
+        last_us, active, passed, look, candidate = self.last.get()
+        route = Route(*self.route.get()) if self.route.exists() else None
+        rows = list(self.history.get()) if route is None and self.history.exists() else []
+        history = {f: [row[k] for row in rows] for k, f in enumerate(FIELDS)}
+        return Track(last_us, active, passed, RouteState(history, last_us / 1e6, look, candidate, route is not None, route)), len(rows)
+
+    def _store(self, track: Track, before: list[float], had_route: bool) -> None:
+        routes, times = track.routes, track.routes.history["time"]
+        self.last.update((track.last_us, track.active, track.passed, routes.last_look, routes.candidate))
+        if times[: len(before)] == before:
+            fresh = list(zip(*(routes.history[f][len(before) :] for f in FIELDS), strict=True))
+            if fresh:
+                self.history.appendList(fresh)
+        elif times:
+            self.history.put(list(zip(*(routes.history[f] for f in FIELDS), strict=True)))
+        else:
+            self.history.clear()
+        if routes.route is not None:
+            if not had_route:
+                self.route.update(_route_values(routes.route))
+        elif had_route:
+            self.route.clear()
+
+    def _timed(self, track: Track) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        waits = deadlines(self.config)[track.passed :]
+        if waits:
+            self.handle.registerTimer(-((track.last_us + waits[0][0]) // -1000))
+
+    def _moved(self, key: tuple, pdf: pd.DataFrame, until_us: int | None) -> pd.DataFrame:
+        track, _ = self._track()
+        before, had_route = list(track.routes.history["time"]), track.routes.route is not None
+        route = track.routes.route
+        out = results(key, track, pdf, until_us, self.config)
+        if track.last_us is not None:
+            # a route that was lost and found again within the batch is written anew
+            self._store(track, before, had_route and track.routes.route is route)
+            self._timed(track)
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._moved(key, pd.concat(list(rows), ignore_index=True), None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._moved(key, pd.DataFrame(), timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_process(samples: DataFrame, config: Engine = Engine(), late: str = "0 seconds") -> DataFrame:
+    """``RESULTS`` from a streaming DataFrame: changes and frames of one stateful operator.
+
+    A sample counts if it is after the last one of its stream; Spark drops those ``late`` or more behind the newest
+    sample of all streams, so ``late`` has to cover the largest lag of a stream, and deadlines of silent streams are
+    noticed as much later (stamped with the deadline all the same).  :class:`wayring.streaming.session.Session` keeps lagging streams without such a bound.
+    The state of a stream without a route is bounded by ``Detection.history_points``; expiry drops it.
+    """
+    timed = samples.where("sample_time is not null").withColumn("sample_time", F.col("sample_time").cast("timestamp")).withWatermark("sample_time", late)
+    keyed = prepared(timed).groupBy(*KEY)
+    return keyed.transformWithStateInPandas(statefulProcessor=TrackProcessor(config), outputStructType=RESULTS, outputMode="Append", timeMode="EventTime")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else RouteState()
-        pdf = pd.concat(list(frames), ignore_index=True)
-        yield _changes(key, held, pdf)
-        state.update((pickle.dumps(held),))
 
-    return _prepared(samples).groupBy(*KEY).applyInPandasWithState(run, CHANGES, "state binary", "append", GroupStateTimeout.NoTimeout)
+def stream_route_changes(samples: DataFrame, detection: Detection = Detection(), late: str = "0 seconds") -> DataFrame:
+    """Route candidates and confirmations from a streaming DataFrame, as :func:`route_changes` gives them."""
+    found = stream_process(samples, Engine(detection=detection), late).where("kind in ('route_candidate', 'route_confirmed')")
+    return found.select(*KEY, (F.col("at_us") / 1e6).alias("change_s"), "kind", "route_id", *DETAILS)
 
 
 def stream_state_changes(samples: DataFrame, no_data_seconds: int = Timing().no_data_seconds, expire_seconds: int = Grouping().hold_seconds, late: str = "0 seconds", ties: tuple[str, ...] = ()) -> DataFrame:
@@ -137,7 +338,7 @@ def stream_state_changes(samples: DataFrame, no_data_seconds: int = Timing().no_
         if passed < len(waits):
             deadline_ms = -((last + waits[passed][0]) // -1000)
             state.setTimeoutTimestamp(max(deadline_ms - 1, watermark_ms))  # fires once the watermark is beyond it
-        yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in STATE_CHANGES.split(",")])
+        yield pd.DataFrame(out, columns=columns_of(STATE_CHANGES))
 
     timed = samples.where("sample_time is not null").select(*KEY, F.col("sample_time").cast("timestamp").alias("sample_time"), "active", *ties)
     keyed = timed.withWatermark("sample_time", late).withColumn("at_us", F.unix_micros("sample_time")).groupBy(*KEY)

@@ -1,7 +1,8 @@
 """The per-stream step of the route lifecycle, shared by its batch and streaming forms.
 
 A stream's samples arrive in time order and the detector is asked at most every few seconds of event time, so
-this part is stateful per stream; the arrays of one stream's unconfirmed history are all it holds.
+this part is stateful per stream; the newest ``Detection.history_points`` samples of one stream's unconfirmed
+history are all it holds and looks at, so that neither state nor work grows with the history.
 """
 
 from __future__ import annotations
@@ -69,9 +70,6 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     d, n, before = _segments(poly)
     length = n.sum()
     near = max(b * cfg.closure_axis_ratio, 1.0)
-    share = np.clip(((q[:, None, 0] - poly[:, 0]) * d[:, 0] + (q[:, None, 1] - poly[:, 1]) * d[:, 1]) / (n * n), 0, 1)
-    off = np.hypot(q[:, None, 0] - (poly[:, 0] + d[:, 0] * share), q[:, None, 1] - (poly[:, 1] + d[:, 1] * share)).min(axis=1)
-    fit = (off <= near).mean()
     step = np.hypot(*(q[1:] - q[:-1]).T)
     way = np.concatenate([[0.0], np.cumsum(step)])
     cycles = way[-1] / length
@@ -82,7 +80,11 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     aligned = (size <= EPSILON) | (size[0] <= EPSILON) | (angle <= cfg.closure_heading_deg)
     closes = (way >= length * cfg.closure_phase) & (np.hypot(*(q - q[0]).T) <= near) & aligned
     closes[0] = False
-    if cycles + EPSILON < cfg.closure_phase or not closes.any() or fit + EPSILON < cfg.least_fit or cycles + EPSILON < cfg.least_cycles:
+    if cycles + EPSILON < cfg.closure_phase or cycles + EPSILON < cfg.least_cycles or not closes.any():
+        return None
+    # the dearest gate comes last: streams that close no route never pay for it
+    fit = (project(poly, q)[0] <= near).mean()
+    if fit + EPSILON < cfg.least_fit:
         return None
     speed = np.hypot(rows["ve"], rows["vn"])[keep]
     speed = speed[np.isfinite(speed) & (speed > EPSILON)]
@@ -95,7 +97,38 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     area = (c[:-1, 0] * c[1:, 1] - c[:-1, 1] * c[1:, 0]).sum()
     way_round = "unknown" if abs(area) <= EPSILON else "counterclockwise" if area > 0 else "clockwise"
     quality = min(1.0, max(0.0, 0.55 * fit + 0.30 * keep.mean() + 0.15 * min(1.0, cycles)))
-    return {"family": "si" if si else "so", "subtype": "compact" if si else "hippodrome", "direction": way_round, "period_s": float(period), "quality": float(quality), "fit_fraction": float(fit), "cycles": float(cycles), "length_m": float(length)}
+    lat, lon = lat0 + math.degrees(center[1] / EARTH_RADIUS_M), lon0 + math.degrees(center[0] / (EARTH_RADIUS_M * math.cos(math.radians(lat0))))
+    told = {"family": "si" if si else "so", "subtype": "compact" if si else "hippodrome", "direction": way_round, "period_s": float(period), "quality": float(quality), "fit_fraction": float(fit), "cycles": float(cycles), "length_m": float(length)}
+    return told | {"route": Route(float(lat), float(lon), poly[:, 0].tolist(), poly[:, 1].tolist()), "long_m": float(a), "short_m": float(b)}
+
+
+def project(poly: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and phase of the nearest place on a closed polyline for each point; the least segment on ties."""
+    d, n, before = _segments(poly)
+    share = np.clip(((points[:, None, 0] - poly[:, 0]) * d[:, 0] + (points[:, None, 1] - poly[:, 1]) * d[:, 1]) / (n * n), 0, 1)
+    off = np.hypot(points[:, None, 0] - (poly[:, 0] + d[:, 0] * share), points[:, None, 1] - (poly[:, 1] + d[:, 1] * share))
+    k = off.argmin(axis=1)
+    rows = np.arange(len(points))
+    return off[rows, k], (before[k] + n[k] * share[rows, k]) / n.sum() % 1.0
+
+
+@dataclass(frozen=True)
+class Route:
+    """A confirmed route as frames need it: the centre, and the polyline in metres."""
+
+    lat: float
+    lon: float
+    x: list[float]
+    y: list[float]
+
+    def phases(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """Phases of positions; they are projected from the centre, as surveyed."""
+        east = np.radians(lon - self.lon) * EARTH_RADIUS_M * math.cos(math.radians(self.lat))
+        north = np.radians(lat - self.lat) * EARTH_RADIUS_M
+        poly, out = np.stack([self.x, self.y], axis=1), np.empty(len(lat))
+        for at in range(0, len(lat), 4096):
+            out[at : at + 4096] = project(poly, np.stack([east[at : at + 4096], north[at : at + 4096]], axis=1))[1]
+        return out
 
 
 @dataclass
@@ -107,9 +140,17 @@ class RouteState:
     last_look: float = -math.inf
     candidate: bool = False
     confirmed: bool = False
+    route: Route | None = None
 
     def forget(self) -> None:
-        self.history, self.last_look, self.candidate, self.confirmed = {f: [] for f in FIELDS}, -math.inf, False, False
+        self.history, self.last_look, self.candidate, self.confirmed, self.route = {f: [] for f in FIELDS}, -math.inf, False, False, None
+
+    def recent(self, most: int | None) -> dict[str, np.ndarray]:
+        """The newest ``most`` usable samples, all of them for None; older ones are dropped now and then."""
+        size = len(self.history["time"])
+        if most is not None and size > most + most // 4:
+            self.history = {k: v[-most:] for k, v in self.history.items()}
+        return {k: np.array(v[-most:] if most else v) for k, v in self.history.items()}
 
 
 def advance(state: RouteState, sample: tuple, detection: Detection = Detection(), timing: Timing = Timing(), grouping: Grouping = Grouping()) -> list[tuple[float, str, dict]]:
@@ -128,19 +169,20 @@ def advance(state: RouteState, sample: tuple, detection: Detection = Detection()
         return []
     if lat is None or lon is None or state.confirmed:
         return []
-    if reliability is None or reliability > 0:
+    if reliability is not None and reliability > 0:
         for name, value in zip(FIELDS, (time, lat, lon, math.nan if ve is None else ve, math.nan if vn is None else vn), strict=True):
             state.history[name].append(value)
     if time - state.last_look < timing.batch_seconds:
         return []
     state.last_look = time
-    rows = {k: np.array(v) for k, v in state.history.items()}
+    rows = state.recent(detection.history_points)
     out = []
     if not state.candidate and (found := detect(rows, detection.candidate_seconds, detection)):
         state.candidate = True
         out.append((time, "route_candidate", found))
     if found := detect(rows, detection.confirm_seconds, detection):
         state.candidate = state.confirmed = True
+        state.route = found["route"]
         state.history = {f: [] for f in FIELDS}
         out.append((time, "route_confirmed", found))
     return out
