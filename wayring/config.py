@@ -65,6 +65,10 @@ class Detection:
     least_samples: int = 12
     # samples of a stream without a route that are kept and looked at; None keeps them all
     history_points: int | None = 3600
+    # whether confirmed routes are watched for changes of so much, which have to hold so long
+    follow_changes: bool = False
+    change_ratio: float = 0.20
+    change_seconds: int = 120
 
 
 @dataclass(frozen=True)
@@ -77,6 +81,7 @@ class Grouping:
     so_period_ratio: float = 0.20
     finalize_seconds: int = 120
     run_seconds: int = 20
+    exit_seconds: int = 300
 
 
 @dataclass(frozen=True)

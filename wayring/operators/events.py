@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayring.config import Grouping, Scoring
 from wayring.functions.scoring import REASONS
+from wayring.operators.groups import components
 
 
 def weighted_score(score: Column, minutes: Column) -> Column:
@@ -120,22 +121,10 @@ def reliable_groups(members: DataFrame, least: float = Scoring().least_reliabili
     return members.groupBy("group_id").agg(F.count_if(F.col("reliability") >= least).alias("reliable")).where("reliable >= 2")
 
 
-def connected(nodes: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``node, label``: the least node that links reach, by rounds of least-neighbour labels and pointer jumps.
-
-    Each round is checkpointed, so the lineage stays short and a lost executor costs one round at most.
-    """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select(F.col("node"), F.col("node").alias("label"))
-    for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        step = step.join(jump, "label", "left").select("node", F.least("label", "to").alias("label"), "old").checkpoint()
-        labels = step.select("node", "label")
-        if step.where("label <> old").limit(1).count() == 0:
-            return labels
-    raise RuntimeError("components did not settle")
+def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` of every node: the least node that links reach, itself without any."""
+    found = components(links.select("a", "b"))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def group_identity(before: DataFrame, after: DataFrame, keep: float = Grouping().identity_fraction) -> DataFrame:

@@ -1,16 +1,19 @@
 """Fitting groups of vehicles to synchronization templates.
 
-A template is a list of slots (slot id, vehicle type, phase offset, sign, optional role).  Members are tried on
-every legal arrangement of the slots; the arrangements of a template are a small literal table, so the fit is a
-broadcast join and array expressions, and groups never leave their partition.
+A template is a list of slots (slot id, vehicle type, phase offset, sign, optional role).  Groups meet the templates of
+their own multiset of vehicle types.  Members that may take the same slots, and slots that are of one type and role,
+make blocks; only orders within blocks are tried, in tasks, a bounded number at a time.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import permutations
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,31 +72,116 @@ def circular_l1_center(phases: Column) -> Column:
     return F.when(n == 1, F.pmod(F.get(phases, F.lit(0)), F.lit(1.0))).otherwise(F.array_min(F.transform(centers, rated))["phase"])
 
 
-def arrangements(spark: SparkSession, templates: list[Template]) -> DataFrame:
-    """``template_id, types, arrangement, slots``: every order of every template's slots (at most 8! of them each)."""
-    rows = []
-    for t in templates:
-        for k, order in enumerate(permutations(t.slots)):
-            rows.append((t.template_id, [s.vehicle_type for s in order], k, [(s.slot_id, s.vehicle_type, s.offset % 1.0, s.sign, s.role) for s in order]))
-    return spark.createDataFrame(rows, "template_id string, types array<string>, arrangement int, slots array<struct<slot_id:string,vehicle_type:string,offset:double,sign:int,role:string>>")
+SLOTS = "array<struct<slot_id:string,vehicle_type:string,offset:double,sign:int,role:string>>"
+#: Assignments that are rated together.
+TRIED = 4096
 
 
-def legal_assignments(members: DataFrame, templates: list[Template]) -> DataFrame:
-    """Groups with each arrangement that their members may take: types agree, and roles where the slot has one.
+def template_table(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    """``template_id, types, slots``: a row per template, with its vehicle types in order."""
+    rows = [(t.template_id, sorted(s.vehicle_type for s in t.slots), [(s.slot_id, s.vehicle_type, s.offset % 1.0, s.sign, s.role) for s in t.slots]) for t in templates]
+    return spark.createDataFrame(rows, f"template_id string, types array<string>, slots {SLOTS}")
 
-    Groups meet only the arrangements of their own sequence of types, so no other order is tried.
-    ``members`` has ``group_id, member, vehicle_type, phase`` and perhaps ``role``; one shuffle by group.
+
+@lru_cache(maxsize=16)
+def assignments(members: tuple[tuple[str, str | None], ...], slots: tuple[tuple[str, str | None], ...]) -> tuple[np.ndarray, ...]:
+    """Legal orders of the slots for the members (each as type and role), ``TRIED`` rows at most in one array.
+
+    A slot takes members of its type, and of its role if it has one, so only orders within blocks of one type and role
+    come up.  Groups and templates that agree in types and roles share the arrays, which a task keeps for the last few.
     """
+    return tuple(_assignments(members, slots))
+
+
+def _assignments(members: tuple, slots: tuple) -> Iterator[np.ndarray]:
+    fits = [[k for k, (kind, role) in enumerate(slots) if kind == m and (role is None or role == r)] for m, r in members]
+    waiting: list[list[int]] = []
+
+    def dealt(at: int, used: int, chosen: list[int]) -> Iterator[list[int]]:
+        if at == len(members):
+            yield list(chosen)
+            return
+        for k in fits[at]:
+            if not used >> k & 1:
+                chosen.append(k)
+                yield from dealt(at + 1, used | 1 << k, chosen)
+                chosen.pop()
+
+    for one in dealt(0, 0, []):
+        waiting.append(one)
+        if len(waiting) == TRIED:
+            yield np.array(waiting, np.int64)
+            waiting = []
+    if waiting:
+        yield np.array(waiting, np.int64).reshape(-1, len(members))
+
+
+def _centers(shifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The circular L1 centre of each row and the distances to it; as :func:`circular_l1_center`."""
+    n = shifted.shape[1]
+    if n == 1:
+        return shifted[:, 0], np.zeros_like(shifted)
+    line = np.sort(shifted[:, :, None] + (shifted[:, None, :] - shifted[:, :, None] + 0.5) % 1.0 - 0.5, axis=2)
+    middle = ((line[:, :, (n - 1) // 2] + line[:, :, n // 2]) / 2.0) % 1.0
+    far = np.abs(shifted[:, None, :] - middle[:, :, None]) % 1.0
+    far = np.minimum(far, 1.0 - far)
+    total = far[:, :, 0].copy()
+    for k in range(1, n):  # in the order of the members
+        total += far[:, :, k]
+    most = far.max(axis=2)
+    best = np.lexsort((middle, most, total), axis=1)[:, 0]
+    rows = np.arange(len(shifted))
+    return middle[rows, best], far[rows, best]
+
+
+def best_fit(members: list[tuple[str, str | None, float]], slots: list[tuple]) -> tuple[float, float, float, list[float], list[int]] | None:
+    """Common phase, mean and largest error, the members' errors and their slots, of the best legal assignment."""
+    phases = np.array([m[2] for m in members])
+    offset, sign = np.array([s[2] for s in slots]), np.array([s[3] for s in slots])
+    by_id = np.empty(len(slots), np.int64)
+    by_id[sorted(range(len(slots)), key=lambda k: slots[k][0])] = np.arange(len(slots))
+    best: tuple | None = None
+    for order in assignments(tuple(m[:2] for m in members), tuple((s[1], s[4]) for s in slots)):
+        center, errors = _centers((phases * sign[order] - offset[order]) % 1.0)
+        mean, most = errors.sum(axis=1) / len(members), errors.max(axis=1)
+        keys = (center, *by_id[order].T[::-1], np.round(most, 15), np.round(mean, 15))
+        k = int(np.lexsort(keys)[0])
+        found = (tuple(float(key[k]) for key in reversed(keys)), float(center[k]), float(mean[k]), float(most[k]), errors[k].tolist(), order[k].tolist())
+        if best is None or found[0] < best[0]:
+            best = found
+    return None if best is None else best[1:]
+
+
+def _candidates(members: DataFrame, templates: list[Template]) -> DataFrame:
+    """Groups beside each template of their multiset of types: ``group_id, template_id, n, members, slots``."""
     role = F.col("role") if "role" in members.columns else F.lit(None).cast("string")
     one = F.struct(F.col("member"), F.col("vehicle_type"), F.pmod(F.col("phase"), F.lit(1.0)).alias("phase"), role.alias("role"))
     sizes = sorted({len(t.slots) for t in templates})
     # a group larger than any template cannot fit one; its rows are only counted
     counted = members.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n").isin(*sizes))
     groups = members.join(counted, "group_id").groupBy("group_id").agg(F.sort_array(F.collect_list(one)).alias("members"), F.first("n").cast("int").alias("n"))
-    groups = groups.withColumn("types", F.transform("members", lambda m: m["vehicle_type"]))
-    tried = groups.join(F.broadcast(arrangements(members.sparkSession, templates)), "types").drop("types")
-    fits = F.forall(F.arrays_zip("members", "slots"), lambda z: z["slots"]["role"].isNull() | F.coalesce(z["members"]["role"] == z["slots"]["role"], F.lit(False)))
-    return tried.where(fits)
+    groups = groups.withColumn("types", F.array_sort(F.transform("members", lambda m: m["vehicle_type"])))
+    # as many rows as templates were given
+    return groups.join(F.broadcast(template_table(members.sparkSession, templates)), "types").select("group_id", "template_id", "n", "members", "slots")
+
+
+def legal_assignments(members: DataFrame, templates: list[Template]) -> DataFrame:
+    """Groups with each arrangement that their members may take: types agree, and roles where the slot has one.
+
+    ``members`` has ``group_id, member, vehicle_type, phase`` and perhaps ``role``; one shuffle by group.
+    """
+    found = _candidates(members, templates)
+    schema = found.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                slots = [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in row.slots]
+                for orders in assignments(tuple((m["vehicle_type"], m["role"]) for m in row.members), tuple((s[1], s[4]) for s in slots)):
+                    out = [(row.group_id, row.template_id, row.n, row.members, [slots[k] for k in order]) for order in orders.tolist()]
+                    yield pd.DataFrame(out, columns=list(pdf.columns))
+
+    return found.mapInPandas(run, schema)
 
 
 def fit_templates(members: DataFrame, templates: list[Template]) -> DataFrame:
@@ -102,14 +190,22 @@ def fit_templates(members: DataFrame, templates: list[Template]) -> DataFrame:
     The best has the least mean error, then the least largest one (both to 15 digits), then the first slot ids,
     then the smaller phase.  Groups without a legal assignment give no row.
     """
-    tried = legal_assignments(members, templates)
-    shifted = F.transform(F.arrays_zip("members", "slots"), lambda z: F.pmod(z["members"]["phase"] * z["slots"]["sign"] - z["slots"]["offset"], F.lit(1.0)))
-    tried = tried.withColumn("shifted", shifted).withColumn("common_phase", circular_l1_center(F.col("shifted")))
-    errors = F.transform("shifted", lambda v: F.least(F.abs(F.pmod(v - F.col("common_phase"), F.lit(1.0))), 1.0 - F.abs(F.pmod(v - F.col("common_phase"), F.lit(1.0)))))
-    tried = tried.withColumn("errors", errors).withColumns({"mean_error": F.aggregate("errors", F.lit(0.0), lambda a, b: a + b) / F.col("n"), "max_error": F.array_max("errors")})
-    rank = F.struct(F.round("mean_error", 15).alias("mean"), F.round("max_error", 15).alias("most"), F.transform("slots", lambda s: s["slot_id"]).alias("ids"), F.col("common_phase").alias("phase"))
-    kept = F.struct("common_phase", "mean_error", "max_error", "errors", "members", "slots")
-    return tried.groupBy("group_id", "template_id").agg(F.min_by(kept, rank).alias("best")).select("group_id", "template_id", "best.*")
+    found = _candidates(members, templates)
+    kinds = dict(found.dtypes)
+    schema = f"group_id {kinds['group_id']}, template_id string, common_phase double, mean_error double, max_error double, errors array<double>, members {kinds['members']}, slots {kinds['slots']}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                slots = [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in row.slots]
+                best = best_fit([(m["vehicle_type"], m["role"], m["phase"]) for m in row.members], slots)
+                if best is not None:
+                    center, mean, most, errors, order = best
+                    out.append((row.group_id, row.template_id, center, mean, most, errors, row.members, [slots[k] for k in order]))
+            yield pd.DataFrame(out, columns=["group_id", "template_id", "common_phase", "mean_error", "max_error", "errors", "members", "slots"])
+
+    return found.mapInPandas(run, schema)
 
 
 def member_fits(fits: DataFrame) -> DataFrame:

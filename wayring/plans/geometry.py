@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayring.functions import geo
-from wayring.operators import detection
+from wayring.operators import detection, topology
 from wayring.plans.registry import query, rounded, rounded_sql
-from wayring.sources.simulator import orbits
+from wayring.sources.simulator import looped_orbits, orbits
 
 R = geo.EARTH_RADIUS_M
 _PI = repr(math.pi)
@@ -246,3 +246,12 @@ def route_phase_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orbits(spark, sf_dir)
     f = detection.with_phase(o, detection.detect_routes(o)).where("route_id is not null")
     return f.groupBy(*detection.KEY).agg(F.count("*").alias("frames"), rounded(F.avg("distance_m"), 3).alias("mean_distance_m"))
+
+
+@query(
+    "SELECT s_nationkey::BIGINT AS server_id, s_suppkey + 100 AS vehicle_identifier, CASE s_suppkey % 4 WHEN 2 THEN 'self_crossing' WHEN 3 THEN 'double' ELSE 'simple' END AS topology, CASE s_suppkey % 4 WHEN 2 THEN 'figure_eight' WHEN 3 THEN 'double_hippodrome' ELSE 'simple' END AS subtype, CASE WHEN s_suppkey % 4 >= 2 THEN 1 ELSE 0 END::BIGINT AS crossings FROM supplier"
+)
+def route_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles and stadiums are simple, figures of eight and double loops are found as what they are."""
+    found = topology.classified(topology.first_cycles(looped_orbits(spark, sf_dir)))
+    return found.select(*detection.KEY, "topology", "subtype", F.size("crossings").cast("long").alias("crossings"))

@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayring import selftest
+from wayring.config import Detection, Engine
 from wayring.plans.geometry import FIT_SQL, R
 from wayring.plans.registry import query, rounded, rounded_sql
 from wayring.plans.temporal import EXPIRE, LIFE_SQL, NO_DATA
+from wayring.session import shared_folder
 from wayring.sources.fixtures import lifecycle_samples
-from wayring.sources.simulator import orbits
+from wayring.sources.simulator import bent_orbits, orbits
 from wayring.streaming import lifecycle
+from wayring.streaming.session import Session
 
 #: 2026-01-01 00:00:00 UTC, when orbits begin.
 _START_SECOND = 1_767_225_600
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="wayring-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, tag: str) -> DataFrame:
@@ -150,3 +148,56 @@ def stream_state_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*")
     changes = lifecycle.stream_state_changes(lifecycle_samples(spark, sf_dir, stream), NO_DATA, EXPIRE, ties=("event_id",))
     return run_to_end(spark, changes, "state-changes").withColumn("change_time", F.col("change_time").cast(e.schema["ts"].dataType))
+
+
+# --- sessions with a progress table -----------------------------------------------------------------------------------
+
+
+def _lagging_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Orbits in batches of two minutes; every fourth vehicle's samples come one batch late."""
+    o = orbits(spark, sf_dir)
+    batch = F.floor((F.unix_timestamp("sample_time") - _START_SECOND) / 120) + F.when(F.col("vehicle_number") % 4 == 1, 1).otherwise(0)
+    return [o.where(batch == k) for k in range(5)]
+
+
+@query(
+    f"""WITH {SESSION_SQL.replace("SELECT server_id, vehicle_identifier, change_s, kind FROM changes", "SELECT * FROM (SELECT server_id, vehicle_identifier, change_s, kind FROM changes", 1)})
+UNION ALL SELECT server_id, k + 100, {_START_SECOND} + extra_s::DOUBLE, kind FROM (SELECT DISTINCT s_nationkey::BIGINT AS server_id, s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 1), (VALUES (139, 'data_lost'), (120, 'data_resumed'), (259, 'data_lost'), (240, 'data_resumed')) v(extra_s, kind)"""
+)
+def lagging_session_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro-batches in which some vehicles are always one batch behind: their rows count, and their silences are told."""
+    session = Session(spark, _folder(spark, "session"))
+    for k, batch in enumerate(_lagging_batches(spark, sf_dir)):
+        session.process_batch(batch, batch_id=k)
+    return _session_changes(session.all_results())
+
+
+@query(f"WITH {PHASE_SQL}")
+def session_frames_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a session that starts anew before every micro-batch."""
+    folder = _folder(spark, "session")
+    o = orbits(spark, sf_dir)
+    for first in range(0, 361, 120):
+        Session(spark, folder).process_batch(o.where((F.unix_timestamp("sample_time") - _START_SECOND).between(first, first + 119)))
+    return _phases(Session(spark, folder).all_results())
+
+
+@query(
+    """SELECT * FROM (VALUES ('batch_increment_equivalence', 'passed', (SELECT count(*)::DOUBLE FROM supplier, range(361) q(t) WHERE NOT (s_suppkey % 10 = 9 AND t BETWEEN 150 AND 179))), ('checkpoint_restart_equivalence', 'passed', NULL)) v(name, status, samples)"""
+)
+def self_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The self-test on the orbits: increments of three minutes, and a restart after four."""
+    samples = orbits(spark, sf_dir)
+    folder = _folder(spark, "self-test")
+    rows = [selftest.equivalence_check(samples, folder, 180, 360), selftest.restart_check(samples, folder, 240)]
+    return spark.createDataFrame(rows, selftest.CHECK).select("name", "status", F.col("metrics")["samples"].alias("samples"))
+
+
+@query("SELECT s_nationkey::BIGINT AS server_id, s_suppkey + 100 AS vehicle_identifier, CASE WHEN s_suppkey % 4 IN (1, 2) THEN 1 ELSE 0 END::BIGINT AS changes, CASE WHEN s_suppkey % 4 IN (1, 2) THEN TRUE END AS near_the_bend, 0::BIGINT AS left_open FROM supplier")
+def confirmed_route_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles that grow, slow down, grow for a while or stay: how many changes are told, whether as of the bend, and rivals left open."""
+    config = Engine(detection=Detection(follow_changes=True))
+    found = lifecycle.process(bent_orbits(spark, sf_dir), config=config).withColumn("changed", F.col("kind").eqNullSafe(F.lit("route_changed")))
+    near = F.bool_and(F.when(F.col("changed"), F.abs(F.col("at_us") / 1e6 - _START_SECOND - 480) <= 45))
+    left = F.count_if(F.col("kind") == "route_change_candidate") - F.count_if(F.col("kind").isin("route_changed", "route_change_cancelled"))
+    return found.groupBy(*lifecycle.KEY).agg(F.count_if("changed").alias("changes"), near.alias("near_the_bend"), left.alias("left_open"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayring.operators import events as E
 from wayring.operators import workspace as W
 from wayring.plans.registry import query, rounded, rounded_sql
+from wayring.session import shared_folder
 from wayring.plans.scoring import GROUPS_SQL, SCORES_SQL, _groups, _scored
 from wayring.functions.scoring import REASONS
 from wayring.sources import snapshot
@@ -256,10 +257,7 @@ def group_formation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         F.col("s_nationkey").alias("server_id"), k.alias("route_id"), (k % 10 * 37).cast("double").alias("x"), (k % 7 * 41).cast("double").alias("y"), (k % 7 * 15 + 60).cast("double").alias("size_m"), (k % 5 * 15 + 90).cast("double").alias("period_s"), (k % 2).alias("direction")
     )
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wayring-"))
+    shared_folder(spark)  # components are checkpointed there
     return E.connected(r.select(F.col("route_id").alias("node")), E.si_neighbours(r))
 
 

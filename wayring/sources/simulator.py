@@ -69,3 +69,41 @@ def orbits(spark: SparkSession, sf_dir: str, seconds: int = 360) -> DataFrame:
         (~((k % 13 == 5) & (F.col("second") >= 200))).alias("active"), place["lat"].alias("latitude_deg"), place["lon"].alias("longitude_deg"),
         at["v_north"].alias("velocity_north_mps"), at["v_east"].alias("velocity_east_mps"), F.lit(1.0).alias("reliability"),
     )
+
+
+def bent_orbits(spark: SparkSession, sf_dir: str, bend: int = 480, seconds: int = 750) -> DataFrame:
+    """Circles from suppliers that change at ``bend``: of four, one keeps on, one grows by two fifths, one slows to a period longer by as much, one grows for 45 seconds only."""
+    k = F.col("s_suppkey")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey", "s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(seconds))).alias("second"))
+    t, late = F.col("second").cast("double"), F.col("second") >= bend
+    grown = late & ((k % 4 == 1) | ((k % 4 == 3) & (F.col("second") < bend + 45)))
+    radius = (k % 7 * 15 + 60) * F.when(grown, 1.4).otherwise(1.0)
+    slow = late & (k % 4 == 2)
+    # a slower vehicle goes on from where it is
+    own = F.when(slow, bend + (t - bend) / 1.4).otherwise(t)
+    at = circle_at(own, radius, (k % 5 * 15 + 90).cast("double"), (k * 37 % 360).cast("double"), F.when(k % 2 == 1, -1.0).otherwise(1.0))
+    pace = F.when(slow, 1.0 / 1.4).otherwise(1.0)
+    place = wgs84(at["east"], at["north"], F.lit(31.8), F.lit(34.8))
+    return rows.select(
+        F.col("s_nationkey").cast("long").alias("server_id"), k.alias("vehicle_number"), (k + 100).alias("vehicle_identifier"), F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + F.col("second")).alias("sample_time"),
+        F.lit(True).alias("active"), place["lat"].alias("latitude_deg"), place["lon"].alias("longitude_deg"), (at["v_north"] * pace).alias("velocity_north_mps"), (at["v_east"] * pace).alias("velocity_east_mps"), F.lit(1.0).alias("reliability"),
+    )
+
+
+def looped_orbits(spark: SparkSession, sf_dir: str, seconds: int = 300) -> DataFrame:
+    """Closed tracks from suppliers: of four, a circle, a stadium, a figure of eight and a loop within a loop."""
+    k = F.col("s_suppkey")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey", "s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(seconds))).alias("second"))
+    t, sign, period, phase = F.col("second").cast("double"), F.when(k % 8 >= 4, -1.0).otherwise(1.0), (k % 5 * 15 + 90).cast("double"), (k * 37 % 360).cast("double")
+    size = (k % 7 * 15 + 60).cast("double")
+    circle, stadium = circle_at(t, size, period, phase, sign), stadium_at(t, 150.0, 40.0, period, phase, sign)
+    angle = F.radians(phase) + sign * (2.0 * math.pi) / period * t
+    eight = {"east": size * 1.5 * F.sin(angle), "north": size * F.sin(angle * 2.0)}
+    reach = size * (F.cos(angle) * 1.6 + 0.7)
+    loop = {"east": reach * F.cos(angle), "north": reach * F.sin(angle)}
+    at = {c: F.when(k % 4 == 0, circle[c]).when(k % 4 == 1, stadium[c]).when(k % 4 == 2, eight[c]).otherwise(loop[c]) for c in ("east", "north")}
+    place = wgs84(at["east"], at["north"], F.lit(31.8), F.lit(34.8))
+    return rows.select(
+        F.col("s_nationkey").cast("long").alias("server_id"), (k + 100).alias("vehicle_identifier"), F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + F.col("second")).alias("sample_time"),
+        F.lit(True).alias("active"), place["lat"].alias("latitude_deg"), place["lon"].alias("longitude_deg"), F.lit(1.0).alias("reliability"),
+    )

@@ -21,8 +21,7 @@ from wayring.streaming.route_steps import FIELDS, Route, RouteState, advance
 
 KEY = ["server_id", "vehicle_identifier"]
 CHANGES = "server_id long, vehicle_identifier long, change_s double, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double"
-ROUTE = "route_lat double, route_lon double, route_x array<double>, route_y array<double>"
-ROUTE_STATE = "server_id long, vehicle_identifier long, last_time double, last_look double, candidate boolean, confirmed boolean, " + ", ".join(f"{f} array<double>" for f in FIELDS) + ", " + ROUTE
+ROUTE_STATE = "server_id long, vehicle_identifier long, last_time double, last_look double, candidate boolean, confirmed boolean, " + ", ".join(f"{f} array<double>" for f in FIELDS) + ", " + Route.SCHEMA
 STATE_CHANGES = "server_id long, vehicle_identifier long, at_us long, kind string"
 #: What the samples of a stream give: changes, with details where a route is found, and a frame per accepted sample.
 RESULTS = "output string, server_id long, vehicle_identifier long, at_us long, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double, active boolean, latitude_deg double, longitude_deg double, reliability double, phase double"
@@ -54,7 +53,7 @@ def _changes(key: tuple, state: RouteState, pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for _, *sample in _in_order(pdf):
         for time, kind, found in advance(state, tuple(sample)):
-            out.append((*key, time, kind, route_id(key), *(found[c] for c in DETAILS)))
+            out.append((*key, time, kind, route_id(key), *(found.get(c) for c in DETAILS)))
     return pd.DataFrame(out, columns=columns_of(CHANGES))
 
 
@@ -63,14 +62,10 @@ def _held(states: pd.DataFrame) -> RouteState:
         return RouteState()
     row = states.iloc[0]
     history = {f: [float(x) for x in row[f]] for f in FIELDS}
-    route = None if row["route_x"] is None else Route(float(row["route_lat"]), float(row["route_lon"]), [float(x) for x in row["route_x"]], [float(x) for x in row["route_y"]])
+    route = Route.of(*(row[c] for c in columns_of(Route.SCHEMA)))
     return RouteState(history, float(row["last_time"]), float(row["last_look"]), bool(row["candidate"]), bool(row["confirmed"]), route)
 
 
-def _route_values(route: Route | None) -> tuple:
-    return (None,) * 4 if route is None else (route.lat, route.lon, route.x, route.y)
-
-
 def _with_states(samples: DataFrame, states: DataFrame | None):
     """Samples by stream beside the stream's state, where there is one."""
     if states is None:
@@ -99,7 +94,7 @@ def route_states(samples: DataFrame, states: DataFrame | None = None) -> DataFra
     def run(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         state = _held(held)
         _changes(key, state, pdf)
-        return pd.DataFrame([(*key, state.last_time, state.last_look, state.candidate, state.confirmed, *(state.history[f] for f in FIELDS), *_route_values(state.route))], columns=columns_of(ROUTE_STATE))
+        return pd.DataFrame([(*key, state.last_time, state.last_look, state.candidate, state.confirmed, *(state.history[f] for f in FIELDS), *state.route_values())], columns=columns_of(ROUTE_STATE))
 
     return _with_states(samples, states).applyInPandas(run, ROUTE_STATE)
 
@@ -146,7 +141,8 @@ class Track:
             out.append((at_us, "vehicle_deactivated", None))
         self.last_us, self.active, self.passed = at_us, active, 0
         found = advance(self.routes, (sample[0], active, *sample[2:]), config.detection, config.timing, config.grouping)
-        return out + [(at_us, kind, told) for _, kind, told in found]
+        # a change of a route is stamped with its start
+        return out + [(round(time * 1e6), kind, told) for time, kind, told in found]
 
 
 def deadlines(config: Engine) -> list[tuple[int, str]]:
@@ -220,23 +216,29 @@ class TrackProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "last_us long, active boolean, passed int, last_look double, candidate boolean")
+        self.last = handle.getValueState("last", "last_us long, active boolean, passed int, last_look double, candidate boolean, rival_look double")
         self.history = handle.getListState("history", ", ".join(f"{f} double" for f in FIELDS))
-        self.route = handle.getValueState("route", ROUTE)
+        self.route = handle.getValueState("route", Route.SCHEMA)
+        self.watched = handle.getListState("watched", "time double, lat double, lon double, ve double, vn double, off boolean")
 
-    def _track(self) -> tuple[Track, int]:
-        """The stream's track and how many rows of its history are stored."""
+    def _track(self) -> Track:
         if not self.last.exists():
-            return Track(), 0
-        last_us, active, passed, look, candidate = self.last.get()
-        route = Route(*self.route.get()) if self.route.exists() else None
+            return Track()
+        last_us, active, passed, look, candidate, *rival = self.last.get()
+        route = Route.of(*self.route.get()) if self.route.exists() else None
         rows = list(self.history.get()) if route is None and self.history.exists() else []
         history = {f: [row[k] for row in rows] for k, f in enumerate(FIELDS)}
-        return Track(last_us, active, passed, RouteState(history, last_us / 1e6, look, candidate, route is not None, route)), len(rows)
+        watched = [list(row) for row in self.watched.get()] if route is not None and self.config.detection.follow_changes and self.watched.exists() else []
+        return Track(last_us, active, passed, RouteState(history, last_us / 1e6, look, candidate, route is not None, route, watched, *rival))
 
     def _store(self, track: Track, before: list[float], had_route: bool) -> None:
         routes, times = track.routes, track.routes.history["time"]
-        self.last.update((track.last_us, track.active, track.passed, routes.last_look, routes.candidate))
+        self.last.update((track.last_us, track.active, track.passed, routes.last_look, routes.candidate, routes.rival_look))
+        if self.config.detection.follow_changes:
+            if routes.recent_samples:
+                self.watched.put([tuple(r) for r in routes.recent_samples])
+            else:
+                self.watched.clear()
         if times[: len(before)] == before:
             fresh = list(zip(*(routes.history[f][len(before) :] for f in FIELDS), strict=True))
             if fresh:
@@ -247,7 +249,7 @@ class TrackProcessor(StatefulProcessor):
             self.history.clear()
         if routes.route is not None:
             if not had_route:
-                self.route.update(_route_values(routes.route))
+                self.route.update(routes.route_values())
         elif had_route:
             self.route.clear()
 
@@ -259,7 +261,7 @@ class TrackProcessor(StatefulProcessor):
             self.handle.registerTimer(-((track.last_us + waits[0][0]) // -1000))
 
     def _moved(self, key: tuple, pdf: pd.DataFrame, until_us: int | None) -> pd.DataFrame:
-        track, _ = self._track()
+        track = self._track()
         before, had_route = list(track.routes.history["time"]), track.routes.route is not None
         route = track.routes.route
         out = results(key, track, pdf, until_us, self.config)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 
@@ -99,7 +100,7 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     quality = min(1.0, max(0.0, 0.55 * fit + 0.30 * keep.mean() + 0.15 * min(1.0, cycles)))
     lat, lon = lat0 + math.degrees(center[1] / EARTH_RADIUS_M), lon0 + math.degrees(center[0] / (EARTH_RADIUS_M * math.cos(math.radians(lat0))))
     told = {"family": "si" if si else "so", "subtype": "compact" if si else "hippodrome", "direction": way_round, "period_s": float(period), "quality": float(quality), "fit_fraction": float(fit), "cycles": float(cycles), "length_m": float(length)}
-    return told | {"route": Route(float(lat), float(lon), poly[:, 0].tolist(), poly[:, 1].tolist()), "long_m": float(a), "short_m": float(b)}
+    return told | {"route": Route(float(lat), float(lon), poly[:, 0].tolist(), poly[:, 1].tolist(), float(near), float(length), float(period), float(fit))}
 
 
 def project(poly: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,22 +115,45 @@ def project(poly: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass(frozen=True)
 class Route:
-    """A confirmed route as frames need it: the centre, and the polyline in metres."""
+    """A confirmed route as frames need it: the centre, and the polyline in metres; and what changes are measured by."""
 
     lat: float
     lon: float
     x: list[float]
     y: list[float]
+    near_m: float
+    length_m: float
+    period_s: float
+    fit: float
 
-    def phases(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        """Phases of positions; they are projected from the centre, as surveyed."""
+    SCHEMA: ClassVar[str] = "route_lat double, route_lon double, route_x array<double>, route_y array<double>, route_near_m double, route_length_m double, route_period_s double, route_fit double"
+
+    @classmethod
+    def of(cls, lat, lon, x, y, near_m, length_m, period_s, fit) -> Route | None:  # noqa: PLR0913
+        """From the values of ``SCHEMA``; without a polyline there is no route."""
+        return None if x is None else cls(float(lat), float(lon), [float(v) for v in x], [float(v) for v in y], float(near_m), float(length_m), float(period_s), float(fit))
+
+    def local(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """Metres from the centre, from which positions are projected, as surveyed."""
         east = np.radians(lon - self.lon) * EARTH_RADIUS_M * math.cos(math.radians(self.lat))
-        north = np.radians(lat - self.lat) * EARTH_RADIUS_M
-        poly, out = np.stack([self.x, self.y], axis=1), np.empty(len(lat))
+        return np.stack([east, np.radians(lat - self.lat) * EARTH_RADIUS_M], axis=1)
+
+    def polyline(self) -> np.ndarray:
+        return np.stack([self.x, self.y], axis=1)
+
+    def phases(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        poly, points, out = self.polyline(), self.local(lat, lon), np.empty(len(lat))
         for at in range(0, len(lat), 4096):
-            out[at : at + 4096] = project(poly, np.stack([east[at : at + 4096], north[at : at + 4096]], axis=1))[1]
+            out[at : at + 4096] = project(poly, points[at : at + 4096])[1]
         return out
 
+    def departs(self, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray, ratio: float) -> np.ndarray:
+        """Whether samples lie beside the route, or their speed makes another period of it."""
+        off = project(self.polyline(), self.local(lat, lon))[0] > self.near_m
+        with np.errstate(invalid="ignore", divide="ignore"):
+            period = self.length_m / speed
+        return off | (np.isfinite(period) & (np.abs(period / self.period_s - 1.0) > ratio))
+
 
 @dataclass
 class RouteState:
@@ -141,8 +165,28 @@ class RouteState:
     candidate: bool = False
     confirmed: bool = False
     route: Route | None = None
+    #: Newest samples of a watched route (time, lat, lon, ve, vn, whether it departs), and when a rival came up.
+    recent_samples: list[list] = field(default_factory=list)
+    rival_look: float | None = None
+
+    WATCH_SCHEMA: ClassVar[str] = "watch_time array<double>, watch_lat array<double>, watch_lon array<double>, watch_ve array<double>, watch_vn array<double>, watch_off array<boolean>, rival_look double"
+
+    def route_values(self) -> tuple:
+        """The values of ``Route.SCHEMA``."""
+        r = self.route
+        return (None,) * 8 if r is None else (r.lat, r.lon, r.x, r.y, r.near_m, r.length_m, r.period_s, r.fit)
+
+    def watch_values(self) -> tuple:
+        """The values of ``WATCH_SCHEMA``."""
+        return (*([r[k] for r in self.recent_samples] for k in range(6)), self.rival_look)
+
+    def watch(self, time, lat, lon, ve, vn, off, look) -> None:  # noqa: PLR0913
+        """Take up the values of ``WATCH_SCHEMA``."""
+        self.recent_samples = [[float(a), float(b), float(c), float(d), float(e), None if f is None else bool(f)] for a, b, c, d, e, f in zip(time, lat, lon, ve, vn, off, strict=True)] if time is not None else []
+        self.rival_look = None if look is None or math.isnan(look) else float(look)
 
     def forget(self) -> None:
+        self.recent_samples, self.rival_look = [], None
         self.history, self.last_look, self.candidate, self.confirmed, self.route = {f: [] for f in FIELDS}, -math.inf, False, False, None
 
     def recent(self, most: int | None) -> dict[str, np.ndarray]:
@@ -167,8 +211,10 @@ def advance(state: RouteState, sample: tuple, detection: Detection = Detection()
     if active is False:
         state.forget()
         return []
-    if lat is None or lon is None or state.confirmed:
+    if lat is None or lon is None or (state.confirmed and not detection.follow_changes):
         return []
+    if state.confirmed:
+        return _followed(state, (time, lat, lon, ve, vn), detection, timing) if reliability is not None and reliability > 0 else []
     if reliability is not None and reliability > 0:
         for name, value in zip(FIELDS, (time, lat, lon, math.nan if ve is None else ve, math.nan if vn is None else vn), strict=True):
             state.history[name].append(value)
@@ -186,3 +232,46 @@ def advance(state: RouteState, sample: tuple, detection: Detection = Detection()
         state.history = {f: [] for f in FIELDS}
         out.append((time, "route_confirmed", found))
     return out
+
+
+def _followed(state: RouteState, sample: tuple, detection: Detection, timing: Timing) -> list[tuple[float, str, dict]]:
+    """Hold a confirmed route against a rival: that the stream has left it.
+
+    A sample departs if it lies beside the route or its speed makes another period of it.  At a look the route holds if
+    in the last cycle about as many samples fit as when it was confirmed.  Where it does not, a rival comes up; if it
+    lasts, the change is told as of its beginning, and what came since is the history of a new route; else it is
+    cancelled.  The beginning is where departing samples less others, added up to the present, are the most.
+    """
+    time, lat, lon, ve, vn = sample
+    route = state.route
+    state.recent_samples.append([time, lat, lon, math.nan if ve is None else ve, math.nan if vn is None else vn, None])
+    if time - state.last_look < timing.batch_seconds:
+        return []
+    state.last_look = time
+    new = [r for r in state.recent_samples if r[5] is None]
+    values = np.array([r[:5] for r in new], float)
+    for row, off in zip(new, route.departs(values[:, 1], values[:, 2], np.hypot(values[:, 3], values[:, 4]), detection.change_ratio).tolist(), strict=True):
+        row[5] = off
+    if state.recent_samples[0][0] - (time - route.period_s) > timing.batch_seconds:
+        return []  # no whole cycle yet
+    window = [r[5] for r in state.recent_samples if r[0] > time - route.period_s]
+    out: list[tuple[float, str, dict]] = []
+    told = {"period_s": route.period_s}
+    if 1.0 - sum(window) / len(window) + EPSILON >= detection.least_fit * route.fit:
+        if state.rival_look is not None:
+            out.append((time, "route_change_cancelled", told))
+        state.rival_look = None
+    elif state.rival_look is None:
+        state.rival_look = time
+        out.append((time, "route_change_candidate", told))
+    elif time - state.rival_look >= detection.change_seconds:
+        weight = np.cumsum([1 if r[5] else -1 for r in reversed(state.recent_samples)])
+        since = state.recent_samples[len(weight) - 1 - int(weight.argmax()) :]
+        out.append((since[0][0], "route_changed", told))
+        state.forget()
+        state.last_look = time
+        state.history = {f: [r[k] for r in since] for k, f in enumerate(FIELDS)}
+        return out
+    first = (time if state.rival_look is None else state.rival_look) - route.period_s
+    state.recent_samples = [r for r in state.recent_samples if r[0] > first][-(detection.history_points or 0) :]
+    return out
