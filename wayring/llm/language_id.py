@@ -181,7 +181,7 @@ def train(docs: DataFrame, model: str, params: LanguageParams = LanguageParams()
             yield pd.DataFrame({"piece": seen.astype(np.int32), "k": k.astype(np.int32), "n": total[seen, k]})
 
         # at most one row for each piece and language comes back
-        found = words.coalesce(max(8, len(langs))).mapInPandas(released(count), "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
+        found = words.coalesce(max(8, len(langs), spark.sparkContext.defaultParallelism)).mapInPandas(released(count), "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(probs.shape)
         counts[found["piece"], found["k"]] = found["n"]
         probs = counts / np.maximum(counts.sum(0), 1e-300) * (1 - params.floor * len(counts)) + params.floor
@@ -194,7 +194,9 @@ def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray], model: str,
     """``doc_id, lang_pred, score`` of every row, with the columns of ``keep`` after them; no shuffle.
 
     The score is the predicted language's share of the likelihood.  ``und`` with score 0 is for null texts,
-    texts without a letter, and any text if no language was learned.  Repeated rows are predicted each.
+    texts without a letter, and any text if no language was learned.  Equal likelihoods go to the first language by
+    name.  Repeated rows are predicted each, null ids stay null; a very long text is scored whole, word by word; columns
+    other than those of ``keep``, whatever their names, are ignored; an empty table gives an empty table.
     """
     langs, probs = trained
     sent = docs.sparkSession.sparkContext.broadcast(probs)
