@@ -105,7 +105,8 @@ def mix_sources(docs: DataFrame, seed: int = 20240607, weights: tuple[float, ...
     ``taken`` is the row's size times how often the mix uses it (0 to ``repeats``).  Null texts and texts
     without words have size 0 and are never taken; rows without a source form one source, the last; repeated
     rows count each and, being alike, are interchangeable; other columns are ignored.  The texts are read once
-    and never shuffled.  An empty table gives an empty table.
+    and never shuffled; a very long text is only counted, and may exceed what its source lacks.  Documents of one length are
+    told by a seeded hash of the id, ties by the id.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     sized = written(

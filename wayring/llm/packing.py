@@ -251,7 +251,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
     Columns: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window_size, step_group``.
     Windows are full, so they need no padding, except the last one of each task, which is padded to the
     longest size unless its length is a power of two.  A null text is empty and has only the end id.  Repeated
-    rows are packed each; a null id stays null; other columns are ignored; empty tables give empty tables.
+    rows are packed each; a null id stays null; of equally long texts any may come first; a very long text fills windows
+    of its own and is encoded whole; other columns are ignored; empty tables give empty tables.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,7 +107,9 @@ def shard_records(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_pat
     version if that changed it; else a map of all slots is built and stored as version 1.  ``slot`` is the
     row's place in its shard, gapless from 0: rows before its virtual slot plus its rank within that slot, so
     no shard is ever gathered in one task.  Null texts have only the overhead and checksum 0; null ids hash
-    like a value; repeated rows are placed each; other columns are ignored; an empty table gives an empty table.
+    like a value; repeated rows are placed each; ties within a virtual slot are told by id and checksum, and rows alike in
+    both are interchangeable; a very long text counts with all its bytes and is one row; other columns are ignored; an
+    empty table gives an empty table.
     """
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))

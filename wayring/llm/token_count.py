@@ -90,7 +90,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
 
     ``model`` is the path of a public tokenizer (``.model``: sentencepiece, ``.json``: tokenizers) readable on
     every executor.  A null text counts as empty: 0 bytes, 0 tokens.  Repeated rows are counted each; a null
-    id stays null; other columns are ignored.  Empty tables give an empty table.
+    id stays null; other columns are ignored.  Empty tables give an empty table.  Texts beyond ``SPLIT_CHARS`` are cut
+    before single spaces (``.model`` only); one without any, and one of a ``.json`` model, is encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

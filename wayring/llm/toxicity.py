@@ -180,7 +180,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: FtrlPar
     """``doc_id, score, predicted`` of every row; one Arrow pass, no shuffle.
 
     The score is the logistic of the bias plus the weights of the distinct buckets of the whole text; empty
-    and null texts get the logistic of the bias.  Repeated rows are scored each; other columns are ignored.
+    and null texts get the logistic of the bias.  Repeated rows are scored each, null ids stay null; a very long text is
+    scored whole in one step; other columns, whatever their names, are ignored; an empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
