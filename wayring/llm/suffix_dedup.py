@@ -41,6 +41,8 @@ BUCKET_BYTES = 12 << 20
 COLLECTION_BYTES = 2 << 20
 #: Rows of a block in which the column files are read and written; 2**23 is the limit.
 BLOCK_ROWS = 1 << 17
+#: Segments of a key from which on they are cut by a second key, so that no key's strings meet in one task alone.
+HOT_SEGMENTS = 20_000
 #: Text bytes that are cut into segments at once.
 CUT_BYTES = 1 << 16
 
@@ -54,17 +56,7 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.astype(np.uint64)
-    data = eights(buf)
-    total = np.zeros(n - seed + 1, np.uint64)
-    for k in range(0, seed, 8):
-        total ^= (data[k : k + len(total)] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15 + (k << 33))
-    least = mix(total) >> np.uint64(16)
-    size = 1
-    while 2 * size <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if width > size:
-        least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
+    least = _least_keys(buf, width, seed)
     sizes = np.diff(offs)
     first, last = offs[:-1][sizes >= length], offs[1:][sizes >= length] - length + 1
     edge = np.zeros(n + 1, np.int32)
@@ -84,6 +76,41 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, seed: int
     return begin, count + length - 1, np.searchsorted(offs, begin, "right") - 1, least[begin]
 
 
+def _least_keys(buf: np.ndarray, width: int, seed: int, salt: int = 0) -> np.ndarray:
+    """For each place the least hash (48 bits) of the ``width`` substrings of ``seed`` bytes from there on."""
+    data = eights(buf)
+    total = np.full(len(buf) - seed + 1, salt, np.uint64)
+    for k in range(0, seed, 8):
+        total ^= (data[k : k + len(total)] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15 + (k << 33))
+    least = mix(total) >> np.uint64(16)
+    size = 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if width > size:
+        least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
+    return least
+
+
+def cut_again(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments cut where a second key of their strings changes: starts, sizes, keys, and which segment each comes from.
+
+    Equal strings have equal second keys, so they meet under the new keys as they did under the old one.
+    """
+    place = ragged(begin, size)
+    least = _least_keys(buf[place], length - seed + 1, seed, 0x5851F42D4C957F2D)
+    source = np.repeat(np.arange(len(begin)), size)
+    first = np.cumsum(size) - size
+    starts = ragged(first, size - length + 1)  # in the bytes of all segments, where a string begins
+    second, owner = least[starts], source[starts]
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (second[1:] != second[:-1]) | (owner[1:] != owner[:-1])
+    head = np.flatnonzero(fresh)
+    count = np.diff(np.append(head, len(starts)))
+    own = owner[head]
+    return begin[own] + starts[head] - first[own], count + length - 1, mix(key[own] * np.uint64(0x9FB21C651E98DF25) ^ second[head]) >> np.uint64(16), own
+
+
 def _range_least(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(rows[low..high]) for each pair, from minima over powers of two of rows."""
     level = np.log2(np.maximum(high - low + 1, 1)).astype(np.int64)
@@ -322,17 +349,27 @@ class Bucket:
         order = _by_part(part, parts)
         return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-    def choose(self, answers: Iterator[tuple[int, bytes]], parts: int) -> None:
-        """Keep the segments whose keys other rows have too; equal ones are one, in a fixed order by part, key and bytes."""
+    def repeated_keys(self) -> np.ndarray:
+        """How many segments each key has here beyond its first."""
+        return np.bincount(self.number, minlength=len(self.keys)) - 1
+
+    def choose(self, answers: Iterator[tuple[int, bytes, bytes]], parts: int, length: int) -> None:
+        """Keep the segments whose keys other rows have too, cut again under hot keys; equal ones are one, in a fixed order by part, key and bytes."""
         order, cut = self.by_part(parts)
-        shared = self.several.copy()
-        for part, bits in answers:
+        shared, hot = self.several.copy(), np.zeros(len(self.keys), bool)
+        for part, bits, hot_keys in answers:
             own = order[cut[part] : cut[part + 1]]
             shared[own] |= np.unpackbits(np.frombuffer(zstandard.decompress(bits), np.uint8), count=len(own)).astype(bool)
+            hot[own[_unpack(hot_keys, np.int32)]] = True
         number = self.number
         chosen = np.flatnonzero(shared[number])
         self.begin, self.size, self.doc = (x[chosen].astype(np.int64) for x in (self.begin, self.size, self.doc))
         self.key = self.key[chosen]
+        crowded = hot[number[chosen]]
+        if crowded.any():
+            begin, size, key, source = cut_again(self.buf, self.begin[crowded], self.size[crowded], self.key[crowded], length)
+            doc = self.doc[crowded][source]
+            self.begin, self.size, self.doc, self.key = (np.concatenate([old[~crowded], new]) for old, new in ((self.begin, begin), (self.size, size), (self.doc, doc), (self.key, key)))
         part = (self.key % np.uint64(parts)).astype(np.int64)
         one, self.kind = distinct(self.buf, self.begin, self.size, self.key, part)
         self.one = one
@@ -380,17 +417,20 @@ def _by_part(part: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _key_rows(table: pa.Table, parts: int, length: int) -> pa.Table:
-    """(part, bucket, keys): the distinct keys of a bucket, dealt by key."""
+    """(part, bucket, keys, more): the distinct keys of a bucket, dealt by key, and which have how many segments more than one."""
     number, bucket = table.column("bucket")[0].as_py(), Bucket(table, length)
     order, cut = bucket.by_part(parts)
+    repeated = bucket.repeated_keys()[order]
     rows = []
     for k in np.flatnonzero(np.diff(cut)).tolist():
-        rows.append((k, number, _pack(np.diff(bucket.keys[order[cut[k] : cut[k + 1]]], prepend=np.uint64(0)))))
-    return _batch(["part", "bucket", "keys"], rows)
+        more = np.flatnonzero(repeated[cut[k] : cut[k + 1]])
+        counts = np.stack([more, repeated[cut[k] + more]], axis=1).astype(np.int32).ravel()
+        rows.append((k, number, _pack(np.diff(bucket.keys[order[cut[k] : cut[k + 1]]], prepend=np.uint64(0))), _pack(counts)))
+    return _batch(["part", "bucket", "keys", "more"], rows)
 
 
-def _shared_keys(table: pa.Table) -> pa.Table:
-    """(bucket, part, bits): which keys of each bucket's blob another bucket has too."""
+def _shared_keys(table: pa.Table, most: int) -> pa.Table:
+    """(bucket, part, bits, hot): which keys of each bucket's blob another bucket has too, and which have more than ``most`` segments in all."""
     part = table.column("part")[0].as_py()
     buckets, keys = table.column("bucket").to_pylist(), [np.cumsum(_unpack(b, np.uint64), dtype=np.uint64) for b in table.column("keys").to_pylist()]
     flat = np.concatenate(keys)
@@ -400,18 +440,31 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     shared[order[1:][same]] = True
     shared[order[:-1][same]] = True
     ends = np.cumsum([len(k) for k in keys])
-    rows = [(b, part, zstandard.compress(np.packbits(shared[z - len(k) : z]).tobytes(), 3)) for b, k, z in zip(buckets, keys, ends.tolist(), strict=True) if shared[z - len(k) : z].any()]
-    return _batch(["bucket", "part", "bits"], rows)
+    hot = np.zeros(len(flat), bool)
+    more = [_unpack(b, np.int32).reshape(-1, 2) for b in table.column("more").to_pylist()]
+    at = np.concatenate([m[:, 0] + z - len(k) for m, k, z in zip(more, keys, ends.tolist(), strict=True)])
+    if len(flat) + sum(int(m[:, 1].sum()) for m in more) > most:
+        heads = np.flatnonzero(np.concatenate([[True], ~same]))
+        extra = np.zeros(len(flat), np.int64)
+        extra[at] = np.concatenate([m[:, 1] for m in more])
+        total = np.diff(np.append(heads, len(flat))) + np.add.reduceat(extra[order], heads)
+        hot[order] = np.repeat(total > most, np.diff(np.append(heads, len(flat))))
+    rows = []
+    for b, k, z in zip(buckets, keys, ends.tolist(), strict=True):
+        own = slice(z - len(k), z)
+        if shared[own].any() or hot[own].any():
+            rows.append((b, part, zstandard.compress(np.packbits(shared[own]).tobytes(), 3), _pack(np.flatnonzero(hot[own]).astype(np.int32))))
+    return _batch(["bucket", "part", "bits", "hot"], rows)
 
 
-def _answers(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-    return zip(table.column("part").to_pylist(), table.column("bits").to_pylist(), strict=True)
+def _answers(table: pa.Table) -> Iterator[tuple[int, bytes, bytes]]:
+    return zip(*(table.column(c).to_pylist() for c in ("part", "bits", "hot")), strict=True)
 
 
 def _segment_rows(texts: pa.Table, answers: pa.Table, parts: int, length: int) -> pa.Table:
     """(part, bucket, keys, sizes, ids, data): the chosen distinct segments of a bucket with their least ids."""
     rows, number, bucket = [], texts.column("bucket")[0].as_py(), Bucket(texts, length)
-    bucket.choose(_answers(answers), parts)
+    bucket.choose(_answers(answers), parts, length)
     for k in np.flatnonzero(np.diff(bucket.cut)).tolist():
         a, z = bucket.cut[k], bucket.cut[k + 1]
         one = bucket.one[a:z]
@@ -486,7 +539,7 @@ def _without_repeats(texts: pa.Table, answers: pa.Table, parts: int, length: int
     """The rows of a bucket with what is left of their texts; ``answers`` holds shared keys and spans."""
     bucket = Bucket(texts, length)
     is_bits = answers.column("bits").is_valid()
-    bucket.choose(_answers(answers.filter(is_bits)), parts)
+    bucket.choose(_answers(answers.filter(is_bits)), parts, length)
     later = bucket.ids[bucket.doc] > bucket.least[bucket.kind]
     found = [(bucket.doc[later], bucket.begin[later], (bucket.begin + bucket.size)[later])]
     by = np.argsort(bucket.kind, kind="stable")
@@ -522,13 +575,14 @@ def _without_repeats(texts: pa.Table, answers: pa.Table, parts: int, length: int
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` of every row, with the columns of ``keep`` after them.
 
     A byte goes if a string of ``length`` bytes (32 to 190) that covers it also starts in a row of a smaller id.
     ``kept_text`` holds the remaining bytes, without code points that lost a part.  Null texts are empty; rows of
     one id do not count against each other; rows of a null id are left whole and count against none; a very long
-    text lies whole in one bucket; other columns are ignored; empty tables give empty tables.  The texts are
+    text lies whole in one bucket; segments of a key that more than ``hot_segments`` have are dealt by a second key,
+    so that a phrase in very many texts burdens many tasks; other columns are ignored; empty tables give empty tables.  The texts are
     shuffled once, and that shuffle is read three times.
     """
     spark = docs.sparkSession
@@ -539,10 +593,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     texts = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "bucket")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", {n} {dict(rows.dtypes)[n]}" for n in names)
 
-    keyed = texts.groupBy("bucket").applyInArrow(released_group(lambda t: _key_rows(t, parts, length)), "part int, bucket int, keys binary")
-    shared = keyed.repartition(parts, "part").groupBy("part").applyInArrow(released_group(_shared_keys), "bucket int, part int, bits binary")
+    keyed = texts.groupBy("bucket").applyInArrow(released_group(lambda t: _key_rows(t, parts, length)), "part int, bucket int, keys binary, more binary")
+    shared = keyed.repartition(parts, "part").groupBy("part").applyInArrow(released_group(lambda t: _shared_keys(t, hot_segments)), "bucket int, part int, bits binary, hot binary")
     dealt = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(released_pair(lambda t, s: _segment_rows(t, s, parts, length)), "part int, bucket int, keys binary, sizes binary, ids binary, data binary")
     spans = dealt.repartition(parts, "part").groupBy("part").applyInArrow(released_group(lambda t: _repeats(t, length)), "bucket int, part int, spans binary")
-    answers = shared.withColumn("spans", F.lit(None).cast("binary")).unionByName(spans.withColumn("bits", F.lit(None).cast("binary")))
+    answers = shared.withColumn("spans", F.lit(None).cast("binary")).unionByName(spans.withColumns({"bits": F.lit(None).cast("binary"), "hot": F.lit(None).cast("binary")}))
     result = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(released_pair(lambda t, s: _without_repeats(t, s, parts, length, names)), schema)
     return result.withColumnsRenamed(dict(zip(names, keep, strict=True))) if keep else result
