@@ -26,7 +26,7 @@ from wayring.llm._io import discard, written
 from wayring.llm._words import LOWER, mix, ragged, released, slices, spans, word_hash
 
 #: Bytes of text of a shard, but for longer texts without a piece's end.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 #: Positions of the words at which one descent starts; a descent needs memory for as many.
 DESCENT_POSITIONS = 1 << 20
 #: Bits of a filter at most (16 MB), and for each member up to there.
@@ -55,7 +55,7 @@ class Shard:
         owner = np.repeat(np.arange(len(offs) - 1), np.diff(first))
         name = mix(word_hash(buf, start, end) * _CHAIN ^ langs.view(np.uint64)[owner])
         word, self.names = pd.factorize(name >> np.uint64(64 - name_bits))
-        breaks = np.cumsum(_BREAK[buf])[start] if len(start) else np.zeros(0, np.int64)
+        breaks = np.cumsum(_BREAK[buf], dtype=np.int32)[start] if len(start) else np.zeros(0, np.int64)
         same = (owner[1:] == owner[:-1]) & (breaks[1:] == breaks[:-1])
         at = np.arange(len(word)) + np.concatenate([[0], np.cumsum(~same)])[: len(word)]
         self.code = np.full(int(at[-1]) + 2 if len(at) else 1, -1, np.int32)
@@ -138,9 +138,10 @@ def mined(shard: Shard, frequent: np.ndarray, pairs: Callable[[np.ndarray, np.nd
         following[at] = pairs(shard.names[code[at - 1]], shard.names[code[at]])
     place = np.flatnonzero(code >= 0)
     words, entry = Bitmaps.of(code[place], place)
-    entry_at = np.full(len(code), -1, np.int64)
+    entry_at = np.full(len(code), -1, np.int32)
     entry_at[place] = entry
-    size = np.bincount(code[place], minlength=len(frequent))
+    del place, entry
+    size = np.bincount(code[code >= 0], minlength=len(frequent))
     total = np.cumsum(size)
     first = 0
     while first < len(size):
@@ -162,7 +163,7 @@ def _extended(phrases: np.ndarray, bitmaps: Bitmaps, words: Bitmaps, entry_at: n
     shifted = bitmaps.shifted()
     source, place = bits_of(shifted.block, shifted.mask)
     fine = following[place]
-    source, entry = source[fine], entry_at[place[fine]]
+    source, entry = source[fine], entry_at[place[fine]].astype(np.int64)
     if not len(entry):
         return phrases[:0], np.zeros(0, np.int64), shifted
     # entries of words are in order of word and block, so that these are in order of phrase, word and block
