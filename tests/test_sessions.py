@@ -160,3 +160,28 @@ def test_the_self_test_passes_and_notices_a_difference(spark, tmp_path):
     assert found["config_sha256"] == Engine().fingerprint() and found["checks"][1]["metrics"]["samples"] == 62.0
     # increments that leave the last samples out differ
     assert selftest.equivalence_check(s, f"file://{tmp_path}", 10, 19).status == "failed"
+
+
+def test_a_stream_tells_silence_by_timers_as_the_batch_does(spark, tmp_path):
+    rows = [(1, s, s < 25) for s in range(0, 31, 5)] + [(2, s, True) for s in range(0, 401, 20)] + [(3, 0, True), (3, 390, True)] + [(4, 100, None)]
+    whole = samples(spark, rows)
+    for first in range(0, 401, 100):
+        samples(spark, [r for r in rows if first <= r[1] < first + 100]).repartition(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lifecycle.stream_process(spark.readStream.schema(SAMPLE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got, want = told(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")), told(lifecycle.process(whole))
+    assert got == want and {kind for _, _, kind in want} == {"vehicle_activated", "vehicle_deactivated", "data_lost", "data_resumed", "vehicle_expired"}
+
+
+def test_long_streams_pass_by_in_batches(spark):
+    """Batches of some dozen rows give what whole streams give."""
+    rows = [(T0 + timedelta(seconds=t), 1, v, v, True, lat, lon, vn, ve, 1.0) for v in (1, 2) for t, lat, lon, ve, vn in circle(400)]
+    s = spark.createDataFrame(rows, SAMPLE)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = selftest.content(lifecycle.process(s)), selftest.content(lifecycle.route_states(s))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+        assert (selftest.content(lifecycle.process(s)), selftest.content(lifecycle.route_states(s))) == whole
+        assert lifecycle.route_changes(s).count() == 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -88,3 +88,10 @@ def test_group_identity(spark):
     after = spark.createDataFrame([(7, m) for m in "abc"] + [(8, m) for m in "dexy"], "group_id long, member string")
     got = {r.group_id: r.kept_id for r in events.group_identity(before, after).collect()}
     assert got == {7: 1, 8: 2}
+
+
+def test_many_ranges_of_types_meet_their_ids_without_a_broadcast(spark):
+    types = spark.createDataFrame([(k, k * 30, k * 30 + 19) for k in range(40)], "type_id long, min_id long, max_id long")
+    vehicles = spark.range(0, 1300, 7).withColumnRenamed("id", "vehicle_id")
+    plain, dealt = (sorted(map(tuple, W.with_vehicle_type(vehicles, types, most, 16).select("vehicle_id", "type_id").collect()), key=repr) for most in (100, 0))
+    assert plain == dealt and len(plain) == vehicles.count()

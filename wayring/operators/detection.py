@@ -39,6 +39,12 @@ def usable(samples: DataFrame, cfg: Detection = Detection(), seconds: int | None
     return s.where((F.col("samples") >= cfg.least_samples) & (F.col("observation_s") + _EPS >= seconds))
 
 
+def smoothed(samples: DataFrame, cfg: Detection = Detection()) -> DataFrame:
+    """Positions and velocities as means over the last ``smoothing_seconds``, the present one included; an optional step before detection."""
+    recent = _stream().orderBy(F.unix_micros(F.col("sample_time").cast("timestamp"))).rangeBetween(-cfg.smoothing_seconds * 1_000_000 + 1, 0)
+    return samples.withColumns({c: F.when(F.col(c).isNotNull(), F.avg(c).over(recent)) for c in ("latitude_deg", "longitude_deg", "velocity_north_mps", "velocity_east_mps")})
+
+
 def localized(samples: DataFrame) -> DataFrame:
     """Adds ``lat0, lon0`` (medians of the stream) and ``x, y`` in metres from them."""
     s = samples.withColumns({"lat0": _median(F.col("latitude_deg")).over(_stream()), "lon0": _median(F.col("longitude_deg")).over(_stream())})
@@ -104,7 +110,7 @@ def traced(points: DataFrame, shapes: DataFrame, cfg: Detection = Detection()) -
     angle = geo.angle_error_deg(F.col("first_he"), F.col("first_hn"), F.col("he"), F.col("hn"))
     closes = (F.col("index") > 1) & (F.col("way") >= F.col("length_m") * cfg.closure_phase) & (F.hypot(F.col("x") - F.col("first_x"), F.col("y") - F.col("first_y")) <= near) & F.coalesce(angle <= cfg.closure_heading_deg, F.lit(True))
     cross = (F.col("px") - F.col("cx")) * (F.col("y") - F.col("cy")) - (F.col("py") - F.col("cy")) * (F.col("x") - F.col("cx"))
-    return p.withColumn("fits", (geo.project(F.col("segs"), F.col("x"), F.col("y"))["distance"] <= near).cast("double")).groupBy(*KEY).agg(
+    return p.withColumn("fits", (geo.distance(F.col("segs"), F.col("x"), F.col("y")) <= near).cast("double")).groupBy(*KEY).agg(
         F.avg("fits").alias("fit_fraction"), F.sum("step").alias("travelled_m"), F.bool_or(closes).alias("closure_ok"), F.sum(F.coalesce(cross, F.lit(0.0))).alias("signed_area"), F.max("length_m").alias("length_m")
     ).withColumn("cycles", F.col("travelled_m") / F.col("length_m"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayring.config import Grouping, Scoring
+from wayring.functions.geo import angle_error_deg
 from wayring.functions.scoring import REASONS
 from wayring.operators.groups import components
 
@@ -154,6 +155,22 @@ def hysteresis(rows: DataFrame, key: list[str], second: str, opens: Column, clos
     return out.select(*key, F.col(second).alias("opened_at"), "closed_at")
 
 
+def suggestions(advantages: DataFrame, key: list[str], second: str, advantage: str, rejections: DataFrame | None = None, opens: tuple[float, int] = (30.0, 120), closes: tuple[float, int] = (15.0, 30)) -> DataFrame:
+    """Intervals in which another template is suggested: better by so many points for so long, until it is hardly better for a while.
+
+    ``rejections`` has the key, ``rejected_at`` and ``event_end``: a rejection ends what is suggested then, and hides what
+    would be until the end of the event.
+    """
+    found = hysteresis(advantages, key, second, F.col(advantage) >= opens[0], F.col(advantage) < closes[0], opens[1], closes[1])
+    if rejections is None:
+        return found
+    r = found.join(rejections.select(*key, "rejected_at", "event_end"), key, "left")
+    hidden = (F.col("opened_at") >= F.col("rejected_at")) & (F.col("opened_at") < F.col("event_end"))
+    cut = (F.col("opened_at") < F.col("rejected_at")) & (F.coalesce("closed_at", "event_end") > F.col("rejected_at"))
+    shown = r.where(~F.coalesce(hidden, F.lit(False))).withColumn("closed_at", F.when(cut, F.col("rejected_at")).otherwise(F.col("closed_at")))
+    return shown.groupBy(*key, "opened_at").agg(F.min("closed_at").alias("closed_at"))  # the first of several rejections
+
+
 def jumps(samples: DataFrame, key: list[str], second: str, x: str, y: str, expected_speed: Column, factor: float = 2.0) -> DataFrame:
     """Samples whose way from the last one needs more than ``factor`` times the expected speed."""
     w = Window.partitionBy(*key).orderBy(second)
@@ -162,14 +179,45 @@ def jumps(samples: DataFrame, key: list[str], second: str, x: str, y: str, expec
     return samples.withColumn("derived_speed", speed).withColumn("jump", F.coalesce(F.col("derived_speed") > expected_speed * factor, F.lit(False)))
 
 
-def accepted_runs(samples: DataFrame, key: list[str], second: str, jump: str, seconds: int = Grouping().run_seconds) -> DataFrame:
-    """Adds ``run``, the number of jumps so far, and ``accepted``: a run after a jump counts once it went on for a time without another."""
+def agreement(samples: DataFrame, key: list[str], second: str, x: str, y: str, east: str, north: str, heading_deg: float = 60.0, size_ratio: float = 0.70) -> DataFrame:
+    """Adds ``agrees``: whether the reported velocity and the way since the last sample point alike and are about as large.
+
+    The way over its time is the velocity derived from positions; the sizes agree while they differ by at most
+    ``size_ratio`` of the larger.  Without a last sample, or where both stand still, they agree.
+    """
+    w = Window.partitionBy(*key).orderBy(second)
+    dt = F.nullif(F.col(second) - F.lag(second).over(w), F.lit(0))
+    s = samples.withColumns({"__e": (F.col(x) - F.lag(x).over(w)) / dt, "__n": (F.col(y) - F.lag(y).over(w)) / dt})
+    own, derived = F.hypot(east, north), F.hypot("__e", "__n")
+    near = F.abs(own - derived) <= F.greatest(own, derived) * size_ratio
+    alike = F.coalesce(angle_error_deg(F.col("__e"), F.col("__n"), F.col(east), F.col(north)) <= heading_deg, F.lit(True))
+    return s.withColumn("agrees", F.coalesce(near, F.lit(True)) & alike).drop("__e", "__n")
+
+
+def accepted_runs(samples: DataFrame, key: list[str], second: str, jump: str, seconds: int = Grouping().run_seconds, agrees: str | None = None) -> DataFrame:
+    """Adds ``run``, the number of jumps so far, and ``accepted``: a run after a jump counts once it went on for a time without another.
+
+    With ``agrees``, a column that tells consistent samples, the time begins anew after each that is not.
+    """
     w = Window.partitionBy(*key).orderBy(second)
-    s = samples.withColumn("run", F.sum(F.coalesce(F.col(jump), F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    began = F.max(F.when(F.col(jump), F.col(second))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = samples.withColumn("run", F.sum(F.coalesce(F.col(jump), F.lit(False)).cast("long")).over(run))
+    broken = F.col(jump) if agrees is None else F.col(jump) | ~F.coalesce(F.col(agrees), F.lit(True))
+    began = F.max(F.when(broken, F.col(second))).over(run)
     return s.withColumn("accepted", (F.col("run") == 0) | (F.col(second) - began >= seconds))
 
 
+def resumed_scores(samples: DataFrame, key: list[str], second: str, gap_seconds: int, seconds: int = 10, agrees: str | None = None) -> DataFrame:
+    """Adds ``live``: false from the first sample after a gap on until ``seconds`` of consistent samples have passed, once and for all."""
+    w = Window.partitionBy(*key).orderBy(second)
+    back = F.coalesce(F.col(second) - F.lag(second).over(w) >= gap_seconds, F.lit(False))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    broken = F.col("__back") if agrees is None else F.col("__back") | ~F.coalesce(F.col(agrees), F.lit(True))
+    s = samples.withColumn("__back", back).withColumns({"__gaps": F.sum(F.col("__back").cast("int")).over(run), "__last": F.max(F.when(broken, F.col(second))).over(run)})
+    after = Window.partitionBy(*key, "__gaps").orderBy(second).rowsBetween(Window.unboundedPreceding, 0)
+    return s.withColumn("live", (F.col("__gaps") == 0) | F.bool_or(F.col(second) - F.col("__last") >= seconds).over(after)).drop("__back", "__gaps", "__last")
+
+
 def inner_turns(samples: DataFrame, key: list[str], second: str, heading_deg: str, phase: str, turns: float = 2.0, within: float = 0.10, cleared: float = 0.20) -> DataFrame:
     """Adds ``inner_turn``: so many local turns while the cycle went on by ``within`` at most, until it went on by ``cleared``.
 

@@ -12,28 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayring.config import Grouping, Scoring
+from wayring.session import dropped, materialized
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (``a, b``): the least node that links reach.
 
     Large and small stars in turn: every round hangs a node's greater neighbours, then its lesser ones, on the least of
-    them, which ends after a number of rounds that grows with the logarithm of the nodes.  Each round is checkpointed.
+    them, which ends after a number of rounds that grows with the logarithm of the nodes.  Each round is written to the
+    shared folder and the one before it deleted.
     """
-    edges = links.select("a", "b").where("a is not null and b is not null and a <> b").distinct().checkpoint()
+    edges = materialized(links.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "links")
     before = None
     while True:
         seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == before or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
-        before = seen
+        before, last = seen, edges
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         hung = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        edges = hung.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct().checkpoint()
+        edges = materialized(hung.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "links")
+        dropped(last)
 
 
 def stable_links(intervals: DataFrame, cfg: Grouping = Grouping()) -> DataFrame:
@@ -106,12 +109,12 @@ def memberships(links: DataFrame, keep: float = Grouping().identity_fraction) ->
     # a link's epochs are numbered, so that it meets them by number and not by a range of times
     times = own.select("fleet", F.explode(F.array("from_s", "to_s")).alias("at_s")).distinct()
     order = Window.partitionBy("fleet").orderBy("at_s")
-    epochs = times.withColumns({"epoch": F.row_number().over(order), "until_s": F.lead("at_s").over(order)}).checkpoint()
+    epochs = materialized(times.withColumns({"epoch": F.row_number().over(order), "until_s": F.lead("at_s").over(order)}), "epochs")
     begin, end = epochs.select("fleet", F.col("at_s").alias("from_s"), F.col("epoch").alias("first")), epochs.select("fleet", F.col("at_s").alias("to_s"), (F.col("epoch") - 1).alias("last"))
     alive = own.join(begin, ["fleet", "from_s"]).join(end, ["fleet", "to_s"]).withColumn("epoch", F.explode(F.sequence("first", "last")))
     at = lambda side: F.struct("fleet", "epoch", F.col(f"{side}.member").alias("member"))
     found = components(alive.select(at("a").alias("a"), at("b").alias("b")))
-    rows = found.select("node.fleet", "node.epoch", "node.member", F.col("label.member").alias("least")).checkpoint()
+    rows = materialized(found.select("node.fleet", "node.epoch", "node.member", F.col("label.member").alias("least")), "groups")
     size = rows.groupBy("fleet", "epoch", "least").agg(F.count("*").alias("size"))
     before = rows.select("fleet", (F.col("epoch") + 1).alias("epoch"), "member", F.col("least").alias("was"))
     stay = rows.join(before, ["fleet", "epoch", "member"]).groupBy("fleet", "epoch", "least", "was").agg(F.count("*").alias("shared"))

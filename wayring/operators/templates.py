@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayring.config import Scoring
+from wayring.functions.scoring import band_score
+
 
 @dataclass(frozen=True)
 class Slot:
@@ -213,3 +216,23 @@ def member_fits(fits: DataFrame) -> DataFrame:
     each = fits.select("group_id", "template_id", "common_phase", F.explode(F.arrays_zip("members", "slots", "errors")).alias("z"))
     expected = F.pmod((F.col("common_phase") + F.col("z.slots.offset")) * F.col("z.slots.sign"), F.lit(1.0))
     return each.select("group_id", "template_id", F.col("z.members.member").alias("member"), F.col("z.slots.slot_id").alias("slot_id"), expected.alias("expected_phase"), F.col("z.errors").alias("error_cycle"), (F.col("z.errors") * 360.0).alias("error_deg"))
+
+
+def fit_scores(fits: DataFrame, templates: list[Template], cfg: Scoring = Scoring()) -> DataFrame:
+    """``group_id, template_id, score``: the mean position score of a fit's members, by the band of the template's family."""
+    family = F.create_map(*(F.lit(x) for t in templates for x in (t.template_id, t.family)))
+    degrees, cycles = (lambda e: band_score(e * 360.0, cfg.si_position)), (lambda e: band_score(e, cfg.so_position))
+    each = F.when(family[F.col("template_id")] == "si", F.transform("errors", degrees)).otherwise(F.transform("errors", cycles))
+    return fits.select("group_id", "template_id", (F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / F.size("errors")).alias("score"))
+
+
+def advantages(scores: DataFrame, current: DataFrame) -> DataFrame:
+    """How much better each group's best other template is than its own: ``group_id, template_id, advantage``.
+
+    ``current`` has ``group_id`` and ``current_template_id``.  Groups whose own template does not fit, or that fit no other,
+    have none; of equally good ones the first by id is named.
+    """
+    own = scores.join(current, "group_id").where("template_id = current_template_id").select("group_id", F.col("score").alias("own"))
+    others = scores.join(current, "group_id").where("template_id <> current_template_id")
+    best = others.groupBy("group_id").agg(F.max("score").alias("best"), F.min_by("template_id", F.struct(-F.col("score"), "template_id")).alias("template_id"))
+    return best.join(own, "group_id").select("group_id", "template_id", (F.col("best") - F.col("own")).alias("advantage"))

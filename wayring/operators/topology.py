@@ -46,7 +46,7 @@ def first_cycles(samples: DataFrame, cfg: Detection = Detection(), points: int =
 
 
 def crossings(segs: Column) -> Column:
-    """``array<struct<i, j, phase_i, phase_j>>``: pairs of segments that cross inside, neighbours left out; ordered."""
+    """``array<struct<i, j, phase_i, phase_j, x, y>>``: pairs of segments that cross inside, neighbours left out; ordered."""
     n, total = F.size(segs), geo.length(segs)
 
     def side(s: Column, x: Column, y: Column) -> Column:
@@ -56,7 +56,7 @@ def crossings(segs: Column) -> Column:
         from_b, to_b = side(a, b["x"], b["y"]), side(a, b["x"] + b["dx"], b["y"] + b["dy"])
         from_a, to_a = side(b, a["x"], a["y"]), side(b, a["x"] + a["dx"], a["y"] + a["dy"])
         at_a, at_b = from_a / (from_a - to_a), from_b / (from_b - to_b)
-        hit = F.struct(i.alias("i"), j.alias("j"), ((a["before"] + a["len"] * at_a) / total).alias("phase_i"), ((b["before"] + b["len"] * at_b) / total).alias("phase_j"))
+        hit = F.struct(i.alias("i"), j.alias("j"), ((a["before"] + a["len"] * at_a) / total).alias("phase_i"), ((b["before"] + b["len"] * at_b) / total).alias("phase_j"), (a["x"] + a["dx"] * at_a).alias("x"), (a["y"] + a["dy"] * at_a).alias("y"))
         # half-open ends, so that a crossing in a corner counts once
         inside = (from_b * to_b <= 0) & (to_b != 0) & (from_a * to_a <= 0) & (to_a != 0) & (from_a != to_a) & (from_b != to_b)
         return F.when(inside & ~((i == 0) & (j == n - 1)), hit)
@@ -65,7 +65,7 @@ def crossings(segs: Column) -> Column:
         later = F.sequence(i + 2, n - 1)
         return F.when(i + 2 <= n - 1, F.array_compact(F.transform(later, lambda j: crossing(a, segs[j], i, j))))
 
-    kind = "array<struct<i:int,j:int,phase_i:double,phase_j:double>>"
+    kind = "array<struct<i:int,j:int,phase_i:double,phase_j:double,x:double,y:double>>"
     return F.flatten(F.transform(segs, lambda a, i: F.coalesce(row(a, i).cast(kind), F.array().cast(kind))))
 
 
@@ -85,8 +85,9 @@ def classified(tracks: DataFrame) -> DataFrame:
     """
     t = tracks.withColumn("segs", geo.segments(F.col("polyline"))).withColumn("__x", crossings(F.col("segs")))
     one = F.get("__x", F.lit(0))
-    inner = F.slice("polyline", one["i"] + 2, one["j"] - one["i"])
-    outer = F.concat(F.slice("polyline", F.lit(1), one["i"] + 1), F.expr("slice(polyline, __x[0].j + 2, size(polyline))"))
+    middle = F.array(geo.point(one["x"], one["y"]))
+    inner = F.concat(middle, F.slice("polyline", one["i"] + 2, one["j"] - one["i"]))
+    outer = F.concat(middle, F.expr("slice(polyline, __x[0].j + 2, size(polyline))"), F.slice("polyline", F.lit(1), one["i"] + 1))
     opposite = signed_area(inner) * signed_area(outer) < 0
     n = F.size("__x")
     t = t.withColumns({

@@ -68,9 +68,17 @@ def vehicles_of_pairs(pairs: Column) -> Column:
     return F.round((F.lit(1.0) + F.sqrt(pairs * 8.0 + 1.0)) / 2.0).cast("int")
 
 
-def with_vehicle_type(vehicles: DataFrame, types: DataFrame) -> DataFrame:
-    """Vehicle type by id range, ends included; ``types`` (``type_id, min_id, max_id``) is a small dimension."""
-    return vehicles.join(F.broadcast(types), F.col("vehicle_id").between(F.col("min_id"), F.col("max_id")), "left")
+def with_vehicle_type(vehicles: DataFrame, types: DataFrame, most_broadcast: int = 10_000, block: int = 1 << 20) -> DataFrame:
+    """Vehicle type by id range, ends included; ``types`` is ``type_id, min_id, max_id``.
+
+    Up to ``most_broadcast`` ranges are broadcast; more meet the ids of their own blocks of ids in an equality join.
+    """
+    within = F.col("vehicle_id").between(F.col("min_id"), F.col("max_id"))
+    if types.count() <= most_broadcast:
+        return vehicles.join(F.broadcast(types), within, "left")
+    of = lambda c: F.floor(F.col(c) / block).cast("long")
+    dealt = types.where("min_id <= max_id").withColumn("__block", F.explode(F.sequence(of("min_id"), of("max_id"))))
+    return vehicles.withColumn("__own", of("vehicle_id")).join(dealt, (F.col("__own") == F.col("__block")) & within, "left").drop("__own", "__block")
 
 
 def mapped_values(raw: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -78,7 +86,7 @@ def mapped_values(raw: DataFrame, mapping: DataFrame) -> DataFrame:
 
     ``special`` mappings replace their source value; ``as-is`` ones keep the value.
     """
-    joined = raw.join(F.broadcast(mapping), ["bucket", "measurement", "key"])
+    joined = raw.join(mapping, ["bucket", "measurement", "key"])  # a small mapping is broadcast by its size
     value = F.when((F.col("value_mode") == "special") & (F.col("value") == F.col("source_value")), F.col("mapped_value")).otherwise(F.col("value"))
     return joined.select(*(c for c in raw.columns if c not in ("bucket", "measurement", "key", "value")), F.col("system_key").alias("metric"), value.alias("value"), "fill_mode")
 

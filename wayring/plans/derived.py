@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayring.operators import detection
 from wayring.operators import events as E
 from wayring.plans.geometry import ORBIT_SQL
 from wayring.plans.registry import query, rounded, rounded_sql
@@ -66,3 +67,36 @@ def inner_turn_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = E.inner_turns(s, ["k"], "second", "heading", "phase")
     inside = F.when(F.col("inner_turn"), second)
     return t.groupBy("k").agg(F.count_if("inner_turn").alias("samples"), F.min(inside).alias("first_second"), F.max(inside).alias("last_second"))
+
+
+_LOCAL_SQL = f"lp AS (SELECT *, radians(lon - 34.8::DOUBLE) * {geo.EARTH_RADIUS_M} * cos(radians(31.8::DOUBLE)) AS x, radians(lat - 31.8::DOUBLE) * {geo.EARTH_RADIUS_M} AS y FROM og)"
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = orbits(spark, sf_dir)
+    p = geo.local_m(F.col("latitude_deg"), F.col("longitude_deg"), F.lit(31.8), F.lit(34.8))
+    return o.withColumns({"second": F.unix_timestamp("sample_time") - 1_767_225_600, "x": p["x"], "y": p["y"]})
+
+
+@query(
+    f"""WITH {ORBIT_SQL}, {_LOCAL_SQL}, dv AS (SELECT *, second - lag(second) OVER w AS dt, (x - lag(x) OVER w) / (second - lag(second) OVER w) AS e, (y - lag(y) OVER w) / (second - lag(second) OVER w) AS n FROM lp WINDOW w AS (PARTITION BY server_id, vid ORDER BY second)),
+ag AS (SELECT *, coalesce(sqrt(e * e + n * n) > 2.0 * sqrt(ve * ve + vn * vn), false) AS jump, coalesce(abs(sqrt(e * e + n * n) - sqrt(ve * ve + vn * vn)) <= 0.7 * greatest(sqrt(e * e + n * n), sqrt(ve * ve + vn * vn)), true)
+  AND coalesce(CASE WHEN sqrt(e * e + n * n) > 1e-9 AND sqrt(ve * ve + vn * vn) > 1e-9 THEN degrees(acos(greatest(-1.0, least(1.0, (e * ve + n * vn) / (sqrt(e * e + n * n) * sqrt(ve * ve + vn * vn)))))) <= 60 END, true) AS agrees, coalesce(dt >= 20, false) AS back FROM dv),
+ru AS (SELECT *, sum(jump::INTEGER) OVER w AS run, max(CASE WHEN jump OR NOT agrees THEN second END) OVER w AS began, sum(back::INTEGER) OVER w AS gaps, max(CASE WHEN back OR NOT agrees THEN second END) OVER w AS last FROM ag WINDOW w AS (PARTITION BY server_id, vid ORDER BY second ROWS UNBOUNDED PRECEDING)),
+lv AS (SELECT *, gaps = 0 OR bool_or(second - last >= 10) OVER (PARTITION BY server_id, vid, gaps ORDER BY second ROWS UNBOUNDED PRECEDING) AS live FROM ru)
+SELECT server_id, vid AS vehicle_identifier, count(*) AS samples, count(*) FILTER (NOT agrees) AS differing, count(*) FILTER (run = 0 OR second - began >= 20) AS accepted, count(*) FILTER (live) AS live FROM lv GROUP BY ALL"""
+)
+def consistent_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the orbits whose velocity and way agree, runs after jumps and scores after silence that count again."""
+    key = ["server_id", "vehicle_identifier"]
+    s = E.agreement(_placed(spark, sf_dir), key, "second", "x", "y", "velocity_east_mps", "velocity_north_mps")
+    s = E.jumps(s, key, "second", "x", "y", F.hypot("velocity_east_mps", "velocity_north_mps"))
+    s = E.resumed_scores(E.accepted_runs(s, key, "second", "jump", agrees="agrees"), key, "second", 20, agrees="agrees")
+    return s.groupBy(*key).agg(F.count("*").alias("samples"), F.count_if(~F.col("agrees")).alias("differing"), F.count_if("accepted").alias("accepted"), F.count_if("live").alias("live"))
+
+
+@query(f"WITH {ORBIT_SQL} SELECT server_id, vid AS vehicle_identifier, second, {rounded_sql('avg(lat) OVER w', 6)} AS latitude_deg, {rounded_sql('avg(ve) OVER w', 4)} AS velocity_east_mps FROM og WINDOW w AS (PARTITION BY server_id, vid ORDER BY second RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def smoothed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over three seconds, as detection may take them."""
+    s = detection.smoothed(_placed(spark, sf_dir))
+    return s.select("server_id", "vehicle_identifier", "second", rounded("latitude_deg", 6).alias("latitude_deg"), rounded("velocity_east_mps", 4).alias("velocity_east_mps"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayring import selftest
 from wayring.config import Detection, Engine
+from wayring.operators import motion
 from wayring.plans.geometry import FIT_SQL, R
 from wayring.plans.registry import query, rounded, rounded_sql
 from wayring.plans.temporal import EXPIRE, LIFE_SQL, NO_DATA
@@ -201,3 +202,21 @@ def confirmed_route_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.bool_and(F.when(F.col("changed"), F.abs(F.col("at_us") / 1e6 - _START_SECOND - 480) <= 45))
     left = F.count_if(F.col("kind") == "route_change_candidate") - F.count_if(F.col("kind").isin("route_changed", "route_change_cancelled"))
     return found.groupBy(*lifecycle.KEY).agg(F.count_if("changed").alias("changes"), near.alias("near_the_bend"), left.alias("left_open"))
+
+
+MOTION_SQL = PHASE_SQL[: PHASE_SQL.index("\nSELECT og.server_id")] + f""",
+rp AS (SELECT server_id, median(period) AS pref FROM found WHERE kind = 'route_confirmed' GROUP BY server_id),
+mo AS (SELECT fp.server_id, fp.vid, fp.second, (before + len * fr) / total AS phase, sqrt((qx - (x + dx * fr)) ** 2 + (qy - (y + dy * fr)) ** 2) AS dist, dx / len AS te, dy / len AS tn, og.ve, og.vn, f.sa, f.period, pref, CASE WHEN area > 0 THEN 1 ELSE -1 END AS sg
+  FROM fp JOIN og ON og.server_id = fp.server_id AND og.vid = fp.vid AND og.second = fp.second JOIN (SELECT * FROM found WHERE kind = 'route_confirmed') f ON f.server_id = fp.server_id AND f.stream = fp.vid JOIN rp ON rp.server_id = fp.server_id
+  QUALIFY row_number() OVER (PARTITION BY fp.server_id, fp.vid, fp.second ORDER BY sqrt((qx - (x + dx * fr)) ** 2 + (qy - (y + dy * fr)) ** 2), i) = 1),
+mv AS (SELECT *, (phase - lag(phase) OVER w + 0.5 - floor(phase - lag(phase) OVER w + 0.5) - 0.5) * sg / (second - lag(second) OVER w) AS rate FROM mo WINDOW w AS (PARTITION BY server_id, vid ORDER BY second))
+SELECT server_id, vid AS vehicle_identifier, count(*) AS frames, {rounded_sql('avg(dist / sa)', 3)} AS distance, {rounded_sql('avg(degrees(acos(greatest(-1.0, least(1.0, (ve * te + vn * tn) * sg / sqrt(ve * ve + vn * vn))))))', 2)} AS tangent,
+  {rounded_sql('avg(abs(rate * pref - 1.0))', 3)} AS movement, {rounded_sql('max(abs(period - pref) / pref)', 4)} AS period FROM mv GROUP BY ALL"""
+
+
+@query(f"WITH {MOTION_SQL}")
+def motion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the vehicles of the orbits move on their routes, on average over the frames of each."""
+    m = motion.motion_metrics(lifecycle.process(orbits(spark, sf_dir)))
+    mean = lambda c, digits: rounded(F.avg(c), digits)
+    return m.groupBy(*lifecycle.KEY).agg(F.count("*").alias("frames"), mean("distance_error_b_ratio", 3).alias("distance"), mean("tangent_error_deg", 2).alias("tangent"), mean("movement_error_ratio", 3).alias("movement"), rounded(F.max("period_error_ratio")).alias("period"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayring.operators import events as E
 from wayring.operators import templates as T
 from wayring.plans.registry import query, rounded, rounded_sql
 from wayring.sources.fixtures import template_members
@@ -57,3 +58,30 @@ def member_position_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members and their errors; the two slots of a pair are alike, so which of them a member takes is rounding."""
     m = T.member_fits(_fits(spark, sf_dir))
     return m.select("group_id", "template_id", F.col("member").cast("long").alias("member"), F.when(F.col("template_id") == "pair", "either").otherwise(F.col("slot_id")).alias("slot_id"), rounded("error_deg", 3).alias("error_deg"))
+
+
+NEAR = T.Template("near", "si", (T.Slot("a", "A", 0.0), T.Slot("b", "A", 0.25)))
+RIVALS = [PAIR, NEAR]
+_ERR = lambda o: f"360.0::DOUBLE * least(abs(d + {o} - round(d + {o})), abs(d - {o} - round(d - {o}))) / 2.0"
+_BAND = lambda x: f"CASE WHEN {x} <= 10 THEN 100.0::DOUBLE WHEN {x} >= 30 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * (30.0 - {x}) / 20.0 END"
+
+
+@query(
+    f"""WITH {MEMBERS_SQL}, t AS (SELECT x.group_id, second::BIGINT AS second, x.phase + second * (x.group_id % 5 - 2) / 1200.0::DOUBLE - y.phase AS d FROM m2 x JOIN m2 y ON x.group_id = y.group_id AND x.member = 1 AND y.member = 2, range(0, 600, 10) q(second) WHERE x.vt = 'A' AND y.vt = 'A'),
+v AS (SELECT group_id, second, {_BAND(_ERR(0.25))} - ({_BAND(_ERR(0.5))}) AS adv FROM t),
+o AS (SELECT *, second - coalesce(max(CASE WHEN NOT adv >= 30 THEN second END) OVER w, -1) AS open_for, second - coalesce(max(CASE WHEN NOT adv < 15 THEN second END) OVER w, -1) AS close_for FROM v WINDOW w AS (PARTITION BY group_id ORDER BY second ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT group_id, second, CASE WHEN adv >= 30 AND open_for >= 120 THEN 'open' WHEN adv < 15 AND close_for >= 30 THEN 'close' END AS mark FROM o),
+e AS (SELECT *, lag(mark) OVER (PARTITION BY group_id ORDER BY second) AS was FROM m WHERE mark IS NOT NULL),
+f AS (SELECT *, lead(second) OVER (PARTITION BY group_id ORDER BY second) AS closed_at FROM e WHERE (was IS NULL AND mark = 'open') OR was <> mark)
+SELECT group_id, second AS opened_at, CASE WHEN group_id % 3 = 0 AND second < 300 AND coalesce(closed_at, 600) > 300 THEN 300 ELSE closed_at END AS closed_at FROM f WHERE mark = 'open' AND NOT (group_id % 3 = 0 AND second >= 300)"""
+)
+def rival_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that drift apart and together: when another template would fit them better; every third group has rejected it at 300 s."""
+    m = template_members(spark, sf_dir).withColumn("second", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(590).cast("long"), F.lit(10).cast("long"))))
+    moved = F.col("phase") + F.when(F.col("member") == 1, F.col("second") * (F.col("group_id") % 5 - 2) / 1200.0).otherwise(0.0)
+    timed = m.select(F.struct("group_id", "second").alias("group_id"), "member", "vehicle_type", moved.alias("phase"))
+    scores = T.fit_scores(T.fit_templates(timed, RIVALS), RIVALS)
+    found = T.advantages(scores, scores.select("group_id").distinct().withColumn("current_template_id", F.lit("pair")))
+    rows = found.select("group_id.group_id", "group_id.second", "advantage")
+    rejected = rows.select("group_id").where("group_id % 3 = 0").distinct().withColumns({"rejected_at": F.lit(300).cast("long"), "event_end": F.lit(600).cast("long")})
+    return E.suggestions(rows, ["group_id"], "second", "advantage", rejected)

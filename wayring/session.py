@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Time is UTC throughout; arithmetic errors are raised, not hidden; stateful queries keep state in RocksDB.
 SETTINGS = {
@@ -36,3 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def materialized(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back, which cuts its lineage and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table of :func:`materialized` that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -17,14 +17,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wayring.config import Detection, Engine, Grouping, Timing
+from wayring.session import SETTINGS
 from wayring.streaming.route_steps import FIELDS, Route, RouteState, advance
 
 KEY = ["server_id", "vehicle_identifier"]
 CHANGES = "server_id long, vehicle_identifier long, change_s double, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double"
 ROUTE_STATE = "server_id long, vehicle_identifier long, last_time double, last_look double, candidate boolean, confirmed boolean, " + ", ".join(f"{f} array<double>" for f in FIELDS) + ", " + Route.SCHEMA
 STATE_CHANGES = "server_id long, vehicle_identifier long, at_us long, kind string"
-#: What the samples of a stream give: changes, with details where a route is found, and a frame per accepted sample.
-RESULTS = "output string, server_id long, vehicle_identifier long, at_us long, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double, active boolean, latitude_deg double, longitude_deg double, reliability double, phase double"
+#: What the samples of a stream give: changes, with details and geometry where a route is found, and a frame per accepted sample.
+RESULTS = "output string, server_id long, vehicle_identifier long, at_us long, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double, active boolean, latitude_deg double, longitude_deg double, velocity_east_mps double, velocity_north_mps double, reliability double, phase double, " + Route.SCHEMA
 DETAILS = ("family", "subtype", "direction", "period_s", "quality", "fit_fraction", "cycles")
 _SAMPLE = ["second", "active", "latitude_deg", "longitude_deg", "velocity_east_mps", "velocity_north_mps", "reliability"]
 
@@ -66,23 +67,39 @@ def _held(states: pd.DataFrame) -> RouteState:
     return RouteState(history, float(row["last_time"]), float(row["last_look"]), bool(row["candidate"]), bool(row["confirmed"]), route)
 
 
-def _with_states(samples: DataFrame, states: DataFrame | None):
+def _in_time(rows: DataFrame):
+    """Rows by stream and in order of time, so that a stream comes in batches and is never held whole."""
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "at_us", "number").groupBy(*KEY)
+
+
+def _with_states(samples: DataFrame, states: DataFrame):
     """Samples by stream beside the stream's state, where there is one."""
-    if states is None:
-        states = samples.sparkSession.createDataFrame([], ROUTE_STATE)
     return prepared(samples).groupBy(*KEY).cogroup(states.groupBy(*KEY))
 
 
+def _state_row(key: tuple, state: RouteState) -> pd.DataFrame:
+    values = (*key, state.last_time, state.last_look, state.candidate, state.confirmed, *(state.history[f] for f in FIELDS), *state.route_values())
+    return pd.DataFrame([values], columns=columns_of(ROUTE_STATE))
+
+
 def route_changes(samples: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Route candidates and confirmations of every stream, from all its samples; one shuffle by stream.
 
-    With ``states`` of earlier samples (``route_states``) the streams go on from there.
+    With ``states`` of earlier samples (``route_states``) the streams go on from there; then the new samples of a stream
+    are one group, else it comes in batches.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = RouteState()
+        for pdf in pdfs:
+            yield _changes(key, state, pdf)
+
+    def resumed(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return _changes(key, _held(held), pdf)
 
-    return _with_states(samples, states).applyInPandas(run, CHANGES)
+    if states is None:
+        return _in_time(prepared(samples)).applyInPandas(run, CHANGES)
+    return _with_states(samples, states).applyInPandas(resumed, CHANGES)
 
 
 def route_states(samples: DataFrame, states: DataFrame | None = None) -> DataFrame:
@@ -91,12 +108,20 @@ def route_states(samples: DataFrame, states: DataFrame | None = None) -> DataFra
     Streams without new samples keep their state.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = RouteState()
+        for pdf in pdfs:
+            _changes(key, state, pdf)
+        yield _state_row(key, state)
+
+    def resumed(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         state = _held(held)
         _changes(key, state, pdf)
-        return pd.DataFrame([(*key, state.last_time, state.last_look, state.candidate, state.confirmed, *(state.history[f] for f in FIELDS), *state.route_values())], columns=columns_of(ROUTE_STATE))
+        return _state_row(key, state)
 
-    return _with_states(samples, states).applyInPandas(run, ROUTE_STATE)
+    if states is None:
+        return _in_time(prepared(samples)).applyInPandas(run, ROUTE_STATE)
+    return _with_states(samples, states).applyInPandas(resumed, ROUTE_STATE)
 
 
 def debug_state(states: DataFrame) -> DataFrame:
@@ -153,9 +178,16 @@ def results(key: tuple, track: Track, pdf: pd.DataFrame, until_us: int | None, c
     """Changes and frames of a stream's new samples, and the deadlines passed by ``until_us``; ``track`` moves on."""
     rows: list[list] = []
     placed: dict[int, tuple[Route, list[int]]] = {}
+    names = columns_of(RESULTS)
+    place = {name: k for k, name in enumerate(names)}
+    geometry, sampled = names.index("route_lat"), names.index("active")
 
     def change(at_us: int, kind: str, told: dict | None = None) -> None:
-        rows.append(["change", *key, at_us, kind, route_id(key) if told else None, *((told or {}).get(c) for c in DETAILS), None, None, None, None, None])
+        row = ["change", *key, at_us, kind, route_id(key) if told else None, *((told or {}).get(c) for c in DETAILS)]
+        row += [None] * (len(names) - len(row))
+        if kind == "route_confirmed":
+            row[geometry:] = told["route"].values()
+        rows.append(row)
 
     for at_us, *sample in _in_order(pdf) if len(pdf) else ():
         changes = track.take(at_us, tuple(sample), config)
@@ -163,34 +195,41 @@ def results(key: tuple, track: Track, pdf: pd.DataFrame, until_us: int | None, c
             continue
         for one in changes:
             change(*one)
-        _, active, lat, lon, *_, reliability = sample
+        _, active, lat, lon, ve, vn, reliability = sample
         route = track.routes.route if active is not False and lat is not None and lon is not None else None
         if route is not None:
             placed.setdefault(id(route), (route, []))[1].append(len(rows))
-        rows.append(["frame", *key, at_us, None, route_id(key) if route else None, *(None for _ in DETAILS), active, lat, lon, reliability, None])
+        row = ["frame", *key, at_us, None, route_id(key) if route else None] + [None] * (len(names) - 6)
+        row[sampled : sampled + 6] = active, lat, lon, ve, vn, reliability
+        rows.append(row)
     if until_us is not None:
         for one in track.pass_deadlines(until_us, config):
             change(*one)
     for route, at in placed.values():
-        for k, phase in zip(at, route.phases(*(np.array([rows[k][c] for k in at], float) for c in (-4, -3))).tolist(), strict=True):
-            rows[k][-1] = phase
-    out = pd.DataFrame(rows, columns=columns_of(RESULTS))
-    return out.astype({"active": object})
+        where = (np.array([rows[k][place[c]] for k in at], float) for c in ("latitude_deg", "longitude_deg"))
+        for k, phase in zip(at, route.phases(*where).tolist(), strict=True):
+            rows[k][place["phase"]] = phase
+    return pd.DataFrame(rows, columns=names).astype({"active": object, "route_x": object, "route_y": object})
 
 
 def process(samples: DataFrame, observed_until: Column | None = None, config: Engine = Engine()) -> DataFrame:
     """``RESULTS`` of one batch from the beginning: every change, and a frame for every accepted sample.
 
     Frames have route and phase from the confirming sample on, while the vehicle is not inactive and has a position.
-    At the end deadlines count up to ``observed_until``, by default the newest sample of all streams.  One shuffle by stream.
+    At the end deadlines count up to ``observed_until``, by default the newest sample of all streams.  One shuffle by stream;
+    a stream's samples pass by in order of time, batch after batch, so no stream is too long.
     """
     rows = prepared(samples)
     until = rows.agg(F.max("at_us").alias("until_us")) if observed_until is None else samples.sparkSession.range(1).select(F.unix_micros(observed_until).alias("until_us"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return results(key, Track(), pdf, int(pdf["until_us"].iloc[0]), config)
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        track, until_us = Track(), None
+        for pdf in pdfs:
+            until_us = int(pdf["until_us"].iloc[0])
+            yield results(key, track, pdf, None, config)
+        yield results(key, track, pd.DataFrame(), until_us, config)
 
-    return rows.crossJoin(F.broadcast(until)).groupBy(*KEY).applyInPandas(run, RESULTS)  # one row
+    return _in_time(rows.crossJoin(F.broadcast(until))).applyInPandas(run, RESULTS)  # one row
 
 
 def changes_of(found: DataFrame) -> DataFrame:
@@ -200,7 +239,7 @@ def changes_of(found: DataFrame) -> DataFrame:
 
 def frames_of(found: DataFrame) -> DataFrame:
     """The frames among results."""
-    return found.where("output = 'frame'").select(F.timestamp_micros("at_us").alias("sample_time"), *KEY, "active", "latitude_deg", "longitude_deg", "reliability", "route_id", "phase")
+    return found.where("output = 'frame'").select(F.timestamp_micros("at_us").alias("sample_time"), *KEY, "active", "latitude_deg", "longitude_deg", "velocity_east_mps", "velocity_north_mps", "reliability", "route_id", "phase")
 
 
 class TrackProcessor(StatefulProcessor):
@@ -289,6 +328,8 @@ def stream_process(samples: DataFrame, config: Engine = Engine(), late: str = "0
     noticed as much later (stamped with the deadline all the same).  :class:`wayring.streaming.session.Session` keeps lagging streams without such a bound.
     The state of a stream without a route is bounded by ``Detection.history_points``; expiry drops it.
     """
+    # list states, timers and single keys of large states need this state store, whatever the session was built with
+    samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     timed = samples.where("sample_time is not null").withColumn("sample_time", F.col("sample_time").cast("timestamp")).withWatermark("sample_time", late)
     keyed = prepared(timed).groupBy(*KEY)
     return keyed.transformWithStateInPandas(statefulProcessor=TrackProcessor(config), outputStructType=RESULTS, outputMode="Append", timeMode="EventTime")

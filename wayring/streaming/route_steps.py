@@ -100,7 +100,7 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     quality = min(1.0, max(0.0, 0.55 * fit + 0.30 * keep.mean() + 0.15 * min(1.0, cycles)))
     lat, lon = lat0 + math.degrees(center[1] / EARTH_RADIUS_M), lon0 + math.degrees(center[0] / (EARTH_RADIUS_M * math.cos(math.radians(lat0))))
     told = {"family": "si" if si else "so", "subtype": "compact" if si else "hippodrome", "direction": way_round, "period_s": float(period), "quality": float(quality), "fit_fraction": float(fit), "cycles": float(cycles), "length_m": float(length)}
-    return told | {"route": Route(float(lat), float(lon), poly[:, 0].tolist(), poly[:, 1].tolist(), float(near), float(length), float(period), float(fit))}
+    return told | {"route": Route(float(lat), float(lon), poly[:, 0].tolist(), poly[:, 1].tolist(), float(near), float(length), float(period), float(fit), float(b))}
 
 
 def project(poly: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,19 +125,24 @@ class Route:
     length_m: float
     period_s: float
     fit: float
+    short_m: float
 
-    SCHEMA: ClassVar[str] = "route_lat double, route_lon double, route_x array<double>, route_y array<double>, route_near_m double, route_length_m double, route_period_s double, route_fit double"
+    SCHEMA: ClassVar[str] = "route_lat double, route_lon double, route_x array<double>, route_y array<double>, route_near_m double, route_length_m double, route_period_s double, route_fit double, route_short_m double"
 
     @classmethod
-    def of(cls, lat, lon, x, y, near_m, length_m, period_s, fit) -> Route | None:  # noqa: PLR0913
+    def of(cls, lat, lon, x, y, near_m, length_m, period_s, fit, short_m) -> Route | None:  # noqa: PLR0913
         """From the values of ``SCHEMA``; without a polyline there is no route."""
-        return None if x is None else cls(float(lat), float(lon), [float(v) for v in x], [float(v) for v in y], float(near_m), float(length_m), float(period_s), float(fit))
+        return None if x is None else cls(float(lat), float(lon), [float(v) for v in x], [float(v) for v in y], float(near_m), float(length_m), float(period_s), float(fit), float(short_m))
 
     def local(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         """Metres from the centre, from which positions are projected, as surveyed."""
         east = np.radians(lon - self.lon) * EARTH_RADIUS_M * math.cos(math.radians(self.lat))
         return np.stack([east, np.radians(lat - self.lat) * EARTH_RADIUS_M], axis=1)
 
+    def values(self) -> tuple:
+        """The values of ``SCHEMA``."""
+        return (self.lat, self.lon, self.x, self.y, self.near_m, self.length_m, self.period_s, self.fit, self.short_m)
+
     def polyline(self) -> np.ndarray:
         return np.stack([self.x, self.y], axis=1)
 
@@ -173,8 +178,7 @@ class RouteState:
 
     def route_values(self) -> tuple:
         """The values of ``Route.SCHEMA``."""
-        r = self.route
-        return (None,) * 8 if r is None else (r.lat, r.lon, r.x, r.y, r.near_m, r.length_m, r.period_s, r.fit)
+        return (None,) * 9 if self.route is None else self.route.values()
 
     def watch_values(self) -> tuple:
         """The values of ``WATCH_SCHEMA``."""
