@@ -35,7 +35,7 @@ OPERATORS = {
     "sharding": lambda docs: sharding.shard_records(docs, shards=3),
     "language_id": predicted,
     "packing": lambda docs: packing.pack_documents(docs, WORDS),
-    "media": media.media_columns,
+    "media": lambda docs: media.media_columns(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"),  # shards have names of their own
     "piece_codec": lambda docs: piece_codec.decode_pieces(piece_codec.encode_pieces(docs, PIECES), PIECES),
 }
 
