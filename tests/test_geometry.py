@@ -102,3 +102,14 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
         q.trigger(availableNow=True).start().awaitTermination()
     key = lambda r: tuple(r)
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key) == sorted(lifecycle.route_changes(c).collect(), key=key)
+
+
+def test_the_least_segment_wins_where_rounding_parts_equal_distances(spark, tmp_path):
+    import oracle
+    from wayring.plans import catalog
+
+    spark.sql("select 311L as s_suppkey, 1 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = oracle.connect("/nowhere")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    for name in ("project_polyline", "tangent_error"):
+        assert oracle.differences(spark, con, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name], str(tmp_path)) == []

@@ -64,19 +64,34 @@ def resampled(segs: Column, count: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: point(point_at_phase(segs, i / F.lit(float(count)))["x"], point_at_phase(segs, i / F.lit(float(count)))["y"]))
 
 
-def project(segs: Column, x: Column, y: Column) -> Column:
-    """Nearest place on the polyline: ``struct<distance, segment, fraction, px, py, te, tn, phase>``; least segment on ties."""
+def project(segs: Column, x: Column, y: Column, digits: int | None = None) -> Column:
+    """Nearest place on the polyline: ``struct<distance, segment, fraction, px, py, te, tn, phase>``; least segment on ties.
 
-    def candidate(s: Column, i: Column) -> Column:
+    With ``digits`` distances that agree to so many digits are ties: at a corner two segments are equally near, but for
+    rounding.
+    """
+
+    def share(s: Column) -> Column:
         raw = ((x - s["x"]) * s["dx"] + (y - s["y"]) * s["dy"]) / (s["len"] * s["len"])
-        f = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
+
+    def off(s: Column) -> Column:
+        f = share(s)
+        d = F.hypot(x - (s["x"] + s["dx"] * f), y - (s["y"] + s["dy"] * f))
+        return d if digits is None else F.round(d, digits)
+
+    def place(k: Column) -> Column:
+        s = segs[k["segment"]]
+        f = share(s)
         px, py = s["x"] + s["dx"] * f, s["y"] + s["dy"] * f
         return F.struct(
-            F.hypot(x - px, y - py).alias("distance"), i.alias("segment"), f.alias("fraction"), px.alias("px"), py.alias("py"), (s["dx"] / s["len"]).alias("te"), (s["dy"] / s["len"]).alias("tn"),
+            F.hypot(x - px, y - py).alias("distance"), k["segment"].alias("segment"), f.alias("fraction"), px.alias("px"), py.alias("py"), (s["dx"] / s["len"]).alias("te"), (s["dy"] / s["len"]).alias("tn"),
             F.pmod((s["before"] + s["len"] * f) / length(segs), F.lit(1.0)).alias("phase"),
         )
 
-    return F.array_min(F.transform(segs, candidate))
+    # the nearest segment is found by its distance alone, so that one place is made and not one for each segment
+    nearest = F.array_min(F.transform(segs, lambda s, i: F.struct(off(s).alias("off"), i.alias("segment"))))
+    return F.get(F.transform(F.array(nearest), place), F.lit(0))
 
 
 def distance(segs: Column, x: Column, y: Column) -> Column:

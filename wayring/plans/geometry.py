@@ -64,7 +64,7 @@ _QUERY_POINTS = "q AS (SELECT k, n, r * 1.1::DOUBLE * cos(n * 0.83::DOUBLE + k)
 def _query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _polygons(spark, sf_dir).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
     angle = F.col("n") * 0.83 + F.col("k")
-    return p.withColumn("hit", geo.project(F.col("segs"), F.col("r") * 1.1 * F.cos(angle), F.col("r") * 0.7 * F.sin(angle)))
+    return p.withColumn("hit", geo.project(F.col("segs"), F.col("r") * 1.1 * F.cos(angle), F.col("r") * 0.7 * F.sin(angle), digits=9))
 
 
 @query(f"WITH {POLY_SQL}, {_QUERY_POINTS}, {_PROJECT} SELECT k, n, {rounded_sql('dist')} AS distance_m, i AS segment, {rounded_sql('(before + len * f) / total')} AS phase FROM d")
