@@ -113,3 +113,17 @@ def test_the_least_segment_wins_where_rounding_parts_equal_distances(spark, tmp_
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     for name in ("project_polyline", "tangent_error"):
         assert oracle.differences(spark, con, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name], str(tmp_path)) == []
+
+
+def test_places_on_a_line_are_computed_once(spark):
+    frame = spark.createDataFrame([], "segs array<struct<x:double,y:double,dx:double,dy:double,len:double,before:double>>, phase double")
+    plan = frame.select(geo.curvature_at_phase(F.col("segs"), F.col("phase")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") == 3
+
+
+def test_few_suppliers_are_spread_over_all_tasks(spark):
+    from wayring.sources.simulator import orbits
+
+    made = orbits(spark, "/root/testdata/sf0.001", seconds=20)
+    assert made.rdd.getNumPartitions() == 4
+    assert lifecycle.process(made).rdd.getNumPartitions() == 4

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wayring.config import Detection
 from wayring.functions import geo
+from wayring.session import spread
 
 KEY = ["server_id", "vehicle_identifier"]
 _EPS = geo.EPSILON
@@ -33,7 +34,8 @@ def _median(x: Column) -> Column:
 def usable(samples: DataFrame, cfg: Detection = Detection(), seconds: int | None = None) -> DataFrame:
     """Samples that can tell a route, of streams with enough of them over the whole observation time."""
     seconds = cfg.confirm_seconds if seconds is None else seconds
-    s = samples.where("coalesce(active, true) and latitude_deg is not null and longitude_deg is not null and reliability > 0")
+    # all steps are by stream: the parts that are made here are those of every window and join
+    s = spread(samples, *KEY).where("coalesce(active, true) and latitude_deg is not null and longitude_deg is not null and reliability > 0")
     span = (F.unix_micros(F.max("sample_time").over(_stream())) - F.unix_micros(F.min("sample_time").over(_stream()))) / 1e6
     s = s.withColumns({"samples": F.count("*").over(_stream()), "observation_s": span})
     return s.where((F.col("samples") >= cfg.least_samples) & (F.col("observation_s") + _EPS >= seconds))

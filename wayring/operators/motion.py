@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayring.functions import geo
+from wayring.session import spread
 
 KEY = ["server_id", "vehicle_identifier"]
 #: Samples on either side from which a vehicle's own curvature is taken.
@@ -49,7 +50,7 @@ def motion_metrics(found: DataFrame, reference: DataFrame | None = None) -> Data
     """
     routes = confirmed_routes(found)
     given = reference_periods(routes) if reference is None else reference
-    f = placed_frames(found).join(routes.join(given, [*KEY, "confirmed_us"]), [*KEY, "confirmed_us"])
+    f = spread(placed_frames(found), *KEY, "confirmed_us").join(routes.join(given, [*KEY, "confirmed_us"]), [*KEY, "confirmed_us"])
     local = geo.local_m(F.col("latitude_deg"), F.col("longitude_deg"), F.col("route_lat"), F.col("route_lon"))
     f = f.withColumn("p", local).withColumn("hit", geo.project(F.col("segs"), F.col("p.x"), F.col("p.y")))
     line = Window.partitionBy(*KEY, "confirmed_us").orderBy("at_us")
