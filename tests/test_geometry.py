@@ -117,7 +117,7 @@ def test_the_least_segment_wins_where_rounding_parts_equal_distances(spark, tmp_
 
 def test_places_on_a_line_are_computed_once(spark):
     frame = spark.createDataFrame([], "segs array<struct<x:double,y:double,dx:double,dy:double,len:double,before:double>>, phase double")
-    plan = frame.select(geo.curvature_at_phase(F.col("segs"), F.col("phase")))._jdf.queryExecution().analyzed().toString()
+    plan = frame.select(geo.curvature_at_phase(F.col("segs"), F.col("phase")).alias("c"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("filter(") == 3
 
 
