@@ -3,7 +3,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from wayring.config import Join
 from wayring.operators import lifecycle, temporal
+from wayring.sources.fixtures import raw_points
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -99,3 +101,8 @@ def test_lifecycle_timers(spark):
 def test_late_rows_are_dropped(spark):
     s = samples(spark, (0, True), (0, False), (1, True)).withColumn("n", F.monotonically_increasing_id())
     assert lifecycle.accepted(s, "n").count() == 2
+
+
+def test_rows_that_grow_wide_are_spread_over_many_tasks(spark):
+    rows = temporal.asof_rows(raw_points(spark, "/root/testdata/sf0.001"), Join(grid_seconds=3600, tolerance_seconds=172_800))
+    assert rows.rdd.getNumPartitions() == 16

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayring.config import Join
+from wayring.session import spread
 
 STREAM = ["server_id", "vehicle_number"]
 NUMERIC = ("latitude_deg", "longitude_deg", "altitude_m", "velocity_north_mps", "velocity_east_mps")
@@ -85,7 +86,8 @@ def asof_rows(points: DataFrame, cfg: Join = Join(), start: Column | None = None
     """
     wide = by_time(points).withColumn("on_grid", F.lit(False))
     grid = stream_grid(points, cfg, start, end).withColumn("on_grid", F.lit(True))
-    rows = wide.unionByName(grid, allowMissingColumns=True).withColumn("time", F.col("time").cast("timestamp"))
+    # narrow rows grow wide in the windows and are sorted again then, so a task gets few of them
+    rows = spread(wide.unionByName(grid, allowMissingColumns=True), *STREAM, times=4).withColumn("time", F.col("time").cast("timestamp"))
     up = Window.partitionBy(*STREAM).orderBy("time", "on_grid").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*STREAM).orderBy(F.col("time").desc(), F.col("on_grid").asc()).rowsBetween(Window.unboundedPreceding, 0)
 
