@@ -3,6 +3,7 @@
 import random
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,30 @@ def test_links_of_one_place_are_dealt_to_many_parts_and_never_shuffled(spark):
     got = crowds.links(spells, lambda a, b: F.lit(False))
     parts = got.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in parts) == 400 * 399 // 2 and len(parts) > 3
+
+
+def test_candidates_read_their_members_once(spark):
+    from wayring.plans.templates import TEMPLATES
+    from wayring.sources.fixtures import template_members
+
+    plan = T.candidates(template_members(spark, "/root/testdata/sf0.001"), TEMPLATES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    rows = [(1, m, "A", 0.1 * m) for m in range(5)] + [(2, m, "A", 0.1 * m) for m in range(2)]
+    found = T.candidates(spark.createDataFrame(rows, "group_id long, member long, vehicle_type string, phase double"), TEMPLATES).collect()
+    assert [(r.group_id, r.template_id, r.n) for r in found] == [(2, "pair", 2)]
+
+
+def test_fits_of_many_groups_equal_those_of_each():
+    rng = random.Random(3)
+    slots = [("b", "A", 0.0, 1, None), ("a", "A", 0.25, -1, None), ("d", "B", 0.5, 1, "in"), ("c", "A", 0.75, 1, None)]
+    kinds = (("A", None), ("B", "in"), ("A", None), ("A", "in"))
+    phases = [[rng.choice([0.0, 0.25, 0.5, 0.75, rng.random()]) for _ in kinds] for _ in range(3000)]
+    got = T.best_fits(kinds, np.array(phases), slots)
+    assert got == [T.best_fit([(*k, p) for k, p in zip(kinds, row)], slots) for row in phases]
+    assert T.best_fits((("C", None), ("A", None)), np.array([[0.1, 0.2]]), slots[:2]) == [None]
+
+
+def test_advantages_take_an_expression(spark):
+    s = spark.createDataFrame([(1, "p", 40.0), (1, "z", 90.0), (1, "q", 90.0), (2, "p", 40.0), (3, "q", 40.0)], "group_id long, template_id string, score double")
+    own = s.select("group_id").distinct().withColumn("current_template_id", F.lit("p"))
+    assert T.advantages(s, F.lit("p")).collect() == T.advantages(s, own).collect() == [(1, "q", 50.0)]

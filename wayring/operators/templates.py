@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayring.config import Scoring
@@ -155,25 +155,49 @@ def best_fit(members: list[tuple[str, str | None, float]], slots: list[tuple]) -
     return None if best is None else best[1:]
 
 
-def _candidates(members: DataFrame, templates: list[Template]) -> DataFrame:
-    """Groups beside each template of their multiset of types: ``group_id, template_id, n, members, slots``."""
+def candidates(members: DataFrame, templates: list[Template]) -> DataFrame:
+    """Groups beside each template of their multiset of types: ``group_id, template_id, n, members, slots``; one pass over the members."""
     role = F.col("role") if "role" in members.columns else F.lit(None).cast("string")
     one = F.struct(F.col("member"), F.col("vehicle_type"), F.pmod(F.col("phase"), F.lit(1.0)).alias("phase"), role.alias("role"))
     sizes = sorted({len(t.slots) for t in templates})
-    # a group larger than any template cannot fit one; its rows are only counted
-    counted = members.groupBy("group_id").agg(F.count("*").alias("n")).where(F.col("n").isin(*sizes))
-    groups = members.join(counted, "group_id").groupBy("group_id").agg(F.sort_array(F.collect_list(one)).alias("members"), F.first("n").cast("int").alias("n"))
+    # a group larger than any template fits none: of its rows only one too many is gathered
+    at = F.row_number().over(Window.partitionBy("group_id").orderBy("member"))
+    few = members.withColumn("__at", at).where(F.col("__at") <= max(sizes, default=0) + 1)
+    groups = few.groupBy("group_id").agg(F.sort_array(F.collect_list(one)).alias("members"), F.count("*").cast("int").alias("n")).where(F.col("n").isin(*sizes))
     groups = groups.withColumn("types", F.array_sort(F.transform("members", lambda m: m["vehicle_type"])))
     # as many rows as templates were given
     return groups.join(F.broadcast(template_table(members.sparkSession, templates)), "types").select("group_id", "template_id", "n", "members", "slots")
 
 
+def best_fits(members: tuple[tuple[str, str | None], ...], phases: np.ndarray, slots: list[tuple]) -> list[tuple | None]:
+    """:func:`best_fit` for groups of one kind of members, a row of phases each; some thousand assignments are rated together."""
+    orders = assignments(members, tuple((s[1], s[4]) for s in slots))
+    if len(orders) != 1:
+        return [best_fit([(*m, p) for m, p in zip(members, row, strict=True)], slots) for row in phases.tolist()]
+    order, n = orders[0], len(members)
+    offset, sign = np.array([s[2] for s in slots]), np.array([s[3] for s in slots])
+    by_id = np.empty(n, np.int64)
+    by_id[sorted(range(n), key=lambda k: slots[k][0])] = np.arange(n)
+    order = order[np.lexsort(by_id[order].T[::-1])]  # the first of equal ones has the first slot ids
+    out: list[tuple | None] = []
+    step = max(1, TRIED // len(order))
+    for k in range(0, len(phases), step):
+        part = phases[k : k + step]
+        center, errors = _centers(((part[:, None, :] * sign[order] - offset[order]) % 1.0).reshape(-1, n))
+        mean, most = errors.sum(axis=1) / n, errors.max(axis=1)
+        shape = (len(part), len(order))
+        best = np.lexsort((np.round(most, 15).reshape(shape), np.round(mean, 15).reshape(shape)), axis=1)[:, 0]
+        at = np.arange(len(part)) * len(order) + best
+        out.extend(zip(center[at].tolist(), mean[at].tolist(), most[at].tolist(), errors[at].tolist(), order[best].tolist(), strict=True))
+    return out
+
+
 def legal_assignments(members: DataFrame, templates: list[Template]) -> DataFrame:
     """Groups with each arrangement that their members may take: types agree, and roles where the slot has one.
 
     ``members`` has ``group_id, member, vehicle_type, phase`` and perhaps ``role``; one shuffle by group.
     """
-    found = _candidates(members, templates)
+    found = candidates(members, templates)
     schema = found.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,22 +217,33 @@ def fit_templates(members: DataFrame, templates: list[Template]) -> DataFrame:
     The best has the least mean error, then the least largest one (both to 15 digits), then the first slot ids,
     then the smaller phase.  Groups without a legal assignment give no row.
     """
-    found = _candidates(members, templates)
-    kinds = dict(found.dtypes)
-    schema = f"group_id {kinds['group_id']}, template_id string, common_phase double, mean_error double, max_error double, errors array<double>, members {kinds['members']}, slots {kinds['slots']}"
+    fits = fitted(candidates(members, templates), templates)
+    return fits.select("group_id", "template_id", "common_phase", "mean_error", "max_error", "errors", "members", "slots")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                slots = [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in row.slots]
-                best = best_fit([(m["vehicle_type"], m["role"], m["phase"]) for m in row.members], slots)
-                if best is not None:
-                    center, mean, most, errors, order = best
-                    out.append((row.group_id, row.template_id, center, mean, most, errors, row.members, [slots[k] for k in order]))
-            yield pd.DataFrame(out, columns=["group_id", "template_id", "common_phase", "mean_error", "max_error", "errors", "members", "slots"])
 
-    return found.mapInPandas(run, schema)
+def fitted(found: DataFrame, templates: list[Template]) -> DataFrame:
+    """Rows of :func:`candidates`, perhaps with further columns, and the best fit of each; ``slots`` in the order of the members.
+
+    Only types, roles and phases go to Python, where rows that agree in all but the phases are rated together.
+    """
+    slots = {t.template_id: [(s.slot_id, s.vehicle_type, s.offset % 1.0, s.sign, s.role) for s in t.slots] for t in templates}
+
+    @F.pandas_udf("common_phase double, mean_error double, max_error double, errors array<double>, slot_order array<int>")
+    def fit(template: pd.Series, types: pd.Series, roles: pd.Series, phases: pd.Series) -> pd.DataFrame:
+        alike: dict[tuple, list[int]] = {}
+        for k, (t, kinds, own) in enumerate(zip(template, types, roles, strict=True)):
+            alike.setdefault((t, tuple(zip(kinds, own, strict=True))), []).append(k)
+        out: list[tuple] = [(None,) * 5] * len(template)
+        for (t, kinds), at in alike.items():
+            for k, best in zip(at, best_fits(kinds, np.array([phases.iat[k] for k in at], np.float64), slots[t]), strict=True):
+                out[k] = best or out[k]
+        return pd.DataFrame(out, columns=["common_phase", "mean_error", "max_error", "errors", "slot_order"])
+
+    # marked as not deterministic, so that the optimizer does not run it once more for the filter
+    each = lambda name: F.transform("members", lambda m: m[name])
+    f = found.withColumn("fit", fit.asNondeterministic()("template_id", each("vehicle_type"), each("role"), each("phase"))).where("fit.slot_order is not null")
+    names = [c for c in found.columns if c not in ("n", "slots")]
+    return f.select(*names, "fit.common_phase", "fit.mean_error", "fit.max_error", "fit.errors", F.transform("fit.slot_order", lambda k: F.get("slots", k)).alias("slots"))
 
 
 def member_fits(fits: DataFrame) -> DataFrame:
@@ -226,13 +261,15 @@ def fit_scores(fits: DataFrame, templates: list[Template], cfg: Scoring = Scorin
     return fits.select("group_id", "template_id", (F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / F.size("errors")).alias("score"))
 
 
-def advantages(scores: DataFrame, current: DataFrame) -> DataFrame:
+def advantages(scores: DataFrame, current: DataFrame | Column) -> DataFrame:
     """How much better each group's best other template is than its own: ``group_id, template_id, advantage``.
 
-    ``current`` has ``group_id`` and ``current_template_id``.  Groups whose own template does not fit, or that fit no other,
-    have none; of equally good ones the first by id is named.
+    ``current`` has ``group_id`` and ``current_template_id``, or is the latter as an expression.  Groups whose own template
+    does not fit, or that fit no other, have none; of equally good ones the first by id is named.
     """
-    own = scores.join(current, "group_id").where("template_id = current_template_id").select("group_id", F.col("score").alias("own"))
-    others = scores.join(current, "group_id").where("template_id <> current_template_id")
-    best = others.groupBy("group_id").agg(F.max("score").alias("best"), F.min_by("template_id", F.struct(-F.col("score"), "template_id")).alias("template_id"))
-    return best.join(own, "group_id").select("group_id", "template_id", (F.col("best") - F.col("own")).alias("advantage"))
+    s = scores.withColumn("current_template_id", current) if isinstance(current, Column) else scores.join(current, "group_id")
+    own, other = F.col("template_id") == F.col("current_template_id"), F.col("template_id") != F.col("current_template_id")
+    told = s.groupBy("group_id").agg(
+        F.max(F.when(own, F.col("score"))).alias("own"), F.max(F.when(other, F.col("score"))).alias("best"), F.min(F.when(other, F.struct((-F.col("score")).alias("s"), "template_id")))["template_id"].alias("template_id")
+    )
+    return told.where("own is not null and best is not null").select("group_id", "template_id", (F.col("best") - F.col("own")).alias("advantage"))
