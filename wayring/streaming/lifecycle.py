@@ -6,7 +6,7 @@ checkpoint or a snapshot give the same changes and frames.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -299,19 +299,7 @@ class Gathered:
         self.clear()
 
 
-_SAMPLES = pa.schema([*((c, pa.int64()) for c in (*KEY, "at_us")), ("second", pa.float64()), ("active", pa.bool_()), *((c, pa.float64()) for c in _SAMPLE[2:])])
-
-
-def results(key: tuple, track: Track, pdf: pd.DataFrame, until_us: int | None, config: Engine) -> pd.DataFrame:
-    """Changes and frames of a stream's new samples, and the deadlines passed by ``until_us``; ``track`` moves on."""
-    found, batch = Gathered(config), None
-    if len(pdf):
-        rows = pdf.sort_values(["at_us", "number"], kind="stable")[_SAMPLES.names]
-        batch = pa.RecordBatch.from_pandas(rows, schema=_SAMPLES, preserve_index=False)
-        found.take(key, track, values_of(batch), 0, len(batch))
-    if until_us is not None:
-        found.tell(key, track.pass_deadlines(until_us, config))
-    return pa.Table.from_batches(found.batches(batch), schema=_RESULTS).to_pandas()
+_SAMPLES = pa.schema([*((c, pa.int64()) for c in (*KEY, "at_us")), ("second", pa.float64()), ("active", pa.bool_()), *((c, pa.float64()) for c in _SAMPLE[2:]), ("number", pa.int64())])
 
 
 def process(samples: DataFrame, observed_until: Column | None = None, config: Engine = Engine()) -> DataFrame:
@@ -352,96 +340,116 @@ def frames_of(found: DataFrame) -> DataFrame:
     return found.where("output = 'frame'").select(F.timestamp_micros("at_us").alias("sample_time"), *KEY, "active", "latitude_deg", "longitude_deg", "velocity_east_mps", "velocity_north_mps", "reliability", "route_id", "phase")
 
 
+#: What a bucket holds of each of its streams, whether it moves or not: a row of arrays, one place a stream.
+_LAST = "server_id long, vehicle_identifier long, last_us long, active boolean, passed int, last_look double, candidate boolean, rival_look double, confirmed boolean, points int"
+
+
 class TrackProcessor(StatefulProcessor):
-    """The steps of a stream over Spark's state store.
+    """The steps of the streams of a bucket over Spark's state store.
 
-    The last sample is a value, the history of a stream without a route a list to which rows are appended, and the
-    confirmed route a value of its own, so that a micro-batch writes what it changes.  Deadlines are event-time
-    timers; expiry drops history and route.
+    Calls and state requests cost much more than the steps of a sample, so that a call takes the samples of all streams of a
+    bucket.  The last samples of its streams are one value; history, confirmed route and watched samples of a stream are
+    entries of maps that are read and written only where the stream moves.  The deadline that comes first is the
+    bucket's event-time timer; expiry drops history and route.
     """
 
     def __init__(self, config: Engine) -> None:
         self.config = config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        key = "server_id long, vehicle_identifier long"
         self.handle = handle
-        self.last = handle.getValueState("last", "last_us long, active boolean, passed int, last_look double, candidate boolean, rival_look double")
-        self.history = handle.getListState("history", ", ".join(f"{f} double" for f in FIELDS))
-        self.route = handle.getValueState("route", Route.SCHEMA)
-        self.watched = handle.getListState("watched", "time double, lat double, lon double, ve double, vn double, off boolean")
-
-    def _track(self) -> Track:
-        if not self.last.exists():
-            return Track()
-        last_us, active, passed, look, candidate, *rival = self.last.get()
-        route = Route.of(*self.route.get()) if self.route.exists() else None
-        rows = list(self.history.get()) if route is None and self.history.exists() else []
-        history = {f: [row[k] for row in rows] for k, f in enumerate(FIELDS)}
-        watched = [list(row) for row in self.watched.get()] if route is not None and self.config.detection.follow_changes and self.watched.exists() else []
-        return Track(last_us, active, passed, RouteState(history, last_us / 1e6, look, candidate, route is not None, route, watched, *rival))
-
-    def _store(self, track: Track, before: list[float], had_route: bool) -> None:
-        routes, times = track.routes, track.routes.history["time"]
-        self.last.update((track.last_us, track.active, track.passed, routes.last_look, routes.candidate, routes.rival_look))
-        if self.config.detection.follow_changes:
-            if routes.recent_samples:
-                self.watched.put([tuple(r) for r in routes.recent_samples])
+        self.last = handle.getValueState("last", ", ".join(f"{c.strip().split(' ')[0]} array<{c.strip().split(' ')[1]}>" for c in _LAST.split(",")))
+        # samples by column, as bytes: lists of numbers are encoded one by one on their way to the store
+        self.history = handle.getMapState("history", key, "samples binary")
+        self.route = handle.getMapState("route", key, Route.SCHEMA)
+        self.watched = handle.getMapState("watched", key, "time array<double>, lat array<double>, lon array<double>, ve array<double>, vn array<double>, off array<boolean>")
+
+    def _track(self, key: tuple, held: tuple) -> Track:
+        last_us, active, passed, look, candidate, rival, confirmed, points = held
+        route = Route.of(*self.route.getValue(key)) if confirmed else None
+        rows = np.frombuffer(self.history.getValue(key)[0], "<f8").reshape(len(FIELDS), points).tolist() if points else [[] for _ in FIELDS]
+        routes = RouteState(dict(zip(FIELDS, rows, strict=True)), last_us / 1e6, look, candidate, confirmed, route)
+        if confirmed and self.config.detection.follow_changes and (watched := self.watched.getValue(key)) is not None:
+            routes.watch(*watched, rival)
+        return Track(last_us, active, passed, routes)
+
+    def _stored(self, key: tuple, track: Track, before: tuple) -> tuple:
+        """Write what the stream changed; what the bucket holds of it."""
+        routes, (times, route, watching) = track.routes, before
+        points = len(routes.history["time"])
+        if routes.history["time"] != times:
+            if points:
+                self.history.updateValue(key, (np.array([routes.history[f] for f in FIELDS], "<f8").tobytes(),))
+            else:
+                self.history.removeKey(key)
+        # a route that was lost and found again is another one
+        if routes.route is not route:
+            if routes.route is None:
+                self.route.removeKey(key)
             else:
-                self.watched.clear()
-        if times[: len(before)] == before:
-            fresh = list(zip(*(routes.history[f][len(before) :] for f in FIELDS), strict=True))
-            if fresh:
-                self.history.appendList(fresh)
-        elif times:
-            self.history.put(list(zip(*(routes.history[f] for f in FIELDS), strict=True)))
-        else:
-            self.history.clear()
-        if routes.route is not None:
-            if not had_route:
-                self.route.update(routes.route_values())
-        elif had_route:
-            self.route.clear()
-
-    def _timed(self, track: Track) -> None:
+                self.route.updateValue(key, routes.route_values())
+        if routes.recent_samples:
+            self.watched.updateValue(key, routes.watch_values()[:-1])
+        elif watching:
+            self.watched.removeKey(key)
+        return (track.last_us, track.active, track.passed, routes.last_look, routes.candidate, routes.rival_look, routes.route is not None, points)
+
+    def _moved(self, frames: list[pd.DataFrame], until_us: int | None) -> pd.DataFrame:
+        columns = self.last.get() if self.last.exists() else None
+        held = {tuple(row[:2]): tuple(row[2:]) for row in zip(*columns, strict=True)} if columns else {}
+        found, batch, waits = Gathered(self.config), None, deadlines(self.config)
+
+        def move(key: tuple, step: Callable[[Track], None]) -> None:
+            track = self._track(key, held[key]) if key in held else Track()
+            routes = track.routes
+            before = (list(routes.history["time"]), routes.route, bool(routes.recent_samples))
+            step(track)
+            held[key] = self._stored(key, track, before)
+
+        if frames:
+            rows = pa.Table.from_batches([pa.RecordBatch.from_pandas(pdf[_SAMPLES.names], schema=_SAMPLES, preserve_index=False) for pdf in frames])
+            batch = rows.sort_by([(c, "ascending") for c in (*KEY, "at_us", "number")]).combine_chunks().to_batches()[0]  # without a number last
+            values = values_of(batch)
+            for key, first, end in runs(batch):
+                move(key, lambda track: found.take(key, track, values, first, end))  # noqa: B023
+        if until_us is not None:
+            for key, (last_us, _, passed, *_) in list(held.items()):
+                if passed < len(waits) and last_us + waits[passed][0] <= until_us:
+                    move(key, lambda track: found.tell(key, track.pass_deadlines(until_us, self.config)))  # noqa: B023
+        self.last.update(tuple(list(c) for c in zip(*((*key, *row) for key, row in held.items()), strict=True)))
+        self._timed([last_us + waits[passed][0] for last_us, _, passed, *_ in held.values() if passed < len(waits)])
+        return pa.Table.from_batches(found.batches(batch), schema=_RESULTS).to_pandas()
+
+    def _timed(self, due_us: list[int]) -> None:
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        waits = deadlines(self.config)[track.passed :]
-        if waits:
-            self.handle.registerTimer(-((track.last_us + waits[0][0]) // -1000))
-
-    def _moved(self, key: tuple, pdf: pd.DataFrame, until_us: int | None) -> pd.DataFrame:
-        track = self._track()
-        before, had_route = list(track.routes.history["time"]), track.routes.route is not None
-        route = track.routes.route
-        out = results(key, track, pdf, until_us, self.config)
-        if track.last_us is not None:
-            # a route that was lost and found again within the batch is written anew
-            self._store(track, before, had_route and track.routes.route is route)
-            self._timed(track)
-        return out
+        if due_us:
+            self.handle.registerTimer(-(min(due_us) // -1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._moved(key, pd.concat(list(rows), ignore_index=True), None)
+        yield self._moved(list(rows), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._moved(key, pd.DataFrame(), timerValues.getCurrentWatermarkInMs() * 1000)
+        yield self._moved([], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
 
-def stream_process(samples: DataFrame, config: Engine = Engine(), late: str = "0 seconds") -> DataFrame:
+def stream_process(samples: DataFrame, config: Engine = Engine(), late: str = "0 seconds", buckets: int = 1024) -> DataFrame:
     """``RESULTS`` from a streaming DataFrame: changes and frames of one stateful operator.
 
     A sample counts if it is after the last one of its stream; Spark drops those ``late`` or more behind the newest
     sample of all streams, so ``late`` has to cover the largest lag of a stream, and deadlines of silent streams are
     noticed as much later (stamped with the deadline all the same).  :class:`wayring.streaming.session.Session` keeps lagging streams without such a bound.
-    The state of a stream without a route is bounded by ``Detection.history_points``; expiry drops it.
+    The state of a stream without a route is bounded by ``Detection.history_points``; expiry drops it.  Streams are dealt to
+    ``buckets``, whose number stays as long as a checkpoint; a bucket's samples of one micro-batch are held by one task at a time.
     """
-    # list states, timers and single keys of large states need this state store, whatever the session was built with
+    # map states, timers and single keys of large states need this state store, whatever the session was built with
     samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     timed = samples.where("sample_time is not null").withColumn("sample_time", F.col("sample_time").cast("timestamp")).withWatermark("sample_time", late)
-    keyed = prepared(timed).groupBy(*KEY)
+    keyed = prepared(timed).withColumn("bucket", F.pmod(F.hash(*KEY), F.lit(buckets))).groupBy("bucket")
     return keyed.transformWithStateInPandas(statefulProcessor=TrackProcessor(config), outputStructType=RESULTS, outputMode="Append", timeMode="EventTime")
 
 
