@@ -3,6 +3,9 @@
 Detection settings take effect forward only, so they are no part of the fingerprint.  Parts of the input that have no
 results under a fingerprint are found by an anti join and computed; parts that have are never touched, so settings
 that did not change cost nothing, and the results of former settings stay.
+
+A scored row is several times as wide as its metrics, so rows are not sorted by part to be written: a task keeps the files of
+``WRITERS`` parts open at once and sorts only rows of further parts.
 """
 
 from __future__ import annotations
@@ -18,6 +21,12 @@ from wayring.config import Scoring
 from wayring.functions.scoring import with_scores
 
 
+#: Parts that a task writes at once, and the bytes of a row group, which bound what their files hold in memory.
+WRITERS = 8
+ROW_GROUP = 16 << 20
+_WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def scoring_fingerprint(cfg: Scoring) -> str:
     return hashlib.sha256(json.dumps(asdict(cfg), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
@@ -57,7 +66,12 @@ class ScoreHistory:
                 fingerprint = F.lit(scoring_fingerprint(cfg)).alias("config_sha256")
                 keyed = metrics.withColumn(self.part, F.col(self.part).cast("string")).join(stale.select(self.part), self.part)
                 scored = with_scores(keyed, cfg).select("*", fingerprint)
-                scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config_sha256", self.part).parquet(f"{self.folder}/scores")
+                before = self.spark.conf.get(_WRITERS_CONF)
+                try:  # the writer has no option of its own for it
+                    self.spark.conf.set(_WRITERS_CONF, str(max(WRITERS, int(before))))
+                    scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP).partitionBy("config_sha256", self.part).parquet(f"{self.folder}/scores")
+                finally:
+                    self.spark.conf.set(_WRITERS_CONF, before)
                 stale.select(fingerprint, self.part, "rows").write.mode("append").json(f"{self.folder}/parts")
             return count
         finally:
