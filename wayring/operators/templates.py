@@ -246,6 +246,24 @@ def fitted(found: DataFrame, templates: list[Template]) -> DataFrame:
     return f.select(*names, "fit.common_phase", "fit.mean_error", "fit.max_error", "fit.errors", F.transform("fit.slot_order", lambda k: F.get("slots", k)).alias("slots"))
 
 
+def pair_fits(found: DataFrame) -> DataFrame:
+    """Rows of :func:`candidates` with two members, perhaps with further columns, and the ``errors`` of the best fit of each, as expressions.
+
+    Two members split evenly what their difference lacks of their slots' offsets, so no centre is looked for.  The difference is
+    taken of the phases as they are, which may lie beyond a cycle: nothing is rounded between it and the error.
+    """
+    x, y = (F.get("members", F.lit(k)) for k in (0, 1))
+    takes = lambda m, s: (m["vehicle_type"] == s["vehicle_type"]) & (s["role"].isNull() | F.coalesce(s["role"] == m["role"], F.lit(False)))
+
+    def error(a: Column, b: Column) -> Column:
+        lacks = x["phase"] * a["sign"] - y["phase"] * b["sign"] - (a["offset"] - b["offset"])
+        return F.when(takes(x, a) & takes(y, b), F.abs(lacks - F.rint(lacks)) / 2.0)
+
+    a, b = (F.get("slots", F.lit(k)) for k in (0, 1))
+    f = found.where("n = 2").withColumn("__error", F.least(error(a, b), error(b, a))).where("__error is not null")
+    return f.withColumn("errors", F.array("__error", "__error")).drop("n", "__error")
+
+
 def member_fits(fits: DataFrame) -> DataFrame:
     """One row per member of a fit: slot, expected phase and position error in cycles and degrees."""
     each = fits.select("group_id", "template_id", "common_phase", F.explode(F.arrays_zip("members", "slots", "errors")).alias("z"))
@@ -253,23 +271,23 @@ def member_fits(fits: DataFrame) -> DataFrame:
     return each.select("group_id", "template_id", F.col("z.members.member").alias("member"), F.col("z.slots.slot_id").alias("slot_id"), expected.alias("expected_phase"), F.col("z.errors").alias("error_cycle"), (F.col("z.errors") * 360.0).alias("error_deg"))
 
 
-def fit_scores(fits: DataFrame, templates: list[Template], cfg: Scoring = Scoring()) -> DataFrame:
-    """``group_id, template_id, score``: the mean position score of a fit's members, by the band of the template's family."""
+def fit_scores(fits: DataFrame, templates: list[Template], cfg: Scoring = Scoring(), key: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """The key (``group_id``, perhaps with a time) and ``template_id, score``: the mean position score of a fit's members, by the band of the template's family."""
     family = F.create_map(*(F.lit(x) for t in templates for x in (t.template_id, t.family)))
     degrees, cycles = (lambda e: band_score(e * 360.0, cfg.si_position)), (lambda e: band_score(e, cfg.so_position))
     each = F.when(family[F.col("template_id")] == "si", F.transform("errors", degrees)).otherwise(F.transform("errors", cycles))
-    return fits.select("group_id", "template_id", (F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / F.size("errors")).alias("score"))
+    return fits.select(*key, "template_id", (F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / F.size("errors")).alias("score"))
 
 
-def advantages(scores: DataFrame, current: DataFrame | Column) -> DataFrame:
-    """How much better each group's best other template is than its own: ``group_id, template_id, advantage``.
+def advantages(scores: DataFrame, current: DataFrame | Column, key: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """How much better each group's best other template is than its own: the key (``group_id``, perhaps with a time) and ``template_id, advantage``.
 
     ``current`` has ``group_id`` and ``current_template_id``, or is the latter as an expression.  Groups whose own template
     does not fit, or that fit no other, have none; of equally good ones the first by id is named.
     """
     s = scores.withColumn("current_template_id", current) if isinstance(current, Column) else scores.join(current, "group_id")
     own, other = F.col("template_id") == F.col("current_template_id"), F.col("template_id") != F.col("current_template_id")
-    told = s.groupBy("group_id").agg(
+    told = s.groupBy(*key).agg(
         F.max(F.when(own, F.col("score"))).alias("own"), F.max(F.when(other, F.col("score"))).alias("best"), F.min(F.when(other, F.struct((-F.col("score")).alias("s"), "template_id")))["template_id"].alias("template_id")
     )
-    return told.where("own is not null and best is not null").select("group_id", "template_id", (F.col("best") - F.col("own")).alias("advantage"))
+    return told.where("own is not null and best is not null").select(*key, "template_id", (F.col("best") - F.col("own")).alias("advantage"))
