@@ -62,6 +62,7 @@ def runs(batch: pa.RecordBatch) -> list[tuple[tuple, int, int]]:
     """The streams in a record batch of rows in order, each with its first row and the one behind its last."""
     keys, fresh = [batch.column(c) for c in KEY], np.zeros(max(len(batch) - 1, 0), bool)
     for column in keys:
+        column = column if pa.types.is_integer(column.type) else column.dictionary_encode().indices  # noqa: PLW2901
         value, null = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
         fresh |= (value[1:] != value[:-1]) | (null[1:] != null[:-1])
     at = [0, *(np.flatnonzero(fresh) + 1).tolist(), len(batch)]

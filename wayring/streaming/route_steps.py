@@ -56,6 +56,25 @@ def _outline(center: np.ndarray, a: float, b: float, turn: float, si: bool) -> n
     return np.stack([center[0] + along * math.cos(turn) - across * math.sin(turn), center[1] + along * math.sin(turn) + across * math.cos(turn)], axis=1)
 
 
+def polyline(center: np.ndarray, a: float, b: float, turn: float, si: bool, cfg: Detection) -> np.ndarray:
+    """``point_limit`` points of the outline, 64 at most, at equal arc length."""
+    raw = _outline(center, a, b, turn, si)
+    d, n, before = _segments(raw)
+    target = np.arange(min(cfg.point_limit, 64)) / min(cfg.point_limit, 64) * n.sum()
+    k = np.minimum(np.searchsorted(before + n, target, "right"), len(n) - 1)
+    return raw[k] + d[k] * np.clip((target - before[k]) / n[k], 0, 1)[:, None]
+
+
+def period_of(speed: np.ndarray, step: np.ndarray, t: np.ndarray, length: float, cycles: float) -> float:
+    """The length over the median of reported speeds, else of derived ones, else the time per cycle."""
+    speed = speed[np.isfinite(speed) & (speed > EPSILON)]
+    if not len(speed):
+        dt = np.diff(t)
+        speed = step[dt > 0] / dt[dt > 0]
+        speed = speed[speed > EPSILON]
+    return length / _median(speed) if len(speed) else (t[-1] - t[0]) / max(cycles, EPSILON)
+
+
 def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detection()) -> dict | None:
     """The effective route of one stream's active, positioned samples in time order, or None."""
     t = rows["time"]
@@ -91,13 +110,8 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     # a line of sixteen points or more about both ends is longer than three half axes: without a return no shape is drawn
     if cfg.point_limit >= 16 and not (back & (way >= 3.0 * a * cfg.closure_phase)).any():
         return None
-    raw = _outline(center, a, b, turn, si)
-    d, n, before = _segments(raw)
-    target = np.arange(min(cfg.point_limit, 64)) / min(cfg.point_limit, 64) * n.sum()
-    k = np.minimum(np.searchsorted(before + n, target, "right"), len(n) - 1)
-    poly = raw[k] + d[k] * np.clip((target - before[k]) / n[k], 0, 1)[:, None]
-    d, n, before = _segments(poly)
-    length = n.sum()
+    poly = polyline(center, a, b, turn, si, cfg)
+    length = _segments(poly)[1].sum()
     cycles = way[-1] / length
     heading = np.concatenate([q[1:], q[-1:]]) - np.concatenate([q[:1], q[:-1]])
     size = np.hypot(*heading.T)
@@ -111,19 +125,15 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     fit = (project(poly, q)[0] <= near).mean()
     if fit + EPSILON < cfg.least_fit:
         return None
-    speed = np.hypot(rows["ve"], rows["vn"])[keep]
-    speed = speed[np.isfinite(speed) & (speed > EPSILON)]
-    if not len(speed):
-        dt = np.diff(t[keep])
-        speed = step[dt > 0] / dt[dt > 0]
-        speed = speed[speed > EPSILON]
-    period = length / _median(speed) if len(speed) else (t[-1] - t[0]) / max(cycles, EPSILON)
+    period = period_of(np.hypot(rows["ve"], rows["vn"])[keep], step, t[keep], length, cycles)
     c = q - center
     area = (c[:-1, 0] * c[1:, 1] - c[:-1, 1] * c[1:, 0]).sum()
     way_round = "unknown" if abs(area) <= EPSILON else "counterclockwise" if area > 0 else "clockwise"
     quality = min(1.0, max(0.0, 0.55 * fit + 0.30 * keep.mean() + 0.15 * min(1.0, cycles)))
     lat, lon = lat0 + math.degrees(center[1] / EARTH_RADIUS_M), lon0 + math.degrees(center[0] / (EARTH_RADIUS_M * math.cos(math.radians(lat0))))
     told = {"family": "si" if si else "so", "subtype": "compact" if si else "hippodrome", "direction": way_round, "period_s": float(period), "quality": float(quality), "fit_fraction": float(fit), "cycles": float(cycles), "length_m": float(length)}
+    # what is not told by changes: the shape about the median place, and how far the kept samples went
+    told |= {"origin": (float(lat0), float(lon0)), "shape": (float(center[0]), float(center[1]), float(a), float(b), float(turn)), "kept": int(keep.sum()), "travelled_m": float(way[-1])}
     return told | {"route": Route(float(lat), float(lon), poly[:, 0].tolist(), poly[:, 1].tolist(), float(near), float(length), float(period), float(fit), float(b))}
 
 
