@@ -244,7 +244,8 @@ SELECT {_ID}, count(*) AS frames, {rounded_sql('avg(sqrt((qx - (x + dx * fr)) **
 )
 def route_phase_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orbits(spark, sf_dir)
-    f = detection.with_phase(o, detection.detect_routes(o)).where("route_id is not null")
+    placed = o.select(*detection.KEY, "sample_time", "active", "latitude_deg", "longitude_deg")
+    f = detection.with_phase(placed, detection.detect_routes(o)).where("route_id is not null")
     return f.groupBy(*detection.KEY).agg(F.count("*").alias("frames"), rounded(F.avg("distance_m"), 3).alias("mean_distance_m"))
 
 
