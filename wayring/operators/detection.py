@@ -244,11 +244,11 @@ _PLACES = pa.struct([(c, pa.int32() if c == "segment" else pa.float64()) for c i
 
 
 def _places(line: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
-    """As :func:`wayring.functions.geo.project`, by column; some thousand points are held against all segments together."""
+    """As :func:`wayring.functions.geo.project`, by column; points are held against all segments together, so few at a time that they stay in a processor's cache."""
     d, n, before = steps._segments(line)
     total, out = n.sum(), []
-    for at in range(0, len(points), 2048):
-        p = points[at : at + 2048]
+    for at in range(0, len(points), 128):
+        p = points[at : at + 128]
         share = np.clip(((p[:, None, 0] - line[:, 0]) * d[:, 0] + (p[:, None, 1] - line[:, 1]) * d[:, 1]) / (n * n), 0, 1)
         off = np.hypot(p[:, None, 0] - (line[:, 0] + d[:, 0] * share), p[:, None, 1] - (line[:, 1] + d[:, 1] * share))
         k, row = off.argmin(axis=1), np.arange(len(p))

@@ -6,6 +6,8 @@ checkpoint or a snapshot give the same changes and frames.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -21,7 +23,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from wayring.config import Detection, Engine, Grouping, Timing
 from wayring.session import SETTINGS, spread
-from wayring.streaming.route_steps import FIELDS, Route, RouteState, advance
+from wayring.streaming.route_steps import FIELDS, Route, RouteState, advance, look
 
 KEY = ["server_id", "vehicle_identifier"]
 CHANGES = "server_id long, vehicle_identifier long, change_s double, kind string, route_id string, family string, subtype string, direction string, period_s double, quality double, fit_fraction double, cycles double"
@@ -75,7 +77,28 @@ def _finite(column: pa.Array) -> pa.Array:
 
 def values_of(batch: pa.RecordBatch) -> list[list]:
     """Times and sample values as lists; NaN is no value."""
-    return [_finite(batch.column(c)).to_pylist() for c in ("at_us", *_SAMPLE)]
+    return [_listed(batch.column(c)) for c in ("at_us", *_SAMPLE)]
+
+
+def _listed(column: pa.Array) -> list:
+    """A column as a list, by way of numpy, which is many times faster than one value after the other."""
+    floating = pa.types.is_floating(column.type)
+    values = (column if floating else column.fill_null(False if pa.types.is_boolean(column.type) else 0)).to_numpy(zero_copy_only=False)
+    out = values.tolist()
+    if floating or column.null_count:
+        for k in np.flatnonzero(np.isnan(values) if floating else column.is_null().to_numpy(zero_copy_only=False)).tolist():
+            out[k] = None
+    return out
+
+
+def stirring(batch: pa.RecordBatch, config: Engine) -> list[int]:
+    """The places of the samples that are more than one more place of an active, unbroken stream: each is a step of its own."""
+    at = batch.column("at_us").fill_null(0).to_numpy()
+    calm = batch.column("active").fill_null(False).to_numpy(zero_copy_only=False)
+    for c in ("latitude_deg", "longitude_deg", "reliability"):
+        calm = calm & (np.isfinite if c != "reliability" else lambda v: v > 0)(batch.column(c).fill_null(np.nan).to_numpy(zero_copy_only=False))
+    gap = np.diff(at, prepend=at[:1])
+    return np.flatnonzero(~(calm & (gap > 0) & (gap < deadlines(config)[0][0]))).tolist()
 
 
 def record_batch(schema: pa.Schema, size: int, given: dict[str, list | pa.Array]) -> pa.RecordBatch:
@@ -260,23 +283,31 @@ class Gathered:
     def tell(self, key: tuple, found: list[tuple]) -> None:
         self.changes.extend((key, *one) if len(one) == 3 else (key, *one, None) for one in found)
 
-    def take(self, key: tuple, track: Track, rows: list[list], first: int, end: int) -> None:
-        """The samples of one stream from ``first`` to ``end``; ``track`` moves on."""
+    def take(self, key: tuple, track: Track, rows: list[list], first: int, end: int, stirs: list[int] | None = None) -> None:
+        """The samples of one stream from ``first`` to ``end``; ``track`` moves on.
+
+        With ``stirs`` (:func:`stirring`) those between are taken by stretches, from look to look.
+        """
         placed: dict[int, tuple[Route, list[int], list[int]]] = {}
-        name, config, begun = route_id(key), self.config, len(self.frames)
-        for k, at_us, *sample in zip(range(first, end), *(c[first:end] for c in rows), strict=True):
-            changes = track.take(at_us, tuple(sample), config)
-            if changes is None:
-                continue
-            if changes:
-                self.tell(key, changes)
-            route = track.routes.route
-            if route is not None and sample[1] is not False and sample[2] is not None and sample[3] is not None:
-                if id(route) not in placed:
-                    placed[id(route)] = (route, [], [])
-                placed[id(route)][1].append(len(self.frames))
-                placed[id(route)][2].append(k)
-            self.frames.append(k)
+        name, config, begun, k = route_id(key), self.config, len(self.frames), first
+        at_us, follows = rows[0], config.detection.follow_changes
+        while k < end:
+            if stirs is not None and k > first and track.active and not track.passed and track.last_us == at_us[k - 1] and not (follows and track.routes.confirmed):
+                at = bisect_left(stirs, k)
+                calm = min(end, stirs[at]) if at < len(stirs) else end
+                if calm > k:
+                    k = self._stretch(key, track, rows, k, calm, placed)
+                    continue
+            sample = tuple(c[k] for c in rows[1:])
+            changes = track.take(at_us[k], sample, config)
+            if changes is not None:
+                if changes:
+                    self.tell(key, changes)
+                route = track.routes.route
+                if route is not None and sample[1] is not False and sample[2] is not None and sample[3] is not None:
+                    self._place(placed, route, k, k + 1)
+                self.frames.append(k)
+            k += 1
         self.routes += [None] * (len(self.frames) - begun)
         self.phases += [None] * (len(self.frames) - begun)
         for route, at, row in placed.values():
@@ -284,6 +315,39 @@ class Gathered:
             for k, phase in zip(at, route.phases(lat, lon).tolist(), strict=True):
                 self.routes[k], self.phases[k] = name, phase
 
+    def _place(self, placed: dict[int, tuple[Route, list[int], list[int]]], route: Route, first: int, end: int) -> None:
+        """Samples on a route, which become the next frames."""
+        _, at, row = placed.setdefault(id(route), (route, [], []))
+        at.extend(range(len(self.frames), len(self.frames) + end - first))
+        row.extend(range(first, end))
+
+    def _stretch(self, key: tuple, track: Track, rows: list[list], first: int, end: int, placed: dict) -> int:
+        """Samples that only go on, up to ``end`` or to a route that is to be watched; the place behind the last one taken."""
+        routes, detection = track.routes, self.config.detection
+        at_us, second = rows[0], rows[1]
+        while first < end:
+            if routes.confirmed:
+                if detection.follow_changes:
+                    break
+                stop = end
+                self._place(placed, routes.route, first, stop)
+            else:
+                due = bisect_left(second, routes.last_look + self.config.timing.batch_seconds, first, end)
+                stop = min(due + 1, end)
+                for name, c in zip(FIELDS, (1, 3, 4, 5, 6), strict=True):
+                    routes.history[name].extend(rows[c][first:stop] if c < 5 else [math.nan if v is None else v for v in rows[c][first:stop]])
+                found = look(routes, second[due], detection) if due < end else []
+                if found:
+                    self.tell(key, [(round(time * 1e6), kind, told) for time, kind, told in found])
+                if routes.confirmed:  # of these the confirming sample alone is on the route
+                    self.frames.extend(range(first, stop - 1))
+                    self._place(placed, routes.route, stop - 1, stop)
+                    first = stop - 1
+            self.frames.extend(range(first, stop))
+            track.last_us, routes.last_time = at_us[stop - 1], second[stop - 1]
+            first = stop
+        return first
+
     def batches(self, batch: pa.RecordBatch | None, schema: pa.Schema = _RESULTS) -> Iterator[pa.RecordBatch]:
         """``RESULTS`` of what was gathered from a record batch of samples; nothing is left."""
         if self.frames:
@@ -316,13 +380,13 @@ def process(samples: DataFrame, observed_until: Column | None = None, config: En
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, track, found, until_us = None, None, Gathered(config), None
         for batch in batches:
-            rows = values_of(batch)
+            rows, stirs = values_of(batch), stirring(batch, config)
             for own, first, end in runs(batch):
                 if own != key:
                     if track is not None:
                         found.tell(key, track.pass_deadlines(until_us, config))
                     key, track, until_us = own, Track(), batch.column("until_us")[first].as_py()
-                found.take(key, track, rows, first, end)
+                found.take(key, track, rows, first, end, stirs)
             yield from found.batches(batch)
         if track is not None:
             found.tell(key, track.pass_deadlines(until_us, config))
@@ -411,9 +475,9 @@ class TrackProcessor(StatefulProcessor):
         if frames:
             rows = pa.Table.from_batches([pa.RecordBatch.from_pandas(pdf[_SAMPLES.names], schema=_SAMPLES, preserve_index=False) for pdf in frames])
             batch = rows.sort_by([(c, "ascending") for c in (*KEY, "at_us", "number")]).combine_chunks().to_batches()[0]  # without a number last
-            values = values_of(batch)
+            values, stirs = values_of(batch), stirring(batch, self.config)
             for key, first, end in runs(batch):
-                move(key, lambda track: found.take(key, track, values, first, end))  # noqa: B023
+                move(key, lambda track: found.take(key, track, values, first, end, stirs))  # noqa: B023
         if until_us is not None:
             for key, (last_us, _, passed, *_) in list(held.items()):
                 if passed < len(waits) and last_us + waits[passed][0] <= until_us:

@@ -56,6 +56,28 @@ def _outline(center: np.ndarray, a: float, b: float, turn: float, si: bool) -> n
     return np.stack([center[0] + along * math.cos(turn) - across * math.sin(turn), center[1] + along * math.sin(turn) + across * math.cos(turn)], axis=1)
 
 
+def _ways(x: np.ndarray, y: np.ndarray, apart: int) -> np.ndarray:
+    dx, dy = x[apart:] - x[:-apart], y[apart:] - y[:-apart]
+    return np.sqrt(dx * dx + dy * dy)
+
+
+def _distances(poly: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance from a closed polyline alone, of so few points at a time that they stay in a processor's cache."""
+    d, n, _ = _segments(poly)
+    (px, py), (dx, dy), size, out = poly.T.copy(), d.T.copy(), n * n, np.empty(len(x))
+    for at in range(0, len(x), 128):
+        ex, ey = x[at : at + 128, None] - px, y[at : at + 128, None] - py
+        share = (ex * dx + ey * dy) / size
+        np.clip(share, 0.0, 1.0, out=share)
+        ex -= dx * share
+        ey -= dy * share
+        ex *= ex
+        ey *= ey
+        ex += ey
+        out[at : at + 128] = np.sqrt(ex.min(axis=1))
+    return out
+
+
 def polyline(center: np.ndarray, a: float, b: float, turn: float, si: bool, cfg: Detection) -> np.ndarray:
     """``point_limit`` points of the outline, 64 at most, at equal arc length."""
     raw = _outline(center, a, b, turn, si)
@@ -81,31 +103,42 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     if len(t) < cfg.least_samples or t[-1] - t[0] + EPSILON < seconds:
         return None
     lat0, lon0 = _median(rows["lat"]), _median(rows["lon"])
-    p = np.stack([np.radians(rows["lon"] - lon0) * EARTH_RADIUS_M * math.cos(math.radians(lat0)), np.radians(rows["lat"] - lat0) * EARTH_RADIUS_M], axis=1)
-    step = np.hypot(*(p[1:] - p[:-1]).T)
-    keep = np.ones(len(p), bool)
-    if (step > EPSILON).any():
-        usual = _median(step[step > EPSILON])
-        far = max(4.0 * usual, 1.0)
-        bridge = np.hypot(*(p[2:] - p[:-2]).T)
-        keep[1:-1] = ~((step[:-1] > far) & (step[1:] > far) & (bridge <= max(2.5 * usual, 1.5)))
-    q = p[keep]
-    if len(q) < cfg.least_samples:
+    x, y = np.radians(rows["lon"] - lon0) * (EARTH_RADIUS_M * math.cos(math.radians(lat0))), np.radians(rows["lat"] - lat0) * EARTH_RADIUS_M
+    step, keep = _ways(x, y, 1), None
+    moved = step[step > EPSILON]
+    if len(moved):
+        usual = _median(moved)
+        wide = step > max(4.0 * usual, 1.0)
+        inner = wide[:-1] & wide[1:]
+        # few points lie far from both neighbours, and only for these it is asked how far apart the neighbours are
+        if inner.any():
+            at = np.flatnonzero(inner)
+            at = at[np.hypot(x[at + 2] - x[at], y[at + 2] - y[at]) <= max(2.5 * usual, 1.5)]
+            if len(at):
+                keep = np.ones(len(x), bool)
+                keep[at + 1] = False
+                x, y = x[keep], y[keep]
+                step = _ways(x, y, 1)
+    n = len(x)
+    if n < cfg.least_samples:
         return None
-    center = np.array([_median(q[:, 0]), _median(q[:, 1])])
-    d = q - center
-    turn = 0.5 * math.atan2(2.0 * (d[:, 0] * d[:, 1]).mean(), (d[:, 0] ** 2).mean() - (d[:, 1] ** 2).mean())
-    along, across = d[:, 0] * math.cos(turn) + d[:, 1] * math.sin(turn), d[:, 1] * math.cos(turn) - d[:, 0] * math.sin(turn)
-    a, b = (max(_half_range(v), EPSILON) for v in (along, across))
+    center = np.array([_median(x), _median(y)])
+    dx, dy = x - center[0], y - center[1]
+    xx, yy, xy = (float(np.add.reduce(v)) / n for v in (dx * dx, dy * dy, dx * dy))
+    turn = 0.5 * math.atan2(2.0 * xy, xx - yy)
+    cos, sin = math.cos(turn), math.sin(turn)
+    a, b = max(_half_range(dx * cos + dy * sin), EPSILON), max(_half_range(dy * cos - dx * sin), EPSILON)
     if b > a:
         a, b, turn = b, a, turn + math.pi / 2
     if b <= EPSILON:
         return None
     si = a / b <= cfg.si_axis_ratio
     near = max(b * cfg.closure_axis_ratio, 1.0)
-    step = np.hypot(*(q[1:] - q[:-1]).T)
-    way = np.concatenate([[0.0], np.cumsum(step)])
-    back = np.hypot(*(q - q[0]).T) <= near
+    way = np.empty(n)
+    way[0] = 0.0
+    np.cumsum(step, out=way[1:])
+    ex, ey = x - x[0], y - y[0]
+    back = ex * ex + ey * ey <= near * near
     back[0] = False
     # a line of sixteen points or more about both ends is longer than three half axes: without a return no shape is drawn
     if cfg.point_limit >= 16 and not (back & (way >= 3.0 * a * cfg.closure_phase)).any():
@@ -113,27 +146,29 @@ def detect(rows: dict[str, np.ndarray], seconds: float, cfg: Detection = Detecti
     poly = polyline(center, a, b, turn, si, cfg)
     length = _segments(poly)[1].sum()
     cycles = way[-1] / length
-    heading = np.concatenate([q[1:], q[-1:]]) - np.concatenate([q[:1], q[:-1]])
-    size = np.hypot(*heading.T)
+    he, hn = np.empty(n), np.empty(n)
+    for h, v in ((he, x), (hn, y)):
+        h[1:-1], h[0], h[-1] = v[2:] - v[:-2], v[1] - v[0], v[-1] - v[-2]
+    size = np.sqrt(he * he + hn * hn)
     with np.errstate(invalid="ignore", divide="ignore"):
-        angle = np.degrees(np.arccos(np.clip((heading @ heading[0]) / (size * size[0]), -1, 1)))
+        angle = np.degrees(np.arccos(np.clip((he * he[0] + hn * hn[0]) / (size * size[0]), -1, 1)))
     aligned = (size <= EPSILON) | (size[0] <= EPSILON) | (angle <= cfg.closure_heading_deg)
     closes = (way >= length * cfg.closure_phase) & back & aligned
     if cycles + EPSILON < cfg.closure_phase or cycles + EPSILON < cfg.least_cycles or not closes.any():
         return None
     # the dearest gate comes last: streams that close no route never pay for it
-    fit = (project(poly, q)[0] <= near).mean()
+    fit = float(np.count_nonzero(_distances(poly, x, y) <= near)) / n
     if fit + EPSILON < cfg.least_fit:
         return None
-    period = period_of(np.hypot(rows["ve"], rows["vn"])[keep], step, t[keep], length, cycles)
-    c = q - center
-    area = (c[:-1, 0] * c[1:, 1] - c[:-1, 1] * c[1:, 0]).sum()
+    speed = np.hypot(rows["ve"], rows["vn"])
+    period = period_of(speed if keep is None else speed[keep], step, t if keep is None else t[keep], length, cycles)
+    area = (dx[:-1] * dy[1:] - dy[:-1] * dx[1:]).sum()
     way_round = "unknown" if abs(area) <= EPSILON else "counterclockwise" if area > 0 else "clockwise"
-    quality = min(1.0, max(0.0, 0.55 * fit + 0.30 * keep.mean() + 0.15 * min(1.0, cycles)))
+    quality = min(1.0, max(0.0, 0.55 * fit + 0.30 * (n / len(t)) + 0.15 * min(1.0, cycles)))
     lat, lon = lat0 + math.degrees(center[1] / EARTH_RADIUS_M), lon0 + math.degrees(center[0] / (EARTH_RADIUS_M * math.cos(math.radians(lat0))))
     told = {"family": "si" if si else "so", "subtype": "compact" if si else "hippodrome", "direction": way_round, "period_s": float(period), "quality": float(quality), "fit_fraction": float(fit), "cycles": float(cycles), "length_m": float(length)}
     # what is not told by changes: the shape about the median place, and how far the kept samples went
-    told |= {"origin": (float(lat0), float(lon0)), "shape": (float(center[0]), float(center[1]), float(a), float(b), float(turn)), "kept": int(keep.sum()), "travelled_m": float(way[-1])}
+    told |= {"origin": (float(lat0), float(lon0)), "shape": (float(center[0]), float(center[1]), float(a), float(b), float(turn)), "kept": n, "travelled_m": float(way[-1])}
     return told | {"route": Route(float(lat), float(lon), poly[:, 0].tolist(), poly[:, 1].tolist(), float(near), float(length), float(period), float(fit), float(b))}
 
 
@@ -188,8 +223,8 @@ class Route:
 
     def phases(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         points, out = self.local(lat, lon), np.empty(len(lat))
-        for at in range(0, len(lat), 4096):
-            out[at : at + 4096] = _projected(*self._line, points[at : at + 4096])[1]
+        for at in range(0, len(lat), 128):
+            out[at : at + 128] = _projected(*self._line, points[at : at + 128])[1]
         return out
 
     def departs(self, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray, ratio: float) -> np.ndarray:
@@ -262,8 +297,11 @@ def advance(state: RouteState, sample: tuple, detection: Detection = Detection()
     if reliability is not None and reliability > 0:
         for name, value in zip(FIELDS, (time, lat, lon, math.nan if ve is None else ve, math.nan if vn is None else vn), strict=True):
             state.history[name].append(value)
-    if time - state.last_look < timing.batch_seconds:
-        return []
+    return look(state, time, detection) if time - state.last_look >= timing.batch_seconds else []
+
+
+def look(state: RouteState, time: float, detection: Detection) -> list[tuple[float, str, dict]]:
+    """Look for a route in the history of a stream that has none, at the time of its last sample."""
     state.last_look = time
     # nothing is built for a look that is too short to tell anything, and a shape is looked for once
     times, most = state.history["time"], detection.history_points

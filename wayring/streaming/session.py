@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayring.config import Engine
-from wayring.streaming.lifecycle import KEY, RESULTS, Gathered, Track, arrow_schema, columns_of, in_time, prepared, record_batch, runs, values_of
+from wayring.streaming.lifecycle import KEY, RESULTS, Gathered, Track, arrow_schema, columns_of, in_time, prepared, record_batch, runs, stirring, values_of
 from wayring.streaming.route_steps import FIELDS, Route, RouteState
 
 SCHEMA_VERSION = 1
 ALGORITHM_VERSION = "wayring-3"
 TRACK = "server_id long, vehicle_identifier long, last_us long, active boolean, passed int, last_look double, candidate boolean, " + ", ".join(f"{f} array<double>" for f in FIELDS) + ", " + Route.SCHEMA + ", " + RouteState.WATCH_SCHEMA
+_WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
 _BOTH = RESULTS + ", " + ", ".join(f"t_{c.strip()}" for c in TRACK.split(",")[2:])
 
 
@@ -152,7 +153,8 @@ class Session:
             key, track, found, ended = None, None, Gathered(config), []
             # a stream's state, where there is one, stands before its samples
             for batch in batches:
-                rows, is_state = values_of(batch), batch.column("is_state").to_pylist()
+                rows, stirs, is_state = values_of(batch), stirring(batch, config), batch.column("is_state").to_numpy(zero_copy_only=False)
+                held = batch.column("state").flatten() if is_state.any() else []
                 for own, first, end in runs(batch):
                     if own != key:
                         if track is not None:
@@ -160,10 +162,10 @@ class Session:
                             ended.append((key, track))
                         key, track = own, Track()
                     if is_state[first]:
-                        track = restored({c: batch.column(f"t_{c}")[first].as_py() for c in names})
+                        track = restored({c: _value(column[first]) for c, column in zip(names, held, strict=True)})
                         first += 1
                     if first < end:
-                        found.take(key, track, rows, first, end)
+                        found.take(key, track, rows, first, end, stirs)
                 yield from found.batches(batch, schema)
                 yield from states([one for one in ended if one[1].last_us is not None])
                 ended = []
@@ -174,9 +176,17 @@ class Session:
 
         version = 1 if before is None else before.version + 1
         folder = f"{self.folder}/results/{version:012d}-{uuid.uuid4().hex}"
-        held = self.states().select(*KEY, F.lit(True).alias("is_state"), *(F.col(c).alias(f"t_{c}") for c in names))
+        # a state is one column, so that samples are not shuffled and sorted beside dozens of nulls
+        held = self.states().select(*KEY, F.lit(True).alias("is_state"), F.struct(*names).alias("state"))
         both = held.unionByName(rows.withColumn("is_state", F.lit(False)), allowMissingColumns=True)
-        in_time(both.withColumn("is_sample", ~F.col("is_state")), "is_sample").mapInArrow(run, _BOTH).write.partitionBy("output").parquet(folder)
+        found = in_time(both.withColumn("is_sample", ~F.col("is_state")), "is_sample").mapInArrow(run, _BOTH)
+        # results are of three kinds: a task writes them side by side instead of sorting its rows by kind
+        before_conf = self.spark.conf.get(_WRITERS_CONF, None)
+        self.spark.conf.set(_WRITERS_CONF, 4)
+        try:
+            found.write.partitionBy("output").parquet(folder)
+        finally:
+            self.spark.conf.unset(_WRITERS_CONF) if before_conf is None else self.spark.conf.set(_WRITERS_CONF, before_conf)
         self.table.commit(Progress(version, observed_until_us, batch_id, folder, SCHEMA_VERSION, ALGORITHM_VERSION, config.fingerprint()))
         return self.results(version)
 
@@ -193,6 +203,13 @@ class Session:
         return out
 
 
+def _value(scalar: pa.Scalar) -> object:
+    """As ``as_py``, which takes lists apart one value after the other; NaN in lists stays."""
+    if isinstance(scalar, pa.ListScalar) and scalar.is_valid and scalar.values.null_count == 0:
+        return scalar.values.to_numpy(zero_copy_only=False).tolist()
+    return scalar.as_py()
+
+
 def stored(track: Track) -> tuple:
     """The values of ``TRACK`` behind the key."""
     r = track.routes
@@ -200,7 +217,7 @@ def stored(track: Track) -> tuple:
 
 
 def restored(row: dict) -> Track:
-    history = {f: [float(x) for x in row[f]] for f in FIELDS}
+    history = {f: row[f] for f in FIELDS}
     route = Route.of(*(row[c] for c in columns_of(Route.SCHEMA)))
     routes = RouteState(history, row["last_us"] / 1e6, float(row["last_look"]), bool(row["candidate"]), route is not None, route)
     routes.watch(*(row[c] for c in columns_of(RouteState.WATCH_SCHEMA)))
